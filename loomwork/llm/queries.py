@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import decontaminate, mixing, sharding
+from loomwork.llm import decontaminate, minmax, mixing, rules, sharding, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_minmax_dedup": minmax.op4_minmax_dedup,
+        "op5_risk_rules": rules.op5_risk_rules,
         "op7_decontaminate": decontaminate.op7_decontaminate,
         "op8_mix_sources": mixing.op8_mix_sources,
         "op9_shard_interleave": sharding.op9_shard_interleave,
+        "op10_token_counts": tokens.op10_token_counts,
     }
 
 

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import decontaminate, html_content, minmax, mixing, rules, sharding, tokens
+from loomwork.llm import decontaminate, html_content, minmax, mixing, ordinal, rules, sharding, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_ordinal_quality": ordinal.op2_ordinal_quality,
         "op3_html_extract": html_content.op3_html_extract,
         "op4_minmax_dedup": minmax.op4_minmax_dedup,
         "op5_risk_rules": rules.op5_risk_rules,

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import decontaminate, html_content, minmax, mixing, ordinal, rules, sharding, tokens
+from loomwork.llm import decontaminate, disclosure, html_content, minmax, mixing, ordinal, rules, sharding, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_html_extract": html_content.op3_html_extract,
         "op4_minmax_dedup": minmax.op4_minmax_dedup,
         "op5_risk_rules": rules.op5_risk_rules,
+        "op6_pii_disclosure": disclosure.op6_pii_disclosure,
         "op7_decontaminate": decontaminate.op7_decontaminate,
         "op8_mix_sources": mixing.op8_mix_sources,
         "op9_shard_interleave": sharding.op9_shard_interleave,

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import decontaminate, disclosure, html_content, minmax, mixing, ordinal, rules, sharding, tokens
+from loomwork.llm import decontaminate, disclosure, fixity, html_content, minmax, mixing, ordinal, rules, sharding, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc_fixity": fixity.op1_warc_fixity,
         "op2_ordinal_quality": ordinal.op2_ordinal_quality,
         "op3_html_extract": html_content.op3_html_extract,
         "op4_minmax_dedup": minmax.op4_minmax_dedup,
@@ -24,4 +25,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontaminate": decontaminate.ORACLE, "op8_mix_sources": mixing.ORACLE}
+    return {
+        "op1_warc_fixity": fixity.ORACLE,
+        "op7_decontaminate": decontaminate.ORACLE,
+        "op8_mix_sources": mixing.ORACLE,
+    }

@@ -35,7 +35,7 @@ SAMPLE, SHARDS, ROUNDS, EPOCHS = 24_000, 4, 3, 3
 RATE, SMOOTH, L1, L2 = 0.3, 1.0, 6.0, 0.5
 #: A document is kept if P(grade >= GOOD) reaches TAIL.
 GOOD, TAIL = 2, 0.45
-CACHE = 2_000_000
+CACHE = 400_000
 
 #: ASCII punctuation ends a word, so that marks stuck to a word don't hide it.
 _TO_BLANK = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
@@ -184,7 +184,7 @@ def averaged(rated: DataFrame, start: OrdinalModel) -> OrdinalModel:
 
 
 def scored(docs: DataFrame, model: OrdinalModel, keep: list[str]) -> DataFrame:
-    """``keep`` with the score, the expected grade and the tail probability of each document."""
+    """``keep``, which may have no column of these names, with score, expected grade and P(good) of each document."""
     places = np.nonzero(model.weights)[0].astype(np.int32)
     values, cuts = model.weights[places], model.cuts
 
@@ -192,17 +192,16 @@ def scored(docs: DataFrame, model: OrdinalModel, keep: list[str]) -> DataFrame:
         own = OrdinalModel(cuts=cuts)
         own.weights[places] = values
         for rows in batches:
-            s = np.array([own.weights[features(t)].sum() for t in rows["text"]], float)
+            s = np.array([own.weights[features(t)].sum() for t in rows["_text"]], float)
             more = pd.DataFrame({"score": s, "expected_grade": own.expected(s), "p_good": own.tail(s)}, index=rows.index)
             yield pd.concat([rows[keep], more], axis=1)
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    columns = keep if "text" in keep else [*keep, "text"]
-    return docs.select(columns).mapInPandas(run, f"{schema}, score double, expected_grade double, p_good double")
+    rows = docs.select(*keep, F.col("text").alias("_text"))
+    return rows.mapInPandas(run, f"{schema}, score double, expected_grade double, p_good double")
 
 
 def graded_documents(docs: DataFrame, labels: DataFrame, keep: list[str], tail: float = TAIL) -> DataFrame:
-    docs = docs.drop(*{"score", "expected_grade", "p_good", "kept"} - set(keep))
     model = fit(docs, graded(labels))
     if model is None:
         none = F.lit(None).cast("double")
@@ -212,7 +211,11 @@ def graded_documents(docs: DataFrame, labels: DataFrame, keep: list[str], tail:
 
 def select_good(docs: DataFrame, labels: DataFrame, tail: float = TAIL) -> DataFrame:
     """The documents that the classifier keeps, with the columns they came with."""
-    return graded_documents(docs, labels, docs.columns, tail).where("kept").select(docs.columns)
+    own = {"score": "_score", "expected_grade": "_expected_grade", "p_good": "_p_good", "kept": "_kept"}
+    back = {v: k for k, v in own.items()}
+    docs_in = docs.withColumnsRenamed(own)
+    rows = graded_documents(docs_in, labels, docs_in.columns, tail).where("kept").select(docs_in.columns)
+    return rows.withColumnsRenamed(back).select(docs.columns)
 
 
 def op2_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

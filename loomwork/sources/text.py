@@ -14,6 +14,10 @@ POOL = ("policy struct<priority_reserve:double,lease_ttl_s:double>, models array
         "deployments array<struct<id:string,`group`:string,model:string,price_mode:string,weight:double,tags:array<string>,enabled:boolean>>")
 
 
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"\A\s+|\s+\z", "")
+
+
 def texts(spark: SparkSession, path: str) -> DataFrame:
     """``(path, text)`` of whole text files, without a byte order mark."""
     rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
@@ -21,11 +25,11 @@ def texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def admitted(spark: SparkSession, path: str, most: int = MAX_BYTES) -> DataFrame:
-    """``(path, length, kind, problem)`` of files by size and leading bytes; contents are not read into the result."""
+    """``(path, length, kind, problem)`` of files by size and leading bytes; contents are not in the result. Empty files have no row."""
     rows = spark.read.format("binaryFile").load(path).select("path", "length", F.hex(F.substring("content", 1, 8)).alias("head"))
     kind = (F.when(F.col("head").startswith("25504446"), "pdf").when(F.col("head").startswith("504B0304"), "zip")
             .when(F.col("head").startswith("D0CF11E0"), "ole").otherwise("text"))
-    problem = F.when(F.col("length") > most, "too_big").when(F.col("length") == 0, "empty")
+    problem = F.when(F.col("length") > most, "too_big")
     return rows.select("path", "length", kind.alias("kind"), problem.alias("problem"))
 
 
@@ -40,7 +44,7 @@ def cues(text: Column) -> Column:
 
     def one(b: Column) -> Column:
         times = F.regexp_extract(b, r"([0-9:.,]+\s*-->\s*[0-9:.,]+)", 1)
-        said = F.trim(F.regexp_replace(F.regexp_extract(b, r"(?s)-->[^\n]*\n(.*)", 1), r"<[^>]*>|\s+", " "))
+        said = F.trim(F.regexp_replace(F.regexp_extract(b, r"(?s)-->[^\n]*\n(.*)", 1), r"(?:<[^>]*>|\s)+", " "))
         return F.struct(seconds(F.substring_index(times, "-->", 1)).alias("start"), seconds(F.substring_index(times, "-->", -1)).alias("end"), said.alias("text"))
 
     return F.transform(blocks, one)
@@ -63,8 +67,8 @@ def prompts(spark: SparkSession, path: str) -> DataFrame:
     rows = texts(spark, path)
     body = F.regexp_extract("text", r"(?s)\A---\n(.*?)\n---\n(.*)\z", 2)
     return rows.select("path", F.regexp_extract("text", r"(?s)\A---\n(.*?)\n---\n", 1).alias("front"),
-                       F.trim(F.regexp_replace(F.regexp_extract(body, r"(?s)\A(.*?)## USER", 1), "## SYSTEM", "")).alias("system"),
-                       F.trim(F.regexp_extract(body, r"(?s)## USER(.*)\z", 1)).alias("user"))
+                       stripped(F.regexp_replace(F.regexp_extract(body, r"(?s)\A(.*?)## USER", 1), "## SYSTEM", "")).alias("system"),
+                       stripped(F.regexp_extract(body, r"(?s)## USER(.*)\z", 1)).alias("user"))
 
 
 def pool_deployments(spark: SparkSession, path: str) -> DataFrame:

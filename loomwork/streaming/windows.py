@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 
 def rolling_rates(calls: DataFrame, length: str = "24 hours", slide: str = "1 hour", late: str = "1 hour") -> DataFrame:
@@ -26,7 +27,7 @@ def sessions(events: DataFrame, key: str, gap: str, late: str = "1 hour") -> Dat
     return rows.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def tail(spark, path: str, schema: str, checkpoint: str, name: str):
-    """Follow a folder of Parquet events from where the checkpoint left off; a restart goes on after the last one seen."""
+def tail(spark: SparkSession, path: str, schema: str, out: str, checkpoint: str) -> StreamingQuery:
+    """Append a folder's new Parquet events to another, from where the checkpoint left off; a restart repeats none."""
     rows = spark.readStream.schema(schema).parquet(path)
-    return rows.writeStream.format("memory").queryName(name).option("checkpointLocation", checkpoint).outputMode("append").start()
+    return rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()

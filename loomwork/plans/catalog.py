@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.plans import accounts, texts
+from loomwork.plans import accounts, jobs, texts
 
 FLAGSHIP = "quote_verification"
-ALL = accounts.QUERIES | texts.QUERIES
+ALL = accounts.QUERIES | texts.QUERIES | jobs.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

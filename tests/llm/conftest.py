@@ -1,5 +1,3 @@
-import random
-
 import pytest
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -18,8 +16,3 @@ def docs_of(spark):
         return spark.createDataFrame(full, DOCS + extra)
 
     return make
-
-
-def prose(seed, n):
-    draw = random.Random(seed)
-    return " ".join("".join(draw.choice("abcdefghij") for _ in range(draw.randint(2, 7))) for _ in range(n))

@@ -1,7 +1,7 @@
 import hashlib
 import re
 
-from conftest import prose
+from made_texts import prose
 from loomwork.llm import decontaminate
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

@@ -2,7 +2,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
-from conftest import prose
+from made_texts import prose
 from loomwork.llm import minmax
 
 

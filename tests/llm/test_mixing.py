@@ -1,7 +1,7 @@
 import math
 from collections import defaultdict
 
-from conftest import prose
+from made_texts import prose
 from loomwork.llm import mixing
 from pyspark.sql import functions as F
 

@@ -1,5 +1,5 @@
 import numpy as np
-from conftest import prose
+from made_texts import prose
 from loomwork.llm import ordinal
 
 
@@ -44,7 +44,7 @@ def test_thresholds_stay_ordered_and_probabilities_add_up():
 
 
 def test_without_ratings_all_stay(spark, docs_of):
-    docs = docs_of([None, "", "x", "x"], ", kept string, score int") if False else docs_of([None, "", "x", "x"])
+    docs = docs_of([None, "", "x", "x"])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert ordinal.select_good(docs, none).count() == 4
 

@@ -1,5 +1,5 @@
 import pytest
-from conftest import prose
+from made_texts import prose
 
 pipeline = pytest.importorskip("corpus_pipeline")
 

@@ -2,7 +2,7 @@ import math
 import re
 
 import pytest
-from conftest import prose
+from made_texts import prose
 from loomwork.llm import rules
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")

@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from conftest import prose
+from made_texts import prose
 from loomwork.llm import tokens
 
 public = pytest.importorskip("public_tokenizers")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 #: Runs of anything but the ASCII white space \x20 and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Rows of whole texts in an Arrow batch; Spark's own default of 10,000 holds hundreds of MB of long texts.
+BATCH_ROWS = 1_000
 #: A side of at most so many narrow rows is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -35,14 +39,42 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written once to the shared folder and read from there: a lost executor loses none of them."""
+_passing: list[list[str]] = []
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """The rows, written once to the shared folder and read from there: a lost executor loses none of them.
+
+    Inside ``passing`` the table is dropped at the end unless it is to be kept.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/loomwork/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _passing and not keep:
+        _passing[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Drop at the end what ``written`` wrote inside; what is returned may read only tables that are kept."""
+    _passing.append([])
+    try:
+        yield
+    finally:
+        for path in _passing.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The rows, for a Python function over whole texts: batches hold few rows unless the session says otherwise."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(key)) == 10_000:
+        conf.set(key, BATCH_ROWS)
+    return df
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """The table with a broadcast hint if a count finds it within the bound, else as it is for a shuffle join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

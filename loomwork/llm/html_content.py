@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import table
+from loomwork.llm.common import small_batches, table
 
 #: Pages whose marks train the weights.
 SAMPLE = 4000
@@ -222,7 +222,7 @@ def extract_pages(pages: DataFrame, weight: dict[str, float]) -> DataFrame:
             yield pd.DataFrame({"page_id": rows["page_id"], "url": rows["url"], "text": text, "n_chars": [len(t) for t in text]})
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "url", "html").mapInPandas(run, f"page_id {kind}, url string, text string, n_chars long")
+    return small_batches(pages).select("page_id", "url", "html").mapInPandas(run, f"page_id {kind}, url string, text string, n_chars long")
 
 
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

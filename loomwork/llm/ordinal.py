@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import table, written
+from loomwork.llm.common import passing, small_batches, table, written
 
 DIM, GRADES = 1 << 18, 3
 SAMPLE, SHARDS, ROUNDS, EPOCHS = 24_000, 4, 3, 3
@@ -35,7 +35,7 @@ SAMPLE, SHARDS, ROUNDS, EPOCHS = 24_000, 4, 3, 3
 RATE, SMOOTH, L1, L2 = 0.3, 1.0, 6.0, 0.5
 #: A document is kept if P(grade >= GOOD) reaches TAIL.
 GOOD, TAIL = 2, 0.45
-CACHE = 400_000
+CACHE = 200_000
 
 #: ASCII punctuation ends a word, so that marks stuck to a word don't hide it.
 _TO_BLANK = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
@@ -145,7 +145,7 @@ def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> OrdinalMod
             x = [features(t).tolist() for t in rows["text"]]
             yield pd.DataFrame({"doc_id": rows["doc_id"], "grade": rows["grade"], "x": x})
 
-    rated = docs.select("doc_id", "text").join(some, "doc_id").select("doc_id", "grade", "text")
+    rated = small_batches(docs).select("doc_id", "text").join(some, "doc_id").select("doc_id", "grade", "text")
     rated = rated.mapInPandas(cut, "doc_id long, grade int, x array<int>").dropDuplicates(["doc_id"])
     rated = written(rated.withColumn("shard", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(SHARDS)).cast("int")), "ordinal-features")
     if rated.isEmpty():
@@ -197,12 +197,13 @@ def scored(docs: DataFrame, model: OrdinalModel, keep: list[str]) -> DataFrame:
             yield pd.concat([rows[keep], more], axis=1)
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    rows = docs.select(*keep, F.col("text").alias("_text"))
+    rows = small_batches(docs).select(*keep, F.col("text").alias("_text"))
     return rows.mapInPandas(run, f"{schema}, score double, expected_grade double, p_good double")
 
 
 def graded_documents(docs: DataFrame, labels: DataFrame, keep: list[str], tail: float = TAIL) -> DataFrame:
-    model = fit(docs, graded(labels))
+    with passing(docs.sparkSession):
+        model = fit(docs, graded(labels))
     if model is None:
         none = F.lit(None).cast("double")
         return docs.select(*keep, none.alias("score"), none.alias("expected_grade"), none.alias("p_good"), F.lit(True).alias("kept"))

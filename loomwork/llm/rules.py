@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import small, table, written
+from loomwork.llm.common import small, small_batches, table, written
 
 ALPHA, DELTA = 0.01, 0.05
 MIN_WORDS = 50
@@ -79,7 +79,7 @@ def with_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
             yield pd.concat([rows[keep], found], axis=1)
 
     schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, "text").mapInPandas(measure, f"{schema}, {STATISTICS}")
+    return small_batches(docs).select(*keep, "text").mapInPandas(measure, f"{schema}, {STATISTICS}")
 
 
 def base_failed() -> Column:

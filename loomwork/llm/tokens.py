@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import table
+from loomwork.llm.common import small_batches, table
 
 TOKENIZER, LIMIT = "byte_bpe_50k.json", 512
 CHUNK, OVERLAP, MARGIN = 1 << 16, 256, 4
@@ -106,7 +106,7 @@ def count_tokens(docs: DataFrame, name: str = TOKENIZER, limit: int = LIMIT) ->
 
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    counted = docs.select("doc_id", "text", n_bytes).mapInPandas(count, f"doc_id {kind}, n_bytes long, n_tokens long")
+    counted = small_batches(docs).select("doc_id", "text", n_bytes).mapInPandas(count, f"doc_id {kind}, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 
 

@@ -2,11 +2,11 @@
 
 Protected entities are the e-mail addresses, IP addresses, card and phone numbers that fixed patterns find. How much a
 term t tells of an entity e is estimated from the corpus: the pointwise mutual information
-log(N df(e,t) / (df(e) df(t))) over the information of the entity log(N / df(e)). The ratio is 1 if every text with t
-has e near it. Here N counts distinct texts, df those with the entity, with the term anywhere, and with the term within
-``REACH`` words of the entity, so copies of a text add nothing. In a text with e, terms that reach ``REMOVE`` are
-removed and those from ``GENERALISE`` on are generalised to their kind, as long as at least ``SUPPORT`` texts bear the
-estimate out: one text alone cannot tell company from chance.
+log(N df(e,t) / (df(e) df(t))) over the information of the entity log(N / df(e)). The ratio is 1 if every document with
+t has e near it. Here N counts documents, df those with the entity, with the term anywhere, and with the term within
+``REACH`` words of the entity. In a text with e, terms that reach ``REMOVE`` are removed and those from ``GENERALISE`` on
+are generalised to their kind, as long as at least ``SUPPORT`` different texts bear the estimate out: one text alone,
+or its copies, cannot tell company from chance.
 
 All of it is built-in DataFrame functions. Matches are placed by the lengths of the pieces between them. Patterns are
 written so that Java's matcher neither recurses nor scans a run of characters again from each of its places. Pairs of
@@ -92,22 +92,25 @@ def mentions(rows: DataFrame) -> DataFrame:
 
 
 def disclosing(docs: DataFrame, rows: DataFrame, support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
-    """``(entity, term, disclosure)`` of the pairs that reach the least disclosure with enough support."""
-    seen = written(mentions(rows), "pii-mentions")
-    entities = seen.groupBy("entity").agg(F.count_distinct("text_key").alias("df_e")).where(F.col("df_e") >= support)
-    pairs = seen.join(entities, "entity").select("entity", "df_e", "text_key", F.explode("near").alias("term"))
-    pairs = pairs.groupBy("entity", "term").agg(F.count_distinct("text_key").alias("df_et"), F.first("df_e").alias("df_e")).where(F.col("df_et") >= support)
-    pairs = written(pairs, "pii-pairs")
-    terms = small(pairs.select("term").distinct())
-    texts = docs.where("text IS NOT NULL").select("text", F.xxhash64("text").alias("text_key"))
+    """``(entity, term, disclosure)`` of the pairs that reach the least disclosure with enough support.
+
+    How many documents have a term is summed over all terms before anything is joined: what is shuffled is the
+    vocabulary, and the join meets one row per term.
+    """
+    times = rows.where("text IS NOT NULL").groupBy("text_key").agg(F.count("*").alias("times"))
+    seen = mentions(rows).groupBy("entity", "text_key").agg(F.array_distinct(F.flatten(F.collect_set("near"))).alias("near"))
+    seen = written(seen.join(times, "text_key"), "pii-mentions")
+    entities = seen.groupBy("entity").agg(F.count("*").alias("n"), F.sum("times").alias("df_e")).where(F.col("n") >= support).drop("n")
+    pairs = seen.select("entity", "times", F.explode("near").alias("term")).groupBy("entity", "term")
+    pairs = pairs.agg(F.count("*").alias("n"), F.sum("times").alias("df_et")).where(F.col("n") >= support).drop("n")
+    pairs = written(pairs.join(entities, "entity"), "pii-pairs")
     words = F.expr(f"array_distinct(transform(regexp_extract_all(text, r'{TERM}', 0), t -> lower(t)))")
-    df_t = texts.select("text_key", F.explode(words).alias("term")).join(terms, "term", "left_semi")
-    df_t = df_t.groupBy("term").agg(F.count_distinct("text_key").alias("df_t"))
-    total = rows.select("text_key").distinct().count()
-    info = F.log(F.lit(float(max(total, 2))) / F.col("df_e"))
-    pmi = F.log(F.lit(float(max(total, 2))) * F.col("df_et") / (F.col("df_e") * F.col("df_t")))
+    df_t = docs.where("text IS NOT NULL").select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("df_t"))
+    total = float(max(rows.count(), 2))
+    info = F.log(F.lit(total) / F.col("df_e"))
+    pmi = F.log(F.lit(total) * F.col("df_et") / (F.col("df_e") * F.col("df_t")))
     disclosure = F.when(info > 0, pmi / info).otherwise(F.lit(0.0))
-    return pairs.join(df_t, "term").select("entity", "term", disclosure.alias("disclosure")).where(F.col("disclosure") >= least)
+    return df_t.join(small(pairs), "term").select("entity", "term", disclosure.alias("disclosure")).where(F.col("disclosure") >= least)
 
 
 def spans_of(docs: DataFrame, support: int = SUPPORT) -> DataFrame:

@@ -8,11 +8,15 @@ the collisions of a band independent: at the threshold of 0.75 a link is missed
 Steps, none of which emits all pairs of a group:
 
 1. Documents with equal sets fall together under the least id, by one combined sum per set.
-2. In each bucket every set is paired with the bucket's least id only. Pairs whose signatures agree enough are held
-   against the full sets, and the links found form the first components.
-3. Buckets that still hold several components have links to lose. Only there sets of different components are paired.
-   Buckets of more than ``CROWD`` members are first divided by a second such bucket that two members must share too
-   (a pair that meets in one crowded band only is lost: 8e-5 at the threshold, below 1e-6 from 0.8 on).
+2. Sets most of whose minima no other set has are put aside: they can have no near copy. In each bucket of the rest
+   every set is paired with the bucket's least id only. Pairs whose signatures agree enough are held against the full
+   sets, and the links found form the first components.
+3. Buckets that still hold several components have links to lose. What two sets there can share is bounded exactly:
+   shingles that no other set has cannot be in an overlap, and rare ones only if the two have one in common, which a
+   join on rare shingles finds. So texts around a copied text at less than the threshold are dropped before they are
+   paired. The other sets of different components are paired in their buckets. Buckets of more than ``CROWD`` members
+   are first divided by a second such bucket that two members must share too (a pair that meets in one crowded band
+   only is lost: 8e-5 at the threshold, below 1e-6 from 0.8 on).
 4. Components are joined by alternating large and small stars, each round written to the shared folder.
 
 Cases: documents without words (null, empty, blank) have an empty set, are linked with nothing and are their own
@@ -31,15 +35,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import small, table, written
+from loomwork.llm.common import passing, small, small_batches, table, written
 
 WIDTH, PERCENT = 5, 75
 PERMS, ROWS = 64, 4
 BANDS = 2 * PERMS // ROWS
 #: A pair goes to full verification if so many of its 2 * PERMS values agree: 5.8 standard deviations below 0.75.
-AGREE, CROWD = int(0.53 * 2 * PERMS), 128
+AGREE, CROWD = int(0.53 * 2 * PERMS), 2048
+#: A shingle is rare if at most so many sets that may be linked have it.
+RARE = 8
+#: A set has company if at least so many of its PERMS minima are others' too: 5.8 standard deviations below 0.75.
+SHARED = int(0.44 * PERMS)
 #: Word hashes kept by a worker.
-CACHE = 2_000_000
+CACHE = 200_000
 
 _draw = np.random.default_rng(20_261)
 _MULT = _draw.integers(1, 2**64, PERMS, np.uint64, endpoint=False) | np.uint64(1)
@@ -110,13 +118,13 @@ def _profiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             else:
                 out.append((0, None, None, None, None))
         more = pd.DataFrame(out, columns=["n_shingles", "k1", "k2", "sign", "bands"], index=rows.index)
-        yield pd.concat([rows[["doc_id"]], more.astype({"k1": "Int64", "k2": "Int64"})], axis=1)
+        yield pd.concat([rows[["doc_id", "text_key"]], more.astype({"k1": "Int64", "k2": "Int64"})], axis=1)
 
 
 def profiles(docs: DataFrame) -> DataFrame:
     """Size of the set, its identity in two sums of hashes, signature and band keys of each document."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(
-        _profiles, "doc_id long, n_shingles long, k1 long, k2 long, sign binary, bands array<long>")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key")).mapInPandas(
+        _profiles, "doc_id long, text_key long, n_shingles long, k1 long, k2 long, sign binary, bands array<long>")
 
 
 def _agreeing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -174,43 +182,106 @@ def components(links: DataFrame, name: str = "dedup-stars") -> DataFrame:
     return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
 
 
-def crossing(buckets: DataFrame, of: DataFrame) -> DataFrame:
-    """Pairs of different components inside a bucket; ``buckets`` has ``(key.., id)``, ``of`` has ``(id, component)``."""
-    rows = buckets.join(of, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+def torn(rows: DataFrame, *more: str) -> DataFrame:
+    """Rows ``(band, key, id, c)`` of buckets that hold several components, with the bucket's size ``n_in``."""
     key = ["band", "key"]
-    torn = rows.groupBy(*key).agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
-    rows = written(rows.join(torn.select(*key, "n"), key), "dedup-torn")
-    few, many = rows.where(F.col("n") <= CROWD), rows.where(F.col("n") > CROWD)
-    per_id = many.groupBy("id", "c").agg(F.array_sort(F.collect_list(F.struct("band", "key"))).alias("at"))
-    pairs = "flatten(transform(at, (x, i) -> transform(slice(at, i + 2, size(at)), y -> struct(x.band * 1000 + y.band AS band, xxhash64(x.key, y.key) AS key))))"
-    many = per_id.select("id", "c", F.inline(F.expr(pairs)))
+    found = rows.groupBy(*key).agg(F.count("*").alias("n_in"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
+    return rows.join(found.select(*key, "n_in"), key).select(*key, "id", "c", *more, "n_in")
+
+
+def unshared(rows: DataFrame, *item: str) -> DataFrame:
+    """``(id, alone)``: how many of an id's items, distinct per id, no other id has."""
+    single = rows.groupBy(*item).agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
+    return single.groupBy("id").agg(F.count("*").alias("alone"))
+
+
+def _hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in batches:
+        yield pd.DataFrame({"id": rows["doc_id"], "h": [shingles(t).view(np.int64) for t in rows["text"]]})
+
+
+def companioned(sets: DataFrame) -> DataFrame:
+    """The sets that share enough of their ``PERMS`` minima with others, all others taken together, to have a near copy.
 
-    def met(x: DataFrame) -> DataFrame:
-        y = x.select(*key, F.col("id").alias("b"), F.col("c").alias("cb"))
-        return x.join(y, key).where("id > b AND c <> cb").select(F.col("id").alias("a"), "b")
+    A minimum that no other set has cannot agree with any; texts that only have a passage in common keep too many such.
+    """
+    place = F.posexplode(F.expr(f"transform(sequence(0, {PERMS - 1}), i -> substring(sign, 8 * i + 1, 4))")).alias("place", "value")
+    alone = unshared(sets.select(F.col("doc_id").alias("id"), place), "place", "value")
+    alone = alone.where(F.col("alone") > PERMS - SHARED).select(F.col("id").alias("doc_id"))
+    return sets.join(alone, "doc_id", "left_anti")
 
-    return met(few.select(*key, "id", "c")).union(met(many.select(*key, "id", "c"))).distinct()
+
+def overlaps(rows: DataFrame, signs: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Bounds ``(id, c, n, bands, most, common)`` on what ids in torn buckets can share, and rare shingles ``(h, id)``.
+
+    ``most`` counts an id's shingles that some other of these ids has; no overlap can be greater. ``common`` counts those
+    that more than ``RARE`` ids have; no overlap of two ids without a rare shingle in common can be greater.
+    """
+    own = signs.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands").join(rows.select("id", "c").distinct(), "id")
+    own = written(own, "dedup-torn-ids")
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(small(own.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi")
+    hashes = written(texts.mapInPandas(_hashes, "id long, h array<long>").select("id", F.explode("h").alias("h")).distinct(), "dedup-shingles")
+    alone = unshared(hashes, "h")
+    few = hashes.groupBy("h").agg(F.count("*").alias("df")).where(F.col("df").between(2, RARE)).select("h")
+    rare = written(hashes.join(few, "h"), "dedup-rare")
+    bounds = own.join(alone, "id", "left").join(rare.groupBy("id").agg(F.count("*").alias("rare")), "id", "left")
+    most = F.col("n") - F.coalesce("alone", F.lit(0))
+    bounds = bounds.select("id", "c", "n", "bands", most.alias("most"), (most - F.coalesce("rare", F.lit(0))).alias("common"))
+    return written(bounds, "dedup-bounds"), rare
+
+
+def crossing(buckets: DataFrame, of: DataFrame, signs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs of different components that share a bucket and may be links; ``of`` has ``(id, component)``.
+
+    Pairs with a rare shingle in common are found by it, at most ``RARE`` ids a shingle. Pairs without one meet in their
+    bucket, where only those whose common shingles could suffice are made.
+    """
+    key = ["band", "key"]
+    rows = buckets.join(of, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    rows = written(torn(rows).drop("n_in"), "dedup-torn")
+    bounds, rare = overlaps(rows, signs, docs)
+
+    def met(x: DataFrame, by: list[str], bound: str, once: bool = False) -> DataFrame:
+        x = x.select(*by, "id", "c", "n", F.col(bound).alias("most"), *(["bands"] if once else []))
+        y = x.select(*by, F.col("id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("most").alias("mb"), *([F.col("bands").alias("bb")] if once else []))
+        # The overlap is at most the lesser of the two bounds, and the union the two sizes less the overlap.
+        may = f"{100 + PERCENT} * least(most, mb) >= {PERCENT} * (n + nb)"
+        first = f"band = array_min(filter(sequence(0, {BANDS - 1}), i -> bands[i] = bb[i]))" if once else "true"
+        return x.join(y, by).where(f"id > b AND c <> cb AND {may} AND {first}").select(F.col("id").alias("a"), "b")
+
+    by_shingle = met(rare.join(bounds.where(f"100 * most >= {PERCENT} * n"), "id"), ["h"], "most")
+    rows = rows.drop("c").join(small(bounds.where(f"100 * common >= {PERCENT} * n")), "id")
+    rows = written(torn(rows, "n", "common", "bands"), "dedup-torn")
+    few, many = rows.where(F.col("n_in") <= CROWD), rows.where(F.col("n_in") > CROWD)
+    crowded = not many.isEmpty()
+    per_id = many.groupBy("id", "c", "n", "common").agg(F.array_sort(F.collect_list(F.struct("band", "key"))).alias("at"))
+    pairs = "flatten(transform(at, (x, i) -> transform(slice(at, i + 2, size(at)), y -> struct(x.band * 1000 + y.band AS band, xxhash64(x.key, y.key) AS key))))"
+    many = torn(per_id.select("id", "c", "n", "common", F.inline(F.expr(pairs))), "n", "common")
+    # Without crowds a pair's first common bucket is among the few, and it is enough to make the pair there.
+    few = met(few, key, "common", once=not crowded)
+    return by_shingle.union(few).union(met(many, key, "common")).distinct()
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` per row of the documents."""
+    """``(doc_id, text_key, n_shingles, component_id)`` per row of the documents."""
     rows = written(profiles(docs), "dedup-profiles")
     sets = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sign").alias("sign"), F.first("bands").alias("bands"))
     sets = written(sets, "dedup-sets")
-    signs = sets.select("doc_id", "n_shingles", "sign")
-    buckets = sets.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "key"))
+    near = written(companioned(sets), "dedup-near-sets")
+    signs = near.select("doc_id", "n_shingles", "sign", "bands")
+    buckets = near.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "key"))
     leaders = buckets.groupBy("band", "key").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
     stars = buckets.join(leaders, ["band", "key"]).where("id <> b").select(F.col("id").alias("a"), "b").distinct()
     links = verified(stars, signs, docs)
     of = components(links)
-    more = verified(crossing(buckets, of), signs, docs)
+    more = verified(crossing(buckets, of, signs, docs), signs, docs)
     if not more.isEmpty():
         of = components(links.union(more))
     of = written(sets.select("k1", "k2", F.col("doc_id").alias("id")).join(of, "id", "left"), "dedup-classes")
     of = of.select(F.col("k1").alias("_1"), F.col("k2").alias("_2"), F.coalesce("component", "id").alias("_c"))
-    out = rows.select("doc_id", "n_shingles", "k1", "k2").join(of, (rows["k1"] == of["_1"]) & (rows["k2"] == of["_2"]), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("_c", "doc_id").alias("component_id"))
+    out = rows.select("doc_id", "text_key", "n_shingles", "k1", "k2").join(of, (rows["k1"] == of["_1"]) & (rows["k2"] == of["_2"]), "left")
+    return out.select("doc_id", "text_key", "n_shingles", F.coalesce("_c", "doc_id").alias("component_id"))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -219,9 +290,12 @@ def report(docs: DataFrame) -> DataFrame:
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
     """The documents that stand for their class, with the columns they came with."""
-    gone = small(report(docs).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    with passing(docs.sparkSession):
+        gone = report(docs).where("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_key")).distinct()
+        gone = written(gone, "dedup-gone", keep=True)
+    gone = small(gone)
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]) & (F.xxhash64(docs["text"]) == gone["_key"]), "left_anti")
 
 
 def op4_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report(table(spark, sf_dir, "documents"))
+    return report(table(spark, sf_dir, "documents")).drop("text_key")

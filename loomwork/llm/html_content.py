@@ -6,8 +6,8 @@ score by the chain they stand in (a word of a paragraph positive, a word of a me
 content, less those inside elements that are never content (menus, forms, scripts, adverts, comments and so on).
 
 Labels come from pages that mark their content with ``<article>``, ``<main>`` or ``role=main``: tokens inside are
-content, the rest not. The weights are fitted on a bounded sample of ``SAMPLE`` such pages, taken by a hash of the
-page; pages without the marks are extracted by the same weights. Where a page does mark its content, the mark is
+content, the rest not. The weights are fitted on a sample of about ``SAMPLE`` such pages, those whose hash lies below
+the share that is wanted, so no task gathers pages; pages without the marks are extracted by the same weights. Where a page does mark its content, the mark is
 strong evidence: words inside score at least ``MARKED_WORD`` and words outside ``UNMARKED``.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined in page order by one
@@ -140,7 +140,7 @@ def counts_of(page: str) -> tuple[Counter, Counter] | None:
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
-    """Weights by key from at most ``sample`` marked pages; the keys are tag names, so the table is small."""
+    """Weights by key from about ``sample`` marked pages, all if there are fewer; the keys are tag names, so the table is small."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, list[int]] = {}
@@ -152,7 +152,8 @@ def fit(pages: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
         yield pd.DataFrame([(k, *v) for k, v in total.items()], columns=["key", "inside", "outside"])
 
     marked = pages.where("html rlike '(?i)<(article|main)[\\\\s>]|role=.?main'").select("html")
-    some = marked.orderBy(F.xxhash64("html")).limit(sample)
+    share = min(1.0, sample / max(1, marked.count()))
+    some = marked.where(F.pmod(F.xxhash64("html"), F.lit(1 << 30)) < F.lit(round(share * (1 << 30))))
     rows = some.mapInPandas(count, "key string, inside long, outside long")
     rows = rows.groupBy("key").agg(F.sum("inside"), F.sum("outside")).where("length(key) < 24").orderBy(F.desc("sum(inside)"), "key").limit(1000).collect()
     return weights({k: (i, o) for k, i, o in rows})

@@ -167,3 +167,24 @@ def test_release_gate(spark):
     cols = "suite string, coverage double, faithfulness double, cost double, p95 double"
     old, new = spark.createDataFrame([("s", 0.98, 0.99, 1.0, 10.0)], cols), spark.createDataFrame([("s", 0.94, 0.98, 1.3, 12.0)], cols)
     assert {r.problem for r in reports.release_gate(old, new).collect()} == {"coverage", "cost"}
+
+
+def test_citation_numbers_leave_no_task_with_all_units(spark):
+    units = [None if u == 77 else u for u in range(5000)]
+    rows = [(None if i == 5 else (i * 7919) % 1000, u) for i, u in enumerate(units)] + [(2000, u) for u in units]
+    cites = spark.createDataFrame(rows, "pos long, unit long")
+    first = {}
+    for pos, u in rows:
+        if pos is not None:
+            first[u] = min(pos, first.get(u, pos))
+    order = sorted(first, key=lambda u: (first[u], u is not None, u or 0))
+    conf = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(conf, "false")
+    try:
+        got = reports.citation_numbers(cites).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset(conf)
+    assert {r.unit: r.number for r in got} == {u: i + 1 for i, u in enumerate(order)} and len(got) == 5000
+    by_task = [sum(r.task == t for r in got) for t in {r.task for r in got}]
+    assert max(by_task) < 0.6 * len(got)
+    assert reports.citation_numbers(cites.limit(0)).count() == 0

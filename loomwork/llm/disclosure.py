@@ -3,15 +3,16 @@
 Protected entities are the e-mail addresses, IP addresses, card and phone numbers that fixed patterns find. How much a
 term t tells of an entity e is estimated from the corpus: the pointwise mutual information
 log(N df(e,t) / (df(e) df(t))) over the information of the entity log(N / df(e)). The ratio is 1 if every document with
-t has e near it. Here N counts documents, df those with the entity, with the term anywhere, and with the term within
-``REACH`` words of the entity. In a text with e, terms that reach ``REMOVE`` are removed and those from ``GENERALISE`` on
-are generalised to their kind, as long as at least ``SUPPORT`` different texts bear the estimate out: one text alone,
-or its copies, cannot tell company from chance.
+t has e too. Here N counts documents, df those with the entity, with the term, and with both, wherever they stand; in a
+text with e, only terms outside all protected spans are its company. There, terms that reach ``REMOVE`` are removed and
+those from ``GENERALISE`` on are generalised to their kind, as long as at least ``SUPPORT`` different texts bear the
+estimate out: one text alone, or its copies, cannot tell company from chance. Terms are runs of letters and digits of
+three or more, and runs of two CJK characters; CJK text without spaces is not cut into words.
 
 All of it is built-in DataFrame functions. Matches are placed by the lengths of the pieces between them. Patterns are
 written so that Java's matcher neither recurses nor scans a run of characters again from each of its places. Pairs of
-entity and term are formed from the words near a mention, so their number grows with the mentions, not with pairs in
-the corpus; all counts are combined before they are shuffled. Texts without entities leave the flow after one pass.
+entity and term are formed in the texts that hold an entity with enough support, each distinct term once; all counts are
+combined before they are shuffled. Texts without entities leave the flow after one pass.
 
 Cases: null and empty texts have no spans; repeated rows get equal spans; texts that share an id but differ are told
 apart by a hash of the text; an empty table gives an empty result; further columns are ignored by the report and kept
@@ -35,8 +36,12 @@ PATTERNS = {
 }
 #: What a text must hold to be worth a kind's pattern.
 HINTS = {"email": "text LIKE '%@%.%'", "ip": r"text RLIKE '[0-9]\\.[0-9]'", "card": "text RLIKE '[0-9][ -]?[0-9]'", "phone": "text RLIKE '\\\\+[0-9]'"}
-TERM = r"\p{L}{3,}+"
-REACH, SUPPORT = 8, 3
+_CJK = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"
+#: Marks go with their letter, so a decomposed or Indic word is one term.
+TERM = rf"[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}\p{{M}}]{{2,}}+|{_CJK}{{2}}(?![\p{{L}}\p{{N}}\p{{M}}])"
+#: Whole terms of a text whose spans are cut to a NUL each; what touches a span is part of a term that overlaps it.
+OUTSIDE = rf"(?<![\x00\p{{L}}\p{{N}}\p{{M}}])(?:{TERM})(?!\x00)"
+SUPPORT = 3
 REMOVE, GENERALISE = 0.9, 0.7
 _SPANS = "array<struct<start:int,end:int,value:string>>"
 
@@ -79,31 +84,49 @@ def found(docs: DataFrame) -> DataFrame:
 
 
 def mentions(rows: DataFrame) -> DataFrame:
-    """``(text_key, entity, near)`` per mention in the distinct texts; ``near`` are the terms within reach, lower-cased."""
-    each = "concat(" + ", ".join(f"transform({k}, x -> named_struct('kind', '{k}', 'start', x.start, 'end', x.end, 'value', x.value))" for k in KINDS) + ")"
-    rows = rows.where("text IS NOT NULL").dropDuplicates(["text_key"])
-    rows = rows.select("text_key", "text", F.explode(F.expr(each)).alias("m"))
+    """``(text_key, entity)``: the entities of each distinct text."""
+    each = "concat(" + ", ".join(f"transform({k}, x -> named_struct('kind', '{k}', 'value', x.value))" for k in KINDS) + ")"
+    rows = rows.where("text IS NOT NULL").select("text_key", F.explode(F.expr(each)).alias("m"))
     value = "CASE WHEN m.kind = 'email' THEN lower(m.value) WHEN m.kind = 'ip' THEN m.value ELSE regexp_replace(m.value, '[^0-9]', '') END"
-    cut = lambda part: f"transform(regexp_extract_all({part}, r'{TERM}', 0), t -> lower(t))"
-    # Words of 20 characters at most on average: the reach in words lies within so many characters.
-    before, after = f"substring(text, greatest(1, m.start + 1 - {REACH * 24}), least(m.start, {REACH * 24}))", f"substring(text, m.end + 1, {REACH * 24})"
-    near = f"array_distinct(concat(slice(reverse({cut(before)}), 1, {REACH}), slice({cut(after)}, 1, {REACH})))"
-    return rows.select("text_key", F.expr(f"concat(m.kind, ':', {value})").alias("entity"), F.expr(near).alias("near"))
+    return rows.select("text_key", F.expr(f"concat(m.kind, ':', {value})").alias("entity")).distinct()
 
 
-def disclosing(docs: DataFrame, rows: DataFrame, support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
+def outside() -> Column:
+    """The distinct terms of the text, lower-cased, that overlap no span."""
+    spans = "array_sort(concat(" + ", ".join(f"transform({k}, x -> named_struct('s', x.start, 'e', x.end))" for k in KINDS) + "))"
+    text = "translate(text, chr(0), ' ')"
+    pieces = (f"aggregate({spans}, named_struct('at', 0, 'out', cast(array() AS array<string>)), (a, x) -> CASE WHEN x.e <= a.at THEN a ELSE "
+              f"named_struct('at', x.e, 'out', CASE WHEN x.s < a.at THEN a.out ELSE array_append(a.out, substring({text}, a.at + 1, x.s - a.at)) END) END, "
+              f"a -> concat(array_join(a.out, chr(0)), CASE WHEN a.at > 0 THEN chr(0) ELSE '' END, substring({text}, a.at + 1)))")
+    return F.expr(f"array_distinct(transform(regexp_extract_all({pieces}, r'{OUTSIDE}', 0), t -> lower(t)))")
+
+
+def company(rows: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """``(text_key, times, entities, terms)`` of the distinct texts with entities of enough support; entities with their ``df_e``."""
+    times = rows.where("text IS NOT NULL").groupBy("text_key").agg(F.count("*").alias("times"))
+    seen = written(mentions(rows).join(times, "text_key"), "pii-mentions")
+    entities = seen.groupBy("entity").agg(F.count("*").alias("n"), F.sum("times").alias("df_e")).where(F.col("n") >= support).drop("n")
+    held = seen.join(small(written(entities, "pii-entities")), "entity").groupBy("text_key")
+    held = held.agg(F.first("times").alias("times"), F.collect_list(F.struct("entity", "df_e")).alias("entities"))
+    texts = rows.where("text IS NOT NULL").join(small(written(held, "pii-held")), "text_key").dropDuplicates(["text_key"])
+    return written(texts.select("text_key", "times", "entities", outside().alias("terms")), "pii-company")
+
+
+def paired(together: DataFrame) -> DataFrame:
+    """``(text_key, times, entity, df_e, term)``: each entity of a text with each of the text's terms."""
+    each = together.select("text_key", "times", F.explode("entities").alias("e"), "terms")
+    return each.select("text_key", "times", "e.entity", "e.df_e", F.explode("terms").alias("term"))
+
+
+def disclosing(docs: DataFrame, rows: DataFrame, support: int = SUPPORT, least: float = GENERALISE, together: DataFrame | None = None) -> DataFrame:
     """``(entity, term, disclosure)`` of the pairs that reach the least disclosure with enough support.
 
     How many documents have a term is summed over all terms before anything is joined: what is shuffled is the
     vocabulary, and the join meets one row per term.
     """
-    times = rows.where("text IS NOT NULL").groupBy("text_key").agg(F.count("*").alias("times"))
-    seen = mentions(rows).groupBy("entity", "text_key").agg(F.array_distinct(F.flatten(F.collect_set("near"))).alias("near"))
-    seen = written(seen.join(times, "text_key"), "pii-mentions")
-    entities = seen.groupBy("entity").agg(F.count("*").alias("n"), F.sum("times").alias("df_e")).where(F.col("n") >= support).drop("n")
-    pairs = seen.select("entity", "times", F.explode("near").alias("term")).groupBy("entity", "term")
-    pairs = pairs.agg(F.count("*").alias("n"), F.sum("times").alias("df_et")).where(F.col("n") >= support).drop("n")
-    pairs = written(pairs.join(entities, "entity"), "pii-pairs")
+    pairs = paired(company(rows, support) if together is None else together).groupBy("entity", "term")
+    pairs = pairs.agg(F.count("*").alias("n"), F.sum("times").alias("df_et"), F.first("df_e").alias("df_e")).where(F.col("n") >= support).drop("n")
+    pairs = written(pairs, "pii-pairs")
     words = F.expr(f"array_distinct(transform(regexp_extract_all(text, r'{TERM}', 0), t -> lower(t)))")
     df_t = docs.where("text IS NOT NULL").select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("df_t"))
     total = float(max(rows.count(), 2))
@@ -116,10 +139,10 @@ def disclosing(docs: DataFrame, rows: DataFrame, support: int = SUPPORT, least:
 def spans_of(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
     """``doc_id, text_key``, spans by kind, and ``term``: the spans of disclosing terms with their disclosure."""
     rows = found(docs)
-    telling = written(disclosing(docs, rows, support), "pii-telling")
+    together = company(rows, support)
+    telling = written(disclosing(docs, rows, support, together=together), "pii-telling")
     texts = rows.where("text IS NOT NULL").dropDuplicates(["text_key"])
-    owned = mentions(rows).select("text_key", "entity").distinct()
-    flagged = owned.join(small(telling), "entity").groupBy("text_key", "term").agg(F.max("disclosure").alias("d"))
+    flagged = paired(together).join(small(telling), ["entity", "term"]).groupBy("text_key", "term").agg(F.max("disclosure").alias("d"))
     flagged = flagged.groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("term", "d"))).alias("terms"))
     texts = texts.join(flagged, "text_key").select("text_key", "text", "terms", *KINDS)
     base = "concat(" + ", ".join(f"transform({k}, b -> named_struct('s', b.start, 'e', b.end))" for k in KINDS) + ")"

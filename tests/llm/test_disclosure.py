@@ -72,3 +72,21 @@ def test_odd_rows(spark, docs_of):
     kept = disclosure.sanitised(docs)
     assert kept.columns == docs.columns and kept.count() == 5
     assert disclosure.report(docs_of([])).count() == 0
+
+
+def test_terms_far_from_the_entity_and_of_digits_or_two_cjk_characters(spark, docs_of):
+    far = [f"zorkmid x7 k9q2 张伟 {prose(i, 60)} mail ann@x.org{'' if i else ' q-ann@x.org'}" for i in range(5)]
+    near = [f"{prose(50 + i, 60)} mail p{i}@x.org {prose(150 + i, 60)}" for i in range(60)]
+    docs = docs_of([*far, *near])
+    found = {r.term: r.disclosure for r in disclosure.disclosing(docs, disclosure.found(docs)).collect() if r.entity == "email:ann@x.org"}
+    assert {"zorkmid", "k9q2", "张伟"} <= set(found) and all(abs(found[t] - 1) < 1e-9 for t in ("zorkmid", "k9q2", "张伟"))
+    assert not {"ann", "org", "mail", "x7"} & set(found)
+    clean = {r.doc_id: r.text for r in disclosure.sanitised(docs).collect()}
+    assert all(not re.search("zorkmid|k9q2|张伟", clean[i]) and "mail [EMAIL]" in clean[i] for i in range(5))
+
+
+def test_company_is_whole_terms_outside_the_spans(spark, docs_of):
+    texts = [f"{'abc'[i]}lpha 4111111111111111beta gamma\x00delta a@b.c 漢字漢字4111111111111111 Re\u0301sume\u0301 漢字" for i in range(3)]
+    docs = docs_of(texts)
+    got = sorted(tuple(sorted(r.terms)) for r in disclosure.company(disclosure.found(docs)).collect())
+    assert got == [tuple(sorted([f"{'abc'[i]}lpha", "gamma", "delta", "re\u0301sume\u0301", "漢字"])) for i in range(3)]

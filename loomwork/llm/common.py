@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,10 +14,10 @@ from pyspark.sql import functions as F
 #: Runs of anything but the ASCII white space \x20 and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows of whole texts in an Arrow batch; Spark's own default of 10,000 holds hundreds of MB of long texts.
-BATCH_ROWS = 1_000
 #: A side of at most so many narrow rows is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 100_000
+#: A side with strings or lists is broadcast up to so many bytes of them.
+BROADCAST_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,60 +27,67 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only a local session, where all run on one machine, may do without it and gets a temporary folder.
+    Only a local session, where all run on one machine, may do without it: it gets a checkpoint folder of its own.
     """
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    at = f"file://{tempfile.mkdtemp(prefix='loomwork-')}"
-    spark.conf.set("spark.checkpoint.dir", at)
-    return at
+    context = spark.sparkContext._jsc.sc()
+    if not context.getCheckpointDir().isDefined():
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='loomwork-')}")
+    return context.getCheckpointDir().get()
 
 
-_passing: list[list[str]] = []
+#: The tables of each open ``passing`` block, the innermost last; every thread has its own.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """The rows, written once to the shared folder and read from there: a lost executor loses none of them.
 
-    Inside ``passing`` the table is dropped at the end unless it is to be kept.
+    Inside ``passing`` the table is dropped at the end of the block; one that is to be kept belongs to the block around
+    it, and stays if there is none.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/loomwork/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _passing and not keep:
-        _passing[-1].append(path)
+    scopes = _scopes.get()[:-1] if keep else _scopes.get()
+    if scopes:
+        scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def passing(spark: SparkSession) -> Iterator[None]:
     """Drop at the end what ``written`` wrote inside; what is returned may read only tables that are kept."""
-    _passing.append([])
+    made: list[str] = []
+    token = _scopes.set((*_scopes.get(), made))
     try:
         yield
     finally:
-        for path in _passing.pop():
+        _scopes.reset(token)
+        for path in made:
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """The rows, for a Python function over whole texts: batches hold few rows unless the session says otherwise."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(conf.get(key)) == 10_000:
-        conf.set(key, BATCH_ROWS)
-    return df
-
-
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The table with a broadcast hint if a count finds it within the bound, else as it is for a shuffle join."""
+    """The table with a broadcast hint if a count finds it within the bound, else as it is for a shuffle join.
+
+    For tables of numbers and short keys only: their bytes follow from their rows. ``light`` measures the others.
+    """
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def light(df: DataFrame, size: Column, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """The table with a broadcast hint if the sum of its rows' sizes in bytes is within the bound."""
+    total = df.agg(F.sum(size + 64).alias("n")).first()[0] or 0
+    return F.broadcast(df) if total <= limit else df
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, UPPER, LOWER)

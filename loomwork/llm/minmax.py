@@ -7,22 +7,26 @@ the collisions of a band independent: at the threshold of 0.75 a link is missed
 
 Steps, none of which emits all pairs of a group:
 
-1. Documents with equal sets fall together under the least id, by one combined sum per set.
+1. Rows with equal sets are one set, by two combined sums of its hashes. All that follows goes by the set and not by an
+   id, which two texts may share.
 2. Sets most of whose minima no other set has are put aside: they can have no near copy. In each bucket of the rest
-   every set is paired with the bucket's least id only. Pairs whose signatures agree enough are held against the full
+   every set is paired with the bucket's least set only. Pairs whose signatures agree enough are held against the full
    sets, and the links found form the first components.
-3. Buckets that still hold several components have links to lose. What two sets there can share is bounded exactly:
-   shingles that no other set has cannot be in an overlap, and rare ones only if the two have one in common, which a
-   join on rare shingles finds. So texts around a copied text at less than the threshold are dropped before they are
-   paired. The other sets of different components are paired in their buckets. Buckets of more than ``CROWD`` members
-   are first divided by a second such bucket that two members must share too (a pair that meets in one crowded band
-   only is lost: 8e-5 at the threshold, below 1e-6 from 0.8 on).
+3. Buckets that still hold several components have links to lose. Their sets are joined exactly: an overlap of two
+   components has only shingles that two components hold, so sets with too few of these drop out; of the others the
+   rarest such shingles, as many as an overlap cannot do without one of, are joined. Only members of different
+   components meet there, and a bucket or shingle of any size is treated alike.
 4. Components are joined by alternating large and small stars, each round written to the shared folder.
 
+What chance can lose: a link at the threshold that meets in no bucket (5e-6), in a signature with too few agreeing
+values (5e-9) or with a set put aside (1e-8); all three fall with the similarity. ``tests/llm`` measures the recall.
+
 Cases: documents without words (null, empty, blank) have an empty set, are linked with nothing and are their own
-component; repeated rows are equal sets and share a class; rows of a null id are classed by their text but never stand
-for others while an id is there (alone they are their own, with a null component, and are kept); of rows that share an
-id but not a text each is classed by its own text; an empty table gives an empty result; further columns are ignored.
+component; repeated rows are equal sets and share a class; rows of a null id are classed by their text but never name
+a class while an id is there (alone they have a null component, and are kept); of rows that share an id but not a text
+each is classed by its own text; an empty table gives an empty result; further columns are ignored. ``distinct_documents``
+leaves one row of each class, the one of the least id and then of the least hash of its text, and of repeated rows any
+one; rows without words are no copies of each other, but rows that repeat an id and a text are.
 """
 
 from __future__ import annotations
@@ -35,15 +39,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import passing, small, small_batches, table, written
+from loomwork.llm.common import passing, small, table, written
 
 WIDTH, PERCENT = 5, 75
 PERMS, ROWS = 64, 4
 BANDS = 2 * PERMS // ROWS
 #: A pair goes to full verification if so many of its 2 * PERMS values agree: 5.8 standard deviations below 0.75.
-AGREE, CROWD = int(0.53 * 2 * PERMS), 2048
-#: A shingle is rare if at most so many sets that may be linked have it.
-RARE = 8
+AGREE = int(0.53 * 2 * PERMS)
+#: Salts of a shingle that many components hold: each meets so many of them.
+SALT = 256
 #: A set has company if at least so many of its PERMS minima are others' too: 5.8 standard deviations below 0.75.
 SHARED = int(0.44 * PERMS)
 #: Word hashes kept by a worker.
@@ -123,7 +127,7 @@ def _profiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def profiles(docs: DataFrame) -> DataFrame:
     """Size of the set, its identity in two sums of hashes, signature and band keys of each document."""
-    return small_batches(docs).select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key")).mapInPandas(
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key")).mapInPandas(
         _profiles, "doc_id long, text_key long, n_shingles long, k1 long, k2 long, sign binary, bands array<long>")
 
 
@@ -150,15 +154,22 @@ def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield rows.loc[ok, ["a", "b"]]
 
 
-def verified(pairs: DataFrame, signs: DataFrame, docs: DataFrame) -> DataFrame:
+def texts_of(ids: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(id, text)``: one text of each of the sets ``id``."""
+    wanted = sets.select("id", F.col("rep.doc_id").alias("_doc"), F.col("rep.text_key").alias("_key")).join(ids, "id", "left_semi")
+    wanted = small(written(wanted, "dedup-wanted"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
+    rows = rows.join(wanted, rows["_id"].eqNullSafe(wanted["_doc"]) & (F.xxhash64(rows["text"]) == wanted["_key"]))
+    return rows.groupBy("id").agg(F.first("text").alias("text"))  # rows may repeat
+
+
+def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs ``(a, b)`` that are links by their full sets, after their signatures have sieved them."""
-    sa, sb = (signs.select(F.col("doc_id").alias(c), F.col("sign").alias(f"sign_{c}"), F.col("n_shingles").alias(f"n_{c}")) for c in "ab")
+    sa, sb = (sets.select(F.col("id").alias(c), F.col("sign").alias(f"sign_{c}"), F.col("n_shingles").alias(f"n_{c}")) for c in "ab")
     near = pairs.join(sa, "a").join(sb, "b").where(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
     near = written(near.select("a", "b", "sign_a", "sign_b").mapInPandas(_agreeing, "a long, b long"), "dedup-near")
-    ids = near.select(F.col("a").alias("_id")).union(near.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
-    texts = texts.join(small(ids), texts["doc_id"] == ids["_id"], "left_semi")
-    ta, tb = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
+    texts = texts_of(near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), sets, docs)
+    ta, tb = (texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
     # The side with one row per pair moves with its text first; the bucket leaders' texts meet it in the second join.
     both = near.join(ta, "a").join(tb, "b").select("a", "b", "text_a", "text_b")
     return written(both.mapInPandas(_linked, "a long, b long").distinct(), "dedup-links")
@@ -182,22 +193,9 @@ def components(links: DataFrame, name: str = "dedup-stars") -> DataFrame:
     return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
 
 
-def torn(rows: DataFrame, *more: str) -> DataFrame:
-    """Rows ``(band, key, id, c)`` of buckets that hold several components, with the bucket's size ``n_in``."""
-    key = ["band", "key"]
-    found = rows.groupBy(*key).agg(F.count("*").alias("n_in"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
-    return rows.join(found.select(*key, "n_in"), key).select(*key, "id", "c", *more, "n_in")
-
-
-def unshared(rows: DataFrame, *item: str) -> DataFrame:
-    """``(id, alone)``: how many of an id's items, distinct per id, no other id has."""
-    single = rows.groupBy(*item).agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
-    return single.groupBy("id").agg(F.count("*").alias("alone"))
-
-
 def _hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
-        yield pd.DataFrame({"id": rows["doc_id"], "h": [shingles(t).view(np.int64) for t in rows["text"]]})
+        yield pd.DataFrame({"id": rows["id"], "h": [shingles(t).view(np.int64) for t in rows["text"]]})
 
 
 def companioned(sets: DataFrame) -> DataFrame:
@@ -206,96 +204,97 @@ def companioned(sets: DataFrame) -> DataFrame:
     A minimum that no other set has cannot agree with any; texts that only have a passage in common keep too many such.
     """
     place = F.posexplode(F.expr(f"transform(sequence(0, {PERMS - 1}), i -> substring(sign, 8 * i + 1, 4))")).alias("place", "value")
-    alone = unshared(sets.select(F.col("doc_id").alias("id"), place), "place", "value")
-    alone = alone.where(F.col("alone") > PERMS - SHARED).select(F.col("id").alias("doc_id"))
-    return sets.join(alone, "doc_id", "left_anti")
-
-
-def overlaps(rows: DataFrame, signs: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Bounds ``(id, c, n, bands, most, common)`` on what ids in torn buckets can share, and rare shingles ``(h, id)``.
-
-    ``most`` counts an id's shingles that some other of these ids has; no overlap can be greater. ``common`` counts those
-    that more than ``RARE`` ids have; no overlap of two ids without a rare shingle in common can be greater.
-    """
-    own = signs.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands").join(rows.select("id", "c").distinct(), "id")
-    own = written(own, "dedup-torn-ids")
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(small(own.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi")
-    hashes = written(texts.mapInPandas(_hashes, "id long, h array<long>").select("id", F.explode("h").alias("h")).distinct(), "dedup-shingles")
-    alone = unshared(hashes, "h")
-    few = hashes.groupBy("h").agg(F.count("*").alias("df")).where(F.col("df").between(2, RARE)).select("h")
-    rare = written(hashes.join(few, "h"), "dedup-rare")
-    bounds = own.join(alone, "id", "left").join(rare.groupBy("id").agg(F.count("*").alias("rare")), "id", "left")
-    most = F.col("n") - F.coalesce("alone", F.lit(0))
-    bounds = bounds.select("id", "c", "n", "bands", most.alias("most"), (most - F.coalesce("rare", F.lit(0))).alias("common"))
-    return written(bounds, "dedup-bounds"), rare
-
-
-def crossing(buckets: DataFrame, of: DataFrame, signs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs of different components that share a bucket and may be links; ``of`` has ``(id, component)``.
-
-    Pairs with a rare shingle in common are found by it, at most ``RARE`` ids a shingle. Pairs without one meet in their
-    bucket, where only those whose common shingles could suffice are made.
-    """
-    key = ["band", "key"]
-    rows = buckets.join(of, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-    rows = written(torn(rows).drop("n_in"), "dedup-torn")
-    bounds, rare = overlaps(rows, signs, docs)
-
-    def met(x: DataFrame, by: list[str], bound: str, once: bool = False) -> DataFrame:
-        x = x.select(*by, "id", "c", "n", F.col(bound).alias("most"), *(["bands"] if once else []))
-        y = x.select(*by, F.col("id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("most").alias("mb"), *([F.col("bands").alias("bb")] if once else []))
-        # The overlap is at most the lesser of the two bounds, and the union the two sizes less the overlap.
-        may = f"{100 + PERCENT} * least(most, mb) >= {PERCENT} * (n + nb)"
-        first = f"band = array_min(filter(sequence(0, {BANDS - 1}), i -> bands[i] = bb[i]))" if once else "true"
-        return x.join(y, by).where(f"id > b AND c <> cb AND {may} AND {first}").select(F.col("id").alias("a"), "b")
-
-    by_shingle = met(rare.join(bounds.where(f"100 * most >= {PERCENT} * n"), "id"), ["h"], "most")
-    rows = rows.drop("c").join(small(bounds.where(f"100 * common >= {PERCENT} * n")), "id")
-    rows = written(torn(rows, "n", "common", "bands"), "dedup-torn")
-    few, many = rows.where(F.col("n_in") <= CROWD), rows.where(F.col("n_in") > CROWD)
-    crowded = not many.isEmpty()
-    per_id = many.groupBy("id", "c", "n", "common").agg(F.array_sort(F.collect_list(F.struct("band", "key"))).alias("at"))
-    pairs = "flatten(transform(at, (x, i) -> transform(slice(at, i + 2, size(at)), y -> struct(x.band * 1000 + y.band AS band, xxhash64(x.key, y.key) AS key))))"
-    many = torn(per_id.select("id", "c", "n", "common", F.inline(F.expr(pairs))), "n", "common")
-    # Without crowds a pair's first common bucket is among the few, and it is enough to make the pair there.
-    few = met(few, key, "common", once=not crowded)
-    return by_shingle.union(few).union(met(many, key, "common")).distinct()
+    single = sets.select("id", place).groupBy("place", "value").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
+    alone = single.groupBy("id").agg(F.count("*").alias("alone")).where(F.col("alone") > PERMS - SHARED).select("id")
+    return sets.join(alone, "id", "left_anti")
+
+
+def torn(sets: DataFrame, of: DataFrame) -> DataFrame:
+    """``(id, c, n)``: the sets with their components ``c`` that share a bucket with a set of another component."""
+    marked = sets.select("id", F.col("n_shingles").alias("n"), "bands").join(of, "id", "left")
+    marked = written(marked.select("id", "n", "bands", F.coalesce("component", "id").alias("c")), "dedup-marked")
+    rows = marked.select("id", "c", F.posexplode("bands").alias("band", "key"))
+    keys = rows.groupBy("band", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band", "key")
+    ids = rows.join(small(written(keys, "dedup-torn-keys")), ["band", "key"], "left_semi").select("id").distinct()
+    return written(marked.select("id", "c", "n").join(ids, "id", "left_semi"), "dedup-torn")
+
+
+def crossing(ids: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of different components among the sets ``(id, c, n)``: all that can be links, and few others."""
+    hashes = texts_of(ids.select("id"), sets, docs).mapInPandas(_hashes, "id long, h array<long>").join(ids, "id")
+    rows = written(hashes, "dedup-shingles").select("id", "c", "n", F.explode("h").alias("h"))
+    held = rows.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("df")).where("lo < hi").select("h", "df")
+    rows = rows.join(small(written(held, "dedup-held")), "h").groupBy("id", "c", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("r"))
+    # Of a link of x at least 75 % of x is overlap, and all overlap is of shingles that two components hold. In one
+    # order of all shingles, the first of an overlap is among the first most - need + 1 of both sets.
+    rows = rows.withColumn("most", F.size("r")).where(f"100 * most >= {PERCENT} * n")
+    rows = rows.withColumn("r", F.expr(f"slice(r, 1, int(most - ({PERCENT} * n + 99) div 100 + 1))"))
+    rows = written(rows.select("id", "c", "n", "most", F.inline("r")).drop("df"), "dedup-prefixes")
+    held = rows.select("h", "c").distinct()
+    many = held.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h", F.expr(f"1 + k div {SALT}").alias("salts"))
+    held = written(held.join(many, "h"), "dedup-holders")
+    left = held.withColumn("salt", F.expr("pmod(xxhash64(c), salts)"))
+    right = held.select("h", F.col("c").alias("cb"), F.explode(F.expr("sequence(0L, salts - 1)")).alias("salt"))
+    cross = left.join(right, ["h", "salt"]).where("c < cb").select("h", "c", "cb")
+    other = rows.select("h", F.col("c").alias("cb"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"))
+    # The overlap is at most the lesser of the two bounds, and the union the two sizes less the overlap.
+    may = f"{100 + PERCENT} * least(most, mb) >= {PERCENT} * (n + nb)"
+    return rows.join(cross, ["h", "c"]).join(other, ["h", "cb"]).where(may).select(F.col("id").alias("a"), "b").distinct()
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """``(doc_id, text_key, n_shingles, component_id)`` per row of the documents."""
+    """``(doc_id, text_key, n_shingles, component_id, first)`` per row; ``first`` is true for the class's own row."""
     rows = written(profiles(docs), "dedup-profiles")
-    sets = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sign").alias("sign"), F.first("bands").alias("bands"))
-    sets = written(sets, "dedup-sets")
+    # Rows without an id come last, so that they stand for a class only if they are alone.
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("loose"), "doc_id", "text_key"))
+    sets = rows.where("n_shingles > 0").groupBy("k1", "k2").agg(
+        rep.alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sign").alias("sign"), F.first("bands").alias("bands"))
+    sets = written(sets.withColumn("id", F.monotonically_increasing_id()), "dedup-sets")  # the ids hold once they are written
     near = written(companioned(sets), "dedup-near-sets")
-    signs = near.select("doc_id", "n_shingles", "sign", "bands")
-    buckets = near.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "key"))
+    buckets = near.select("id", F.posexplode("bands").alias("band", "key"))
     leaders = buckets.groupBy("band", "key").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    stars = buckets.join(leaders, ["band", "key"]).where("id <> b").select(F.col("id").alias("a"), "b").distinct()
-    links = verified(stars, signs, docs)
+    stars = buckets.join(small(written(leaders, "dedup-leaders")), ["band", "key"]).where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    links = verified(stars, near, docs)
     of = components(links)
-    more = verified(crossing(buckets, of, signs, docs), signs, docs)
-    if not more.isEmpty():
-        of = components(links.union(more))
-    of = written(sets.select("k1", "k2", F.col("doc_id").alias("id")).join(of, "id", "left"), "dedup-classes")
-    of = of.select(F.col("k1").alias("_1"), F.col("k2").alias("_2"), F.coalesce("component", "id").alias("_c"))
+    ids = torn(near, of)
+    if not ids.isEmpty():
+        of = components(links.union(verified(crossing(ids, near, docs), near, docs)))
+    of = written(sets.select("k1", "k2", "rep", "id").join(of, "id", "left").withColumn("c", F.coalesce("component", "id")), "dedup-classes")
+    least = small(written(of.groupBy("c").agg(F.min("rep").alias("least")), "dedup-least"))
+    of = of.join(least, "c").select(F.col("k1").alias("_1"), F.col("k2").alias("_2"), "least")
     out = rows.select("doc_id", "text_key", "n_shingles", "k1", "k2").join(of, (rows["k1"] == of["_1"]) & (rows["k2"] == of["_2"]), "left")
-    return out.select("doc_id", "text_key", "n_shingles", F.coalesce("_c", "doc_id").alias("component_id"))
+    named = F.when(F.col("least").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id"))
+    first = F.col("least").isNull() | F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_key") == F.col("least.text_key"))
+    return out.select("doc_id", "text_key", "n_shingles", named.alias("component_id"), first.alias("first"))
 
 
 def report(docs: DataFrame) -> DataFrame:
-    return classes(docs).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    """``(doc_id, n_shingles, component_id, kept)`` per row."""
+    with passing(docs.sparkSession):
+        kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
+        return written(classes(docs).select("doc_id", "n_shingles", "component_id", kept.alias("kept")), "dedup-report", keep=True)
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
-    """The documents that stand for their class, with the columns they came with."""
+    """One row of each class, with the columns that the documents came with."""
     with passing(docs.sparkSession):
-        gone = report(docs).where("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_key")).distinct()
-        gone = written(gone, "dedup-gone", keep=True)
-    gone = small(gone)
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]) & (F.xxhash64(docs["text"]) == gone["_key"]), "left_anti")
+        found = classes(docs).groupBy("doc_id", "text_key", "first").agg(F.count("*").alias("n"), F.max("n_shingles").alias("n_shingles"))
+        repeated = "first AND n > 1 AND (n_shingles > 0 OR doc_id IS NOT NULL)"
+        found = found.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), "first", F.expr(repeated).alias("again"))
+        found = written(found.where("NOT first OR again"), "dedup-found", keep=True)
+    key = F.xxhash64(docs["text"])
+
+    def joined(keys: DataFrame, how: str) -> DataFrame:
+        keys = small(keys)
+        return docs.join(keys, docs["doc_id"].eqNullSafe(keys["_doc"]) & (key == keys["_key"]), how)
+
+    again = found.where("again")
+    if again.isEmpty():
+        return joined(found, "left_anti")
+    own = next(c for c in ("_key" + "_" * i for i in range(len(docs.columns) + 1)) if c not in docs.columns)
+    once = joined(again, "left_semi").withColumn(own, key).dropDuplicates(["doc_id", own]).select(docs.columns)
+    return joined(found, "left_anti").unionByName(once)
 
 
 def op4_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report(table(spark, sf_dir, "documents")).drop("text_key")
+    return report(table(spark, sf_dir, "documents"))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import passing, small_batches, table, written
+from loomwork.llm.common import passing, table, written
 
 DIM, GRADES = 1 << 18, 3
 SAMPLE, SHARDS, ROUNDS, EPOCHS = 24_000, 4, 3, 3
@@ -145,7 +145,7 @@ def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> OrdinalMod
             x = [features(t).tolist() for t in rows["text"]]
             yield pd.DataFrame({"doc_id": rows["doc_id"], "grade": rows["grade"], "x": x})
 
-    rated = small_batches(docs).select("doc_id", "text").join(some, "doc_id").select("doc_id", "grade", "text")
+    rated = docs.select("doc_id", "text").join(some, "doc_id").select("doc_id", "grade", "text")
     rated = rated.mapInPandas(cut, "doc_id long, grade int, x array<int>").dropDuplicates(["doc_id"])
     rated = written(rated.withColumn("shard", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(SHARDS)).cast("int")), "ordinal-features")
     if rated.isEmpty():
@@ -197,7 +197,7 @@ def scored(docs: DataFrame, model: OrdinalModel, keep: list[str]) -> DataFrame:
             yield pd.concat([rows[keep], more], axis=1)
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    rows = small_batches(docs).select(*keep, F.col("text").alias("_text"))
+    rows = docs.select(*keep, F.col("text").alias("_text"))
     return rows.mapInPandas(run, f"{schema}, score double, expected_grade double, p_good double")
 
 

@@ -10,8 +10,12 @@ fitted side by side by follow-the-regularised-leader steps, whose L1 term keeps
 and their models are averaged after each of ``ROUNDS`` rounds, which start from the average. Every document is then
 scored in one pass over the whole texts. The model is of fixed size at any size of the corpus.
 
+Thresholds are kept as the first one and the logarithms of the gaps, so they stay ordered, and their steps are bounded:
+a grade with few ratings or none cannot drive them apart.
+
 Cases: null and empty texts have only the feature of being empty and are scored like any other; ratings that repeat
-or clash count as the worst of them, null ratings are left out; without ratings no document is rejected; repeated rows
+or clash count as the worst of them, null ratings are left out; of texts that share a rated id one is taken for the fit,
+the same in each run, and each is scored by itself; without ratings no document is rejected; repeated rows
 score alike; an empty table gives an empty result; further columns stay, and the operator's own replace clashing ones.
 """
 
@@ -33,6 +37,8 @@ DIM, GRADES = 1 << 18, 3
 SAMPLE, SHARDS, ROUNDS, EPOCHS = 24_000, 4, 3, 3
 #: Steps: rate, smoothing, L1 and L2.
 RATE, SMOOTH, L1, L2 = 0.3, 1.0, 6.0, 0.5
+#: Steps of the thresholds, and the bounds of the gaps between them.
+CUT_RATE, LEAST_GAP, MOST_GAP = 0.05, 0.05, 20.0
 #: A document is kept if P(grade >= GOOD) reaches TAIL.
 GOOD, TAIL = 2, 0.45
 CACHE = 200_000
@@ -99,33 +105,50 @@ class OrdinalModel:
         return 1 - self.below(scores)[:, grade - 1]
 
 
+def loss(cuts: np.ndarray, s: float, y: int) -> float:
+    """-log P(grade = y) of a row with the score s."""
+    below = np.concatenate([[0.0], sigmoid(np.asarray(cuts) - s), [1.0]])
+    return -float(np.log(below[y + 1] - below[y]))
+
+
+def gradient(first: float, gaps: np.ndarray, s: float, y: int) -> tuple[float, float, np.ndarray]:
+    """The loss's derivatives by the score, by the first threshold and by the logarithms of the gaps between thresholds.
+
+    With sigmoid(t + gap) - sigmoid(t) = sigmoid(t + gap) sigmoid(-t) (1 - exp(-gap)) nothing is divided by a small
+    probability: the first two are within 1, the last within the gap plus 1, whatever the thresholds.
+    """
+    cuts = first + np.concatenate([[0.0], np.cumsum(gaps)])
+    a = float(sigmoid(cuts[y] - s)) if y < len(cuts) else 1.0
+    b = float(sigmoid(cuts[y - 1] - s)) if y > 0 else 0.0
+    by_score = 1.0 - a - b
+    by_gaps = np.zeros(len(gaps))
+    if y > 0:
+        by_gaps[: y - 1] = -by_score * gaps[: y - 1]
+    if 0 < y < len(cuts):
+        gap = gaps[y - 1]
+        by_gaps[y - 1] = -(1 - a) / ((1 - b) * -np.expm1(-gap)) * gap
+    return by_score, -by_score, by_gaps
+
+
 def fit_shard(rows: list[np.ndarray], grades: np.ndarray, start: OrdinalModel, epochs: int = EPOCHS) -> OrdinalModel:
-    """One shard's model after some epochs of FTRL-proximal steps from a starting model."""
-    n, z, w = np.zeros(DIM), np.zeros(DIM), start.weights.copy()
-    cuts = start.cuts.copy()
-    z = -w * (SMOOTH / RATE + L2) - np.sign(w) * L1  # the leader at the start is the starting model
+    """One shard's model after some epochs from a starting model: FTRL-proximal steps for the weights, plain ones for the thresholds."""
+    n = np.zeros(DIM)
+    z = -start.weights * (SMOOTH / RATE + L2) - np.sign(start.weights) * L1  # the leader at the start is the starting model
+    first, logs = float(start.cuts[0]), np.log(np.maximum(np.diff(start.cuts), LEAST_GAP))
     draw = np.random.default_rng(7)
-    cut_rate = 0.05
     for _ in range(epochs):
         for i in draw.permutation(len(rows)):
-            x, y = rows[i], int(grades[i])
+            x = rows[i]
             zi = z[x]
             wi = np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((SMOOTH + np.sqrt(n[x])) / RATE + L2))
-            s = wi.sum()
-            a = sigmoid(cuts[y] - s) if y < GRADES - 1 else 1.0
-            b = sigmoid(cuts[y - 1] - s) if y > 0 else 0.0
-            g = -(a + b - 1)  # of the loss by s
+            g, by_first, by_gaps = gradient(first, np.exp(logs), wi.sum(), int(grades[i]))
             step = (np.sqrt(n[x] + g * g) - np.sqrt(n[x])) / RATE
             z[x] = zi + g - step * wi
             n[x] += g * g
-            p = max(a - b, 1e-6)
-            if y < GRADES - 1:
-                cuts[y] += cut_rate * a * (1 - a) / p
-            if y > 0:
-                cuts[y - 1] -= cut_rate * b * (1 - b) / p
-            cuts = np.maximum.accumulate(cuts)
+            first -= CUT_RATE * by_first
+            logs = np.clip(logs - CUT_RATE * np.clip(by_gaps, -1, 1), np.log(LEAST_GAP), np.log(MOST_GAP))
     w = np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((SMOOTH + np.sqrt(n)) / RATE + L2))
-    return OrdinalModel(w, cuts)
+    return OrdinalModel(w, first + np.concatenate([[0.0], np.cumsum(np.exp(logs))]))
 
 
 def graded(labels: DataFrame) -> DataFrame:
@@ -146,7 +169,8 @@ def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> OrdinalMod
             yield pd.DataFrame({"doc_id": rows["doc_id"], "grade": rows["grade"], "x": x})
 
     rated = docs.select("doc_id", "text").join(some, "doc_id").select("doc_id", "grade", "text")
-    rated = rated.mapInPandas(cut, "doc_id long, grade int, x array<int>").dropDuplicates(["doc_id"])
+    rated = rated.mapInPandas(cut, "doc_id long, grade int, x array<int>")
+    rated = rated.groupBy("doc_id", "grade").agg(F.min("x").alias("x"))  # of several texts of an id always the same one
     rated = written(rated.withColumn("shard", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(SHARDS)).cast("int")), "ordinal-features")
     if rated.isEmpty():
         return None

@@ -43,6 +43,50 @@ def test_thresholds_stay_ordered_and_probabilities_add_up():
     assert np.all(np.diff(model.expected(s)) > 0) and np.all((model.below(s) >= 0) & (model.below(s) <= 1))
 
 
+def test_gradient_is_that_of_the_loss():
+    draw = np.random.default_rng(11)
+    for _ in range(200):
+        first, logs, s, y = draw.normal(0, 2), draw.normal(0, 0.7, 3), draw.normal(0, 2), int(draw.integers(0, 5))
+
+        def at(f, g, x, grade=y):
+            return ordinal.loss(f + np.concatenate([[0.0], np.cumsum(np.exp(g))]), x, grade)
+
+        by_score, by_first, by_gaps = ordinal.gradient(first, np.exp(logs), s, y)
+        e = 1e-5
+        assert abs(by_score - (at(first, logs, s + e) - at(first, logs, s - e)) / (2 * e)) < 1e-4
+        assert abs(by_first - (at(first + e, logs, s) - at(first - e, logs, s)) / (2 * e)) < 1e-4
+        for k in range(3):
+            d = np.eye(3)[k] * e
+            assert abs(by_gaps[k] - (at(first, logs + d, s) - at(first, logs - d, s)) / (2 * e)) < 1e-4
+
+
+def test_few_or_no_ratings_of_a_grade_keep_the_good(spark, docs_of):
+    for poor in (0, 1, 3, 10):
+        docs, labels = [], []
+        for i in range(600):
+            toxic = i % 2
+            docs.append((i, prose(i, 40) + (" vile scum" if toxic else ""), "en", "s"))
+            labels.append((i, 0 if not toxic and i < 2 * poor else 1, toxic))
+        known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+        got = {r.doc_id: r.kept for r in ordinal.graded_documents(docs_of(docs), known, ["doc_id"]).collect()}
+        assert np.mean([got[i] for i in range(20, 600, 2)]) > 0.95 and np.mean([got[i] for i in range(21, 600, 2)]) < 0.05
+
+
+def test_the_query_equals_the_model_by_hand(spark, docs_of):
+    """Scores of every row against the fitted weights summed text by text with the probabilities written out."""
+    docs, labels = corpus(120)
+    docs += [(7, "another text of seven", "en", "s"), (500, None, "en", "s"), (501, "", "en", "s")]
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = ordinal.fit(docs_of(docs), ordinal.graded(known))
+    want = []
+    for i, text, *_ in docs:
+        s = sum(model.weights[k] for k in set(ordinal.features(text).tolist()))
+        below = [1 / (1 + np.exp(s - c)) for c in model.cuts]
+        want.append((i, round(sum(1 - b for b in below), 6), round(1 - below[1], 6), 1 - below[1] >= ordinal.TAIL))
+    got = [(r.doc_id, round(r.expected_grade, 6), round(r.p_good, 6), r.kept) for r in ordinal.graded_documents(docs_of(docs), known, ["doc_id"]).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_without_ratings_all_stay(spark, docs_of):
     docs = docs_of([None, "", "x", "x"])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

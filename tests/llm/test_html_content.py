@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import pytest
 from loomwork.llm import html_content as H
@@ -20,6 +21,56 @@ def test_extract(page, text):
     assert H.extract(page, WEIGHTS) == text
 
 
+LONG, SHORT = " ".join(f"word{i}" for i in range(60)), " ".join(f"tale{i}" for i in range(30))
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    (f"<div class='layout with-sidebar'><article><p>{LONG}</p></article></div>", LONG),
+    (f"<div class='has-sidebar'><article><p>{LONG}</p></article><div class='sidebar'><p>{SHORT}</p></div></div>", LONG),
+    (f"<body class='page-with-comments'><div class='sidebar-left'><main><h1>A</h1><p>{LONG}</p></main></div></body>", "A " + LONG),
+    (f"<main><p>{LONG}</p><p class='notice-period'>{SHORT}</p></main>", LONG + " " + SHORT),
+    (f"<form action='/x'><div><article><p>{LONG}</p></article></div></form>", LONG),
+    (f"<article><p>{LONG}</p></article><div>a few words between</div><article><p>{SHORT}</p></article>", LONG + " " + SHORT),
+    (f"<article><p>{LONG}</p><article class='comment'><p>{SHORT}</p></article></article>", LONG),
+    (f"<h1>A longer title</h1><div><p>{LONG}</p></div><div id='comments'><article><p>{SHORT}</p></article><article><p>{SHORT}</p></article></div>", "A longer title " + LONG),
+    (f"<h1>A longer title</h1><div><p>{LONG}</p><p>{LONG}</p></div>" + "<div>" + "<article><ul><li>a card</li></ul></article>" * 4 + "</div>", "A longer title " + LONG + " " + LONG),
+    (f"<article title='a hidden gem' data-class='ad'><p>{LONG}</p></article>", LONG),
+    (f"<article><p>{LONG}<math><mi>x</mi></math> <object>a chart</object></p></article>", LONG + "x a chart"),
+    (f"<nav>menu<p>x</p><article><p>{LONG}</p></article>", LONG),
+    (f"<article><p>{LONG}</p><div class='post-comments'><p>{LONG} {LONG}</p></div><p>end</p></article>", LONG + " end"),
+])
+def test_wrappers_marks_and_names(page, text):
+    assert H.extract(page, WEIGHTS) == text
+
+
+def brute_runs(scores):
+    """The best run, then the best ones of what is left on either side, by all pairs of ends."""
+    best = max(((sum(scores[i:j]), i - j, -i) for i, j in itertools.combinations(range(len(scores) + 1), 2)), default=(0, 0, 0))
+    if best[0] <= 0:
+        return []
+    # Of equal sums the shortest run that is whole: no part of it before or after sums to nothing.
+    total = best[0]
+    i, j = min(((i, j) for i, j in itertools.combinations(range(len(scores) + 1), 2) if sum(scores[i:j]) == total), key=lambda x: (x[1] - x[0], x[0]))
+    return [*brute_runs(scores[:i]), total, *brute_runs(scores[j:])]
+
+
+def test_all_runs_against_all_pairs(monkeypatch):
+    monkeypatch.setattr(H, "PART", 0.0)
+    draw = random.Random(5)
+    for _ in range(300):
+        # Powers of distinct sizes: no two stretches have the same sum.
+        scores = [float(draw.choice((-1, 1)) * (1000 + 2**k)) for k in draw.sample(range(14), draw.randint(0, 9))]
+        assert [sum(scores[a:b]) for a, b in H.best_runs(scores)] == brute_runs(scores)
+
+
+@pytest.mark.parametrize("piece", ["<b>x ", "</i>x ", "<p><b>x", "<div>x ", "<div class='ad'>x ", "<article>x </article>", "<a href='"])
+def test_hostile_pages_are_linear(piece):
+    began = time.perf_counter()
+    H.extract("<article>" + piece * 100_000, WEIGHTS)
+    H.extract(piece * 100_000, WEIGHTS)
+    assert time.perf_counter() - began < 10
+
+
 def test_best_run_against_all_runs():
     draw = random.Random(3)
     for _ in range(300):

@@ -4,12 +4,15 @@ Texts are lower-cased in A-Z and cut into words; a window is ``N`` consecutive w
 shorter item. A document word inside any occurrence of a window is hit.
 
 The scan has two steps, both in the JVM. A window of L words anywhere in a text holds one whole block of
-``ceil(L / 2)`` words that starts at a multiple of ``L - ceil(L / 2) + 1``; so one hash per such block, looked up in the
-hash set of all blocks of the windows, finds every text that can hold a window at about one hash per word's length.
-Only those texts are then scanned window by window, and each window is verified by its words in a broadcast join.
-The set is counted first: beyond ``SET_ROWS`` windows every text is a candidate and the join shuffles.
+``b = ceil(L / 2)`` words that starts at a multiple of ``L - b + 1``; so one hash per such block, looked up in the hash
+set of all blocks of the windows of that length, finds every text that can hold one, at about one hash per six words
+for windows of ten. Each length has blocks of its own, so a short item costs a finer grid and not a candidate more. Only
+the texts found are then scanned window by window, and each window is verified by its words.
 
-Cases: a null or empty text has no words and no hits; items without words have no windows; repeated items and windows
+Both lookups are joins: the set of hashes is broadcast up to ``SET_ROWS`` of them, the windows up to a number of bytes
+that is measured first, and larger ones are joined by shuffle with the same result.
+
+Cases: a null or empty text has no words and no hits; items without words have no windows; an item of one word is one window; repeated items and windows
 count once; repeated documents get equal rows; empty tables give no hits; documents that share an id but not the text
 are told apart by a hash of the text.
 """
@@ -19,10 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import ascii_lower, small, table, written
+from loomwork.llm.common import ascii_lower, light, passing, small, table, written
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-N, SET_ROWS = 10, 20_000
+#: Words of a window, and the hashes of eight bytes that are broadcast.
+N, SET_ROWS = 10, 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -37,67 +41,96 @@ def benchmark_windows(items: DataFrame, n: int = N) -> DataFrame:
     return cut.select(at.alias("window"), "len", "item").groupBy("window", "len").agg(F.collect_set("item").alias("items"))
 
 
-def blocks_of(windows: DataFrame, size: int) -> list[int]:
-    """Hashes of all blocks of ``size`` words of the windows; called only within ``SET_ROWS`` windows."""
-    cut = windows.select(F.split("window", " ").alias("w"))
-    hashed = F.explode(F.expr(f"transform(sequence(1, size(w) - {size} + 1), i -> xxhash64(slice(w, i, {size})))"))
-    return [r[0] for r in cut.select(hashed.alias("h")).distinct().collect()]
+def block(length: int) -> tuple[int, int]:
+    """Words of a block for windows of a length, and the step of the grid of which every window holds one."""
+    size = -(-length // 2)
+    return size, length - size + 1
+
+
+def blocks_of(windows: DataFrame, lengths: list[int]) -> DataFrame:
+    """``(h)``: the distinct hashes of all blocks of the windows."""
+    cut = windows.select(F.split("window", " ").alias("w"), "len")
+    found = None
+    for k in lengths:
+        size, step = block(k)
+        part = cut.where(F.col("len") == k).select(F.explode(F.expr(f"transform(sequence(1, {step}), i -> xxhash64(slice(w, i, {size})))")).alias("h"))
+        found = part if found is None else found.union(part)
+    return found.distinct()
+
+
+def grid(lengths: list[int]) -> Column:
+    """Hashes of the blocks of the words ``w`` that every window of these lengths holds one of."""
+    parts = []
+    for k in lengths:
+        size, step = block(k)
+        each = f"transform(sequence(1, size(w) - {size - 1}, {step}), i -> xxhash64(slice(w, i, {size})))"
+        parts.append(f"CASE WHEN size(w) >= {k} THEN {each} ELSE cast(array() AS array<bigint>) END")
+    return F.expr(f"concat({', '.join(parts)})")
+
+
+def joined(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """The documents joined with rows of ``_id`` and ``_key``, the document's id and the hash of its text."""
+    return docs.join(keys, docs["doc_id"].eqNullSafe(keys["_id"]) & (F.xxhash64(docs["text"]) == keys["_key"]), how)
+
+
+def candidates(docs: DataFrame, windows: DataFrame, lengths: list[int], set_rows: int = SET_ROWS) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, text_key, n_words)`` per document, and ``(_id, _key)`` of those that hold a block of a window."""
+    cut = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("w"))
+    cut = written(cut.select("doc_id", "text_key", F.size("w").cast("long").alias("n_words"), grid(lengths).alias("hs")), "bench-scan")
+    known = small(written(blocks_of(windows, lengths), "bench-blocks"), set_rows)
+    met = cut.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.explode("hs").alias("h")).join(known, "h", "left_semi")
+    return cut.drop("hs"), written(met.select("_id", "_key").distinct(), "bench-candidates")
+
+
+def hits_of(docs: DataFrame, windows: DataFrame, lengths: list[int], may: DataFrame) -> DataFrame:
+    """``(_id, _key, n_hit, hit_items)`` of the candidates that do hold windows."""
+    key = ["_id", "_key"]
+    probe = joined(docs.select("doc_id", "text"), small(may), "left_semi")
+    probe = probe.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key"), words(F.col("text")).alias("w")).dropDuplicates(key)
+    at = None
+    for k in lengths:
+        each = f"transform(sequence(1, size(w) - {k} + 1), i -> struct(i AS pos, {k} AS len, array_join(slice(w, i, {k}), ' ') AS window))"
+        part = probe.where(F.size("w") >= k).select(*key, F.explode(F.expr(each)).alias("x"))
+        at = part if at is None else at.unionByName(part)
+    found = light(windows, F.octet_length("window") + 16 * F.size("items"))
+    hits = at.select(*key, "x.*").join(found, ["window", "len"]).groupBy(*key).agg(
+        F.collect_set(F.struct("pos", "len")).alias("at"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("hit_items"))
+    covered = "cast(size(array_distinct(flatten(transform(at, x -> sequence(x.pos, x.pos + x.len - 1))))) AS bigint)"
+    return written(hits.select(*key, F.expr(covered).alias("n_hit"), "hit_items"), "bench-hits")
 
 
 def scan(docs: DataFrame, items: DataFrame, n: int = N, set_rows: int = SET_ROWS) -> DataFrame:
     """``(doc_id, text_key, n_words, n_hit, hit_items)`` per document."""
     windows = written(benchmark_windows(items, n), "bench-windows")
     lengths = [r[0] for r in windows.select("len").distinct().orderBy("len").collect()]  # at most n of them
-    cut = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("w"))
+    none = F.array().cast("array<string>")
     if not lengths:
-        may, found = F.lit(False), windows
-    elif windows.limit(set_rows + 1).count() <= set_rows:
-        block = -(-lengths[0] // 2)
-        step = lengths[0] - block + 1
-        starts = f"sequence(1, size(w) - {block} + 1, {step})"
-        known = ", ".join(f"{h}L" if h >= -(2**63) + 1 else "(-9223372036854775807L - 1L)" for h in blocks_of(windows, block))
-        may = F.expr(f"size(w) >= {block} AND exists({starts}, i -> xxhash64(slice(w, i, {block})) IN ({known}))")
-        found = F.broadcast(windows)
-    else:
-        may, found = F.size("w") > 0, windows
-    cut = cut.select("doc_id", "text_key", F.size("w").cast("long").alias("n_words"), F.when(may, F.col("w")).alias("w"))
-    cut = written(cut, "bench-scan")
-
-    key = ["doc_id", "text_key"]
-    probe = cut.where("w IS NOT NULL").dropDuplicates(key)
-    spans = [f"transform(sequence(1, size(w) - {k} + 1), i -> struct(i AS pos, {k} AS len, array_join(slice(w, i, {k}), ' ') AS window))"
-             for k in lengths]
-    if spans:
-        each = [probe.where(F.size("w") >= k).select(*key, F.explode(F.expr(s)).alias("x")) for k, s in zip(lengths, spans, strict=True)]
-        at = each[0]
-        for more in each[1:]:
-            at = at.unionByName(more)
-        hits = at.select(*key, "x.*").join(found, ["window", "len"]).groupBy(*key).agg(
-            F.collect_set(F.struct("pos", "len")).alias("at"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("hit_items"))
-        covered = "cast(size(array_distinct(flatten(transform(at, x -> sequence(x.pos, x.pos + x.len - 1))))) AS bigint)"
-        hits = hits.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.expr(covered).alias("n_hit"), "hit_items")
-    else:
-        none = "cast(null AS bigint) AS n_hit", "cast(null AS array<string>) AS hit_items"
-        hits = probe.limit(0).selectExpr("doc_id AS _id", "text_key AS _key", *none)
-    hits = small(written(hits, "bench-hits"))
+        return docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.size(words(F.col("text"))).cast("long").alias("n_words"),
+                           F.lit(0).cast("long").alias("n_hit"), none.alias("hit_items"))
+    cut, may = candidates(docs, windows, lengths, set_rows)
+    hits = hits_of(docs, windows, lengths, may)
+    hits = light(hits, 16 * F.size("hit_items"))
     same = cut["doc_id"].eqNullSafe(hits["_id"]) & (cut["text_key"] == hits["_key"])
-    return cut.drop("w").join(hits, same, "left").select(
-        *key, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.array_sort(F.coalesce("hit_items", F.array().cast("array<string>"))).alias("hit_items"))
+    return cut.join(hits, same, "left").select(
+        "doc_id", "text_key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.array_sort(F.coalesce("hit_items", none)).alias("hit_items"))
 
 
 def report(docs: DataFrame, items: DataFrame, n: int = N, set_rows: int = SET_ROWS) -> DataFrame:
-    found = scan(docs, items, n, set_rows)
-    return found.select(
-        "doc_id", "n_words", "n_hit", F.size("hit_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("hit_items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    """``(doc_id, n_words, n_hit, n_items, items_sha256, contaminated)`` per document."""
+    with passing(docs.sparkSession):
+        found = scan(docs, items, n, set_rows).select(
+            "doc_id", "n_words", "n_hit", F.size("hit_items").cast("long").alias("n_items"),
+            F.sha2(F.array_join("hit_items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+        return written(found, "bench-report", keep=True)
 
 
 def clean(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
     """The documents without a benchmark window, with the columns they came with."""
-    hit = scan(docs, items, n).where("n_hit > 0").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    hit = small(hit)
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_id"]) & (F.xxhash64(docs["text"]) == hit["_key"]), "left_anti")
+    with passing(docs.sparkSession):
+        hit = scan(docs, items, n).where("n_hit > 0").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+        hit = written(hit, "bench-hit", keep=True)
+    return joined(docs, small(hit), "left_anti")
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

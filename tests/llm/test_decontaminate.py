@@ -51,6 +51,22 @@ def test_beyond_the_set_the_join_gives_the_same(spark, docs_of):
     check(spark, docs_of, TEXTS, ITEMS, set_rows=3)
 
 
+def test_a_large_benchmark_keeps_candidates_few(spark, docs_of):
+    """200,000 windows and an item of one word: only texts that hold a block are scanned, with either join the same."""
+    items = [(i, prose(20_000 + i, 509)) for i in range(400)] + [(900, "uniquelyword"), (901, prose(77_777, 3))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [prose(i, 60) for i in range(300)] + [prose(400, 20) + " " + " ".join(words(items[7][1])[100:110]), "one uniquelyword here", prose(77_777, 3) + " x"]
+    docs = docs_of(texts)
+    windows = decontaminate.benchmark_windows(bench).cache()
+    assert windows.count() > 199_000
+    lengths = sorted(r[0] for r in windows.select("len").distinct().collect())
+    _, may = decontaminate.candidates(docs, windows, lengths)
+    assert {r[0] for r in may.select("_id").collect()} >= {300, 301, 302} and may.count() < 10
+    for set_rows in (decontaminate.SET_ROWS, 1000):
+        got = {r.doc_id: (r.n_hit, r.n_items) for r in decontaminate.report(docs, bench, set_rows=set_rows).where("contaminated").collect()}
+        assert got == {300: (10, 1), 301: (1, 1), 302: (3, 1)}
+
+
 def test_clean_keeps_the_rest_and_its_columns(spark, docs_of):
     rows = [(None, prose(1, 25), None, None, "c"), (1, prose(300, 30), "en", "s", "c"), (1, prose(300, 30), "en", "s", "c"), (1, prose(2, 25), "en", "s", "c"), (2, None, "en", "s", "c")]
     docs = docs_of(rows, ", n_hit string")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Fixed patterns: what counts as a number, a list mark and an internal id.
 NUMBER = r"(?<![\p{L}\p{N}_])(\d{1,3}(?:[.,]\d{3})+(?:[.,]\d+)?|\d+(?:[.,]\d+)?)(?![\p{L}\p{N}_])"
 LIST_MARK = r"(?m)^[ \t]*\d+[.)][ \t]+"
 IDS = r"\b(?:U-\d{4,}|P\d{6,}|S\d{2,}(?:\.b\d{2,})?|SEG-\d{3,})\b"
@@ -32,9 +33,11 @@ def canon_number(number: Column) -> Column:
 
 
 def digits_for_words(text: Column) -> Column:
-    for word, value in NUMBER_WORDS.items():
-        text = F.regexp_replace(text, rf"(?i)\b{word}\b", str(value))
-    return text
+    """Number words as digits, in one pass over the text."""
+    pattern = rf"(?i)\b({'|'.join(sorted(NUMBER_WORDS, key=len, reverse=True))})\b"
+    known = F.create_map(*(F.lit(x) for w, v in NUMBER_WORDS.items() for x in (w, str(v))))
+    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    return F.array_join(F.zip_with(between, found, lambda s, w: F.concat(s, F.coalesce(F.element_at(known, F.lower(w)), F.lit("")))), "")
 
 
 def extract_numbers(text: Column, words: bool = False) -> Column:

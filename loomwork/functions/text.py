@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 
 import pandas as pd
@@ -39,12 +40,23 @@ def fold(text: Column) -> Column:
     return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
 
 
-def norm_for_match(text: Column) -> Column:
-    """Composed text with line-end hyphens joined, quotes, dashes and blanks unified, one space between words, caseless.
+#: Letters with marks by their parts: what Unicode composes.
+COMPOSED = {unicodedata.normalize("NFD", c): c for c in map(chr, range(0xC0, 0x2000)) if unicodedata.normalize("NFC", unicodedata.normalize("NFD", c)) == c and unicodedata.decomposition(c)}
+
+
+def composed(text: Column) -> Column:
+    """Letters and their marks as one character where there is one, by built-in functions; texts without marks stay as they are."""
+    known = F.from_json(F.lit(json.dumps(COMPOSED)), "map<string,string>")
+    pair = lambda m: F.concat(F.element_at(known, F.substring(m, 1, 2)), F.substring(m, 3, 1_000_000))
+    whole = lambda m: F.coalesce(F.element_at(known, m), pair(m), m)
+    between, found = F.split(text, r"\p{L}\p{M}+", -1), F.regexp_extract_all(text, F.lit(r"(\p{L}\p{M}+)"), F.lit(1))
+    joined = F.array_join(F.zip_with(between, found, lambda s, m: F.concat(s, F.coalesce(whole(m), F.lit("")))), "")
+    return F.when(text.rlike(r"\p{M}"), joined).otherwise(text)
 
-    The input is expected to be composed; apply ``nfc`` first where it may not be.
-    """
-    t = F.replace(text, F.lit(SOFT_HYPHEN), F.lit(""))
+
+def norm_for_match(text: Column) -> Column:
+    """Composed text with line-end hyphens joined, quotes, dashes and blanks unified, one space between words, caseless."""
+    t = F.replace(composed(text), F.lit(SOFT_HYPHEN), F.lit(""))
     t = F.regexp_replace(t, rf"({WORD_CHAR})-[ \t]*\n[ \t]*({WORD_CHAR})", "$1$2")  # before dashes are unified
     t = F.translate(t, QUOTES_FROM + DASHES_FROM + SPACES_FROM, QUOTES_TO + DASHES_TO + SPACES_TO)
     t = F.replace(t, F.lit(ELLIPSIS), F.lit("..."))
@@ -52,8 +64,8 @@ def norm_for_match(text: Column) -> Column:
 
 
 def norm_loose(text: Column) -> Column:
-    """Caseless letters and digits only."""
-    return F.regexp_replace(fold(text), r"[^\p{L}\p{N}]+", "")
+    """Caseless letters and digits only, of the composed text."""
+    return F.regexp_replace(fold(composed(text)), r"[^\p{L}\p{N}]+", "")
 
 
 def slugify(text: Column, limit: int = 60) -> Column:

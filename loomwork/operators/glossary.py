@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions.text import fold, whole_word
+from loomwork.operators.scale import small
 
 
 def term_key(term: Column) -> Column:
@@ -19,14 +20,21 @@ def merged_candidates(candidates: DataFrame, alternatives: int = 5) -> DataFrame
     ``conflict`` tells that targets differ. The first document gives a term's spelling and type.
     """
     rows = candidates.withColumns({"key": term_key(F.col("source_term")), "target_term": F.trim("target_term")})
-    by_target = rows.groupBy("key", "target_term").agg(F.count_distinct("doc").alias("docs")).groupBy("key").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct((-F.col("docs")).alias("order"), "target_term", "docs"))),
-                    lambda x: F.struct(x["target_term"].alias("target_term"), x["docs"].alias("docs"))).alias("variants"))
-    whole = rows.groupBy("key").agg(
-        F.min_by("source_term", "doc").alias("source_term"), F.min_by("term_type", "doc").alias("term_type"), F.count_distinct("doc").alias("docs_count"),
-        F.sum("occurrences").alias("occurrences"), F.bround(F.avg("confidence"), 3).alias("avg_confidence"), F.count_if("keep_original").alias("keep_votes"),
-        F.count_if(~F.col("keep_original")).alias("translate_votes"), F.array_distinct(F.flatten(F.collect_set("alternatives"))).alias("proposed"))
-    both = whole.join(by_target, "key")
+    # By document first, then by target, then by term: each row is shuffled once, and what is left of it is small.
+    first = F.struct("doc", "source_term", "term_type")
+    by_target = rows.groupBy("key", "target_term", "doc").agg(
+        F.min(first).alias("first"), F.sum("occurrences").alias("occurrences"), F.sum("confidence").alias("confidence"), F.count("confidence").alias("n"),
+        F.count_if("keep_original").alias("keep"), F.count_if(~F.col("keep_original")).alias("translate"),
+        F.array_distinct(F.flatten(F.collect_set("alternatives"))).alias("proposed")).groupBy("key", "target_term").agg(
+        F.min("first").alias("first"), F.collect_set("doc").alias("docs"), *(F.sum(c).alias(c) for c in ("occurrences", "confidence", "n", "keep", "translate")),
+        F.array_distinct(F.flatten(F.collect_set("proposed"))).alias("proposed"))
+    variant = F.struct((-F.size("docs")).alias("order"), "target_term", F.size("docs").cast("long").alias("docs"))
+    both = by_target.groupBy("key").agg(
+        F.min("first").alias("_first"), F.size(F.array_distinct(F.flatten(F.collect_set("docs")))).cast("long").alias("docs_count"),
+        F.sum("occurrences").alias("occurrences"), F.bround(F.sum("confidence") / F.sum("n"), 3).alias("avg_confidence"), F.sum("keep").alias("keep_votes"),
+        F.sum("translate").alias("translate_votes"), F.array_distinct(F.flatten(F.collect_set("proposed"))).alias("proposed"),
+        F.transform(F.array_sort(F.collect_list(variant)), lambda x: F.struct(x["target_term"].alias("target_term"), x["docs"].alias("docs"))).alias("variants"))
+    both = both.withColumns({"source_term": F.col("_first.source_term"), "term_type": F.col("_first.term_type")}).drop("_first")
     left = F.array_except("proposed", F.transform("variants", lambda v: v["target_term"]))
     return both.withColumns({"alternatives": F.slice(F.array_sort(left), 1, alternatives), "conflict": F.size("variants") > 1}).drop("proposed")
 
@@ -44,45 +52,70 @@ def with_evidence(entries: DataFrame, contexts: DataFrame) -> DataFrame:
     return entries.join(found, "entry", "left").withColumn("evidence", F.coalesce("evidence", F.array())).drop("ctx_ids")
 
 
+def _head(term: Column) -> Column:
+    return F.regexp_extract(fold(term), r"([\p{L}\p{N}_]+)", 1)
+
+
+def _met(texts: DataFrame, heads: DataFrame, key: str) -> DataFrame:
+    """``(key, source_term)`` of entries one of whose heads ``(source_term, _head)`` is a word of the text.
+
+    Only keys and single words leave a text, so the work follows the words that do occur, and no text moves.
+    """
+    words = F.array_distinct(F.regexp_extract_all(fold(F.col("text")), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))
+    return texts.select(key, F.explode(words).alias("_head")).join(small(heads.distinct()), "_head").select(key, "source_term").distinct()
+
+
+def _flag(case_sensitive: Column) -> Column:
+    return F.when(F.coalesce(case_sensitive, F.lit(False)), "").otherwise("(?iu)")
+
+
 def terms_in(texts: DataFrame, entries: DataFrame, key: str, plural: bool = True) -> DataFrame:
     """``(key, source_term)`` of entries that occur in texts as whole words.
 
-    A text and an entry meet by the entry's first word, as an equi-join, before the pattern is tried; so the work
-    follows the words that do occur and not texts times entries.
+    A text and an entry meet by the entry's first word before the pattern is tried; a text is then joined once, with the
+    list of the entries that it met.
     """
-    words = F.array_distinct(F.regexp_extract_all(fold(F.col("text")), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))
-    first = F.regexp_extract(fold(F.col("source_term")), r"([\p{L}\p{N}_]+)", 1)
-    heads = entries.withColumn("_head", first)
+    first = _head(F.col("source_term"))
     one_word = ~fold(F.col("source_term")).rlike(r"[^\p{L}\p{N}_]")
     ends = F.when(one_word & F.lit(plural), F.array(first, F.concat(first, F.lit("s")), F.concat(first, F.lit("es")))).otherwise(F.array(first))
-    heads = heads.withColumn("_head", F.explode(ends))
-    met = texts.select(key, "text", F.explode(words).alias("_head")).join(heads, "_head")
-    pattern = F.concat(F.when(F.coalesce(F.col("case_sensitive"), F.lit(False)), "").otherwise("(?iu)"), whole_word(F.col("source_term"), plural))
-    return met.where(F.regexp_like("text", pattern)).select(key, "source_term").distinct()
+    pairs = _met(texts, entries.select("source_term", F.explode(ends).alias("_head")), key)
+    terms = pairs.join(small(entries.select("source_term", "case_sensitive")), "source_term")
+    terms = terms.groupBy(key).agg(F.collect_set(F.struct("source_term", F.coalesce("case_sensitive", F.lit(False)).alias("case_sensitive"))).alias("_terms"))
+    found = F.filter("_terms", lambda t: F.regexp_like(F.col("text"), F.concat(_flag(t["case_sensitive"]), whole_word(t["source_term"], plural))))
+    return texts.select(key, "text").join(terms, key).select(key, F.explode(F.transform(found, lambda t: t["source_term"])).alias("source_term")).distinct()
 
 
 def lint(texts: DataFrame, entries: DataFrame, key: str, first_use: DataFrame | None = None) -> DataFrame:
     """``(key, kind, source_term)`` of a glossary's rules that texts break.
 
     Entries: ``(source_term, target_term, keep_original, case_sensitive, forbidden_variants)``. Forbidden variants; terms
-    to be introduced as ``target (source)`` where ``first_use`` ``(key, source_term)`` says; source terms left bare.
+    to be introduced as ``target (source)`` where ``first_use`` ``(key, source_term)`` says; source terms left bare. Each
+    of them shows a word of the entry in the text, so texts meet entries by these words and are joined once.
     """
-    flag = F.when(F.coalesce("case_sensitive", F.lit(False)), "").otherwise("(?iu)")
-    has = lambda text, pattern: F.regexp_like(text, F.concat(flag, pattern))
-    literal = lambda c: F.concat(F.lit(r"\Q"), c, F.lit(r"\E"))
-    rows = texts.select(key, "text").join(F.broadcast(entries))
-    pair = F.concat(literal(F.col("target_term")), F.lit(r"\s*\(\s*"), literal(F.col("source_term")), F.lit(r"\s*\)"))
-    rows = rows.withColumn("_bare", F.regexp_replace(F.col("text"), F.concat(flag, pair), F.lit(" ")))
+    named = F.array_union(F.array("source_term", "target_term"), F.coalesce("forbidden_variants", F.array().cast("array<string>")))
+    pairs = _met(texts, entries.select("source_term", F.explode(F.transform(named, _head)).alias("_head")), key)
+    entry = F.struct("source_term", "target_term", "keep_original", "case_sensitive", "forbidden_variants")
+    pairs = pairs.join(small(entries.select("source_term", entry.alias("e"))), "source_term")
     if first_use is not None:
-        rows = rows.join(first_use.select(key, "source_term", F.lit(True).alias("_first")), [key, "source_term"], "left")
+        pairs = pairs.join(first_use.select(key, "source_term", F.lit(True).alias("_first")).distinct(), [key, "source_term"], "left")
     else:
-        rows = rows.withColumn("_first", F.lit(None).cast("boolean"))
-    forbidden = F.exists("forbidden_variants", lambda v: has(F.col("text"), whole_word(v)))
-    missing = F.col("keep_original") & F.col("_first") & has(F.col("text"), whole_word(F.col("target_term"))) & ~has(F.col("text"), pair)
-    bare = (fold(F.col("source_term")) != fold(F.col("target_term"))) & has(F.col("_bare"), whole_word(F.col("source_term")))
-    kinds = {"forbidden_variant": forbidden, "missing_original_on_first_use": missing, "untranslated_source_term": bare}
-    found = F.filter(F.array(*(F.when(c, F.lit(k)) for k, c in kinds.items())), lambda k: k.isNotNull())
-    return rows.select(key, "source_term", F.explode(found).alias("kind"))
+        pairs = pairs.withColumn("_first", F.lit(None).cast("boolean"))
+    terms = pairs.groupBy(key).agg(F.collect_list(F.struct("e.*", F.coalesce("_first", F.lit(False)).alias("first"))).alias("_terms"))
+    text, literal = F.col("text"), lambda c: F.concat(F.lit(r"\Q"), c, F.lit(r"\E"))
+
+    def broken(t: Column) -> Column:
+        has = lambda where, pattern: F.regexp_like(where, F.concat(_flag(t["case_sensitive"]), pattern))
+        pair = F.concat(literal(t["target_term"]), F.lit(r"\s*\(\s*"), literal(t["source_term"]), F.lit(r"\s*\)"))
+        bare = F.regexp_replace(text, F.concat(_flag(t["case_sensitive"]), pair), F.lit(" "))
+        kinds = {
+            "forbidden_variant": F.exists(t["forbidden_variants"], lambda v: has(text, whole_word(v))),
+            "missing_original_on_first_use": t["keep_original"] & t["first"] & has(text, whole_word(t["target_term"])) & ~has(text, pair),
+            "untranslated_source_term": (fold(t["source_term"]) != fold(t["target_term"])) & has(bare, whole_word(t["source_term"]))}
+        found = F.filter(F.array(*(F.when(c, F.lit(k)) for k, c in kinds.items())), lambda k: k.isNotNull())
+        return F.transform(found, lambda k: F.struct(t["source_term"].alias("source_term"), k.alias("kind")))
+
+    rows = texts.select(key, "text").join(terms, key)
+    return rows.select(key, F.inline(F.flatten(F.transform("_terms", broken)))).select(key, "source_term", "kind")
 
 
 def first_uses(uses: DataFrame, entries: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.operators.scale import folded
+
 
 def balances(ledger: DataFrame, users: DataFrame | None = None) -> DataFrame:
     """``(user_id, balance)``; with a table of users those without entries have 0."""
@@ -23,19 +25,20 @@ def charges(requests: DataFrame, opening: DataFrame) -> DataFrame:
     """Requests ``(user_id, seq, amount, idem)`` with ``accepted`` and the ``balance`` after them.
 
     A charge stands if the balance left by earlier ones covers it; a repeated key changes nothing and is accepted. What
-    is accepted depends on all before, so a user's requests are folded in order.
+    is accepted depends on all before, so a user's requests are run through in order, with the balance as the only state.
     """
     first = Window.partitionBy("user_id", "idem").orderBy("seq")
     rows = requests.withColumn("again", F.col("idem").isNotNull() & (F.row_number().over(first) > 1))
-    rows = rows.join(opening, "user_id", "left").groupBy("user_id").agg(
-        F.max(F.coalesce("balance", F.lit(0))).cast("long").alias("open"),
-        F.array_sort(F.collect_list(F.struct("seq", F.col("amount").cast("long").alias("amount"), "again"))).alias("rs"))
-    kind = "array<struct<seq:bigint,amount:bigint,accepted:boolean,balance:bigint>>"
-    fold = (f"aggregate(rs, named_struct('b', open, 'out', cast(array() AS {kind})), (a, r) -> named_struct("
-            "'b', CASE WHEN r.again OR r.amount <= 0 OR r.amount > a.b THEN a.b ELSE a.b - r.amount END, "
-            "'out', array_append(a.out, named_struct('seq', cast(r.seq AS bigint), 'amount', r.amount, 'accepted', r.again OR r.amount > 0 AND r.amount <= a.b, "
-            "'balance', CASE WHEN r.again OR r.amount <= 0 OR r.amount > a.b THEN a.b ELSE a.b - r.amount END))), a -> a.out)")
-    return rows.select("user_id", F.inline(F.expr(fold)))
+    rows = rows.join(opening, "user_id", "left").select(
+        "user_id", "seq", F.coalesce(F.col("amount").cast("long"), F.lit(0)).alias("amount"), "again", F.coalesce(F.col("balance").cast("long"), F.lit(0)).alias("open"))
+
+    def charge(left: int, r: tuple) -> tuple[int, tuple]:
+        stands = not r.again and 0 < r.amount <= left
+        left -= r.amount if stands else 0
+        return left, (r.user_id, r.seq, r.amount, bool(r.again or stands), left)
+
+    kind = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("user_id", "seq"))
+    return folded(rows, "user_id", ["seq"], lambda r: r.open, charge, f"{kind}, amount bigint, accepted boolean, balance bigint")
 
 
 def refunds(requests: DataFrame, ledger: DataFrame) -> DataFrame:

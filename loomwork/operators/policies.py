@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions.text import cell
+from loomwork.operators.scale import dense_numbers
 
 # What a refund gives back of a charge, by event.
 REFUND_SHARE = {"failed": 1.0, "canceled_early": 1.0, "canceled_late": 0.5, "grade_c": 0.5}
@@ -128,5 +129,5 @@ def cloned(deployments: DataFrame, groups: DataFrame) -> DataFrame:
 def numbered_after(existing: DataFrame, new: DataFrame, stem: str, order: str) -> DataFrame:
     """New rows with ``id`` stem-n, counted on from the greatest number that exists."""
     last = existing.agg(F.coalesce(F.max(F.regexp_extract("id", rf"^{stem}-(\d+)$", 1).try_cast("int")), F.lit(0)).alias("_last"))
-    rows = new.crossJoin(F.broadcast(last)).withColumn("_n", F.row_number().over(Window.orderBy(order)))
+    rows = dense_numbers(new, [order], "_n").crossJoin(F.broadcast(last))  # one row
     return rows.withColumn("id", F.concat(F.lit(f"{stem}-"), F.col("_last") + F.col("_n"))).drop("_last", "_n")

@@ -8,6 +8,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.operators.scale import small
+
 # Fixed values of the routing rules.
 STRUCTURED = ["none", "json_object", "json_schema"]
 RISK_FLAGS = ["multi_account_risk", "trial_only"]
@@ -48,8 +50,8 @@ def eligible(allow_public_risk: bool = False) -> Column:
 
 
 def candidates(requests: DataFrame, deployments: DataFrame, allow_public_risk: bool = False) -> DataFrame:
-    """``(request, deployment)`` pairs that may be served; the catalogue of deployments is a configuration and broadcast."""
-    return requests.alias("r").join(F.broadcast(deployments.alias("d")), eligible(allow_public_risk)).select("r.request", "d.deployment", "d.weight")
+    """``(request, deployment)`` pairs that may be served; the catalogue of deployments is a configuration, broadcast if a count finds it small."""
+    return requests.alias("r").join(small(deployments).alias("d"), eligible(allow_public_risk)).select("r.request", "d.deployment", "d.weight")
 
 
 def ordered(found: DataFrame, score: str = "weight") -> DataFrame:
@@ -89,5 +91,8 @@ def privacy_breaches(jobs: DataFrame, calls: DataFrame, groups: DataFrame) -> Da
 
 def smoothed(outcomes: DataFrame, key: str, value: str, order: str, keep: float = 0.9, start: float = 1.0) -> DataFrame:
     """``(key, ewma, n)``: the exponentially weighted mean of a key's values in their order."""
-    rows = outcomes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v")))).alias("vs"))
-    return rows.select(key, F.expr(f"aggregate(vs, {start}D, (a, x) -> {keep}D * a + {1 - keep}D * x.v)").alias("ewma"), F.size("vs").alias("n"))
+    # The mean is a sum of the values weighted by how many came after, so no list of a key's values is built.
+    later = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order))) - 1
+    rows = outcomes.select(key, F.col(value).cast("double").alias("v"), F.pow(F.lit(keep), later).alias("w"))
+    ewma = F.sum(F.col("v") * F.col("w")) * (1 - keep) + F.pow(F.lit(keep), F.count("*")) * start
+    return rows.groupBy(key).agg(ewma.alias("ewma"), F.count("*").cast("int").alias("n"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions.text import marked_share
+from loomwork.operators.scale import dense_numbers
 
 # Fixed patterns of texts that must not reach a report.
 LEAKED_ID = r"\b(?:U-\d{4,}|P\d{6,}|SEG-\d{3,})\b"
@@ -13,29 +14,15 @@ ASSISTANT = r"(?i)\bas an ai\b|\bi cannot\b|\bhere is the\b|\bcertainly[,!]"
 MARKUP = r"(?i)</?[a-z][^>]*>|https?://"
 
 
-#: First places sampled for the bounds between ranges, and how many of them lie in a range.
-BOUNDS, STRIDE = 2048, 16
-
-
 def citation_numbers(cites: DataFrame) -> DataFrame:
-    """``(unit, number)``: units of ``(pos, unit)`` numbered by their first appearance.
-
-    The units are cut into ranges by bounds from the places with the least hashes, the same in each evaluation, and
-    numbered in their range; what is added are the sums of a small table of counts. No task holds all units.
-    """
-    first = cites.groupBy("unit").agg(F.min("pos").alias("pos")).select(F.struct("pos", "unit").alias("at"))
-    some = first.orderBy(F.xxhash64("at"), "at").limit(BOUNDS).agg(F.sort_array(F.collect_list("at")).alias("_some"))
-    some = some.select(F.filter("_some", lambda x, i: i % STRIDE == STRIDE - 1).alias("_bounds"))
-    cut = first.crossJoin(F.broadcast(some)).select("at", F.size(F.filter("_bounds", lambda b: b < F.col("at"))).alias("_range"))
-    before = F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    counts = cut.groupBy("_range").agg(F.count("*").alias("n")).select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
-    number = F.row_number().over(Window.partitionBy("_range").orderBy("at")) + F.col("_before")
-    return cut.join(F.broadcast(counts), "_range").select("at.unit", number.cast("int").alias("number"))
+    """``(unit, number)``: units of ``(pos, unit)`` numbered by their first appearance."""
+    first = cites.groupBy("unit").agg(F.min("pos").alias("pos"))
+    return dense_numbers(first, ["pos", "unit"], "number").select("unit", F.col("number").cast("int").alias("number"))
 
 
 def numbered(rows: DataFrame, pattern: str, *order: str) -> DataFrame:
     """Rows with ``id``, dense numbers in the order given in a format such as U-%04d."""
-    return rows.withColumn("id", F.format_string(pattern, F.row_number().over(Window.orderBy(*order))))
+    return dense_numbers(rows, list(order), "_n").withColumn("id", F.format_string(pattern, F.col("_n"))).drop("_n")
 
 
 def patched(blocks: DataFrame, replace: DataFrame, insert_after: DataFrame, delete: DataFrame) -> DataFrame:

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from loomwork.operators.scale import folded
+
 EVENT = ("group string, seq long, at double, kind string, deployment string, lease long, tin long, tout long, low boolean, outcome string, retry_after double, latency double")
 ANSWER = "group string, seq long, ok boolean, lease long, wait double, reason string"
 RESERVE, LEASE_S = 0.2, 300.0
@@ -161,12 +163,12 @@ def answered(group: str, quota: Quota, rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def replayed(events: DataFrame, limits: dict[str, dict], zone: str = "UTC") -> DataFrame:
-    """Answers to a finished log of events; a group's events are in the hands of one task, as their order demands."""
+    """Answers to a finished log of events; a group's events pass one task in their order, with the quota as its state."""
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return answered(key[0], Quota(limits, zone), rows)
+    def step(quota: Quota, e: tuple) -> tuple[Quota, tuple]:
+        return quota, (e.group, e.seq, *quota.step(e._asdict()))
 
-    return events.groupBy("group").applyInPandas(run, ANSWER)
+    return folded(events, "group", ["seq"], lambda _: Quota(limits, zone), step, ANSWER)
 
 
 def decided(events: DataFrame, limits: dict[str, dict], zone: str = "UTC") -> DataFrame:

@@ -53,3 +53,8 @@ def unverified_numbers(reports: DataFrame, sources: DataFrame, key: str, min_val
     found = found.where(F.col("number").try_cast("double") >= min_value)
     known = sources.select(key, F.explode(F.array_union(extract_numbers(F.col("text")), extract_numbers(F.col("text"), True))).alias("number"))
     return found.join(known.distinct(), [key, "number"], "left_anti")
+
+
+def in_number_order(rows: DataFrame, number: str = "number") -> DataFrame:
+    """Shorter numbers first, then by their characters."""
+    return rows.orderBy(F.length(number), number)

@@ -92,3 +92,15 @@ def cell(text: Column) -> Column:
 
 def without_angles(text: Column) -> Column:
     return F.trim(F.translate(text, "<>", "‹›"))
+
+
+def without_html(text: Column) -> Column:
+    """Text without tags, scripts, styles and comments, with blanks unified."""
+    bare = F.regexp_replace(text, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[a-z/!][^>]*>", " ")
+    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+
+
+def markdown_problems(text: Column) -> Column:
+    """What a report's Markdown may not hold: html, images, links, code fences and headings above the third level."""
+    rules = {"html": r"(?i)</?[a-z][^>]*>", "image": r"!\[[^\]]*\]\(", "link": r"(^|[^!])\[[^\]]*\]\(|https?://", "code": r"```", "heading": r"(?m)^#{1,2} "}
+    return F.filter(F.array(*(F.when(text.rlike(p), F.lit(k)) for k, p in rules.items())), lambda x: x.isNotNull())

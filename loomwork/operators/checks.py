@@ -61,3 +61,12 @@ def translation_problems(source: DataFrame, target: DataFrame, key: str) -> Data
     ratio = F.col("m") / F.col("n")
     problem = F.when(F.col("m") == 0, "empty").when((F.col("n") >= 40) & ~ratio.between(0.6, 2.2), "length_ratio")
     return pairing(source, target, key).unionByName(both.select(key, problem.alias("problem")).where("problem IS NOT NULL"))
+
+
+def json_problems(rows: DataFrame, key: str, text: str, schema: str, required: list[str], rules: dict[str, Column]) -> DataFrame:
+    """``(key, problem)`` of JSON texts against a schema: unreadable or of wrong types, missing fields, broken rules over ``j``."""
+    parsed = rows.select(key, F.col(text).alias("_t"), F.from_json(text, f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("j"))
+    bad = F.col("_t").isNull() | F.col("j").isNull() | F.col("j._bad").isNotNull()
+    found = [F.when(F.col(f"j.{c}").isNull(), F.lit(f"missing_{c}")) for c in required] + [F.when(~cond, F.lit(name)) for name, cond in rules.items()]
+    found = F.when(bad, F.array(F.lit("unreadable"))).otherwise(F.filter(F.array(*found), lambda x: x.isNotNull()))
+    return parsed.select(key, F.explode(found).alias("problem"))

@@ -74,3 +74,41 @@ def merged_cues(cues: DataFrame, key: str, gap: float = 2.0) -> DataFrame:
     rows = cues.withColumn("cue", F.sum(F.coalesce(breaks, F.lit(False)).cast("int")).over(order))
     return rows.groupBy(key, "cue").agg(F.min("at").alias("start"), F.max("at").alias("end"), F.count("*").alias("parts"),
                                         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), " ").alias("text"))
+
+
+def rolled_out(cues: DataFrame, key: str) -> DataFrame:
+    """Cues ``(key, at, text)`` without those that a rolling caption shows again: a line equal to the one before it, or its beginning."""
+    after = F.lead("text").over(Window.partitionBy(key).orderBy("at"))
+    return cues.withColumn("_next", after).where("_next IS NULL OR NOT startswith(_next, text)").drop("_next")
+
+
+def windows(paras: DataFrame, key: str = "doc_id", size: int = 300_000, overlap: int = 10_000) -> DataFrame:
+    """``(key, window, idx)``: paragraphs in windows of so many tokens; those that begin in a window's last ``overlap`` tokens are in the next one too."""
+    order = Window.partitionBy(key).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    at = paras.select(key, "idx", F.coalesce(F.sum(token_estimate(F.col("text"))).over(order), F.lit(0)).alias("at"))
+    step = size - overlap
+    last = F.expr(f"int(at div {step})")
+    first = F.greatest(F.lit(0), F.expr(f"int((at - {size}) div {step}) + CASE WHEN at >= {size} THEN 1 ELSE 0 END"))
+    return at.select(key, F.explode(F.sequence(first, last)).alias("window"), "idx").withColumn("window", F.col("window") + 1)
+
+
+def window_terms(found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Terms ``(key, window, term, occurrences)`` of overlapping windows once per document, as the window with the most occurrences has them."""
+    best = F.struct(F.col("occurrences"), (-F.col("window")).alias("w"))
+    return found.groupBy(key, "term").agg(F.max(best).alias("b")).select(key, "term", F.col("b.occurrences").alias("occurrences"), (-F.col("b.w")).alias("window"))
+
+
+def extraction_quality(pages: DataFrame, key: str = "doc_id", scanned_below: int = 200) -> DataFrame:
+    """``(key, median_chars, printable, scanned, quality)`` of pages ``(key, text, ocr)``.
+
+    A document is a scan if its median page has under ``scanned_below`` characters. The score weighs printable
+    characters (0.5), pages of a reasonable length (0.3) and pages that were not read by OCR (0.2).
+    """
+    text = F.coalesce("text", F.lit(""))
+    n = F.length(text)
+    rows = pages.select(key, n.alias("n"), (n - F.length(F.regexp_replace(text, r"[\x00-\x08\x0e-\x1f\x{FFFD}]", ""))).alias("odd"), F.coalesce("ocr", F.lit(False)).alias("ocr"))
+    found = rows.groupBy(key).agg(
+        F.median("n").alias("median_chars"), (1 - F.sum("odd") / F.greatest(F.sum("n"), F.lit(1))).alias("printable"),
+        F.avg((F.col("n") >= scanned_below).cast("int")).alias("_long"), F.avg(F.col("ocr").cast("int")).alias("_ocr"))
+    quality = 0.5 * F.col("printable") + 0.3 * F.col("_long") + 0.2 * (1 - F.col("_ocr"))
+    return found.select(key, "median_chars", "printable", (F.col("median_chars") < scanned_below).alias("scanned"), quality.alias("quality"))

@@ -96,3 +96,30 @@ def smoothed(outcomes: DataFrame, key: str, value: str, order: str, keep: float
     rows = outcomes.select(key, F.col(value).cast("double").alias("v"), F.pow(F.lit(keep), later).alias("w"))
     ewma = F.sum(F.col("v") * F.col("w")) * (1 - keep) + F.pow(F.lit(keep), F.count("*")) * start
     return rows.groupBy(key).agg(ewma.alias("ewma"), F.count("*").cast("int").alias("n"))
+
+
+def provider_risks(groups: DataFrame) -> DataFrame:
+    """Groups ``(group_id, provider, tier)`` with how many of a provider's groups share the tier, and whether that is a risk."""
+    same = groups.groupBy("provider", "tier").agg(F.count("*").alias("same"))
+    risky = F.col("tier").isin("free", "trial") & (F.col("same") >= 2)
+    return groups.join(same, ["provider", "tier"]).withColumn("multi_account_risk", risky)
+
+
+def declared_groups(keys: DataFrame, existing: DataFrame) -> DataFrame:
+    """Good keys ``(declaration, provider, grouping, label, pos)`` with the ``group_id`` they get, counted on from ``(group_id)``.
+
+    ``grouping`` is per_key, by_label or single_group; a provider's new groups are numbered in the order of their first key.
+    """
+    unit = F.when(F.col("grouping") == "per_key", F.concat(F.lit("k"), F.col("pos"))).when(F.col("grouping") == "by_label", F.concat(F.lit("l"), F.coalesce("label", F.lit("")))).otherwise("all")
+    rows = keys.withColumn("_unit", unit)
+    new = rows.groupBy("provider", "declaration", "_unit").agg(F.min("pos").alias("_first"))
+    last = existing.select(F.regexp_extract("group_id", r"^(.*)-(\d+)$", 1).alias("provider"), F.regexp_extract("group_id", r"-(\d+)$", 1).try_cast("int").alias("n"))
+    new = new.join(last.groupBy("provider").agg(F.max("n").alias("_last")), "provider", "left")
+    n = F.coalesce("_last", F.lit(0)) + F.row_number().over(Window.partitionBy("provider").orderBy("declaration", "_first"))
+    new = new.select("provider", "declaration", "_unit", F.concat_ws("-", "provider", n).alias("group_id"))
+    return rows.join(new, ["provider", "declaration", "_unit"]).drop("_unit")
+
+
+def probe_scores(runs: DataFrame) -> DataFrame:
+    """``(deployment, kind, score, p50)`` of probe calls ``(deployment, kind, valid, latency)``: share of valid replies and median latency."""
+    return runs.groupBy("deployment", "kind").agg(F.avg(F.col("valid").cast("int")).alias("score"), F.median("latency").alias("p50"))

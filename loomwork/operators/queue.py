@@ -87,3 +87,15 @@ def after_event(events: DataFrame, last_id: int, limit: int | None = None) -> Da
     """Events after a client's last one, in order: replay, and keyset pages with a limit."""
     rows = events.where(F.col("event_id") > last_id).orderBy("event_id")
     return rows.limit(limit) if limit else rows
+
+
+#: Tables that a backup leaves out: what users delete must not live on in it.
+NOT_BACKED_UP = {"doc_paragraphs", "doc_sections", "job_events"}
+
+
+def back_up(tables: dict[str, DataFrame], folder: str) -> list[str]:
+    """Write every table but those of ``NOT_BACKED_UP`` below a folder; the names written."""
+    names = sorted(set(tables) - NOT_BACKED_UP)
+    for name in names:
+        tables[name].write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}")
+    return names

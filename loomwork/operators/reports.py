@@ -132,3 +132,25 @@ def style_block(rules: DataFrame, cap: int) -> DataFrame:
     text = lambda top: F.array_join(F.transform(F.filter("ls", lambda x: x["o"]["s"] <= top), lambda x: x["l"]), "\n")
     fits = lambda t: F.when(F.length(t) <= cap, t)
     return rows.select("core", F.coalesce(fits(text(3)), fits(text(2)), text(1)).alias("text"))
+
+
+def cited_sources(cites: DataFrame, evidence: DataFrame, paras: DataFrame) -> DataFrame:
+    """Citations ``(block, unit)`` down to places: evidence ``(unit, doc_id, pid)`` to paragraphs ``(doc_id, pid, page, timecode)``."""
+    return cites.join(evidence, "unit").join(paras, ["doc_id", "pid"]).select("block", "unit", "doc_id", "pid", "page", "timecode")
+
+
+def cite_problems(cites: DataFrame, section_units: DataFrame) -> DataFrame:
+    """``(section, unit, problem)``: citations ``(section, unit)`` beyond the section's units ``(section, unit, importance)``, and core units uncited."""
+    key = ["section", "unit"]
+    strange = cites.select(key).distinct().join(section_units.select(key), key, "left_anti").withColumn("problem", F.lit("not_in_section"))
+    uncited = section_units.where("importance = 'core'").select(key).join(cites.select(key), key, "left_anti").withColumn("problem", F.lit("core_uncited"))
+    return strange.unionByName(uncited)
+
+
+def page(title: str, rows: DataFrame, kind: str = "md") -> DataFrame:
+    """``(section, value)``: sections ``(section, text)`` as Markdown or html parts, one row each, for ``write.text``."""
+    if kind == "md":
+        return rows.select("section", F.concat(F.lit("## "), "section", F.lit("\n\n"), "text", F.lit("\n")).alias("value"))
+    safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    body = F.replace(safe(F.col("text")), F.lit("\n\n"), F.lit("</p><p>"))
+    return rows.select("section", F.concat(F.lit(f"<section title=\"{title}\"><h2>"), safe(F.col("section").cast("string")), F.lit("</h2><p>"), body, F.lit("</p></section>")).alias("value"))

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.plans import accounts, jobs, texts
+from loomwork.plans import accounts, jobs, reviews, texts
 
 FLAGSHIP = "quote_verification"
-ALL = accounts.QUERIES | texts.QUERIES | jobs.QUERIES
+ALL = accounts.QUERIES | texts.QUERIES | jobs.QUERIES | reviews.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,4 +17,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in ALL.items() if sql}
+    return {name: sql for name, (_, sql) in ALL.items() if sql} | reviews.SQL

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomwork.llm import decontaminate, minmax, mixing, ordinal, sharding
-from loomwork.llm.common import table, written
+from loomwork.llm.common import passing, table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,13 +45,14 @@ STAGES = [
     ("shard", sharded),
 ]
 
-#: The classifier cannot be put in SQL; tests/llm holds each stage against a brute-force version.
+#: The classifier cannot be put in SQL; tests/llm/test_pipeline.py holds the stages after it against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``, each written and read again as the next one's input."""
+    """The stages over ``documents``, each written and read again as the next one's input; the last one's table stays."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    with passing(spark):
+        for name, stage in STAGES:
+            docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}", keep=name == STAGES[-1][0])
     return docs

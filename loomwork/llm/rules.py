@@ -1,21 +1,26 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule rejects a document when a statistic of its text exceeds a cutoff. Cutoffs are chosen per stratum (language)
-on all labelled documents: a cutoff is admissible if an exact binomial test rejects, at the corrected level, that it
-would wrongly reject more than its share of the allowed rate of good documents; of the admissible cutoffs of a rule the
-strictest is used, and a rule without one is not used in that stratum. The level is divided among all tests made
-(strata x rules x cutoffs, after Bonferroni) and the allowed rate among the rules, so with probability
-1 - ``DELTA`` no stratum loses more than ``ALPHA`` of its good documents to the rules.
+Each rule rejects a document when a statistic of its text exceeds a cutoff. The cutoffs of all rules are chosen together
+per stratum (language) by tests in a fixed sequence. Half of the labelled documents, by a hash of the id, only decide
+the sequence: from no rule at all, each step tightens the one rule by one cutoff that rejects the most further bad
+documents by good ones (and the fewest good ones where none are bad). On the other half each step is tested in turn: an
+exact binomial test must reject, at the corrected level, that the rules together would wrongly reject more than
+``ALPHA`` of the good documents. The first step that fails ends the sequence and the last one that passed is used.
+
+No correction is due for the steps, as a sequence stops at its first failure, so the level is divided among the strata
+only: with probability 1 - ``DELTA`` no stratum loses more than ``ALPHA`` of its good documents. A language with too few
+good labels for any step to pass (458 at one per cent of four languages and the pool) shares one pooled stratum with the
+others of its like; how many labels there are decides that, not what they say.
 
 The exact test: with k of n good documents rejected, P(Binomial(n, rate) <= k) <= level, which is the same as the
 Clopper-Pearson upper bound at that level being at most the rate.
 
-One pass over the texts takes the statistics, which are written and then both calibrated on and judged. Only counts by
-(stratum, rule, cutoff) are gathered.
+One pass over the texts takes the statistics, which are written and then both calibrated on and judged. A stratum's
+labels are gathered as counts by how many cutoffs of each rule a document exceeds: some thousands of rows at any size.
 
-Cases: null and empty texts have no words and fail the base rule; a null language is a stratum of its own; a stratum
+Cases: null and empty texts have no words and fail the base rule; a null language is a stratum of its own; a language
 without labels uses no cutoffs; labels that repeat or clash count a document as good only if all its labels are;
-repeated documents get equal verdicts; empty tables give empty results.
+repeated documents get equal verdicts; further columns are ignored, whatever their names; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import small, table, written
+from loomwork.llm.common import passing, small, table, written
 
 ALPHA, DELTA = 0.01, 0.05
 MIN_WORDS = 50
@@ -96,29 +101,68 @@ def at_most(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs))
 
 
+def needed(level: float, alpha: float) -> int:
+    """The least number of good documents of which none rejected passes the test."""
+    return math.ceil(math.log(level) / math.log1p(-alpha))
+
+
+def sequence(chosen: pd.DataFrame) -> Iterator[list[int]]:
+    """The steps to test, from counts ``(exceeded by rule.., good, n)``: by rule, how many cutoffs a document must exceed to be rejected."""
+    over = chosen[list(RULES)].to_numpy()
+    n, good = chosen["n"].to_numpy(), chosen["good"].to_numpy(bool)
+    bar = [len(cutoffs) + 1 for _, cutoffs in RULES.values()]
+    left = np.ones(len(chosen), bool)
+    while any(b > 1 for b in bar):
+        best = None
+        for r, b in enumerate(bar):
+            if b > 1:
+                new = left & (over[:, r] >= b - 1)
+                kept, gone = int(n[new & good].sum()), int(n[new & ~good].sum())
+                key = (-gone / (kept + 1), kept, r)
+                best = min(best, (key, r)) if best else (key, r)
+        r = best[1]
+        bar[r] -= 1
+        left &= over[:, r] < bar[r]
+        yield list(bar)
+
+
+def certified(counts: pd.DataFrame, level: float, alpha: float) -> list[int] | None:
+    """The last step that passes its test; counts ``(exceeded by rule.., good, tested, n)`` of one stratum."""
+    tested = counts[counts["tested"] & counts["good"]]
+    over, n = tested[list(RULES)].to_numpy(), tested["n"].to_numpy()
+    total, found = int(n.sum()), None
+    for bar in sequence(counts[~counts["tested"]]):
+        k = int(n[(over >= np.array(bar)).any(1)].sum()) if len(tested) else 0
+        if k > total * alpha or at_most(k, total, alpha) > level:
+            break
+        found = bar
+    return found
+
+
 def cutoffs(stats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """``(stratum, rule, cutoff)``: the strictest admissible cutoff of each rule in each stratum."""
-    good = labels.groupBy("doc_id").agg(
+    """``(stratum, rule, cutoff)``: the cutoffs in use by language."""
+    known = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
         F.min(F.coalesce("quality", F.lit(0))).alias("quality"), F.max(F.coalesce("toxic", F.lit(1))).alias("toxic"))
-    good = good.where("quality = 1 AND toxic = 0").select("doc_id")
-    held = stats.where(~base_failed()).join(good, "doc_id", "left_semi")
-    grid = [(r, c) for r, (_, cs) in RULES.items() for c in cs]
-    counts = held.groupBy(F.col("lang").alias("stratum")).agg(
-        F.count("*").alias("n"),
-        F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.count_if(F.expr(RULES[r][0]) > c).alias("k"))
-                  for r, c in grid)).alias("tests"))
-    counts = written(counts.select("stratum", "n", F.inline("tests")), "rule-counts")
-    level = delta / max(1, counts.count())
-    share = alpha / len(RULES)
-
-    def tail(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in rows:
-            # Above the mean the tail is over a half, so far too large: those sums are skipped.
-            p = [1.0 if k > n * share else at_most(int(k), int(n), share) for k, n in zip(x["k"], x["n"], strict=True)]
-            yield x.assign(p=p)
-
-    tested = counts.mapInPandas(tail, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in counts.schema)}, p double")
-    return tested.where(F.col("p") <= level).groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
+    known = known.select("doc_id", F.expr("quality = 1 AND toxic = 0").alias("good"))
+    held = stats.where(~base_failed()).join(known, "doc_id")
+    exceeded = [F.expr(f"size(filter(array({', '.join(f'{c}D' for c in cs)}), c -> {s} > c))").alias(r) for r, (s, cs) in RULES.items()]
+    tested = (F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)) == 1).alias("tested")
+    counts = held.select("lang", "good", tested, *exceeded).groupBy("lang", "good", "tested", *RULES).agg(F.count("*").alias("n"))
+    counts = written(counts, "rule-counts")
+    sizes = counts.groupBy("lang").agg(F.sum(F.when(F.col("good") & F.col("tested"), F.col("n")).otherwise(0)).alias("good"))
+    level = delta / (sizes.count() + 1)
+    alone = F.col("good") >= needed(level, alpha)
+    strata = sizes.select(F.col("lang").alias("stratum"), F.when(alone, F.concat(F.lit("of "), F.coalesce(F.concat(F.lit("="), "lang"), F.lit("none")))).otherwise("pool").alias("_s"))
+    strata = small(strata)
+
+    def choose(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        bar = certified(rows, level, alpha)
+        used = [(key[0], r, cs[b - 1]) for (r, (_, cs)), b in zip(RULES.items(), bar or (), strict=False) if b <= len(cs)]
+        return pd.DataFrame(used, columns=["_s", "rule", "cutoff"])
+
+    by = counts.join(strata, counts["lang"].eqNullSafe(strata["stratum"]))
+    chosen = by.groupBy("_s").applyInPandas(choose, "_s string, rule string, cutoff double")
+    return strata.join(chosen, "_s").select("stratum", "rule", "cutoff")
 
 
 def judged(stats: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -133,6 +177,8 @@ def judged(stats: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def op5_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = written(with_statistics(table(spark, sf_dir, "documents"), ["doc_id", "lang"]), "rule-statistics")
-    done = judged(stats, cutoffs(stats, table(spark, sf_dir, "labels")))
-    return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    with passing(spark):
+        stats = written(with_statistics(table(spark, sf_dir, "documents"), ["doc_id", "lang"]), "rule-statistics")
+        done = judged(stats, cutoffs(stats, table(spark, sf_dir, "labels")))
+        columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+        return written(done.select(*columns), "rule-report", keep=True)

@@ -1,7 +1,8 @@
 """Information-theoretic sanitisation: personal data, and the terms whose company gives it away.
 
-Protected entities are the e-mail addresses, IP addresses, card and phone numbers that fixed patterns find. How much a
-term t tells of an entity e is estimated from the corpus: the pointwise mutual information
+Protected entities are the e-mail addresses, IP addresses, card and phone numbers and the secrets (keys and tokens) that
+fixed patterns find, and the classes that they belong to: an address's host or network, and the kind. How much a term t
+tells of an entity e is estimated from the corpus: the pointwise mutual information
 log(N df(e,t) / (df(e) df(t))) over the information of the entity log(N / df(e)). The ratio is 1 if every document with
 t has e too. Here N counts documents, df those with the entity, with the term, and with both, wherever they stand; in a
 text with e, only terms outside all protected spans are its company. There, terms that reach ``REMOVE`` are removed and
@@ -24,18 +25,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import small, table, written
+from loomwork.llm.common import light, passing, small, table, written
 
 KINDS = ("email", "ip", "card", "phone")
+#: Those, and runs of letters and digits that are too long to be words: keys and tokens.
+PROTECTED = (*KINDS, "secret")
 #: As the contract has them, with lookbehinds that only save attempts that cannot differ, and possessive tails.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "secret": r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])(?=[0-9]*+[A-Za-z])[A-Za-z0-9]{32,}+",
 }
 #: What a text must hold to be worth a kind's pattern.
-HINTS = {"email": "text LIKE '%@%.%'", "ip": r"text RLIKE '[0-9]\\.[0-9]'", "card": "text RLIKE '[0-9][ -]?[0-9]'", "phone": "text RLIKE '\\\\+[0-9]'"}
+HINTS = {"email": "text LIKE '%@%.%'", "ip": r"text RLIKE '[0-9]\\.[0-9]'", "card": "text RLIKE '[0-9][ -]?[0-9]'", "phone": "text RLIKE '\\\\+[0-9]'",
+         "secret": "text RLIKE '[A-Za-z0-9]{32}'"}
 _CJK = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"
 #: Marks go with their letter, so a decomposed or Indic word is one term.
 TERM = rf"[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}\p{{M}}]{{2,}}+|{_CJK}{{2}}(?![\p{{L}}\p{{N}}\p{{M}}])"
@@ -54,6 +59,7 @@ VALID = {
     "ip": "x RLIKE '^0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])([.]0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$'",
     "card": f"CASE WHEN length({_DIGITS}) BETWEEN 16 AND 19 THEN {_LUHN} ELSE false END",
     "phone": f"length({_DIGITS}) BETWEEN 8 AND 15",
+    "secret": "true",
 }
 
 
@@ -77,23 +83,30 @@ def _on(valid: str) -> str:
 def found(docs: DataFrame) -> DataFrame:
     """``doc_id, text_key``, spans by kind, and the text of those that have any."""
     none = F.lit(None).cast(_SPANS)
-    spans = {k: F.coalesce(F.when(F.expr(HINTS[k]), placed("text", PATTERNS[k], VALID[k])).otherwise(none), F.array().cast(_SPANS)) for k in KINDS}
+    spans = {k: F.coalesce(F.when(F.expr(HINTS[k]), placed("text", PATTERNS[k], VALID[k])).otherwise(none), F.array().cast(_SPANS)) for k in PROTECTED}
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"), *(s.alias(k) for k, s in spans.items()))
-    some = F.greatest(*(F.size(k) for k in KINDS)) > 0
+    some = F.greatest(*(F.size(k) for k in PROTECTED)) > 0
     return written(rows.withColumn("text", F.when(some, F.col("text"))), "pii-found")
 
 
 def mentions(rows: DataFrame) -> DataFrame:
-    """``(text_key, entity)``: the entities of each distinct text."""
-    each = "concat(" + ", ".join(f"transform({k}, x -> named_struct('kind', '{k}', 'value', x.value))" for k in KINDS) + ")"
+    """``(text_key, entity)``: the entities of each distinct text, one by one and by their classes.
+
+    A class is the host of an e-mail address, the first three parts of an IP address, or the kind itself: a term may give
+    away whose address it is, where it belongs, or that there is one.
+    """
+    each = "concat(" + ", ".join(f"transform({k}, x -> named_struct('kind', '{k}', 'value', x.value))" for k in PROTECTED) + ")"
     rows = rows.where("text IS NOT NULL").select("text_key", F.explode(F.expr(each)).alias("m"))
-    value = "CASE WHEN m.kind = 'email' THEN lower(m.value) WHEN m.kind = 'ip' THEN m.value ELSE regexp_replace(m.value, '[^0-9]', '') END"
-    return rows.select("text_key", F.expr(f"concat(m.kind, ':', {value})").alias("entity")).distinct()
+    value = "CASE WHEN m.kind = 'email' THEN lower(m.value) WHEN m.kind IN ('ip', 'secret') THEN m.value ELSE regexp_replace(m.value, '[^0-9]', '') END"
+    wider = ("CASE WHEN m.kind = 'email' THEN concat('host:', substring_index(lower(m.value), '@', -1)) "
+             "WHEN m.kind = 'ip' THEN concat('net:', substring_index(m.value, '.', 3)) END")
+    named = f"filter(array(concat(m.kind, ':', {value}), {wider}, concat('kind:', m.kind)), x -> x IS NOT NULL)"
+    return rows.select("text_key", F.explode(F.expr(named)).alias("entity")).distinct()
 
 
 def outside() -> Column:
     """The distinct terms of the text, lower-cased, that overlap no span."""
-    spans = "array_sort(concat(" + ", ".join(f"transform({k}, x -> named_struct('s', x.start, 'e', x.end))" for k in KINDS) + "))"
+    spans = "array_sort(concat(" + ", ".join(f"transform({k}, x -> named_struct('s', x.start, 'e', x.end))" for k in PROTECTED) + "))"
     text = "translate(text, chr(0), ' ')"
     pieces = (f"aggregate({spans}, named_struct('at', 0, 'out', cast(array() AS array<string>)), (a, x) -> CASE WHEN x.e <= a.at THEN a ELSE "
               f"named_struct('at', x.e, 'out', CASE WHEN x.s < a.at THEN a.out ELSE array_append(a.out, substring({text}, a.at + 1, x.s - a.at)) END) END, "
@@ -108,7 +121,8 @@ def company(rows: DataFrame, support: int = SUPPORT) -> DataFrame:
     entities = seen.groupBy("entity").agg(F.count("*").alias("n"), F.sum("times").alias("df_e")).where(F.col("n") >= support).drop("n")
     held = seen.join(small(written(entities, "pii-entities")), "entity").groupBy("text_key")
     held = held.agg(F.first("times").alias("times"), F.collect_list(F.struct("entity", "df_e")).alias("entities"))
-    texts = rows.where("text IS NOT NULL").join(small(written(held, "pii-held")), "text_key").dropDuplicates(["text_key"])
+    held = light(written(held, "pii-held"), F.lit(64) * F.size("entities"))
+    texts = rows.where("text IS NOT NULL").join(held, "text_key").dropDuplicates(["text_key"])
     return written(texts.select("text_key", "times", "entities", outside().alias("terms")), "pii-company")
 
 
@@ -144,12 +158,12 @@ def spans_of(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
     texts = rows.where("text IS NOT NULL").dropDuplicates(["text_key"])
     flagged = paired(together).join(small(telling), ["entity", "term"]).groupBy("text_key", "term").agg(F.max("disclosure").alias("d"))
     flagged = flagged.groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("term", "d"))).alias("terms"))
-    texts = texts.join(flagged, "text_key").select("text_key", "text", "terms", *KINDS)
-    base = "concat(" + ", ".join(f"transform({k}, b -> named_struct('s', b.start, 'e', b.end))" for k in KINDS) + ")"
+    texts = texts.join(flagged, "text_key").select("text_key", "text", "terms", *PROTECTED)
+    base = "concat(" + ", ".join(f"transform({k}, b -> named_struct('s', b.start, 'e', b.end))" for k in PROTECTED) + ")"
     at = texts.select("text_key", F.expr(base).alias("base"), "terms", placed("text", TERM, "terms[lower(x)] IS NOT NULL").alias("term"))
     free = "filter(term, x -> NOT exists(base, b -> x.start < b.e AND b.s < x.end))"
     shaped = f"transform({free}, x -> named_struct('start', x.start, 'end', x.end, 'value', x.value, 'disclosure', terms[lower(x.value)]))"
-    at = small(written(at.select(F.col("text_key").alias("_key"), F.expr(shaped).alias("term")), "pii-terms"))
+    at = light(written(at.select(F.col("text_key").alias("_key"), F.expr(shaped).alias("term")), "pii-terms"), F.lit(48) * F.size("term"))
     none = F.array().cast("array<struct<start:int,end:int,value:string,disclosure:double>>")
     return rows.drop("text").join(at, rows["text_key"] == at["_key"], "left").drop("_key").withColumn("term", F.coalesce("term", none))
 
@@ -160,24 +174,27 @@ def listed(*kinds: str) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    rows = spans_of(docs)
-    return rows.select(
-        "doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS),
-        F.sha2(listed(*KINDS).cast("binary"), 256).alias("base_sha256"), listed(*KINDS, "term").alias("spans"),
-        F.size("term").cast("long").alias("n_term"))
+    """``doc_id``, counts by kind, the digest of the fixed kinds' spans, all spans, and counts of secrets and terms."""
+    with passing(docs.sparkSession):
+        rows = spans_of(docs).select(
+            "doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS),
+            F.sha2(listed(*KINDS).cast("binary"), 256).alias("base_sha256"), listed(*PROTECTED, "term").alias("spans"),
+            F.size("secret").cast("long").alias("n_secret"), F.size("term").cast("long").alias("n_term"))
+        return written(rows, "pii-report", keep=True)
 
 
 def sanitised(docs: DataFrame) -> DataFrame:
     """The documents with entities as ``[KIND]``, removed terms gone and generalised ones as ``[TERM]``."""
-    parts = [f"transform({k}, x -> named_struct('s', x.start, 'e', x.end, 'by', '[{k.upper()}]'))" for k in KINDS]
+    parts = [f"transform({k}, x -> named_struct('s', x.start, 'e', x.end, 'by', '[{k.upper()}]'))" for k in PROTECTED]
     parts.append(f"transform(term, x -> named_struct('s', x.start, 'e', x.end, 'by', CASE WHEN x.disclosure >= {REMOVE} THEN '' ELSE '[TERM]' END))")
-    spans = spans_of(docs).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.expr(f"array_sort(concat({', '.join(parts)}))").alias("_cuts"))
-    spans = spans.where(F.size("_cuts") > 0).dropDuplicates(["_id", "_key"])
+    with passing(docs.sparkSession):
+        spans = spans_of(docs).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.expr(f"array_sort(concat({', '.join(parts)}))").alias("_cuts"))
+        spans = written(spans.where(F.size("_cuts") > 0).dropDuplicates(["_id", "_key"]), "pii-cuts", keep=True)
     both = docs.join(spans, docs["doc_id"].eqNullSafe(spans["_id"]) & (F.xxhash64(docs["text"]) == spans["_key"]), "left")
     text = ("aggregate(_cuts, named_struct('at', 0, 'out', cast(array() AS array<string>)), (a, x) -> CASE WHEN x.e <= a.at THEN a ELSE "
             "named_struct('at', x.e, 'out', concat(a.out, array(substring(text, a.at + 1, greatest(0, x.s - a.at)), CASE WHEN x.s >= a.at THEN x.by ELSE '' END))) END, "
             "a -> concat(array_join(a.out, ''), substring(text, a.at + 1)))")
-    return both.withColumn("text", F.when(F.col("_cuts").isNotNull(), F.expr(text)).otherwise(F.col("text"))).select(docs.columns)
+    return both.select(*(docs[c] if c != "text" else F.when(F.col("_cuts").isNotNull(), F.expr(text.replace("(text,", "(`text`,"))).otherwise(docs["text"]).alias("text") for c in docs.columns))
 
 
 def op6_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -247,6 +247,14 @@ def number_order(spark, d):
     return numbers.in_number_order(i).limit(300)
 
 
+
+
+def _even(x: str, places: int) -> str:
+    """Half-even rounding of a double by its decimal digits, as Spark rounds; DuckDB rounds the binary value."""
+    d = f"(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38,20)) * {10**places})"
+    return f"CAST(floor({d}) + CASE WHEN {d} - floor({d}) > 0.5 OR ({d} - floor({d}) = 0.5 AND floor({d}) % 2 = 1) THEN 1 ELSE 0 END AS DOUBLE) / {10**places}"
+
+
 _T = "words * 20 * CASE lang WHEN 'en' THEN 1.35::DOUBLE WHEN 'vi' THEN 1.6 ELSE 1.4 END"
 _EST = ("(VALUES ('full_translation', 2.15::DOUBLE, 0.02::DOUBLE, 1.10::DOUBLE, 1.20::DOUBLE, 1.0::DOUBLE, NULL::DOUBLE, NULL, NULL), ('detailed_synthesis', 4.60, 0.62, 1.30, 1.35, 2.5, 0.35, 1500, 24000), "
         "('deep_synthesis', 4.05, 0.49, 1.30, 1.00, 2.5, 0.12, 800, 9000), ('executive_brief', 3.00, 0.40, 1.30, 0.70, 2.0, 0.03, 250, 1500)) v(level, ix, fx, think, credit, serial, share, low, high)")
@@ -370,13 +378,13 @@ SELECT doc_id, CAST(segment AS INT) AS segment, CASE WHEN f > 2 THEN printf('P%0
     "cost_estimates": f"""WITH {WORDS}, e AS (SELECT *, {_T} AS t, {_BUDGET} AS budget FROM words, {_EST}),
 x AS (SELECT *, ix * t AS tin, think * (fx * t + budget * 1.8::DOUBLE) AS tout, greatest(1, ceil(t / 300000)) AS g, {_CALLS} AS sec FROM e),
 m AS (SELECT *, serial + tout * 2.0::DOUBLE / 43200.0::DOUBLE AS minutes FROM x)
-SELECT doc_id, level, CAST(round_even(tin, 0) AS BIGINT) AS tokens_in, CAST(round_even(tout, 0) AS BIGINT) AS tokens_out, round_even(tin / 1e6 * 0.3::DOUBLE + tout / 1e6 * 2.5::DOUBLE, 4) AS cost_usd,
-  CAST(greatest(1, ceil(words * 20 / 300 * credit)) AS BIGINT) AS credits, round_even(minutes * 0.7::DOUBLE, 1) AS minutes_low, round_even(minutes * 1.8::DOUBLE, 1) AS minutes_high,
+SELECT doc_id, level, CAST({_even('tin', 0)} AS BIGINT) AS tokens_in, CAST({_even('tout', 0)} AS BIGINT) AS tokens_out, {_even('tin / 1e6 * 0.3::DOUBLE + tout / 1e6 * 2.5::DOUBLE', 4)} AS cost_usd,
+  CAST(greatest(1, ceil(words * 20 / 300 * credit)) AS BIGINT) AS credits, {_even('minutes * 0.7::DOUBLE', 1)} AS minutes_low, {_even('minutes * 1.8::DOUBLE', 1)} AS minutes_high,
   CAST(CASE WHEN level = 'full_translation' THEN ceil(1 + g + ceil(t / 4000) * 1.1::DOUBLE) ELSE ceil(1 + g + ceil(t / 8000) * 1.1::DOUBLE + 1 + sec + (ceil(sec) + ceil(sec * 0.5::DOUBLE)) + sec * 0.6::DOUBLE + 1) END AS BIGINT) AS calls FROM m""",
     "translation_modes": f"""WITH {WORDS}, e AS (SELECT *, {_T} AS t, words * 20 * 1.8::DOUBLE AS v FROM words, (VALUES ('direct'), ('postedit_full'), ('postedit_selective')) m(mode)),
 x AS (SELECT *, t * 2.15::DOUBLE + CASE WHEN mode = 'direct' THEN 0 ELSE v END AS tin,
   (t * 0.02::DOUBLE + CASE WHEN mode = 'postedit_selective' THEN v * (1 - 0.7::DOUBLE) + words * 20 / 60 * 0.7::DOUBLE * 14 ELSE v END) * 1.1::DOUBLE AS tout FROM e)
-SELECT doc_id, mode, CAST(round_even(tin, 0) AS BIGINT) AS tokens_in, CAST(round_even(tout, 0) AS BIGINT) AS tokens_out, round_even(tin / 1e6 * 0.3::DOUBLE + tout / 1e6 * 2.5::DOUBLE, 4) AS cost_usd,
+SELECT doc_id, mode, CAST({_even('tin', 0)} AS BIGINT) AS tokens_in, CAST({_even('tout', 0)} AS BIGINT) AS tokens_out, {_even('tin / 1e6 * 0.3::DOUBLE + tout / 1e6 * 2.5::DOUBLE', 4)} AS cost_usd,
   CAST(ceil(greatest(1, ceil(t / 4000)) * 1.1::DOUBLE) AS BIGINT) AS llm_calls FROM x""",
     "day_capacity_forecast": f"""WITH {WORDS}, e AS (SELECT doc_id, {_T} AS t FROM words)
 SELECT doc_id, CAST(floor(237.0::DOUBLE / ceil(1 + greatest(1, ceil(t / 300000)) + ceil(t / 4000) * 1.1::DOUBLE)) AS BIGINT) AS per_day FROM e""",

@@ -55,11 +55,13 @@ def estimate(words: Column, level: Column, lang: Column, in_price: Column, out_p
     credits = F.greatest(F.lit(1), F.ceil(words / WORDS_PER_PAGE * by_level(level, "credit")))
     minutes = by_level(level, "serial") + tokens_out * 2.0 / (TOKENS_PER_SECOND * STREAMS * 60.0)
     return F.struct(
-        F.bround(tokens_in).cast("long").alias("tokens_in"), F.bround(tokens_out).cast("long").alias("tokens_out"), F.bround(cost, 4).alias("cost_usd"),
+        F.bround(tokens_in).cast("long").alias("tokens_in"), F.bround(tokens_out).cast("long").alias("tokens_out"),
+        F.bround(cost, 4).alias("cost_usd"),
         credits.cast("long").alias("credits"), F.bround(minutes * 0.7, 1).alias("minutes_low"), F.bround(minutes * 1.8, 1).alias("minutes_high"))
 
 
-def estimate_translation(words: Column, mode: Column, lang: Column, in_price: Column, out_price: Column, keep: float = 0.7, segment: int = 4000) -> Column:
+def estimate_translation(words: Column, mode: Column, lang: Column, in_price: Column, out_price: Column, keep: float = 0.7,
+        segment: int = 4000) -> Column:
     """Tokens, cost and calls of translating directly or by editing a draft, wholly or where needed."""
     p = LEVELS["full_translation"]
     t, v = source_tokens(words, lang), words * TOKENS_PER_TARGET_WORD

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed patterns: how providers word their limits.
 DAY = r"(?i)insufficient_quota|per day|\btpd\b|\brpd\b|daily|credits? (are )?exhausted"
 MINUTE = r"(?i)per minute|\btpm\b|\brpm\b"
 TOO_LONG = r"(?i)context|too many tokens|token count|maximum.*length|too long"

@@ -41,7 +41,8 @@ def fold(text: Column) -> Column:
 
 
 #: Letters with marks by their parts: what Unicode composes.
-COMPOSED = {unicodedata.normalize("NFD", c): c for c in map(chr, range(0xC0, 0x2000)) if unicodedata.normalize("NFC", unicodedata.normalize("NFD", c)) == c and unicodedata.decomposition(c)}
+COMPOSED = {unicodedata.normalize("NFD", c): c for c in map(chr, range(0xC0, 0x2000)) if unicodedata.normalize("NFC",
+    unicodedata.normalize("NFD", c)) == c and unicodedata.decomposition(c)}
 
 
 def composed(text: Column) -> Column:
@@ -102,5 +103,6 @@ def without_html(text: Column) -> Column:
 
 def markdown_problems(text: Column) -> Column:
     """What a report's Markdown may not hold: html, images, links, code fences and headings above the third level."""
-    rules = {"html": r"(?i)</?[a-z][^>]*>", "image": r"!\[[^\]]*\]\(", "link": r"(^|[^!])\[[^\]]*\]\(|https?://", "code": r"```", "heading": r"(?m)^#{1,2} "}
+    rules = {"html": r"(?i)</?[a-z][^>]*>", "image": r"!\[[^\]]*\]\(", "link": r"(^|[^!])\[[^\]]*\]\(|https?://", "code": r"```",
+        "heading": r"(?m)^#{1,2} "}
     return F.filter(F.array(*(F.when(text.rlike(p), F.lit(k)) for k, p in rules.items())), lambda x: x.isNotNull())

@@ -36,7 +36,8 @@ def duplicates(rows: DataFrame, *key: Column) -> DataFrame:
 def drift(left: DataFrame, right: DataFrame, value: str) -> DataFrame:
     """``(value, side)`` of values that only one of two declarations has."""
     a, b = left.select(value).distinct(), right.select(value).distinct()
-    return a.join(b, value, "left_anti").withColumn("side", F.lit("left")).unionByName(b.join(a, value, "left_anti").withColumn("side", F.lit("right")))
+    return a.join(b, value, "left_anti").withColumn("side", F.lit("left")).unionByName(b.join(a, value, "left_anti").withColumn("side",
+        F.lit("right")))
 
 
 def frozen(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -65,7 +66,8 @@ def translation_problems(source: DataFrame, target: DataFrame, key: str) -> Data
 
 def json_problems(rows: DataFrame, key: str, text: str, schema: str, required: list[str], rules: dict[str, Column]) -> DataFrame:
     """``(key, problem)`` of JSON texts against a schema: unreadable or of wrong types, missing fields, broken rules over ``j``."""
-    parsed = rows.select(key, F.col(text).alias("_t"), F.from_json(text, f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("j"))
+    parsed = rows.select(key, F.col(text).alias("_t"), F.from_json(text, f"{schema}, _bad string",
+        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("j"))
     bad = F.col("_t").isNull() | F.col("j").isNull() | F.col("j._bad").isNotNull()
     found = [F.when(F.col(f"j.{c}").isNull(), F.lit(f"missing_{c}")) for c in required] + [F.when(~cond, F.lit(name)) for name, cond in rules.items()]
     found = F.when(bad, F.array(F.lit("unreadable"))).otherwise(F.filter(F.array(*found), lambda x: x.isNotNull()))

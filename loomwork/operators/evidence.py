@@ -70,4 +70,5 @@ def verified(evidence: DataFrame, paras: DataFrame, keys: list[str], fuzzy: bool
 
 def unit_verified(results: DataFrame, *keys: str) -> DataFrame:
     """``(keys.., verified, bad_ratio)``: at least one good quote, and the share of bad ones."""
-    return results.groupBy(*keys).agg(F.bool_or(F.col("status").isin(*GOOD)).alias("verified"), F.avg(F.col("status").isin(*BAD).cast("int")).alias("bad_ratio"))
+    return results.groupBy(*keys).agg(F.bool_or(F.col("status").isin(*GOOD)).alias("verified"),
+        F.avg(F.col("status").isin(*BAD).cast("int")).alias("bad_ratio"))

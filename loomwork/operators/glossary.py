@@ -23,17 +23,21 @@ def merged_candidates(candidates: DataFrame, alternatives: int = 5) -> DataFrame
     # By document first, then by target, then by term: each row is shuffled once, and what is left of it is small.
     first = F.struct("doc", "source_term", "term_type")
     by_target = rows.groupBy("key", "target_term", "doc").agg(
-        F.min(first).alias("first"), F.sum("occurrences").alias("occurrences"), F.sum("confidence").alias("confidence"), F.count("confidence").alias("n"),
+        F.min(first).alias("first"), F.sum("occurrences").alias("occurrences"), F.sum("confidence").alias("confidence"),
+        F.count("confidence").alias("n"),
         F.count_if("keep_original").alias("keep"), F.count_if(~F.col("keep_original")).alias("translate"),
         F.array_distinct(F.flatten(F.collect_set("alternatives"))).alias("proposed")).groupBy("key", "target_term").agg(
-        F.min("first").alias("first"), F.collect_set("doc").alias("docs"), *(F.sum(c).alias(c) for c in ("occurrences", "confidence", "n", "keep", "translate")),
+        F.min("first").alias("first"), F.collect_set("doc").alias("docs"),
+        *(F.sum(c).alias(c) for c in ("occurrences", "confidence", "n", "keep", "translate")),
         F.array_distinct(F.flatten(F.collect_set("proposed"))).alias("proposed"))
     variant = F.struct((-F.size("docs")).alias("order"), "target_term", F.size("docs").cast("long").alias("docs"))
     both = by_target.groupBy("key").agg(
         F.min("first").alias("_first"), F.size(F.array_distinct(F.flatten(F.collect_set("docs")))).cast("long").alias("docs_count"),
-        F.sum("occurrences").alias("occurrences"), F.bround(F.sum("confidence") / F.sum("n"), 3).alias("avg_confidence"), F.sum("keep").alias("keep_votes"),
+        F.sum("occurrences").alias("occurrences"), F.bround(F.sum("confidence") / F.sum("n"), 3).alias("avg_confidence"),
+        F.sum("keep").alias("keep_votes"),
         F.sum("translate").alias("translate_votes"), F.array_distinct(F.flatten(F.collect_set("proposed"))).alias("proposed"),
-        F.transform(F.array_sort(F.collect_list(variant)), lambda x: F.struct(x["target_term"].alias("target_term"), x["docs"].alias("docs"))).alias("variants"))
+        F.transform(F.array_sort(F.collect_list(variant)), lambda x: F.struct(x["target_term"].alias("target_term"),
+        x["docs"].alias("docs"))).alias("variants"))
     both = both.withColumns({"source_term": F.col("_first.source_term"), "term_type": F.col("_first.term_type")}).drop("_first")
     left = F.array_except("proposed", F.transform("variants", lambda v: v["target_term"]))
     return both.withColumns({"alternatives": F.slice(F.array_sort(left), 1, alternatives), "conflict": F.size("variants") > 1}).drop("proposed")
@@ -80,9 +84,11 @@ def terms_in(texts: DataFrame, entries: DataFrame, key: str, plural: bool = True
     ends = F.when(one_word & F.lit(plural), F.array(first, F.concat(first, F.lit("s")), F.concat(first, F.lit("es")))).otherwise(F.array(first))
     pairs = _met(texts, entries.select("source_term", F.explode(ends).alias("_head")), key)
     terms = pairs.join(small(entries.select("source_term", "case_sensitive")), "source_term")
-    terms = terms.groupBy(key).agg(F.collect_set(F.struct("source_term", F.coalesce("case_sensitive", F.lit(False)).alias("case_sensitive"))).alias("_terms"))
+    terms = terms.groupBy(key).agg(F.collect_set(F.struct("source_term",
+        F.coalesce("case_sensitive", F.lit(False)).alias("case_sensitive"))).alias("_terms"))
     found = F.filter("_terms", lambda t: F.regexp_like(F.col("text"), F.concat(_flag(t["case_sensitive"]), whole_word(t["source_term"], plural))))
-    return texts.select(key, "text").join(terms, key).select(key, F.explode(F.transform(found, lambda t: t["source_term"])).alias("source_term")).distinct()
+    return texts.select(key, "text").join(terms, key).select(key,
+        F.explode(F.transform(found, lambda t: t["source_term"])).alias("source_term")).distinct()
 
 
 def lint(texts: DataFrame, entries: DataFrame, key: str, first_use: DataFrame | None = None) -> DataFrame:
@@ -137,5 +143,7 @@ def effective(*ranked: tuple[DataFrame, int]) -> DataFrame:
 def release(entries: DataFrame) -> DataFrame:
     """A glossary's confirmed entries as one immutable row: ``glossary, entry_count, entries, content_sha256``."""
     line = F.struct(F.lower("source_term").alias("order"), F.to_json(F.struct("source_term", "target_term", "keep_original")).alias("json"))
-    rows = entries.where("status = 'confirmed'").groupBy("glossary").agg(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["json"]).alias("entries"))
-    return rows.select("glossary", F.size("entries").alias("entry_count"), "entries", F.sha2(F.array_join("entries", "\n").cast("binary"), 256).alias("content_sha256"))
+    rows = entries.where("status = 'confirmed'").groupBy("glossary").agg(F.transform(F.array_sort(F.collect_list(line)),
+        lambda x: x["json"]).alias("entries"))
+    return rows.select("glossary", F.size("entries").alias("entry_count"), "entries",
+        F.sha2(F.array_join("entries", "\n").cast("binary"), 256).alias("content_sha256"))

@@ -30,7 +30,8 @@ def charges(requests: DataFrame, opening: DataFrame) -> DataFrame:
     first = Window.partitionBy("user_id", "idem").orderBy("seq")
     rows = requests.withColumn("again", F.col("idem").isNotNull() & (F.row_number().over(first) > 1))
     rows = rows.join(opening, "user_id", "left").select(
-        "user_id", "seq", F.coalesce(F.col("amount").cast("long"), F.lit(0)).alias("amount"), "again", F.coalesce(F.col("balance").cast("long"), F.lit(0)).alias("open"))
+        "user_id", "seq", F.coalesce(F.col("amount").cast("long"), F.lit(0)).alias("amount"), "again",
+        F.coalesce(F.col("balance").cast("long"), F.lit(0)).alias("open"))
 
     def charge(left: int, r: tuple) -> tuple[int, tuple]:
         stands = not r.again and 0 < r.amount <= left
@@ -51,13 +52,15 @@ def refunds(requests: DataFrame, ledger: DataFrame) -> DataFrame:
 def redeemed(attempts: DataFrame, codes: DataFrame) -> DataFrame:
     """Attempts ``(attempt_id, code, user_id, at)`` with ``status`` ok, invalid, repeated or exhausted against ``(code, max_uses, credits, expires_at, revoked)``."""
     rows = attempts.withColumn("code", F.upper("code")).join(codes, "code", "left")
-    valid = F.col("max_uses").isNotNull() & ~F.coalesce("revoked", F.lit(False)) & (F.col("expires_at").isNull() | (F.col("expires_at") >= F.col("at")))
+    valid = F.col("max_uses").isNotNull() & ~F.coalesce("revoked",
+        F.lit(False)) & (F.col("expires_at").isNull() | (F.col("expires_at") >= F.col("at")))
     rows = rows.withColumn("_valid", valid)
     once = Window.partitionBy("code", "user_id", "_valid").orderBy("at", "attempt_id")
     rows = rows.withColumn("_first", F.col("_valid") & (F.row_number().over(once) == 1))
     rank = F.row_number().over(Window.partitionBy("code", "_first").orderBy("at", "attempt_id"))
     rows = rows.withColumn("_rank", rank)
-    status = F.when(~F.col("_valid"), "invalid").when(~F.col("_first"), "repeated").when(F.col("_rank") > F.col("max_uses"), "exhausted").otherwise("ok")
+    status = F.when(~F.col("_valid"), "invalid").when(~F.col("_first"), "repeated").when(F.col("_rank") > F.col("max_uses"),
+        "exhausted").otherwise("ok")
     return rows.withColumn("status", status).drop("_valid", "_first", "_rank")
 
 
@@ -73,7 +76,8 @@ def priced(calls: DataFrame, prices: DataFrame, strict: bool = True) -> DataFram
     rows = calls.join(spans, on, "left").drop("_model", "_until")
     if not strict:
         return rows
-    known = F.when(F.col("effective_from").isNull(), F.raise_error(F.concat(F.lit("no_price_for_model "), F.coalesce("model", F.lit("?"))))).otherwise(F.col("effective_from"))
+    known = F.when(F.col("effective_from").isNull(), F.raise_error(F.concat(F.lit("no_price_for_model "),
+        F.coalesce("model", F.lit("?"))))).otherwise(F.col("effective_from"))
     return rows.withColumn("effective_from", known)
 
 

@@ -37,7 +37,8 @@ def segments(paras: DataFrame, key: str = "doc_id", target: int = 8000, most: in
     merged = (f"CASE WHEN size(s) > 1 AND element_at(s, -1).t < {least} THEN concat(slice(s, 1, size(s) - 2), array(named_struct("
               "'a', element_at(s, -2).a, 'b', element_at(s, -1).b, 't', element_at(s, -2).t + element_at(s, -1).t))) ELSE s END")
     rows = sizes.select(key, F.expr(fold).alias("s")).select(key, F.posexplode(F.expr(merged)).alias("pos", "x"))
-    return rows.select(key, (F.col("pos") + 1).alias("segment"), F.col("x.a").alias("first_idx"), F.col("x.b").alias("last_idx"), F.col("x.t").alias("tokens"))
+    return rows.select(key, (F.col("pos") + 1).alias("segment"), F.col("x.a").alias("first_idx"), F.col("x.b").alias("last_idx"),
+        F.col("x.t").alias("tokens"))
 
 
 def context_before(paras: DataFrame, starts: DataFrame, key: str = "doc_id", n: int = 2) -> DataFrame:
@@ -73,7 +74,8 @@ def merged_cues(cues: DataFrame, key: str, gap: float = 2.0) -> DataFrame:
     breaks = (F.col("at").cast("double") - F.lag(F.col("at").cast("double")).over(order) > gap) | F.lag("text").over(order).rlike(r"[.!?…]\s*$")
     rows = cues.withColumn("cue", F.sum(F.coalesce(breaks, F.lit(False)).cast("int")).over(order))
     return rows.groupBy(key, "cue").agg(F.min("at").alias("start"), F.max("at").alias("end"), F.count("*").alias("parts"),
-                                        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), " ").alias("text"))
+                                        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]),
+                                        " ").alias("text"))
 
 
 def rolled_out(cues: DataFrame, key: str) -> DataFrame:
@@ -95,7 +97,8 @@ def windows(paras: DataFrame, key: str = "doc_id", size: int = 300_000, overlap:
 def window_terms(found: DataFrame, key: str = "doc_id") -> DataFrame:
     """Terms ``(key, window, term, occurrences)`` of overlapping windows once per document, as the window with the most occurrences has them."""
     best = F.struct(F.col("occurrences"), (-F.col("window")).alias("w"))
-    return found.groupBy(key, "term").agg(F.max(best).alias("b")).select(key, "term", F.col("b.occurrences").alias("occurrences"), (-F.col("b.w")).alias("window"))
+    return found.groupBy(key, "term").agg(F.max(best).alias("b")).select(key, "term", F.col("b.occurrences").alias("occurrences"),
+        (-F.col("b.w")).alias("window"))
 
 
 def extraction_quality(pages: DataFrame, key: str = "doc_id", scanned_below: int = 200) -> DataFrame:
@@ -106,7 +109,8 @@ def extraction_quality(pages: DataFrame, key: str = "doc_id", scanned_below: int
     """
     text = F.coalesce("text", F.lit(""))
     n = F.length(text)
-    rows = pages.select(key, n.alias("n"), (n - F.length(F.regexp_replace(text, r"[\x00-\x08\x0e-\x1f\x{FFFD}]", ""))).alias("odd"), F.coalesce("ocr", F.lit(False)).alias("ocr"))
+    rows = pages.select(key, n.alias("n"), (n - F.length(F.regexp_replace(text, r"[\x00-\x08\x0e-\x1f\x{FFFD}]", ""))).alias("odd"),
+        F.coalesce("ocr", F.lit(False)).alias("ocr"))
     found = rows.groupBy(key).agg(
         F.median("n").alias("median_chars"), (1 - F.sum("odd") / F.greatest(F.sum("n"), F.lit(1))).alias("printable"),
         F.avg((F.col("n") >= scanned_below).cast("int")).alias("_long"), F.avg(F.col("ocr").cast("int")).alias("_ocr"))

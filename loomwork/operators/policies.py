@@ -62,8 +62,10 @@ def reruns(segments: DataFrame, most: float = 0.3) -> DataFrame:
     """Work that follows from results ``(segment, first_idx, last_idx, bad_ratio, truncated, runs)``: once more with feedback, or in two halves if cut off."""
     middle = F.expr("(first_idx + last_idx) div 2").cast("int")
     whole = F.array(F.struct(F.lit("rerun").alias("action"), F.col("first_idx").alias("a"), F.col("last_idx").alias("b")))
-    halves = F.array(F.struct(F.lit("half").alias("action"), F.col("first_idx").alias("a"), middle.alias("b")), F.struct(F.lit("half").alias("action"), (middle + 1).alias("a"), F.col("last_idx").alias("b")))
-    todo = F.when(F.col("truncated") & (F.col("first_idx") < F.col("last_idx")), halves).when((F.col("bad_ratio") > most) & (F.col("runs") < 2), whole)
+    halves = F.array(F.struct(F.lit("half").alias("action"), F.col("first_idx").alias("a"), middle.alias("b")),
+        F.struct(F.lit("half").alias("action"), (middle + 1).alias("a"), F.col("last_idx").alias("b")))
+    todo = F.when(F.col("truncated") & (F.col("first_idx") < F.col("last_idx")), halves).when((F.col("bad_ratio") > most) & (F.col("runs") < 2),
+        whole)
     return segments.select("segment", F.explode(todo).alias("t")).select("segment", "t.*")
 
 
@@ -78,7 +80,8 @@ def unit_stats(units: DataFrame, words: DataFrame) -> DataFrame:
                                        F.count_if((F.col("importance") == "core") & ~F.col("verified")).alias("bad"))
     share = F.when(F.col("core") > 0, F.col("bad") / F.col("core")).otherwise(F.lit(0.0))
     rows = rows.join(words, "doc_id").withColumn("unverified_core", share)
-    return rows.select("doc_id", "units", "core", (F.col("units") * 1000 / F.col("words")).alias("density"), "unverified_core", (F.col("unverified_core") >= 0.03).alias("flagged"))
+    return rows.select("doc_id", "units", "core", (F.col("units") * 1000 / F.col("words")).alias("density"), "unverified_core",
+        (F.col("unverified_core") >= 0.03).alias("flagged"))
 
 
 def top_topics(units: DataFrame, n: int = 10) -> DataFrame:
@@ -91,7 +94,8 @@ def profile_sample(text: Column, per_token: float = 4.0, whole: int = 15_000) ->
     """Parts of a long text: 6,000 tokens of its head, three times 2,000 of its middle, 2,000 of its tail."""
     size = lambda n: int(n * per_token)
     at = lambda q: F.floor(F.length(text) * q).cast("int") - size(1000)
-    parts = [F.substring(text, 1, size(6000)), *(F.substr(text, at(q), F.lit(size(2000))) for q in (0.4, 0.55, 0.7)), F.right(text, F.lit(size(2000)))]
+    parts = [F.substring(text, 1, size(6000)), *(F.substr(text, at(q), F.lit(size(2000))) for q in (0.4, 0.55, 0.7)),
+        F.right(text, F.lit(size(2000)))]
     return F.when(F.length(text) < size(whole), F.array(text)).otherwise(F.array(*parts))
 
 

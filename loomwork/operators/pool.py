@@ -110,10 +110,12 @@ def declared_groups(keys: DataFrame, existing: DataFrame) -> DataFrame:
 
     ``grouping`` is per_key, by_label or single_group; a provider's new groups are numbered in the order of their first key.
     """
-    unit = F.when(F.col("grouping") == "per_key", F.concat(F.lit("k"), F.col("pos"))).when(F.col("grouping") == "by_label", F.concat(F.lit("l"), F.coalesce("label", F.lit("")))).otherwise("all")
+    unit = F.when(F.col("grouping") == "per_key", F.concat(F.lit("k"), F.col("pos"))).when(F.col("grouping") == "by_label",
+        F.concat(F.lit("l"), F.coalesce("label", F.lit("")))).otherwise("all")
     rows = keys.withColumn("_unit", unit)
     new = rows.groupBy("provider", "declaration", "_unit").agg(F.min("pos").alias("_first"))
-    last = existing.select(F.regexp_extract("group_id", r"^(.*)-(\d+)$", 1).alias("provider"), F.regexp_extract("group_id", r"-(\d+)$", 1).try_cast("int").alias("n"))
+    last = existing.select(F.regexp_extract("group_id", r"^(.*)-(\d+)$", 1).alias("provider"),
+        F.regexp_extract("group_id", r"-(\d+)$", 1).try_cast("int").alias("n"))
     new = new.join(last.groupBy("provider").agg(F.max("n").alias("_last")), "provider", "left")
     n = F.coalesce("_last", F.lit(0)) + F.row_number().over(Window.partitionBy("provider").orderBy("declaration", "_first"))
     new = new.select("provider", "declaration", "_unit", F.concat_ws("-", "provider", n).alias("group_id"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 SCAN = 500
 # Share of each stage in a job's progress.
-SYNTHESIS_WEIGHTS = {"extract": 5, "profile": 2, "segment": 1, "glossary": 6, "map": 30, "consolidate": 8, "write": 25, "verify": 15, "repair": 5, "assemble": 3}
+SYNTHESIS_WEIGHTS = {"extract": 5, "profile": 2, "segment": 1, "glossary": 6, "map": 30, "consolidate": 8, "write": 25, "verify": 15, "repair": 5,
+    "assemble": 3}
 TRANSLATION_WEIGHTS = {"extract": 5, "profile": 2, "segment": 1, "glossary": 7, "translate": 80, "assemble": 5}
 
 

@@ -59,7 +59,8 @@ def plan_problems(plan: DataFrame, units: DataFrame) -> DataFrame:
 def grades(checks: DataFrame) -> DataFrame:
     """``(report, coverage, faithfulness, unresolved, grade)`` of ``(report, covered, faithful, resolved)`` rows of booleans."""
     rows = checks.groupBy("report").agg(
-        F.avg(F.col("covered").cast("int")).alias("coverage"), F.avg(F.col("faithful").cast("int")).alias("faithfulness"), F.count_if(~F.col("resolved")).alias("unresolved"))
+        F.avg(F.col("covered").cast("int")).alias("coverage"), F.avg(F.col("faithful").cast("int")).alias("faithfulness"),
+        F.count_if(~F.col("resolved")).alias("unresolved"))
     grade = F.when((F.col("coverage") >= 0.97) & (F.col("faithfulness") >= 0.98) & (F.col("unresolved") == 0), "A")
     return rows.withColumn("grade", grade.when((F.col("coverage") >= 0.9) & (F.col("faithfulness") >= 0.95), "B").otherwise("C"))
 
@@ -68,7 +69,8 @@ def release_gate(baseline: DataFrame, current: DataFrame) -> DataFrame:
     """``(suite, problem)``: coverage down by 0.03, faithfulness by 0.02, cost up by a fifth, p95 by three tenths, or more."""
     old = baseline.select("suite", *(F.col(c).alias(f"_{c}") for c in ("coverage", "faithfulness", "cost", "p95")))
     rows = current.join(old, "suite")
-    found = [F.when(F.col("_coverage") - F.col("coverage") > 0.03, "coverage"), F.when(F.col("_faithfulness") - F.col("faithfulness") > 0.02, "faithfulness"),
+    found = [F.when(F.col("_coverage") - F.col("coverage") > 0.03, "coverage"),
+        F.when(F.col("_faithfulness") - F.col("faithfulness") > 0.02, "faithfulness"),
              F.when(F.col("cost") > F.col("_cost") * 1.2, "cost"), F.when(F.col("p95") > F.col("_p95") * 1.3, "p95")]
     return rows.select("suite", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("problem"))
 
@@ -76,7 +78,8 @@ def release_gate(baseline: DataFrame, current: DataFrame) -> DataFrame:
 def usage(jobs: DataFrame) -> DataFrame:
     """Per day of ``(day, status, grade, cost)``: jobs, successes, failures, cost and grades."""
     return jobs.groupBy("day").agg(
-        F.count("*").alias("jobs"), F.count_if(F.col("status") == "succeeded").alias("succeeded"), F.count_if(F.col("status") == "failed").alias("failed"),
+        F.count("*").alias("jobs"), F.count_if(F.col("status") == "succeeded").alias("succeeded"),
+        F.count_if(F.col("status") == "failed").alias("failed"),
         F.sum("cost").alias("cost"), *(F.count_if(F.col("grade") == g).alias(f"grade_{g.lower()}") for g in "ABC"))
 
 
@@ -113,7 +116,8 @@ def inherited(cores: DataFrame, most: int = 5) -> DataFrame:
         deep = F.size("chain") >= most
         problem = F.when(F.col("problem").isNotNull() | F.col("next").isNull(), F.col("problem")).when(loop, "cycle").when(deep, "too_deep")
         go = F.col("next").isNotNull() & problem.isNull()
-        rows = step.select("core", F.when(go, F.col("_parent")).alias("next_"), F.when(go, F.array_append("chain", F.col("next"))).otherwise(F.col("chain")).alias("chain"),
+        rows = step.select("core", F.when(go, F.col("_parent")).alias("next_"),
+            F.when(go, F.array_append("chain", F.col("next"))).otherwise(F.col("chain")).alias("chain"),
                            problem.alias("problem")).withColumnRenamed("next_", "next")
     return rows.select("core", F.size("chain").alias("depth"), F.element_at("chain", -1).alias("root"), "problem")
 
@@ -143,7 +147,8 @@ def cite_problems(cites: DataFrame, section_units: DataFrame) -> DataFrame:
     """``(section, unit, problem)``: citations ``(section, unit)`` beyond the section's units ``(section, unit, importance)``, and core units uncited."""
     key = ["section", "unit"]
     strange = cites.select(key).distinct().join(section_units.select(key), key, "left_anti").withColumn("problem", F.lit("not_in_section"))
-    uncited = section_units.where("importance = 'core'").select(key).join(cites.select(key), key, "left_anti").withColumn("problem", F.lit("core_uncited"))
+    uncited = section_units.where("importance = 'core'").select(key).join(cites.select(key), key, "left_anti").withColumn("problem",
+        F.lit("core_uncited"))
     return strange.unionByName(uncited)
 
 
@@ -151,6 +156,8 @@ def page(title: str, rows: DataFrame, kind: str = "md") -> DataFrame:
     """``(section, value)``: sections ``(section, text)`` as Markdown or html parts, one row each, for ``write.text``."""
     if kind == "md":
         return rows.select("section", F.concat(F.lit("## "), "section", F.lit("\n\n"), "text", F.lit("\n")).alias("value"))
-    safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"),
+        F.lit("&gt;"))
     body = F.replace(safe(F.col("text")), F.lit("\n\n"), F.lit("</p><p>"))
-    return rows.select("section", F.concat(F.lit(f"<section title=\"{title}\"><h2>"), safe(F.col("section").cast("string")), F.lit("</h2><p>"), body, F.lit("</p></section>")).alias("value"))
+    return rows.select("section", F.concat(F.lit(f"<section title=\"{title}\"><h2>"), safe(F.col("section").cast("string")), F.lit("</h2><p>"), body,
+        F.lit("</p></section>")).alias("value"))

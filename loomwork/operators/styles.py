@@ -19,7 +19,8 @@ def style_problems(items: DataFrame, stages: list[str] = STAGES) -> DataFrame:
     """
     path = F.concat("kind", F.lit("["), "id", F.lit("]"))
     named = items.where(F.col("kind").isin("rules", "exemplars"))
-    twice = named.groupBy("core", path.alias("path")).agg(F.count("*").alias("n")).where("n > 1").select("core", "path", F.lit("repeated_id").alias("problem"))
+    twice = named.groupBy("core", path.alias("path")).agg(F.count("*").alias("n")).where("n > 1").select("core", "path",
+        F.lit("repeated_id").alias("problem"))
     known = F.array(*map(F.lit, stages))
     strange = F.size(F.array_except(F.coalesce("applies_to", F.array().cast("array<string>")), known)) > 0
     found = [F.when(strange, "unknown_stage"), F.when(F.col("text").rlike(CONTROL), "control_character"),

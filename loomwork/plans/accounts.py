@@ -30,13 +30,15 @@ def running_balance(spark, d):
 def charge_credits(spark, d):
     e = T.table(spark, d, "events")
     opening = e.groupBy("user_id").agg((F.count("*") * 100).alias("balance"))
-    requests = e.select("user_id", F.col("event_id").alias("seq"), F.floor("value").cast("long").alias("amount"), F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("k"), (F.col("event_id") % 100).cast("string"))).alias("idem"))
+    requests = e.select("user_id", F.col("event_id").alias("seq"), F.floor("value").cast("long").alias("amount"),
+        F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("k"), (F.col("event_id") % 100).cast("string"))).alias("idem"))
     return L.charges(requests, opening)
 
 
 def refund_credits(spark, d):
     e = T.table(spark, d, "events")
-    rows = e.select((F.col("user_id")).alias("job_id"), F.when(F.col("event_type") == "purchase", "job_charge").when(F.col("event_type") == "click", "job_refund").otherwise("grant").alias("reason"),
+    rows = e.select((F.col("user_id")).alias("job_id"), F.when(F.col("event_type") == "purchase", "job_charge").when(F.col("event_type") == "click",
+        "job_refund").otherwise("grant").alias("reason"),
                     F.when(F.col("event_type") == "purchase", -F.floor("value")).otherwise(F.floor(F.col("value") / 10)).cast("long").alias("delta"))
     ask = e.groupBy(F.col("user_id").alias("job_id")).agg(F.floor(F.sum("value") / 8).cast("long").alias("amount"))
     return L.refunds(ask, rows).select("job_id", "amount", F.col("refund").cast("long").alias("refund"))
@@ -44,9 +46,12 @@ def refund_credits(spark, d):
 
 def redeem_invites(spark, d):
     e = T.table(spark, d, "events")
-    codes = spark.range(40).select(F.format_string("CODE%02d", "id").alias("code"), (F.col("id") % 5 + 1).cast("int").alias("max_uses"), F.lit(100).alias("credits"),
-                                   F.when(F.col("id") % 4 == 0, F.to_timestamp_ntz(F.lit(NOW))).alias("expires_at"), (F.col("id") % 11 == 0).alias("revoked"))
-    attempts = e.select(F.col("event_id").alias("attempt_id"), F.format_string("code%02d", F.col("event_id") % 45).alias("code"), "user_id", F.col("ts").alias("at"))
+    codes = spark.range(40).select(F.format_string("CODE%02d", "id").alias("code"), (F.col("id") % 5 + 1).cast("int").alias("max_uses"),
+        F.lit(100).alias("credits"),
+                                   F.when(F.col("id") % 4 == 0, F.to_timestamp_ntz(F.lit(NOW))).alias("expires_at"),
+                                   (F.col("id") % 11 == 0).alias("revoked"))
+    attempts = e.select(F.col("event_id").alias("attempt_id"), F.format_string("code%02d", F.col("event_id") % 45).alias("code"), "user_id",
+        F.col("ts").alias("at"))
     return L.redeemed(attempts, codes).select("attempt_id", "code", "status")
 
 
@@ -69,7 +74,8 @@ def claim_tasks(spark, d):
 
 
 def reclaim_tasks(spark, d):
-    return queue.reclaimed(T.tasks(spark, d), F.lit("1996-06-01").cast("timestamp"), "30 days").groupBy("status", "error_code").agg(F.count("*").alias("n"))
+    return queue.reclaimed(T.tasks(spark, d), F.lit("1996-06-01").cast("timestamp"), "30 days").groupBy("status",
+        "error_code").agg(F.count("*").alias("n"))
 
 
 def job_progress(spark, d):
@@ -79,7 +85,8 @@ def job_progress(spark, d):
 
 
 def first_requests(spark, d):
-    e = T.table(spark, d, "events").select(F.col("event_id").alias("request_id"), "user_id", F.col("ts").alias("at"), F.when(F.col("event_type") != "view", F.col("event_type")).alias("idem"))
+    e = T.table(spark, d, "events").select(F.col("event_id").alias("request_id"), "user_id", F.col("ts").alias("at"),
+        F.when(F.col("event_type") != "view", F.col("event_type")).alias("idem"))
     return queue.first_requests(e).select("request_id", "user_id")
 
 
@@ -90,7 +97,8 @@ def usage_daily(spark, d):
 
 def latency_percentiles(spark, d):
     e = T.table(spark, d, "events")
-    return e.groupBy("event_type").agg(F.expr("percentile(value, 0.5)").alias("p50"), F.expr("percentile(value, 0.95)").alias("p95"), F.avg((F.col("value") > 100).cast("int")).alias("slow_rate"))
+    return e.groupBy("event_type").agg(F.expr("percentile(value, 0.5)").alias("p50"), F.expr("percentile(value, 0.95)").alias("p95"),
+        F.avg((F.col("value") > 100).cast("int")).alias("slow_rate"))
 
 
 def ewma_success(spark, d):
@@ -100,13 +108,16 @@ def ewma_success(spark, d):
 
 def privacy_audit(spark, d):
     jobs = T.jobs(spark, d)
-    groups = T.table(spark, d, "nation").select(F.col("n_nationkey").alias("group_id"), F.when(F.col("n_regionkey") == 1, "no_training").when(F.col("n_regionkey") == 2, "may_train").alias("data_policy"))
-    calls = T.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("job_id"), (F.col("l_suppkey") % 25).cast("int").alias("group_id"), F.col("l_linenumber").alias("call"))
+    groups = T.table(spark, d, "nation").select(F.col("n_nationkey").alias("group_id"),
+        F.when(F.col("n_regionkey") == 1, "no_training").when(F.col("n_regionkey") == 2, "may_train").alias("data_policy"))
+    calls = T.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("job_id"), (F.col("l_suppkey") % 25).cast("int").alias("group_id"),
+        F.col("l_linenumber").alias("call"))
     return pool.privacy_breaches(jobs, calls, groups).groupBy("group_id").agg(F.count("*").alias("calls"))
 
 
 def rolling_rates(spark, d):
-    e = T.table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") == "purchase", 429).otherwise(200).alias("status"))
+    e = T.table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"),
+        F.when(F.col("event_type") == "purchase", 429).otherwise(200).alias("status"))
     return windows.rolling_rates(e, "1 day", "6 hours").select(F.unix_seconds("start").alias("start_s"), "n", "limited")
 
 

@@ -11,13 +11,15 @@ from loomwork.plans.tables import PARAS, WORDS
 
 
 def jobs_admitted(spark, d):
-    o = T.table(spark, d, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderpriority").alias("profile"), F.col("o_orderdate").alias("at"), (F.col("o_orderkey") % 9 + 1).alias("calls"))
+    o = T.table(spark, d, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderpriority").alias("profile"),
+        F.col("o_orderdate").alias("at"), (F.col("o_orderkey") % 9 + 1).alias("calls"))
     cap = o.groupBy("profile").agg((F.count("*") * 2).alias("calls_left"))
     return policies.admitted_jobs(o, cap).select("job_id", "needed", "admitted")
 
 
 def job_cost_caps(spark, d):
-    i = T.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("cost_id")).agg(F.min("l_shipdate").alias("at"), F.floor(F.min("l_extendedprice")).cast("long").alias("cost"))
+    i = T.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("job_id"),
+        F.col("l_linenumber").alias("cost_id")).agg(F.min("l_shipdate").alias("at"), F.floor(F.min("l_extendedprice")).cast("long").alias("cost"))
     est = T.table(spark, d, "orders").select(F.col("o_orderkey").alias("job_id"), F.floor(F.col("o_totalprice") / 4).cast("long").alias("estimate"))
     return policies.over_cost(i, est)
 
@@ -30,14 +32,17 @@ def job_daily_limit(spark, d):
 def alert_metrics(spark, d):
     e = T.table(spark, d, "events")
     metrics = e.groupBy(F.col("event_type").alias("metric")).agg((F.count_if(F.col("value") > 50) * 1000 / F.count("*")).cast("long").alias("value"))
-    limits = e.select(F.col("event_type").alias("metric")).distinct().select("metric", F.lit(450).alias("limit"), (F.length("metric") > 4).alias("above"))
+    limits = e.select(F.col("event_type").alias("metric")).distinct().select("metric", F.lit(450).alias("limit"),
+        (F.length("metric") > 4).alias("above"))
     return policies.alerts(metrics, limits)
 
 
 def refunds_due(spark, d):
     o = T.table(spark, d, "orders")
-    event = F.element_at(F.array(*map(F.lit, ["succeeded", "failed", "canceled_early", "canceled_late", "grade_c", "job_cost_cap"])), (F.col("o_orderkey") % 6 + 1).cast("int"))
-    rows = o.select(F.col("o_orderkey").alias("job_id"), (F.col("o_custkey") % 400).alias("charged"), event.alias("event"), ((F.col("o_orderkey") % 4) / 4).alias("progress"))
+    event = F.element_at(F.array(*map(F.lit, ["succeeded", "failed", "canceled_early", "canceled_late", "grade_c", "job_cost_cap"])),
+        (F.col("o_orderkey") % 6 + 1).cast("int"))
+    rows = o.select(F.col("o_orderkey").alias("job_id"), (F.col("o_custkey") % 400).alias("charged"), event.alias("event"),
+        ((F.col("o_orderkey") % 4) / 4).alias("progress"))
     return policies.refund_due(rows).select("job_id", "refund")
 
 
@@ -47,8 +52,10 @@ def glossary_gates(spark, d):
 
 
 def rerun_work(spark, d):
-    i = T.table(spark, d, "orders").select(F.col("o_orderkey").alias("segment"), F.lit(1).alias("first_idx"), (F.col("o_orderkey") % 9 + 1).cast("int").alias("last_idx"),
-                                           (F.col("o_custkey") % 10 / 10).alias("bad_ratio"), (F.col("o_orderkey") % 5 == 0).alias("truncated"), (F.col("o_custkey") % 3).alias("runs"))
+    i = T.table(spark, d, "orders").select(F.col("o_orderkey").alias("segment"), F.lit(1).alias("first_idx"),
+        (F.col("o_orderkey") % 9 + 1).cast("int").alias("last_idx"),
+                                           (F.col("o_custkey") % 10 / 10).alias("bad_ratio"), (F.col("o_orderkey") % 5 == 0).alias("truncated"),
+                                           (F.col("o_custkey") % 3).alias("runs"))
     return policies.reruns(i)
 
 
@@ -56,12 +63,14 @@ def unit_density(spark, d):
     p = T.paras(spark, d)
     u = p.select("doc_id", F.when(F.col("idx") % 3 == 0, "core").otherwise("minor").alias("importance"), (F.col("idx") % 15 != 0).alias("verified"))
     r = policies.unit_stats(u, T.words(spark, d).select("doc_id", "words"))
-    return r.select("doc_id", "units", "core", F.round("density", 6).alias("density"), F.round("unverified_core", 6).alias("unverified_core"), "flagged")
+    return r.select("doc_id", "units", "core", F.round("density", 6).alias("density"), F.round("unverified_core", 6).alias("unverified_core"),
+        "flagged")
 
 
 def topics(spark, d):
     p = T.paras(spark, d)
-    u = p.select(F.when(F.col("idx") % 2 == 0, "core").otherwise("minor").alias("importance"), F.array(F.lower(F.regexp_extract("text", r"^([A-Za-z]+)", 1))).alias("topics"))
+    u = p.select(F.when(F.col("idx") % 2 == 0, "core").otherwise("minor").alias("importance"),
+        F.array(F.lower(F.regexp_extract("text", r"^([A-Za-z]+)", 1))).alias("topics"))
     return policies.top_topics(u, 10)
 
 
@@ -89,12 +98,14 @@ def translation_modes(spark, d):
 def day_capacity_forecast(spark, d):
     w = T.words(spark, d)
     calls = estimates.estimate_calls(F.col("words") * 20, F.lit("full_translation"), F.col("lang"))
-    return w.select("doc_id", F.floor(estimates.docs_per_day(F.lit(237.0), F.lit(None).cast("double"), calls, F.lit(1))).cast("long").alias("per_day"))
+    return w.select("doc_id", F.floor(estimates.docs_per_day(F.lit(237.0), F.lit(None).cast("double"), calls,
+        F.lit(1))).cast("long").alias("per_day"))
 
 
 def retry_waits(spark, d):
     k = F.col("event_id") % 9 + 1
-    return T.table(spark, d, "events").select("event_id", estimates.backoff(30.0, k).alias("rate_wait"), estimates.backoff(15.0, k).alias("trip_wait"), F.least(F.pow(F.lit(2.0), k) * 5, F.lit(300.0)).alias("task_wait"))
+    return T.table(spark, d, "events").select("event_id", estimates.backoff(30.0, k).alias("rate_wait"),
+        estimates.backoff(15.0, k).alias("trip_wait"), F.least(F.pow(F.lit(2.0), k) * 5, F.lit(300.0)).alias("task_wait"))
 
 
 def new_ids(spark, d):
@@ -104,13 +115,16 @@ def new_ids(spark, d):
 
 def merged_config(spark, d):
     n = T.table(spark, d, "nation")
-    a, b = n.where("n_nationkey % 2 = 0").select("n_nationkey", F.lit("a").alias("from_list")), n.where("n_nationkey % 3 = 0").select("n_nationkey", F.lit("b").alias("from_list"))
+    a, b = n.where("n_nationkey % 2 = 0").select("n_nationkey", F.lit("a").alias("from_list")), n.where("n_nationkey % 3 = 0").select("n_nationkey",
+        F.lit("b").alias("from_list"))
     return policies.merged_by_id(a, b, "n_nationkey")
 
 
 def cloned_deployments(spark, d):
-    n = T.table(spark, d, "nation").select(F.col("n_regionkey").cast("string").alias("group_id"), F.concat(F.lit("x-"), F.lower("n_name")).alias("deployment"))
-    g = T.table(spark, d, "region").select(F.concat(F.lit("new"), F.col("r_regionkey")).alias("group_id"), F.col("r_regionkey").cast("string").alias("source"))
+    n = T.table(spark, d, "nation").select(F.col("n_regionkey").cast("string").alias("group_id"),
+        F.concat(F.lit("x-"), F.lower("n_name")).alias("deployment"))
+    g = T.table(spark, d, "region").select(F.concat(F.lit("new"), F.col("r_regionkey")).alias("group_id"),
+        F.col("r_regionkey").cast("string").alias("source"))
     return policies.cloned(n, g)
 
 

@@ -39,34 +39,41 @@ def fuzzy_quotes(spark, d):
 def unverified_numbers(spark, d):
     i = T.table(spark, d, "lineitem").where("l_linenumber <= 3")
     said = F.concat(F.lit("1. Of "), F.format_number("l_partkey", 0), F.lit(" parts, "), F.col("l_quantity").cast("int"), F.lit(" left; see U-0012."))
-    known = F.concat(F.lit("Parts: "), F.col("l_partkey"), F.when(F.col("l_linenumber") == 2, F.concat(F.lit(" and "), F.col("l_quantity").cast("int"))).otherwise(""), F.lit(", twelve boxes."))
+    known = F.concat(F.lit("Parts: "), F.col("l_partkey"), F.when(F.col("l_linenumber") == 2,
+        F.concat(F.lit(" and "), F.col("l_quantity").cast("int"))).otherwise(""), F.lit(", twelve boxes."))
     rows = i.select("l_orderkey", said.alias("said"), known.alias("known"))
     return numbers.unverified_numbers(rows.selectExpr("l_orderkey", "said AS text"), rows.selectExpr("l_orderkey", "known AS text"), "l_orderkey")
 
 
 def pasted_keys(spark, d):
     c = T.table(spark, d, "customer")
-    line = F.concat(F.lit("team"), F.col("c_nationkey"), F.lit(" | "), F.md5("c_name"), F.lit(";\n Bearer "), F.md5("c_mktsegment"), F.lit(", API_KEY = \""), F.md5(F.col("c_custkey").cast("string")), F.lit("\""))
-    return c.select("c_custkey", F.posexplode(secrets.split_keys(line)).alias("pos", "k")).select("c_custkey", "pos", "k.label", secrets.masked(F.col("k.key")).alias("shown"))
+    line = F.concat(F.lit("team"), F.col("c_nationkey"), F.lit(" | "), F.md5("c_name"), F.lit(";\n Bearer "), F.md5("c_mktsegment"),
+        F.lit(", API_KEY = \""), F.md5(F.col("c_custkey").cast("string")), F.lit("\""))
+    return c.select("c_custkey", F.posexplode(secrets.split_keys(line)).alias("pos", "k")).select("c_custkey", "pos", "k.label",
+        secrets.masked(F.col("k.key")).alias("shown"))
 
 
 def text_forms(spark, d):
     t = F.substring("text", 1, 300)
     head = F.concat(F.lit("<p>"), F.regexp_replace(t, r"[^A-Za-z0-9 ]", ""), F.lit("</p><!-- x -->"))
     return T.table(spark, d, "documents").select(
-        "doc_id", text.slugify(F.regexp_replace(t, r"[^A-Za-z0-9 ]", ""), 40).alias("slug"), text.without_angles(head).alias("angles"), text.without_html(head).alias("bare"),
-        F.array_join(text.markdown_problems(F.concat(F.when(F.col("doc_id") % 3 == 0, "## a\n![i](u) ").when(F.col("doc_id") % 3 == 1, "[l](u)").otherwise("plain"), F.lit(" text"))), ",").alias("problems"))
+        "doc_id", text.slugify(F.regexp_replace(t, r"[^A-Za-z0-9 ]", ""), 40).alias("slug"), text.without_angles(head).alias("angles"),
+        text.without_html(head).alias("bare"),
+        F.array_join(text.markdown_problems(F.concat(F.when(F.col("doc_id") % 3 == 0, "## a\n![i](u) ").when(F.col("doc_id") % 3 == 1,
+        "[l](u)").otherwise("plain"), F.lit(" text"))), ",").alias("problems"))
 
 
 def review_order(spark, d):
     p = T.table(spark, d, "part")
-    m = p.groupBy(F.col("p_type").alias("source_term")).agg((F.count_distinct("p_brand") > 20).alias("conflict"), (F.count("*") % 7 / 10).alias("avg_confidence"), (F.count("*") % 5).alias("docs_count"))
+    m = p.groupBy(F.col("p_type").alias("source_term")).agg((F.count_distinct("p_brand") > 20).alias("conflict"),
+        (F.count("*") % 7 / 10).alias("avg_confidence"), (F.count("*") % 5).alias("docs_count"))
     rows = glossary.review_order(m).limit(50)
     return rows.select("source_term", "conflict", "docs_count")
 
 
 def glossary_release(spark, d):
-    p = T.table(spark, d, "part").groupBy(F.col("p_brand").alias("glossary"), F.col("p_type").alias("source_term")).agg(F.min("p_name").alias("target_term"), F.min("p_size").alias("n"))
+    p = T.table(spark, d, "part").groupBy(F.col("p_brand").alias("glossary"),
+        F.col("p_type").alias("source_term")).agg(F.min("p_name").alias("target_term"), F.min("p_size").alias("n"))
     entries = p.withColumns({"keep_original": F.col("n") % 2 == 0, "status": F.when(F.col("n") % 3 == 0, "suggested").otherwise("confirmed")})
     return glossary.release(entries).select("glossary", "entry_count", "content_sha256")
 
@@ -75,33 +82,39 @@ def entry_evidence(spark, d):
     o = T.table(spark, d, "orders")
     k = F.col("o_orderkey")
     entries = o.select(k.alias("entry"), F.array(k % 50, k % 7, k % 90).alias("ctx_ids"))
-    contexts = T.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("ctx_id"), F.lit("d").alias("doc"), F.col("n_name").alias("snippet"))
-    return glossary.with_evidence(entries, contexts).select("entry", F.array_join(F.transform("evidence", lambda e: e["snippet"]), ",").alias("snippets"))
+    contexts = T.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("ctx_id"), F.lit("d").alias("doc"),
+        F.col("n_name").alias("snippet"))
+    return glossary.with_evidence(entries, contexts).select("entry",
+        F.array_join(F.transform("evidence", lambda e: e["snippet"]), ",").alias("snippets"))
 
 
 def release_gate(spark, d):
     o = T.table(spark, d, "orders")
     both = [o.where(f"o_orderkey % 2 = {k}").groupBy(F.col("o_custkey").alias("suite")).agg(
-        (F.count("*") / 20).alias("coverage"), (F.count_if(F.col("o_orderstatus") == "F") / 20).alias("faithfulness"), F.round(F.sum("o_totalprice"), 2).alias("cost"),
+        (F.count("*") / 20).alias("coverage"), (F.count_if(F.col("o_orderstatus") == "F") / 20).alias("faithfulness"),
+        F.round(F.sum("o_totalprice"), 2).alias("cost"),
         F.round(F.max("o_totalprice"), 2).alias("p95")) for k in (0, 1)]
     return reports.release_gate(*both)
 
 
 def unit_facts(spark, d):
     o = T.table(spark, d, "orders")
-    units = o.select(F.col("o_orderkey").alias("unit"), F.when(F.col("o_orderkey") % 3 == 0, "fact_data").otherwise("claim").alias("type"), F.lit("s").alias("statement"),
+    units = o.select(F.col("o_orderkey").alias("unit"), F.when(F.col("o_orderkey") % 3 == 0, "fact_data").otherwise("claim").alias("type"),
+        F.lit("s").alias("statement"),
                      F.array(F.col("o_custkey"), F.col("o_orderkey") % 10).alias("numbers"))
     return policies.facts(units)
 
 
 def merged_cues(spark, d):
-    e = T.table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("at"), F.concat("event_type", F.when(F.col("event_id") % 3 == 0, ".").otherwise("")).alias("text"))
+    e = T.table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("at"),
+        F.concat("event_type", F.when(F.col("event_id") % 3 == 0, ".").otherwise("")).alias("text"))
     m = paragraphs.merged_cues(e, "user_id", 3600.0 * 6)
     return m.groupBy("user_id").agg(F.count("*").alias("cues"), F.sum("parts").alias("parts"), F.max("parts").alias("longest"))
 
 
 def rolled_captions(spark, d):
-    e = T.table(spark, d, "events").select("user_id", F.col("event_id").alias("at"), F.substring("event_type", 1, (F.col("event_id") % 4 + 2).cast("int")).alias("text"))
+    e = T.table(spark, d, "events").select("user_id", F.col("event_id").alias("at"),
+        F.substring("event_type", 1, (F.col("event_id") % 4 + 2).cast("int")).alias("text"))
     return paragraphs.rolled_out(e, "user_id").select("user_id", "at")
 
 
@@ -110,12 +123,14 @@ def term_windows(spark, d):
     w = paragraphs.windows(p, size=500, overlap=100)
     per = w.join(p, ["doc_id", "idx"]).groupBy("doc_id", "window").agg(F.count("*").alias("occurrences"))
     best = paragraphs.window_terms(per.withColumn("term", F.lit("any")))
-    return w.groupBy("doc_id").agg(F.countDistinct("window").alias("windows"), F.count("*").alias("rows")).join(best.select("doc_id", "occurrences", "window"), "doc_id")
+    return w.groupBy("doc_id").agg(F.countDistinct("window").alias("windows"),
+        F.count("*").alias("rows")).join(best.select("doc_id", "occurrences", "window"), "doc_id")
 
 
 def extraction_quality(spark, d):
     p = T.paras(spark, d)
-    pages = p.select("doc_id", F.when(F.col("idx") % 5 == 0, F.concat("text", F.lit("��"))).otherwise(F.col("text")).alias("text"), (F.col("idx") % 4 == 0).alias("ocr"))
+    pages = p.select("doc_id", F.when(F.col("idx") % 5 == 0, F.concat("text", F.lit("��"))).otherwise(F.col("text")).alias("text"),
+        (F.col("idx") % 4 == 0).alias("ocr"))
     q = paragraphs.extraction_quality(pages)
     return q.select("doc_id", "median_chars", F.round("printable", 9).alias("printable"), "scanned", F.round("quality", 9).alias("quality"))
 
@@ -124,13 +139,15 @@ def pool_headroom(spark, d):
     i = T.table(spark, d, "lineitem")
     states = i.select(F.col("l_suppkey").alias("deployment"), (F.col("l_quantity") / 40 - 0.1).alias("ratio"))
     h = pool.headroom(states)
-    return h.select("deployment", F.round("headroom", 9).alias("headroom"), F.round(pool.score(F.col("headroom"), F.lit(0.8), F.col("deployment") % 3), 9).alias("score"))
+    return h.select("deployment", F.round("headroom", 9).alias("headroom"),
+        F.round(pool.score(F.col("headroom"), F.lit(0.8), F.col("deployment") % 3), 9).alias("score"))
 
 
 def least_recent(spark, d):
     c = T.table(spark, d, "customer")
     used = F.when(F.col("c_custkey") % 5 > 0, F.col("c_acctbal"))
-    return pool.least_recent(c.select(F.col("c_nationkey").alias("group_id"), F.col("c_custkey").alias("credential"), used.alias("last_used_at"), F.when(F.col("c_custkey") % 3 == 0, "active").otherwise("off").alias("status"))).select("group_id", "credential")
+    return pool.least_recent(c.select(F.col("c_nationkey").alias("group_id"), F.col("c_custkey").alias("credential"), used.alias("last_used_at"),
+        F.when(F.col("c_custkey") % 3 == 0, "active").otherwise("off").alias("status"))).select("group_id", "credential")
 
 
 def provider_risks(spark, d):
@@ -142,22 +159,28 @@ def provider_risks(spark, d):
 def declared_groups(spark, d):
     c = T.table(spark, d, "customer")
     grouping = F.element_at(F.array(*map(F.lit, ("per_key", "by_label", "single_group"))), (F.col("c_nationkey") % 3 + 1).cast("int"))
-    keys = c.select(F.col("c_nationkey").alias("declaration"), F.concat(F.lit("p"), F.col("c_nationkey") % 5).alias("provider"), grouping.alias("grouping"), F.col("c_mktsegment").alias("label"), F.col("c_custkey").alias("pos"))
-    old = T.table(spark, d, "nation").where("n_nationkey < 8").select(F.concat(F.lit("p"), F.col("n_nationkey") % 3, F.lit("-"), F.col("n_nationkey")).alias("group_id"))
+    keys = c.select(F.col("c_nationkey").alias("declaration"), F.concat(F.lit("p"), F.col("c_nationkey") % 5).alias("provider"),
+        grouping.alias("grouping"), F.col("c_mktsegment").alias("label"), F.col("c_custkey").alias("pos"))
+    old = T.table(spark, d, "nation").where("n_nationkey < 8").select(F.concat(F.lit("p"), F.col("n_nationkey") % 3, F.lit("-"),
+        F.col("n_nationkey")).alias("group_id"))
     return pool.declared_groups(keys, old).select("pos", "group_id")
 
 
 def probe_scores(spark, d):
-    e = T.table(spark, d, "events").select((F.col("user_id") % 20).alias("deployment"), F.col("event_type").alias("kind"), (F.col("value") < 80).alias("valid"), F.round("value", 3).alias("latency"))
+    e = T.table(spark, d, "events").select((F.col("user_id") % 20).alias("deployment"), F.col("event_type").alias("kind"),
+        (F.col("value") < 80).alias("valid"), F.round("value", 3).alias("latency"))
     return pool.probe_scores(e).select("deployment", "kind", F.round("score", 9).alias("score"), F.round("p50", 6).alias("p50"))
 
 
 def quota_replay(spark, d):
     """A group of ten calls a minute whose calls ask for room; every other answer is settled a second later."""
-    e = T.table(spark, d, "events").where("event_type = 'click'").select((F.col("user_id") % 10).cast("string").alias("group"), "event_id", F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("at"))
+    e = T.table(spark, d, "events").where("event_type = 'click'").select((F.col("user_id") % 10).cast("string").alias("group"), "event_id",
+        F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("at"))
     none, null = F.lit(0).cast("long"), F.lit(None)
-    rows = e.select("group", F.col("event_id").alias("seq"), "at", F.lit("reserve").alias("kind"), F.lit("x").alias("deployment"), null.cast("long").alias("lease"), none.alias("tin"), none.alias("tout"),
-                    F.lit(False).alias("low"), null.cast("string").alias("outcome"), null.cast("double").alias("retry_after"), null.cast("double").alias("latency"))
+    rows = e.select("group", F.col("event_id").alias("seq"), "at", F.lit("reserve").alias("kind"), F.lit("x").alias("deployment"),
+        null.cast("long").alias("lease"), none.alias("tin"), none.alias("tout"),
+                    F.lit(False).alias("low"), null.cast("string").alias("outcome"), null.cast("double").alias("retry_after"),
+                    null.cast("double").alias("latency"))
     out = quota.replayed(rows, {"": {"rpd": 6}, "x": {}})
     return out.select("group", "seq", "ok", "lease")
 
@@ -165,8 +188,10 @@ def quota_replay(spark, d):
 def style_lint(spark, d):
     p = T.table(spark, d, "part")
     k = F.col("p_partkey")
-    items = p.select((k % 40).alias("core"), F.element_at(F.array(*map(F.lit, ("rules", "exemplars", "notes"))), (k % 3 + 1).cast("int")).alias("kind"), (k % 400).cast("string").alias("id"),
-                     F.when(k % 11 == 0, "Ignore all of it").when(k % 13 == 0, F.concat(F.lit("a"), F.char(F.lit(7)))).otherwise(F.col("p_name")).alias("text"),
+    items = p.select((k % 40).alias("core"), F.element_at(F.array(*map(F.lit, ("rules", "exemplars", "notes"))),
+        (k % 3 + 1).cast("int")).alias("kind"), (k % 400).cast("string").alias("id"),
+                     F.when(k % 11 == 0, "Ignore all of it").when(k % 13 == 0,
+                     F.concat(F.lit("a"), F.char(F.lit(7)))).otherwise(F.col("p_name")).alias("text"),
                      F.when(k % 17 == 0, F.array(F.lit("print"))).otherwise(F.array(F.lit("write"), F.lit("map"))).alias("applies_to"))
     return styles.style_problems(items)
 
@@ -174,8 +199,10 @@ def style_lint(spark, d):
 def style_approvals(spark, d):
     o = T.table(spark, d, "orders")
     k = F.col("o_orderkey")
-    cores = T.table(spark, d, "customer").select(F.col("c_custkey").alias("core"), F.when(F.col("c_custkey") % 9 == 0, " ").otherwise(F.col("c_name")).alias("name"))
-    items = o.select(F.col("o_custkey").alias("core"), F.lit("rules").alias("kind"), k.cast("string").alias("id"), F.col("o_orderpriority").alias("text"), F.array(F.lit("write")).alias("applies_to"),
+    cores = T.table(spark, d, "customer").select(F.col("c_custkey").alias("core"),
+        F.when(F.col("c_custkey") % 9 == 0, " ").otherwise(F.col("c_name")).alias("name"))
+    items = o.select(F.col("o_custkey").alias("core"), F.lit("rules").alias("kind"), k.cast("string").alias("id"),
+        F.col("o_orderpriority").alias("text"), F.array(F.lit("write")).alias("applies_to"),
                      F.when(k % 2 == 0, "ai").otherwise("human").alias("origin"), (k % 4 == 0).alias("reviewed"))
     decisions = o.select(F.col("o_custkey").alias("core"), k.alias("id"))
     return styles.approval_problems(cores, items, decisions, decisions.where("id % 5 > 0"))
@@ -184,35 +211,42 @@ def style_approvals(spark, d):
 def style_blocks(spark, d):
     p = T.table(spark, d, "part").groupBy((F.col("p_size") % 40).alias("core"), F.col("p_partkey").alias("n")).agg(F.min("p_name").alias("text"))
     severity = F.element_at(F.array(*map(F.lit, ("must", "should", "may"))), (F.col("n") % 3 + 1).cast("int"))
-    return reports.style_block(p.select("core", F.format_string("R%05d", "n").alias("rule"), severity.alias("severity"), "text"), 120).select("core", F.md5("text").alias("text_md5"))
+    return reports.style_block(p.select("core", F.format_string("R%05d", "n").alias("rule"), severity.alias("severity"), "text"), 120).select("core",
+        F.md5("text").alias("text_md5"))
 
 
 def approved_versions(spark, d):
-    o = T.table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, "approved").otherwise("draft").alias("status"), F.col("o_orderpriority").alias("content"))
+    o = T.table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, "approved").otherwise("draft").alias("status"),
+        F.col("o_orderpriority").alias("content"))
     k = F.col("o_orderkey")
-    new = o.where("o_orderkey % 10 <> 0").select("o_orderkey", F.when(k % 7 == 0, F.lit(None)).otherwise(F.col("content")).alias("content"), F.when(k % 3 == 0, "draft").when(k % 5 == 0, "deprecated").otherwise(F.col("status")).alias("status"))
+    new = o.where("o_orderkey % 10 <> 0").select("o_orderkey", F.when(k % 7 == 0, F.lit(None)).otherwise(F.col("content")).alias("content"),
+        F.when(k % 3 == 0, "draft").when(k % 5 == 0, "deprecated").otherwise(F.col("status")).alias("status"))
     return checks.frozen(o, new, "o_orderkey")
 
 
 def json_conformance(spark, d):
     e = T.table(spark, d, "events")
     k = F.col("event_id")
-    doc = (F.when(k % 6 == 0, '{"k": 1').when(k % 6 == 1, '{"k": "x", "v": 2}').when(k % 6 == 2, '{"v": 2}').when(k % 6 == 3, '{"k": 5, "v": -1}').when(k % 6 == 4, '{"k": 5, "v": 1}'))
+    doc = (F.when(k % 6 == 0, '{"k": 1').when(k % 6 == 1, '{"k": "x", "v": 2}').when(k % 6 == 2, '{"v": 2}').when(k % 6 == 3,
+        '{"k": 5, "v": -1}').when(k % 6 == 4, '{"k": 5, "v": 1}'))
     return checks.json_problems(e.select("event_id", doc.alias("doc")), "event_id", "doc", "k int, v int", ["k", "v"], {"v_range": F.col("j.v") >= 0})
 
 
 def cited_places(spark, d):
     p = T.paras(spark, d)
     places = p.select("doc_id", "pid", (F.col("idx") % 9).alias("page"), (F.col("idx") * 1000).alias("timecode"))
-    found = p.where("idx % 3 = 0").select(F.concat_ws("/", "doc_id", "pid").alias("unit"), "doc_id", F.when(F.col("idx") % 6 == 0, F.lit("P000001")).otherwise(F.col("pid")).alias("pid"))
+    found = p.where("idx % 3 = 0").select(F.concat_ws("/", "doc_id", "pid").alias("unit"), "doc_id",
+        F.when(F.col("idx") % 6 == 0, F.lit("P000001")).otherwise(F.col("pid")).alias("pid"))
     cites = p.select(F.col("idx").alias("block"), F.concat_ws("/", "doc_id", "pid").alias("unit"))
     return reports.cited_sources(cites, found, places)
 
 
 def section_cites(spark, d):
     i = T.table(spark, d, "lineitem")
-    own = i.groupBy((F.col("l_suppkey") % 20).alias("section"), F.col("l_partkey").alias("unit")).agg(F.when(F.min("l_linenumber") == 1, "core").otherwise("minor").alias("importance"))
-    cites = i.where("l_returnflag <> 'R'").select((F.col("l_suppkey") % 20).alias("section"), (F.col("l_partkey") + F.when(F.col("l_orderkey") % 31 == 0, 10**7).otherwise(0)).alias("unit"))
+    own = i.groupBy((F.col("l_suppkey") % 20).alias("section"),
+        F.col("l_partkey").alias("unit")).agg(F.when(F.min("l_linenumber") == 1, "core").otherwise("minor").alias("importance"))
+    cites = i.where("l_returnflag <> 'R'").select((F.col("l_suppkey") % 20).alias("section"),
+        (F.col("l_partkey") + F.when(F.col("l_orderkey") % 31 == 0, 10**7).otherwise(0)).alias("unit"))
     return reports.cite_problems(cites, own)
 
 
@@ -224,21 +258,24 @@ def spend_upserts(spark, d):
 def retention(spark, d):
     p = T.paras(spark, d).select("doc_id", "pid")
     k = F.col("doc_id")
-    docs = T.table(spark, d, "documents").select("doc_id", F.when(k % 4 > 0, F.timestamp_seconds(k * 1000)).alias("expires_at"), F.when(k % 10 == 0, "deleted").otherwise("ready").alias("status"))
+    docs = T.table(spark, d, "documents").select("doc_id", F.when(k % 4 > 0, F.timestamp_seconds(k * 1000)).alias("expires_at"),
+        F.when(k % 10 == 0, "deleted").otherwise("ready").alias("status"))
     marked, left = queue.purged(docs, p, F.timestamp_seconds(F.lit(400_000)))
     return marked.select("doc_id", "status").join(left.groupBy("doc_id").agg(F.count("*").alias("paragraphs")), "doc_id", "left")
 
 
 def inserted_once(spark, d):
     c = T.table(spark, d, "customer")
-    old, new = c.where("c_custkey % 3 = 0").select("c_mktsegment", (F.col("c_custkey") % 500).alias("key")), c.select((F.col("c_custkey") % 700).alias("key"))
+    old, new = c.where("c_custkey % 3 = 0").select("c_mktsegment",
+        (F.col("c_custkey") % 500).alias("key")), c.select((F.col("c_custkey") % 700).alias("key"))
     return policies.inserted_once(old, new, "key")[1]
 
 
 def settings_overlay(spark, d):
     n = T.table(spark, d, "nation")
     parent = n.where("n_nationkey < 20").select(F.col("n_name").alias("name"), F.col("n_regionkey").cast("string").alias("value"))
-    child = n.where("n_nationkey > 5").select(F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 3 == 0, "unspecified").when(F.col("n_nationkey") % 3 == 1, "").otherwise("own").alias("value"))
+    child = n.where("n_nationkey > 5").select(F.col("n_name").alias("name"),
+        F.when(F.col("n_nationkey") % 3 == 0, "unspecified").when(F.col("n_nationkey") % 3 == 1, "").otherwise("own").alias("value"))
     return reports.overlaid(child, parent)
 
 

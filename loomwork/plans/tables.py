@@ -50,7 +50,8 @@ PRICES = [("alpha", "2000-01-01", "0.3000", "2.5000", "0.0300", "0.500"), ("alph
 def prices(spark: SparkSession) -> DataFrame:
     rows = spark.createDataFrame(PRICES, "model string, effective_from string, input_per_mtok string, output_per_mtok string, cached_input_per_mtok string, batch_multiplier string")
     money = {c: F.col(c).cast("decimal(10,4)") for c in ("input_per_mtok", "output_per_mtok", "cached_input_per_mtok")}
-    return rows.withColumns(money | {"effective_from": F.to_date("effective_from"), "batch_multiplier": F.col("batch_multiplier").cast("decimal(4,3)")})
+    return rows.withColumns(money | {"effective_from": F.to_date("effective_from"),
+        "batch_multiplier": F.col("batch_multiplier").cast("decimal(4,3)")})
 
 
 def _quoted(v: str | None) -> str:
@@ -67,7 +68,8 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     big = F.floor(F.col("value") * 1000).cast("long")
     return e.select(
-        F.col("event_id").alias("call_id"), F.when(F.col("user_id") % 2 == 0, "alpha").otherwise("beta").alias("model"), F.to_date("ts").alias("day"), F.col("ts").alias("at"),
+        F.col("event_id").alias("call_id"), F.when(F.col("user_id") % 2 == 0, "alpha").otherwise("beta").alias("model"), F.to_date("ts").alias("day"),
+        F.col("ts").alias("at"),
         big.alias("tokens_in"), F.floor(big / 3).cast("long").alias("tokens_cached"), F.floor(big / 10).cast("long").alias("tokens_out"),
         F.floor(big / 20).cast("long").alias("tokens_think"), (F.col("event_id") % 3 == 0).alias("batch"), "user_id")
 
@@ -85,8 +87,10 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as jobs."""
     o = table(spark, sf_dir, "orders")
     status = F.when(F.col("o_orderstatus") == "O", "running").when(F.col("o_orderstatus") == "F", "succeeded").otherwise("failed")
-    return o.select(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("user_id"), status.alias("status"), (F.col("o_orderkey") % 7 == 0).alias("cancel_requested"),
-                    F.when(F.col("o_orderpriority").startswith("1"), "private").otherwise("standard").alias("privacy"), F.to_date("o_orderdate").alias("day"),
+    return o.select(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("user_id"), status.alias("status"),
+        (F.col("o_orderkey") % 7 == 0).alias("cancel_requested"),
+                    F.when(F.col("o_orderpriority").startswith("1"), "private").otherwise("standard").alias("privacy"),
+                    F.to_date("o_orderdate").alias("day"),
                     F.col("o_totalprice").alias("cost"))
 
 
@@ -100,8 +104,10 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = table(spark, sf_dir, "lineitem")
     status = F.when(F.col("l_linenumber") % 3 == 0, "running").when(F.col("l_returnflag") == "R", "done").otherwise("pending")
     return i.select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("task_id"), F.col("l_orderkey").alias("job_id"), status.alias("status"), F.col("l_shipdate").alias("created_at"),
-        F.col("l_shipdate").alias("run_after"), (F.col("l_linenumber") % 4).cast("int").alias("attempt"), F.lit(3).alias("max_attempts"), F.col("l_shipdate").alias("heartbeat_at"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("task_id"), F.col("l_orderkey").alias("job_id"), status.alias("status"),
+        F.col("l_shipdate").alias("created_at"),
+        F.col("l_shipdate").alias("run_after"), (F.col("l_linenumber") % 4).cast("int").alias("attempt"), F.lit(3).alias("max_attempts"),
+        F.col("l_shipdate").alias("heartbeat_at"),
         F.lit(None).cast("string").alias("error_code"), F.lit("w").alias("locked_by"), F.lit(None).cast("timestamp").alias("finished_at"))
 
 

@@ -10,7 +10,8 @@ from loomwork.operators import checks, evidence, glossary, paragraphs, pool, rep
 from loomwork.plans import tables as T
 from loomwork.plans.tables import JOBS, PARAS, WORDS
 
-TERMS = [("the", "die", True, False, ["ye"]), ("heen", "haus", False, False, ["Inhe", "onhe"]), ("la", "das", True, True, ["que"]), ("un", "ein", True, False, ["DE"]),
+TERMS = [("the", "die", True, False, ["ye"]), ("heen", "haus", False, False, ["Inhe", "onhe"]), ("la", "das", True, True, ["que"]),
+    ("un", "ein", True, False, ["DE"]),
          ("der", "der", False, False, []), ("en la", "in der", False, False, ["y"])]
 
 
@@ -38,14 +39,16 @@ def diacritic_share(spark, d):
 
 def canon_numbers(spark, d):
     i = T.table(spark, d, "lineitem")
-    shown = F.when(F.col("l_linenumber") % 2 == 0, F.format_number("l_extendedprice", 2)).otherwise(F.translate(F.format_number("l_extendedprice", 2), ",.", ".,"))
+    shown = F.when(F.col("l_linenumber") % 2 == 0, F.format_number("l_extendedprice", 2)).otherwise(F.translate(F.format_number("l_extendedprice", 2),
+        ",.", ".,"))
     return i.select("l_orderkey", "l_linenumber", numbers.canon_number(shown).alias("number"))
 
 
 def quote_verification(spark, d):
     p = T.paras(spark, d)
     part = F.substring("text", 3, 40)
-    quote = (F.when(F.col("idx") % 4 == 0, F.upper(part)).when(F.col("idx") % 4 == 1, F.replace(part, F.lit(" "), F.lit(", "))).when(F.col("idx") % 4 == 2, F.concat(part, F.lit(" zzz"))).otherwise(part))
+    quote = (F.when(F.col("idx") % 4 == 0, F.upper(part)).when(F.col("idx") % 4 == 1,
+        F.replace(part, F.lit(" "), F.lit(", "))).when(F.col("idx") % 4 == 2, F.concat(part, F.lit(" zzz"))).otherwise(part))
     e = p.select("doc_id", F.when(F.col("idx") % 9 == 0, F.lit("P999999")).otherwise(F.col("pid")).alias("pid"), quote.alias("quote"))
     return evidence.verified(e, p, ["doc_id", "pid"]).groupBy("doc_id", "status").agg(F.count("*").alias("n"))
 
@@ -53,7 +56,8 @@ def quote_verification(spark, d):
 def bad_quotes(spark, d):
     p = T.paras(spark, d)
     e = p.select("doc_id", "pid", F.concat(F.substring("text", 1, 20), F.when(F.col("idx") % 3 == 0, " zzzz").otherwise("")).alias("quote"))
-    return evidence.unit_verified(evidence.verified(e, p, ["doc_id", "pid"]), "doc_id").select("doc_id", "verified", F.round("bad_ratio", 9).alias("bad_ratio"))
+    return evidence.unit_verified(evidence.verified(e, p, ["doc_id", "pid"]), "doc_id").select("doc_id", "verified",
+        F.round("bad_ratio", 9).alias("bad_ratio"))
 
 
 def glossary_filter(spark, d):
@@ -66,7 +70,8 @@ def glossary_lint(spark, d):
 
 
 def first_use_input(spark, d):
-    return glossary.terms_in(T.table(spark, d, "documents"), terms(spark), "doc_id", False).select(F.col("doc_id").alias("section"), F.col("doc_id").alias("pos"), "source_term")
+    return glossary.terms_in(T.table(spark, d, "documents"), terms(spark), "doc_id", False).select(F.col("doc_id").alias("section"),
+        F.col("doc_id").alias("pos"), "source_term")
 
 
 def first_uses(spark, d):
@@ -76,20 +81,26 @@ def first_uses(spark, d):
 def candidates(spark, d):
     i, p = T.table(spark, d, "lineitem"), T.table(spark, d, "part")
     return i.join(p, i["l_partkey"] == p["p_partkey"]).select(
-        (F.col("l_suppkey") % 50).alias("doc"), F.when(F.col("l_linenumber") % 2 == 0, F.upper("p_type")).otherwise(F.initcap("p_type")).alias("source_term"), F.lit("noun").alias("term_type"),
-        F.concat(F.lit("t"), F.col("p_size") % 3).alias("target_term"), F.col("l_linenumber").cast("long").alias("occurrences"), (F.floor(F.col("l_discount") * 100) / 100).alias("confidence"),
-        (F.col("l_returnflag") == "A").alias("keep_original"), F.array(F.col("l_linestatus"), F.concat(F.lit("t"), F.col("l_linenumber") % 4)).alias("alternatives"))
+        (F.col("l_suppkey") % 50).alias("doc"), F.when(F.col("l_linenumber") % 2 == 0,
+        F.upper("p_type")).otherwise(F.initcap("p_type")).alias("source_term"), F.lit("noun").alias("term_type"),
+        F.concat(F.lit("t"), F.col("p_size") % 3).alias("target_term"), F.col("l_linenumber").cast("long").alias("occurrences"),
+        (F.floor(F.col("l_discount") * 100) / 100).alias("confidence"),
+        (F.col("l_returnflag") == "A").alias("keep_original"),
+        F.array(F.col("l_linestatus"), F.concat(F.lit("t"), F.col("l_linenumber") % 4)).alias("alternatives"))
 
 
 def merge_candidates(spark, d):
     m = glossary.merged_candidates(candidates(spark, d))
     return m.select("key", "docs_count", "occurrences", F.round("avg_confidence", 2).alias("confidence"), "keep_votes", "translate_votes", "conflict",
-                    F.array_join(F.transform("variants", lambda v: F.concat(v["target_term"], F.lit(":"), v["docs"])), ",").alias("variants"), F.array_join("alternatives", ",").alias("alternatives"))
+                    F.array_join(F.transform("variants", lambda v: F.concat(v["target_term"], F.lit(":"), v["docs"])), ",").alias("variants"),
+                    F.array_join("alternatives", ",").alias("alternatives"))
 
 
 def glossary_precedence(spark, d):
-    shared = T.table(spark, d, "part").select(F.col("p_type").alias("source_term"), F.col("p_brand").alias("target_term")).groupBy("source_term").agg(F.min("target_term").alias("target_term"))
-    own = T.table(spark, d, "part").where("p_size < 10").select(F.upper("p_type").alias("source_term"), F.col("p_brand").alias("target_term")).groupBy("source_term").agg(F.max("target_term").alias("target_term"))
+    shared = T.table(spark, d, "part").select(F.col("p_type").alias("source_term"),
+        F.col("p_brand").alias("target_term")).groupBy("source_term").agg(F.min("target_term").alias("target_term"))
+    own = T.table(spark, d, "part").where("p_size < 10").select(F.upper("p_type").alias("source_term"),
+        F.col("p_brand").alias("target_term")).groupBy("source_term").agg(F.max("target_term").alias("target_term"))
     return glossary.effective((shared, 10), (own, 20)).select(F.lower("source_term").alias("term"), "target_term", "priority")
 
 
@@ -99,7 +110,8 @@ def segments(spark, d):
 
 def segment_context(spark, d):
     p = T.paras(spark, d)
-    return paragraphs.context_before(p, paragraphs.segments(p, target=400, most=1500, least=150)).select("doc_id", "segment", F.array_join("context", ",").alias("context"))
+    return paragraphs.context_before(p, paragraphs.segments(p, target=400, most=1500, least=150)).select("doc_id", "segment",
+        F.array_join("context", ",").alias("context"))
 
 
 def cited_neighbours(spark, d):
@@ -109,7 +121,8 @@ def cited_neighbours(spark, d):
 
 def label_ranges(spark, d):
     p = T.paras(spark, d)
-    r = p.where("idx % 6 = 1").select("doc_id", F.col("idx").alias("range_no"), F.col("idx").alias("from_idx"), (F.col("idx") + 3 + F.col("idx") % 5).alias("to_idx"),
+    r = p.where("idx % 6 = 1").select("doc_id", F.col("idx").alias("range_no"), F.col("idx").alias("from_idx"),
+        (F.col("idx") + 3 + F.col("idx") % 5).alias("to_idx"),
                                       F.concat(F.lit("label"), F.col("idx") % 4).alias("label"))
     return paragraphs.labelled(p, r).groupBy("doc_id", "label").agg(F.count("*").alias("n"))
 
@@ -126,26 +139,30 @@ def budget_words(spark, d):
 def cost_estimates(spark, d):
     w = T.words(spark, d).crossJoin(F.broadcast(spark.createDataFrame([(k,) for k in estimates.LEVELS], "level string")))
     e = estimates.estimate(F.col("words") * 20, F.col("level"), F.col("lang"), F.lit(0.3), F.lit(2.5))
-    return w.select("doc_id", "level", F.inline(F.array(e)), estimates.estimate_calls(F.col("words") * 20, F.col("level"), F.col("lang")).alias("calls"))
+    return w.select("doc_id", "level", F.inline(F.array(e)), estimates.estimate_calls(F.col("words") * 20, F.col("level"),
+        F.col("lang")).alias("calls"))
 
 
 def day_boundaries(spark, d):
     e = T.table(spark, d, "events").select("event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("now"))
     zone = "America/Los_Angeles"
-    return e.select("event_id", clock.day_key(F.col("now"), zone).alias("day"), clock.next_day_boundary(F.col("now"), zone).cast("long").alias("next"))
+    return e.select("event_id", clock.day_key(F.col("now"), zone).alias("day"),
+        clock.next_day_boundary(F.col("now"), zone).cast("long").alias("next"))
 
 
 def http_outcomes(spark, d):
     e = T.table(spark, d, "events")
     status = F.element_at(F.array(*map(F.lit, [200, 429, 401, 400, 413, 500, 504, 404, 418, 429])), (F.col("event_id") % 10 + 1).cast("int"))
-    body = F.element_at(F.array(*map(F.lit, ['{"error":{"message":"Requests per day exceeded"}}', '{"error":{"message":"context length"}}', '{"error":{"code":"rpm"}}', '{}'])), (F.col("event_id") % 4 + 1).cast("int"))
+    body = F.element_at(F.array(*map(F.lit, ['{"error":{"message":"Requests per day exceeded"}}', '{"error":{"message":"context length"}}',
+        '{"error":{"code":"rpm"}}', '{}'])), (F.col("event_id") % 4 + 1).cast("int"))
     finish = F.when(F.col("event_id") % 30 == 0, "length").when(F.col("event_id") % 50 == 0, "SAFETY")
     return e.select("event_id", http.classify_http(F.lit("openai_compat"), status, body, finish).alias("outcome"))
 
 
 def key_statuses(spark, d):
     c = T.table(spark, d, "customer")
-    key = (F.when(F.col("c_custkey") % 7 == 0, F.lit("xxxxxxxxxxxxxxxxxx")).when(F.col("c_custkey") % 7 == 1, F.lit("short")).when(F.col("c_custkey") % 7 == 2, F.lit("has blank in it here"))
+    key = (F.when(F.col("c_custkey") % 7 == 0, F.lit("xxxxxxxxxxxxxxxxxx")).when(F.col("c_custkey") % 7 == 1,
+        F.lit("short")).when(F.col("c_custkey") % 7 == 2, F.lit("has blank in it here"))
            .otherwise(F.md5((F.col("c_custkey") % 700).cast("string"))))
     keys = c.select(F.col("c_nationkey").alias("request"), F.col("c_custkey").alias("pos"), key.alias("key"))
     existing = c.where("c_custkey < 100").select(F.md5((F.col("c_custkey") + 650).cast("string")).alias("key"))
@@ -157,24 +174,32 @@ def eligible_pairs(spark, d):
     strings = lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
     k = F.col("n_nationkey")
     deps = n.select(
-        F.col("n_name").alias("deployment"), F.col("n_regionkey").cast("string").alias("group_id"), (k % 11 != 0).alias("enabled"), (k % 4).alias("active_credentials"),
-        F.element_at(strings("none", "json_object", "json_schema"), (k % 3 + 1).cast("int")).alias("structured"), F.when(k % 6 == 0, strings("trial_only")).otherwise(strings()).alias("tos_flags"),
+        F.col("n_name").alias("deployment"), F.col("n_regionkey").cast("string").alias("group_id"), (k % 11 != 0).alias("enabled"),
+        (k % 4).alias("active_credentials"),
+        F.element_at(strings("none", "json_object", "json_schema"), (k % 3 + 1).cast("int")).alias("structured"),
+        F.when(k % 6 == 0, strings("trial_only")).otherwise(strings()).alias("tos_flags"),
         F.when(k % 12 == 0, strings("trial_only")).otherwise(strings()).alias("risk_ack"), (k % 2 == 0).alias("vision"), F.lit(True).alias("pdf"),
-        F.create_map(F.lit("write"), (k / 25).cast("double")).alias("quality"), strings("dev", "A", "B").alias("allowed_gates"), F.when(k % 3 == 0, "no_training").otherwise("unknown").alias("data_policy"),
-        F.when(k % 5 == 0, "metered").otherwise("free").alias("price_mode"), F.lit(1.1).alias("tokenizer_factor"), (k * 1000 + 4000).cast("long").alias("ctx_in"), F.lit(4000).alias("max_out"),
+        F.create_map(F.lit("write"), (k / 25).cast("double")).alias("quality"), strings("dev", "A", "B").alias("allowed_gates"),
+        F.when(k % 3 == 0, "no_training").otherwise("unknown").alias("data_policy"),
+        F.when(k % 5 == 0, "metered").otherwise("free").alias("price_mode"), F.lit(1.1).alias("tokenizer_factor"),
+        (k * 1000 + 4000).cast("long").alias("ctx_in"), F.lit(4000).alias("max_out"),
         strings("fast").alias("tags"), F.lit("free").alias("tier"), F.lit(1.0).alias("weight"))
     c = F.col("c_custkey")
     reqs = T.table(spark, d, "customer").select(
-        c.alias("request"), strings().alias("exclude"), F.element_at(strings("none", "json_object"), (c % 2 + 1).cast("int")).alias("structured"), (c % 5 == 0).alias("needs_vision"), F.lit(False).alias("needs_pdf"),
-        F.create_map(F.lit("write"), (c % 10 / 20).cast("double")).alias("min_quality"), F.element_at(strings("A", "B", "C"), (c % 3 + 1).cast("int")).alias("gate"),
-        F.when(c % 4 == 0, "private").otherwise("standard").alias("privacy"), F.lit(False).alias("region_restricted"), (c % 2 == 1).alias("allow_metered"), (c * 10).alias("est_in"), F.lit(1000).alias("est_out"),
+        c.alias("request"), strings().alias("exclude"), F.element_at(strings("none", "json_object"), (c % 2 + 1).cast("int")).alias("structured"),
+        (c % 5 == 0).alias("needs_vision"), F.lit(False).alias("needs_pdf"),
+        F.create_map(F.lit("write"), (c % 10 / 20).cast("double")).alias("min_quality"),
+        F.element_at(strings("A", "B", "C"), (c % 3 + 1).cast("int")).alias("gate"),
+        F.when(c % 4 == 0, "private").otherwise("standard").alias("privacy"), F.lit(False).alias("region_restricted"),
+        (c % 2 == 1).alias("allow_metered"), (c * 10).alias("est_in"), F.lit(1000).alias("est_out"),
         F.lit(0).alias("min_ctx_in"), strings().alias("avoid_groups"), strings().alias("select_tags"), strings("free", "paid").alias("select_tiers"))
     return pool.candidates(reqs, deps).select("request", "deployment")
 
 
 def constraint_violations(spark, d):
     o = T.table(spark, d, "orders")
-    rules = {"total_range": F.col("o_totalprice") < 300_000, "status_enum": F.col("o_orderstatus").isin("O", "F"), "priority_format": F.col("o_orderpriority").rlike("^[1-4]-"),
+    rules = {"total_range": F.col("o_totalprice") < 300_000, "status_enum": F.col("o_orderstatus").isin("O", "F"),
+        "priority_format": F.col("o_orderpriority").rlike("^[1-4]-"),
              "open_implies_key": (F.col("o_orderstatus") != "O") | (F.col("o_orderkey") % 3 > 0)}
     return checks.violations(o, "o_orderkey", rules)
 
@@ -191,7 +216,8 @@ def pid_pairing(spark, d):
 
 def translations(spark, d):
     p = T.paras(spark, d).select(F.concat_ws("/", "doc_id", "pid").alias("pid"), "idx", "text")
-    t = p.select("pid", F.when(F.col("idx") % 5 == 0, "").when(F.col("idx") % 5 == 1, F.substring("text", 1, 20)).otherwise(F.col("text")).alias("text"))
+    t = p.select("pid", F.when(F.col("idx") % 5 == 0, "").when(F.col("idx") % 5 == 1,
+        F.substring("text", 1, 20)).otherwise(F.col("text")).alias("text"))
     return checks.translation_problems(p, t, "pid")
 
 
@@ -203,8 +229,10 @@ def enum_drift(spark, d):
 
 def block_checks(spark, d):
     p = T.paras(spark, d)
-    extra = F.when(F.col("idx") % 6 == 0, " U-00012 ").when(F.col("idx") % 6 == 1, " <b>x</b> ").when(F.col("idx") % 6 == 2, " Certainly, ").otherwise("")
-    return reports.block_problems(p.select(F.concat_ws("/", "doc_id", "pid").alias("block"), F.concat("text", extra).alias("text")), "block").groupBy("problem").agg(F.count("*").alias("n"))
+    extra = F.when(F.col("idx") % 6 == 0, " U-00012 ").when(F.col("idx") % 6 == 1, " <b>x</b> ").when(F.col("idx") % 6 == 2,
+        " Certainly, ").otherwise("")
+    return reports.block_problems(p.select(F.concat_ws("/", "doc_id", "pid").alias("block"), F.concat("text", extra).alias("text")),
+        "block").groupBy("problem").agg(F.count("*").alias("n"))
 
 
 def citations(spark, d):
@@ -220,28 +248,35 @@ def style_chains(spark, d):
 
 
 def report_patches(spark, d):
-    b = T.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("section"), F.col("l_linenumber").alias("pos")).agg(F.min("l_returnflag").alias("text"))
+    b = T.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("section"),
+        F.col("l_linenumber").alias("pos")).agg(F.min("l_returnflag").alias("text"))
     b = b.select("section", "pos", F.concat_ws(".b", "section", "pos").alias("block"), "text")
     k = F.col("pos")
-    return reports.patched(b, b.where(k == 2).select("block", F.lit("new").alias("text")), b.where(k == 3).select(F.col("block").alias("after_block"), F.concat("block", F.lit("+")).alias("block"), F.lit("added").alias("text")),
+    return reports.patched(b, b.where(k == 2).select("block", F.lit("new").alias("text")),
+        b.where(k == 3).select(F.col("block").alias("after_block"), F.concat("block", F.lit("+")).alias("block"), F.lit("added").alias("text")),
                            b.where(k == 1).select("block"))
 
 
 def grades(spark, d):
     i = T.table(spark, d, "lineitem")
-    rows = i.select(F.col("l_suppkey").alias("report"), (F.col("l_tax") < 0.08).alias("covered"), (F.col("l_discount") < 0.1).alias("faithful"), (F.col("l_quantity") < 50).alias("resolved"))
-    return reports.grades(rows).select("report", F.round("coverage", 9).alias("coverage"), F.round("faithfulness", 9).alias("faithfulness"), "unresolved", "grade")
+    rows = i.select(F.col("l_suppkey").alias("report"), (F.col("l_tax") < 0.08).alias("covered"), (F.col("l_discount") < 0.1).alias("faithful"),
+        (F.col("l_quantity") < 50).alias("resolved"))
+    return reports.grades(rows).select("report", F.round("coverage", 9).alias("coverage"), F.round("faithfulness", 9).alias("faithfulness"),
+        "unresolved", "grade")
 
 
 def plan_checks(spark, d):
-    o = T.table(spark, d, "orders").select(F.col("o_orderkey").alias("unit"), F.when(F.col("o_orderpriority").startswith("1"), "core").otherwise("minor").alias("importance"))
-    plan = T.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("section"), (F.col("l_orderkey") + F.when(F.col("l_orderkey") % 97 == 0, 10**8).otherwise(0)).alias("unit"))
+    o = T.table(spark, d, "orders").select(F.col("o_orderkey").alias("unit"),
+        F.when(F.col("o_orderpriority").startswith("1"), "core").otherwise("minor").alias("importance"))
+    plan = T.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("section"),
+        (F.col("l_orderkey") + F.when(F.col("l_orderkey") % 97 == 0, 10**8).otherwise(0)).alias("unit"))
     return reports.plan_problems(plan, o)
 
 
 def extract_json(spark, d):
     e = T.table(spark, d, "events")
-    reply = F.concat(F.when(F.col("event_id") % 3 == 0, "<think>{no}</think> Sure: ").when(F.col("event_id") % 3 == 1, "```json\n").otherwise(""), "props", F.when(F.col("event_id") % 3 == 1, "\n```").otherwise(" done"))
+    reply = F.concat(F.when(F.col("event_id") % 3 == 0, "<think>{no}</think> Sure: ").when(F.col("event_id") % 3 == 1, "```json\n").otherwise(""),
+        "props", F.when(F.col("event_id") % 3 == 1, "\n```").otherwise(" done"))
     return e.select("event_id", F.get_json_object(J.extract_json(reply), "$.k").alias("k"))
 
 
@@ -256,7 +291,8 @@ def daily_capacity(spark, d):
     p = T.table(spark, d, "part")
     k = F.col("p_partkey")
     lim = lambda name, every, size: F.when(k % every != 0, (k % 37 + 1) * size).alias(name)
-    rows = p.select(k.alias("deployment"), lim("d_rpd", 3, 50), lim("d_rpm", 4, 1), lim("d_tpd", 5, 10_000), lim("d_tpm", 2, 900), lim("g_rpd", 2, 400), lim("g_rpm", 6, 3), lim("g_tpd", 7, 90_000), lim("g_tpm", 9, 700),
+    rows = p.select(k.alias("deployment"), lim("d_rpd", 3, 50), lim("d_rpm", 4, 1), lim("d_tpd", 5, 10_000), lim("d_tpm", 2, 900),
+        lim("g_rpd", 2, 400), lim("g_rpm", 6, 3), lim("g_tpd", 7, 90_000), lim("g_tpm", 9, 700),
                     F.lit(0.95).alias("day_margin"), F.lit(0.85).alias("safety_margin"))
     return pool.daily_capacity(rows)
 

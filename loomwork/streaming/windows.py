@@ -30,4 +30,5 @@ def sessions(events: DataFrame, key: str, gap: str, late: str = "1 hour") -> Dat
 def tail(spark: SparkSession, path: str, schema: str, out: str, checkpoint: str) -> StreamingQuery:
     """Append a folder's new Parquet events to another, from where the checkpoint left off; a restart repeats none."""
     rows = spark.readStream.schema(schema).parquet(path)
-    return rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    return rows.writeStream.format("parquet").option("path", out).option("checkpointLocation",
+        checkpoint).outputMode("append").trigger(availableNow=True).start()

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 
 def test_credit_life(spark):
-    entries = spark.createDataFrame([(1, 100, "grant", None), (1, -30, "job_charge", 7), (2, 5, "grant", None)], "user_id int, delta int, reason string, job_id int")
+    entries = spark.createDataFrame([(1, 100, "grant", None), (1, -30, "job_charge", 7), (2, 5, "grant", None)],
+        "user_id int, delta int, reason string, job_id int")
     users = spark.createDataFrame([(1,), (2,), (3,)], "user_id int")
     assert {r.user_id: r.balance for r in ledger.balances(entries, users).collect()} == {1: 70, 2: 5, 3: 0}
     ask = spark.createDataFrame([(7, 50), (8, 5)], "job_id int, amount int")
@@ -16,17 +17,20 @@ def test_credit_life(spark):
 
 
 def test_charges_depend_on_what_was_accepted_before(spark):
-    requests = spark.createDataFrame([(1, 1, 60, "a"), (1, 2, 60, "b"), (1, 3, 40, "c"), (1, 4, 60, "a"), (1, 5, 1, None), (1, 6, 0, None), (2, 1, 1, None)], "user_id int, seq long, amount int, idem string")
+    requests = spark.createDataFrame([(1, 1, 60, "a"), (1, 2, 60, "b"), (1, 3, 40, "c"), (1, 4, 60, "a"), (1, 5, 1, None), (1, 6, 0, None),
+        (2, 1, 1, None)], "user_id int, seq long, amount int, idem string")
     opening = spark.createDataFrame([(1, 100)], "user_id int, balance int")
     got = {(r.user_id, r.seq): (r.accepted, r.balance) for r in ledger.charges(requests, opening).collect()}
-    assert got == {(1, 1): (True, 40), (1, 2): (False, 40), (1, 3): (True, 0), (1, 4): (True, 0), (1, 5): (False, 0), (1, 6): (False, 0), (2, 1): (False, 0)}
+    assert got == {(1, 1): (True, 40), (1, 2): (False, 40), (1, 3): (True, 0), (1, 4): (True, 0), (1, 5): (False, 0), (1, 6): (False, 0),
+        (2, 1): (False, 0)}
 
 
 def test_costs(spark):
     prices = spark.createDataFrame([("m", "2026-01-01", "0.75", "3.0", "0.075", "0.5"), ("m", "2027-01-01", "1.5", "6.0", None, "0.5")],
                                    "model string, effective_from string, input_per_mtok string, output_per_mtok string, cached_input_per_mtok string, batch_multiplier string")
     prices = prices.selectExpr("model", "date(effective_from) AS effective_from", *(f"cast({c} AS decimal(10,4)) AS {c}" for c in prices.columns[2:]))
-    rows = [("m", "2026-06-01", 2_000_000, 0, 1_000_000, 0, False), ("m", "2027-01-01", 2_000_000, 0, 1_000_000, 0, False), ("m", "2026-06-01", 1_000_000, 1_000_000, 0, 0, False), ("m", "2026-06-01", 2_000_000, 0, 500_000, 500_000, True)]
+    rows = [("m", "2026-06-01", 2_000_000, 0, 1_000_000, 0, False), ("m", "2027-01-01", 2_000_000, 0, 1_000_000, 0, False),
+        ("m", "2026-06-01", 1_000_000, 1_000_000, 0, 0, False), ("m", "2026-06-01", 2_000_000, 0, 500_000, 500_000, True)]
     calls = spark.createDataFrame(rows, "model string, d string, tokens_in long, tokens_cached long, tokens_out long, tokens_think long, batch boolean").withColumn("day", F.to_date("d"))
     assert sorted(float(r[0]) for r in ledger.priced(calls, prices).select(ledger.cost_usd()).collect()) == [0.075, 2.25, 4.5, 9.0]
     with pytest.raises(Exception, match="no_price_for_model"):
@@ -35,8 +39,10 @@ def test_costs(spark):
 
 def test_claims(spark):
     t0 = dt.datetime(2026, 1, 1)
-    tasks = spark.createDataFrame([(i, i % 3, "pending" if i > 1 else "running", t0 + dt.timedelta(minutes=i), t0) for i in range(12)], "task_id int, job_id int, status string, created_at timestamp, run_after timestamp")
-    jobs = spark.createDataFrame([(0, "running", False), (1, "running", False), (2, "running", True)], "job_id int, status string, cancel_requested boolean")
+    tasks = spark.createDataFrame([(i, i % 3, "pending" if i > 1 else "running", t0 + dt.timedelta(minutes=i), t0) for i in range(12)],
+        "task_id int, job_id int, status string, created_at timestamp, run_after timestamp")
+    jobs = spark.createDataFrame([(0, "running", False), (1, "running", False), (2, "running", True)],
+        "job_id int, status string, cancel_requested boolean")
     now = F.lit(t0 + dt.timedelta(days=1))
     assert sorted(r.task_id for r in queue.claimed(tasks, jobs, now, 10, 2).collect()) == [3, 4]
     assert sorted(r.task_id for r in queue.claimed(tasks, jobs, now, 3, 9).collect()) == [3, 4, 6]
@@ -50,7 +56,8 @@ def test_progress_and_stages(spark):
 
 def test_day_boundaries_across_summer_time(spark):
     at = int(dt.datetime(2026, 3, 8, 8, 30, tzinfo=dt.timezone.utc).timestamp())  # 00:30 in Los Angeles, a day of 23 hours
-    row = spark.createDataFrame([(1790000000,), (at,)], "now long").select(clock.next_day_boundary(F.col("now"), "America/Los_Angeles").alias("n"), "now").collect()
+    row = spark.createDataFrame([(1790000000,), (at,)], "now long").select(clock.next_day_boundary(F.col("now"), "America/Los_Angeles").alias("n"),
+        "now").collect()
     assert {r.now: r.n for r in row} == {1790000000: 1790060400.0, at: at + 22.5 * 3600}
 
 
@@ -75,13 +82,15 @@ def test_segments(spark):
     docs = {k: [draw.choice([3, 10, 25, 40, 130]) for _ in range(draw.randint(1, 30))] for k in range(40)}
     rows = [(k, i, "x" * (4 * t)) for k, ts in docs.items() for i, t in enumerate(ts, 1)]
     got = {}
-    for r in paragraphs.segments(spark.createDataFrame(rows, "doc_id int, idx int, text string"), target=80, most=120, least=25).orderBy("doc_id", "segment").collect():
+    for r in paragraphs.segments(spark.createDataFrame(rows, "doc_id int, idx int, text string"), target=80, most=120, least=25).orderBy("doc_id",
+            "segment").collect():
         got.setdefault(r.doc_id, []).append((r.first_idx, r.last_idx, r.tokens))
     assert got == {k: segments_by_loop(ts, 80, 120, 25) for k, ts in docs.items()}
 
 
 def test_merged_cues(spark):
-    rows = spark.createDataFrame([("v", 0.0, "Hello"), ("v", 1.0, "there."), ("v", 1.5, "Next"), ("v", 9.0, "late")], "k string, at double, text string")
+    rows = spark.createDataFrame([("v", 0.0, "Hello"), ("v", 1.0, "there."), ("v", 1.5, "Next"), ("v", 9.0, "late")],
+        "k string, at double, text string")
     assert [r.text for r in paragraphs.merged_cues(rows, "k").orderBy("start").collect()] == ["Hello there.", "Next", "late"]
 
 
@@ -98,14 +107,17 @@ def test_terms_and_lint(spark):
     report = spark.createDataFrame([(1, "Dùng mây nhé"), (2, "đám mây là tốt"), (3, "đám mây (cloud) tốt"), (4, "cloud tốt")], "k int, text string")
     first = spark.createDataFrame([(2, "cloud"), (3, "cloud")], "k int, source_term string")
     got = {(r.k, r.kind) for r in glossary.lint(report, entries(spark), "k", first).collect()}
-    assert got == {(1, "forbidden_variant"), (2, "forbidden_variant"), (2, "missing_original_on_first_use"), (3, "forbidden_variant"), (4, "untranslated_source_term")}
+    assert got == {(1, "forbidden_variant"), (2, "forbidden_variant"), (2, "missing_original_on_first_use"), (3, "forbidden_variant"),
+        (4, "untranslated_source_term")}
 
 
 def test_merged_candidates(spark):
-    rows = spark.createDataFrame([("d1", "Cloud", "noun", "mây", 2, 0.9, True, ["a"]), ("d2", "cloud ", "verb", "đám mây", 3, 0.8, False, ["b", "mây"]), ("d3", "CLOUD", "noun", "mây", 1, 0.7, True, [])],
+    rows = spark.createDataFrame([("d1", "Cloud", "noun", "mây", 2, 0.9, True, ["a"]),
+        ("d2", "cloud ", "verb", "đám mây", 3, 0.8, False, ["b", "mây"]), ("d3", "CLOUD", "noun", "mây", 1, 0.7, True, [])],
                                  "doc string, source_term string, term_type string, target_term string, occurrences int, confidence double, keep_original boolean, alternatives array<string>")
     r = glossary.review_order(glossary.merged_candidates(rows)).first()
-    assert (r.source_term, r.term_type, r.docs_count, r.occurrences, r.avg_confidence, r.conflict, r.alternatives) == ("Cloud", "noun", 3, 6, 0.8, True, ["a", "b"])
+    assert (r.source_term, r.term_type, r.docs_count, r.occurrences, r.avg_confidence, r.conflict, r.alternatives) == ("Cloud", "noun", 3, 6, 0.8,
+        True, ["a", "b"])
     assert [(v.target_term, v.docs) for v in r.variants] == [("mây", 2), ("đám mây", 1)] and (r.keep_votes, r.translate_votes) == (2, 1)
 
 
@@ -117,17 +129,22 @@ def test_attached_evidence(spark):
 
 def test_estimates(spark):
     row = spark.range(1).select(
-        estimates.report_budget_words(F.lit(90_000), F.lit("deep_synthesis")).alias("b"), estimates.estimate(F.lit(90_000), F.lit("deep_synthesis"), F.lit("en"), F.lit(0.75), F.lit(3.0)).alias("e"),
+        estimates.report_budget_words(F.lit(90_000), F.lit("deep_synthesis")).alias("b"),
+        estimates.estimate(F.lit(90_000), F.lit("deep_synthesis"), F.lit("en"), F.lit(0.75), F.lit(3.0)).alias("e"),
         *(estimates.estimate_calls(F.lit(90_000), F.lit(k), F.lit("en")).alias(k) for k in estimates.LEVELS),
-        estimates.report_budget_words(F.lit(200), F.lit("executive_brief")).alias("small"), estimates.docs_per_day(F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(1), F.lit(1)).alias("inf")).first()
+        estimates.report_budget_words(F.lit(200), F.lit("executive_brief")).alias("small"),
+        estimates.docs_per_day(F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(1), F.lit(1)).alias("inf")).first()
     assert (row.b, row.small, row.e.credits, row.inf) == (9000, 160, 300, math.inf)
     assert [row[k] for k in estimates.LEVELS] == [37, 84, 78, 34]
 
 
 @pytest.mark.parametrize(("status", "body", "finish", "want"), [
-    (200, None, "length", "truncated"), (200, None, "stop", "ok"), (200, None, None, "ok"), (429, '{"error":{"message":"Too many tokens per minute"}}', None, "rate_limited_minute"),
-    (429, '{"error":{"code":"insufficient_quota"}}', None, "rate_limited_day"), (429, None, None, "rate_limited_unknown"), (403, None, None, "auth_error"), (413, None, None, "context_exceeded"),
-    (400, '{"error":{"message":"maximum context length"}}', None, "context_exceeded"), (422, None, None, "bad_request"), (504, None, None, "timeout"), (503, None, None, "server_error"), (418, None, None, "bad_request"),
+    (200, None, "length", "truncated"), (200, None, "stop", "ok"), (200, None, None, "ok"),
+    (429, '{"error":{"message":"Too many tokens per minute"}}', None, "rate_limited_minute"),
+    (429, '{"error":{"code":"insufficient_quota"}}', None, "rate_limited_day"), (429, None, None, "rate_limited_unknown"),
+    (403, None, None, "auth_error"), (413, None, None, "context_exceeded"),
+    (400, '{"error":{"message":"maximum context length"}}', None, "context_exceeded"), (422, None, None, "bad_request"), (504, None, None, "timeout"),
+    (503, None, None, "server_error"), (418, None, None, "bad_request"),
     (429, '{"error":{"details":[{"violations":[{"quotaId":"GenerateRequestsPerDayPerProject"}]}]}}', None, "rate_limited_day"),
 ])
 def test_http(spark, status, body, finish, want):
@@ -146,13 +163,15 @@ def test_checks(spark):
     assert {tuple(r) for r in checks.violations(rows, "id", rules).collect()} == {(2, "positive"), (2, "known")}
     with pytest.raises(Exception, match="check_violation"):
         checks.enforced(rows, rules).collect()
-    old = spark.createDataFrame([(1, "x", "approved"), (2, "x", "approved"), (3, "x", "approved"), (4, "x", "draft"), (5, "x", "approved")], "id int, content string, status string")
+    old = spark.createDataFrame([(1, "x", "approved"), (2, "x", "approved"), (3, "x", "approved"), (4, "x", "draft"), (5, "x", "approved")],
+        "id int, content string, status string")
     new = spark.createDataFrame([(1, "y", "approved"), (2, "x", "draft"), (5, "x", "deprecated")], "id int, content string, status string")
     assert {tuple(r) for r in checks.frozen(old, new, "id").collect()} == {(1, "content_changed"), (2, "bad_status"), (3, "deleted")}
 
 
 def test_reports(spark):
-    rules = spark.createDataFrame([("c", "r2", "may", "m" * 50), ("c", "r1", "must", "keep <x>"), ("c", "r3", "should", "s" * 50)], "core string, rule string, severity string, text string")
+    rules = spark.createDataFrame([("c", "r2", "may", "m" * 50), ("c", "r1", "must", "keep <x>"), ("c", "r3", "should", "s" * 50)],
+        "core string, rule string, severity string, text string")
     full = reports.style_block(rules, 1000).first().text
     assert [x[:6] for x in full.split("\n")] == ["- [r1]", "- [r3]", "- [r2]"] and "‹x›" in full
     assert reports.style_block(rules, 90).first().text.count("\n") == 1 and reports.style_block(rules, 5).first().text == "- [r1] keep ‹x›"

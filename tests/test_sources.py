@@ -25,7 +25,8 @@ def test_subtitles(spark):
 def test_glossary_round_trip(spark, tmp_path):
     (tmp_path / "g.csv").write_text("﻿source_term,target_term,keep_original,case_sensitive,forbidden_variants,term_type,note\ncloud,đám mây,true,,mây | cloudy,noun,\n,x,,,,,\n", encoding="utf-8")
     rows = S.read_glossary(spark, str(tmp_path / "g.csv"))
-    assert [(r.source_term, r.keep_original, r.case_sensitive, r.forbidden_variants) for r in rows.collect()] == [("cloud", True, False, ["mây", "cloudy"])]
+    assert [(r.source_term, r.keep_original, r.case_sensitive, r.forbidden_variants) for r in rows.collect()] == [("cloud", True, False,
+        ["mây", "cloudy"])]
     S.write_glossary(rows, str(tmp_path / "out"))
     assert S.read_glossary(spark, str(tmp_path / "out")).collect() == rows.collect()
 
@@ -37,14 +38,17 @@ def test_prompts(spark, tmp_path):
 
 
 def test_pool_configuration(spark, tmp_path):
-    cfg = {"policy": {}, "models": [{"id": "m", "provider": "p", "ctx_in": 8000, "max_out": 2000, "structured": "json_object", "quality": {"write": 0.5}}],
-           "groups": [{"id": "g", "provider": "p", "tier": "free", "data_policy": "no_training", "credentials": [{"id": "c1"}, {"id": "c2", "status": "quarantined"}]}],
+    cfg = {"policy": {}, "models": [{"id": "m", "provider": "p", "ctx_in": 8000, "max_out": 2000, "structured": "json_object",
+        "quality": {"write": 0.5}}],
+           "groups": [{"id": "g", "provider": "p", "tier": "free", "data_policy": "no_training",
+           "credentials": [{"id": "c1"}, {"id": "c2", "status": "quarantined"}]}],
            "deployments": [{"id": "d1", "group": "g", "model": "m", "tags": ["fast"]}, {"id": "d2", "group": "g", "model": "m", "enabled": False}]}
     (tmp_path / "pool.json").write_text(json.dumps(cfg))
     deps = S.pool_deployments(spark, str(tmp_path / "pool.json"))
     assert {(r.deployment, r.enabled, r.active_credentials) for r in deps.collect()} == {("d1", True, 1), ("d2", False, 1)}
     requests = spark.createDataFrame(
-        [(1, [], "none", False, False, {"write": 0.4}, "A", "private", False, False, 1000, 500, 0, [], ["fast"], []), (2, [], "none", False, False, {"write": 0.6}, "A", "standard", False, False, 1000, 500, 0, [], [], [])],
+        [(1, [], "none", False, False, {"write": 0.4}, "A", "private", False, False, 1000, 500, 0, [], ["fast"], []),
+        (2, [], "none", False, False, {"write": 0.6}, "A", "standard", False, False, 1000, 500, 0, [], [], [])],
         "request int, exclude array<string>, structured string, needs_vision boolean, needs_pdf boolean, min_quality map<string,double>, gate string, privacy string, region_restricted boolean, allow_metered boolean, "
         "est_in int, est_out int, min_ctx_in int, avoid_groups array<string>, select_tags array<string>, select_tiers array<string>")
     assert [(r.request, r.deployment) for r in pool.candidates(requests, deps).collect()] == [(1, "d1")]

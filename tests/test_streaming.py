@@ -33,14 +33,16 @@ def test_circuit_opens_and_closes_again():
     steps = []
     for i in range(3):
         steps += [(float(i), "reserve", {}), (float(i), "settle", {"lease": i + 1, "outcome": "server_error"})]
-    q, got = run(*steps, (3.0, "reserve", {}), (17.5, "reserve", {}), (17.6, "reserve", {}), (18.0, "settle", {"lease": 4, "outcome": "ok"}), (18.1, "reserve", {}), limits=free)
+    q, got = run(*steps, (3.0, "reserve", {}), (17.5, "reserve", {}), (17.6, "reserve", {}), (18.0, "settle", {"lease": 4, "outcome": "ok"}),
+        (18.1, "reserve", {}), limits=free)
     assert got[6][0] is False and got[6][3] == "deployment_cooldown" and got[7][0] is True and got[8][3] == "probing" and got[10][0] is True
     assert q.s["scopes"]["d"]["circuit"] == "closed"
 
 
 def test_rate_limits_back_off_and_late_settlements_do_nothing():
     free = {"": {}, "d": {"rpm": 600}}
-    q, got = run((0.0, "reserve", {}), (1.0, "settle", {"lease": 1, "outcome": "rate_limited_unknown"}), (1.0, "settle", {"lease": 1, "outcome": "ok"}), (2.0, "reserve", {}), limits=free)
+    q, got = run((0.0, "reserve", {}), (1.0, "settle", {"lease": 1, "outcome": "rate_limited_unknown"}),
+        (1.0, "settle", {"lease": 1, "outcome": "ok"}), (2.0, "reserve", {}), limits=free)
     assert got[2][3] == "no_lease" and got[3][3] == "deployment_cooldown" and abs(got[3][2] - 29) < 1e-9 and abs(q.s["scopes"]["d"]["scale"] - 0.85) < 1e-9
 
 
@@ -61,7 +63,8 @@ def test_days_turn_over_by_zone():
 
 @pytest.fixture
 def log():
-    steps = [(float(i * 7), "reserve", {}) for i in range(12)] + [(90.0, "settle", {"lease": 1, "outcome": "ok", "latency": 5.0}), (400.0, "reap", {}), (401.0, "reserve", {"low": True})]
+    steps = [(float(i * 7), "reserve", {}) for i in range(12)] + [(90.0, "settle", {"lease": 1, "outcome": "ok", "latency": 5.0}),
+        (400.0, "reap", {}), (401.0, "reserve", {"low": True})]
     return events(*steps) + [e | {"group": "h"} for e in events(*steps)]
 
 
@@ -75,7 +78,8 @@ def test_stream_answers_as_the_batch_does(spark, log, tmp_path):
     for part in range(3):
         frame(spark, [e for e in log if e["seq"] % 15 // 5 == part]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         stream = spark.readStream.schema(quota.EVENT).parquet(f"{tmp_path}/in")
-        out = quota.decided(stream, LIMITS).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+        out = quota.decided(stream, LIMITS).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation",
+            f"{tmp_path}/check").trigger(availableNow=True).start()
         out.awaitTermination()
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect()), key=str) == batch and len(batch) == 30
 

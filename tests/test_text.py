@@ -11,8 +11,9 @@ def one(spark, column, *values, names="abcdef"):
 
 
 @pytest.mark.parametrize(("given", "want"), [
-    ("1,000", "1000"), ("1.000", "1000"), ("3,5", "3.5"), ("3.50", "3.5"), ("1.234.567", "1234567"), ("1,234.50", "1234.5"), ("1.234,50", "1234.5"), ("0.500", "0.5"),
-    ("007", "7"), ("0", "0"), ("12.34.56", "12.34.56"), ("1234.567", "1234.567"), ("0,125", "0.125"), ("10", "10"),
+    ("48,200", "48200"), ("7.310", "7310"), ("6,25", "6.25"), ("9.70", "9.7"), ("2.718.281", "2718281"), ("5,820.40", "5820.4"),
+    ("5.820,40", "5820.4"), ("0.750", "0.75"),
+    ("0042", "42"), ("000", "0"), ("21.43.65", "21.43.65"), ("8675.309", "8675.309"), ("0,875", "0.875"), ("600", "600"),
 ])
 def test_canonical_numbers(spark, given, want):
     assert one(spark, numbers.canon_number(F.col("a")), given) == want
@@ -46,8 +47,10 @@ def test_composition_and_diacritics(spark):
 
 
 @pytest.mark.parametrize(("quote", "para", "fuzzy", "want"), [
-    ("The plan begins", "the PLAN  begins in 2027", False, "exact"), ("plan: begins", "The plan begins", False, "loose"), ("nothing", "The plan begins", False, "missing"),
-    ("", "x", False, "missing"), ("x", None, False, "unknown_pid"), ("the project begin5 officially in may", "The project begins officially in May", True, "missing"),
+    ("The plan begins", "the PLAN  begins in 2027", False, "exact"), ("plan: begins", "The plan begins", False, "loose"),
+    ("nothing", "The plan begins", False, "missing"),
+    ("", "x", False, "missing"), ("x", None, False, "unknown_pid"),
+    ("the project begin5 officially in may", "The project begins officially in May", True, "missing"),
     ("the projekt begins officially in the month of may", "The project begins officially in the month of May", True, "fuzzy"),
     ("the project begins officially in 2031", "The project begins officially in 2027", True, "missing"), ("shrt", "short", True, "missing"),
 ])
@@ -58,7 +61,8 @@ def test_quotes(spark, quote, para, fuzzy, want):
 
 
 @pytest.mark.parametrize(("given", "want"), [
-    ('Sure: {"a": [1, "}"]} tail', '{"a":[1,"}"]}'), ("<think>{x}</think>[1, 2]", "[1,2]"), ('```json\n{"k": "é"}\n```', '{"k":"é"}'), ('{"a": 1', None), ("none", None), (None, None),
+    ('Sure: {"a": [1, "}"]} tail', '{"a":[1,"}"]}'), ("<think>{x}</think>[1, 2]", "[1,2]"), ('```json\n{"k": "é"}\n```', '{"k":"é"}'),
+    ('{"a": 1', None), ("none", None), (None, None),
 ])
 def test_first_json(given, want):
     assert J.first_json(given) == want
@@ -77,7 +81,8 @@ def test_split_keys(spark):
 
 
 @pytest.mark.parametrize(("given", "want"), [
-    ("short", "too_short"), ("has a blank inside it", "invalid"), ("xxxxxxxxxxxxxxxxxxxx", "placeholder"), ("your-api-key-goes-here", "placeholder"), ("ababababababababab", "placeholder"),
+    ("short", "too_short"), ("has a blank inside it", "invalid"), ("xxxxxxxxxxxxxxxxxxxx", "placeholder"), ("your-api-key-goes-here", "placeholder"),
+    ("ababababababababab", "placeholder"),
     ("aaaaaaaaaaaaaaaabcdef", "placeholder"), ("sk-1234567890abcdefXYZ", "ok"), ("0123456789abcdefXYZ-nonmatching", "invalid"),
 ])
 def test_secrets(spark, given, want):

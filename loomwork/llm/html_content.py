@@ -48,7 +48,8 @@ SAMPLE = 4000
 RAW = ["script", "style", "noscript", "template", "iframe", "textarea", "title", "svg"]
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark",
-          "q", "math", "mfrac", "mi", "mn", "mo", "mrow", "msub", "msup", "mtext", "object", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+          "math", "mfrac", "mi", "mn", "mo", "mrow", "msub", "msup", "mtext", "object", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike",
+          "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 #: Elements that end at the next one of their kind.
 ENDLESS = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
 TEXT = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"}

@@ -1,4 +1,11 @@
+import hashlib
+import math
+from collections import Counter
+
 import pytest
+import test_decontaminate
+import test_minmax
+import test_mixing
 from made_texts import prose
 
 pipeline = pytest.importorskip("corpus_pipeline")
@@ -41,3 +48,38 @@ def test_stages_take_effect(spark, folder):
 def test_run_gives_the_same_rows_twice(spark, folder):
     one, two = (sorted((str(r.doc_id), r.shard, r.slot) for r in pipeline.run(spark, folder).collect()) for _ in range(2))
     assert one == two and one
+
+
+def test_the_stages_equal_their_brute_force_versions(spark, folder):
+    """From what the classifier keeps on: all pairs, all windows, refilled targets with the drawn copies, and one sorted list."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = [pipeline.STAGES[0][1](spark, docs, folder).cache()]
+    for _, stage in pipeline.STAGES[1:]:
+        kept.append(stage(spark, kept[-1], folder).cache())
+    quality, dedup, leaks, mix, shard = ([(r.doc_id, r.text, r.source) for r in x.collect()] for x in kept)
+
+    _, component = test_minmax.brute({i: t for i, t, _ in quality})
+    assert sorted(dedup, key=str) == sorted((r for r in quality if component[r[0]] == r[0]), key=str)
+
+    bench = [tuple(r) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    assert sorted(leaks, key=str) == sorted((r for r in dedup if not test_decontaminate.brute(r[1], bench)[1]), key=str)
+
+    sizes = Counter()
+    for _, t, source in leaks:
+        sizes[source] += len((t or "").split())
+    targets, want = test_mixing.fill(dict(sizes)), []
+    for r in leaks:
+        rate = targets[r[2]] / sizes[r[2]] if sizes[r[2]] else 0.0
+        drawn = int(hashlib.md5(f"mix-1:{r[0]}:{len((r[1] or '').encode())}".encode()).hexdigest()[:13], 16) / 2**52
+        want += [r] * (math.floor(rate) + (drawn < rate - math.floor(rate)))
+    assert sorted(mix, key=str) == sorted(want, key=str)
+
+    # Rows of a source keep one order, so positions follow from the sorted fractions of their ranks.
+    placed = sorted(kept[-1].collect(), key=lambda r: (r.shard, r.slot))
+    assert sorted(((r.doc_id, r.text, r.source) for r in placed), key=str) == sorted(mix, key=str)
+    n, ranks, fractions = Counter(r.source for r in placed), Counter(), []
+    for r in placed:
+        fractions.append((ranks[r.source] + 0.5) / n[r.source])
+        ranks[r.source] += 1
+    assert fractions == sorted(fractions)
+    assert Counter(r.shard for r in placed) == {k: -(-len(placed) * (k + 1) // 16) - -(-len(placed) * k // 16) for k in range(16)}

@@ -18,6 +18,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_ROWS = 100_000
 #: A side with strings or lists is broadcast up to so many bytes of them.
 BROADCAST_BYTES = 32 << 20
+#: Bytes of an Arrow batch where a stage needs its memory for other things; Spark's own default is 64 MB.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +76,18 @@ def passing(spark: SparkSession) -> Iterator[None]:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def light_batches(spark: SparkSession, size: int = BATCH_BYTES) -> Iterator[None]:
+    """Arrow batches of at most so many bytes in the Python stages that are written inside; the session's own bound is put back."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """The table with a broadcast hint if a count finds it within the bound, else as it is for a shuffle join.
 

@@ -12,10 +12,11 @@ Steps, none of which emits all pairs of a group:
 2. Sets most of whose minima no other set has are put aside: they can have no near copy. In each bucket of the rest
    every set is paired with the bucket's least set only. Pairs whose signatures agree enough are held against the full
    sets, and the links found form the first components.
-3. Buckets that still hold several components have links to lose. Their sets are joined exactly: an overlap of two
-   components has only shingles that two components hold, so sets with too few of these drop out; of the others the
-   rarest such shingles, as many as an overlap cannot do without one of, are joined. Only members of different
-   components meet there, and a bucket or shingle of any size is treated alike.
+3. Buckets that still hold several components have links to lose. An overlap of two components has only shingles that
+   two components hold, so sets with too few of these drop out, which is exact. Of the others, pairs with a rare shingle
+   in common meet by their rarest ones, as many as an overlap cannot do without one of. Pairs without one can be links
+   only if common shingles alone make up enough of both; what then remains meets in its buckets, members of different
+   components only, and a bucket of any size is treated alike: large ones are dealt over salts.
 4. Components are joined by alternating large and small stars, each round written to the shared folder.
 
 What chance can lose: a link at the threshold that meets in no bucket (5e-6), in a signature with too few agreeing
@@ -39,14 +40,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import passing, small, table, written
+from loomwork.llm.common import light_batches, passing, small, table, written
 
 WIDTH, PERCENT = 5, 75
 PERMS, ROWS = 64, 4
 BANDS = 2 * PERMS // ROWS
 #: A pair goes to full verification if so many of its 2 * PERMS values agree: 5.8 standard deviations below 0.75.
 AGREE = int(0.53 * 2 * PERMS)
-#: Salts of a shingle that many components hold: each meets so many of them.
+#: A shingle is rare if at most so many of the sets in question have it.
+RARE = 8
+#: A bucket is dealt over salts of about so many sets each.
 SALT = 256
 #: A set has company if at least so many of its PERMS minima are others' too: 5.8 standard deviations below 0.75.
 SHARED = int(0.44 * PERMS)
@@ -220,26 +223,35 @@ def torn(sets: DataFrame, of: DataFrame) -> DataFrame:
 
 
 def crossing(ids: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` of different components among the sets ``(id, c, n)``: all that can be links, and few others."""
+    """Pairs ``(a, b)`` of different components among the sets ``(id, c, n)``: all that share a bucket and can be links."""
     hashes = texts_of(ids.select("id"), sets, docs).mapInPandas(_hashes, "id long, h array<long>").join(ids, "id")
     rows = written(hashes, "dedup-shingles").select("id", "c", "n", F.explode("h").alias("h"))
     held = rows.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("df")).where("lo < hi").select("h", "df")
     rows = rows.join(small(written(held, "dedup-held")), "h").groupBy("id", "c", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("r"))
-    # Of a link of x at least 75 % of x is overlap, and all overlap is of shingles that two components hold. In one
-    # order of all shingles, the first of an overlap is among the first most - need + 1 of both sets.
+    # Of a link of x at least 75 % of x is overlap, and all overlap is of shingles that two components hold.
     rows = rows.withColumn("most", F.size("r")).where(f"100 * most >= {PERCENT} * n")
-    rows = rows.withColumn("r", F.expr(f"slice(r, 1, int(most - ({PERCENT} * n + 99) div 100 + 1))"))
-    rows = written(rows.select("id", "c", "n", "most", F.inline("r")).drop("df"), "dedup-prefixes")
-    held = rows.select("h", "c").distinct()
-    many = held.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h", F.expr(f"1 + k div {SALT}").alias("salts"))
-    held = written(held.join(many, "h"), "dedup-holders")
-    left = held.withColumn("salt", F.expr("pmod(xxhash64(c), salts)"))
-    right = held.select("h", F.col("c").alias("cb"), F.explode(F.expr("sequence(0L, salts - 1)")).alias("salt"))
-    cross = left.join(right, ["h", "salt"]).where("c < cb").select("h", "c", "cb")
-    other = rows.select("h", F.col("c").alias("cb"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"))
-    # The overlap is at most the lesser of the two bounds, and the union the two sizes less the overlap.
+    rows = written(rows.withColumn("common", F.expr(f"size(filter(r, x -> x.df > {RARE}))")), "dedup-bounds")
+    # The overlap is at most the lesser of two bounds, and the union the two sizes less the overlap.
     may = f"{100 + PERCENT} * least(most, mb) >= {PERCENT} * (n + nb)"
-    return rows.join(cross, ["h", "c"]).join(other, ["h", "cb"]).where(may).select(F.col("id").alias("a"), "b").distinct()
+
+    # In one order of all shingles, the first of an overlap is among the first most - need + 1 of both sets.
+    first = F.expr(f"filter(slice(r, 1, int(most - ({PERCENT} * n + 99) div 100 + 1)), x -> x.df <= {RARE})")
+    x = rows.select("id", "c", "n", "most", F.explode(F.transform(first, lambda s: s["h"])).alias("h"))
+    y = x.select("h", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("most").alias("mb"))
+    by_shingle = x.join(y, "h").where(f"id > b AND c <> cb AND {may}").select(F.col("id").alias("a"), "b")
+
+    # Pairs without a rare shingle in common: in the first of their common buckets.
+    rest = rows.where(f"100 * common >= {PERCENT} * n").select("id", "c", "n", F.col("common").alias("most"))
+    rest = written(sets.select("id", "bands").join(rest, "id"), "dedup-rest")
+    x = rest.select("*", F.posexplode("bands").alias("band", "key"))
+    sizes = x.groupBy("band", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo < hi")
+    x = x.join(small(written(sizes.select("band", "key", F.expr(f"1 + m div {SALT}").alias("salts")), "dedup-crowds")), ["band", "key"])
+    y = x.select("band", "key", F.explode(F.expr("sequence(0L, salts - 1)")).alias("salt"), F.col("id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"),
+                 F.col("most").alias("mb"), F.col("bands").alias("bb"))
+    once = f"band = array_min(filter(sequence(0, {BANDS - 1}), i -> bands[i] = bb[i]))"
+    x = x.withColumn("salt", F.expr("pmod(xxhash64(id), salts)"))
+    by_bucket = x.join(y, ["band", "key", "salt"]).where(f"id > b AND c <> cb AND {may} AND {once}").select(F.col("id").alias("a"), "b")
+    return by_shingle.union(by_bucket).distinct()
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -270,14 +282,14 @@ def classes(docs: DataFrame) -> DataFrame:
 
 def report(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` per row."""
-    with passing(docs.sparkSession):
+    with passing(docs.sparkSession), light_batches(docs.sparkSession):
         kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
         return written(classes(docs).select("doc_id", "n_shingles", "component_id", kept.alias("kept")), "dedup-report", keep=True)
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
     """One row of each class, with the columns that the documents came with."""
-    with passing(docs.sparkSession):
+    with passing(docs.sparkSession), light_batches(docs.sparkSession):
         found = classes(docs).groupBy("doc_id", "text_key", "first").agg(F.count("*").alias("n"), F.max("n_shingles").alias("n_shingles"))
         repeated = "first AND n > 1 AND (n_shingles > 0 OR doc_id IS NOT NULL)"
         found = found.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), "first", F.expr(repeated).alias("again"))
@@ -298,3 +310,20 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
 
 def op4_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
+
+
+#: Exact links by shingles in common; brute force, so for small tables.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+g AS (
+  SELECT DISTINCT rid, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT rid, count(*) AS n FROM g GROUP BY 1),
+o AS (SELECT a.rid AS x, b.rid AS y, count(*) AS o FROM g a JOIN g b ON a.g = b.g AND a.rid <> b.rid GROUP BY 1, 2),
+e AS (SELECT x, y FROM o JOIN n a ON a.rid = x JOIN n b ON b.rid = y WHERE 100 * o >= 75 * (a.n + b.n - o)),
+r AS (SELECT rid, rid AS t FROM w UNION SELECT r.rid, e.y FROM r JOIN e ON e.x = r.t),
+c AS (SELECT r.rid, min(w.doc_id) AS component_id FROM r JOIN w ON w.rid = r.t GROUP BY 1)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, coalesce(doc_id = component_id, true) AS kept FROM w JOIN c USING (rid) LEFT JOIN n USING (rid)
+"""

@@ -27,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc_fixity": fixity.ORACLE,
+        "op4_minmax_dedup": minmax.ORACLE,
         "op7_decontaminate": decontaminate.ORACLE,
         "op8_mix_sources": mixing.ORACLE,
     }

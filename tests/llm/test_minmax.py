@@ -68,12 +68,14 @@ def test_a_crowd_of_several_classes_equals_all_pairs(spark, docs_of):
     assert got == component
 
 
-def test_crossing_finds_each_link_between_components(spark, docs_of):
-    """The exact join alone, with every set a component of its own."""
+def test_crossing_finds_each_link_between_components(spark, docs_of, monkeypatch):
+    """The joins alone, with every set a component of its own, salted buckets and few rare shingles."""
+    monkeypatch.setattr(minmax, "SALT", 7)
+    monkeypatch.setattr(minmax, "RARE", 3)
     texts = [changed(prose(i % 4, 80), i, 0.02 * (i % 5)) + " " + prose(50 + i % 3, 10 * (i % 6)) for i in range(80)]
     docs = docs_of(texts)
     rows = minmax.profiles(docs).where("n_shingles > 0")
-    sets = rows.selectExpr("doc_id AS id", "n_shingles", "named_struct('doc_id', doc_id, 'text_key', text_key) AS rep").cache()
+    sets = rows.selectExpr("doc_id AS id", "n_shingles", "bands", "named_struct('doc_id', doc_id, 'text_key', text_key) AS rep").cache()
     found = minmax.crossing(sets.selectExpr("id", "id AS c", "n_shingles AS n"), sets, docs).collect()
     found = {tuple(sorted((r.a, r.b))) for r in found}
     words = brute(dict(enumerate(texts)))[0]

@@ -225,11 +225,15 @@ def torn(sets: DataFrame, of: DataFrame) -> DataFrame:
 def crossing(ids: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs ``(a, b)`` of different components among the sets ``(id, c, n)``: all that share a bucket and can be links."""
     hashes = texts_of(ids.select("id"), sets, docs).mapInPandas(_hashes, "id long, h array<long>").join(ids, "id")
-    rows = written(hashes, "dedup-shingles").select("id", "c", "n", F.explode("h").alias("h"))
-    held = rows.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("df")).where("lo < hi").select("h", "df")
-    rows = rows.join(small(written(held, "dedup-held")), "h").groupBy("id", "c", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("r"))
-    # Of a link of x at least 75 % of x is overlap, and all overlap is of shingles that two components hold.
-    rows = rows.withColumn("most", F.size("r")).where(f"100 * most >= {PERCENT} * n")
+    rows = written(hashes, "dedup-shingles")
+    # Of a link of x at least 75 % of x is overlap, and all overlap is of shingles that two components hold. The second
+    # round counts only what the sets that are left hold.
+    for k in range(2):
+        each = rows.select("id", "c", "n", F.explode("h").alias("h"))
+        held = each.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("df")).where("lo < hi").select("h", "df")
+        each = each.join(small(written(held, "dedup-held")), "h").groupBy("id", "c", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("r"))
+        rows = each.withColumn("most", F.size("r")).where(f"100 * most >= {PERCENT} * n")
+        rows = rows if k else written(rows.select("id", "c", "n", F.col("r.h").alias("h")), "dedup-left")
     rows = written(rows.withColumn("common", F.expr(f"size(filter(r, x -> x.df > {RARE}))")), "dedup-bounds")
     # The overlap is at most the lesser of two bounds, and the union the two sizes less the overlap.
     may = f"{100 + PERCENT} * least(most, mb) >= {PERCENT} * (n + nb)"

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import decontaminate, disclosure, fixity, html_content, minmax, mixing, ordinal, rules, sharding, tokens
+from loomwork.llm import (
+    centroids, decontaminate, dialogue, disclosure, fixity, html_content, licences, minmax, mixing, ordinal, rules, sharding, tokens)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mix_sources": mixing.op8_mix_sources,
         "op9_shard_interleave": sharding.op9_shard_interleave,
         "op10_token_counts": tokens.op10_token_counts,
+        "op11_licence_scan": licences.op11_licence_scan,
+        "op12_conversation_repair": dialogue.op12_conversation_repair,
+        "op13_centroid_clusters": centroids.op13_centroid_clusters,
     }
 
 
@@ -30,4 +34,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_minmax_dedup": minmax.ORACLE,
         "op7_decontaminate": decontaminate.ORACLE,
         "op8_mix_sources": mixing.ORACLE,
+        "op11_licence_scan": licences.ORACLE,
+        "op12_conversation_repair": dialogue.ORACLE,
+        "op13_centroid_clusters": centroids.ORACLE,
     }

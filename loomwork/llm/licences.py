@@ -27,7 +27,8 @@ id and the text are ignored. A notice that is wrapped over several lines is met
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import re
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,8 @@ from pyspark.sql import functions as F
 from loomwork.llm.common import BROADCAST_ROWS, ascii_lower, light, passing, table, written
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words before A-Z are lower-cased, and one character between them.
+RAW, OTHER = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 #: Percent of a template's words that a block must hold, and words of a block.
 LEAST, BLOCK = 75, 96
 BLOCK_KEY = ("_id", "_key", "_line", "_at")
@@ -67,8 +70,6 @@ def words(text: Column) -> Column:
 
 def template_words(templates: tuple[tuple[str, str], ...]) -> list[tuple[str, list[str]]]:
     """The label and the distinct words of each template that has any."""
-    import re
-
     cut = ((label, sorted(set(re.findall(WORD, "".join(c.lower() if c.isascii() else c for c in text))))) for label, text in templates)
     return [(label, w) for label, w in cut if w]
 
@@ -77,7 +78,9 @@ def ordered_vocabulary(docs: DataFrame, vocabulary: list[str]) -> list[str]:
     """The words by how often the corpus has them, the rarest first and equals by name."""
     known = docs.sparkSession.createDataFrame([(w,) for w in vocabulary], "w string")
     known = F.broadcast(known) if len(vocabulary) <= BROADCAST_ROWS else known
-    counts = docs.select(F.explode(words(F.col("text"))).alias("w")).join(known, "w", "left_semi").groupBy("w").count()
+    raw = docs.select(F.explode(F.regexp_extract_all("text", F.lit(RAW), F.lit(0))).alias("raw"))
+    # ``lower`` is fast and may fold more than A-Z, so what it meets is compared again.
+    counts = raw.join(known, (F.lower("raw") == known["w"]) & (ascii_lower(F.col("raw")) == known["w"])).groupBy("w").count()
     seen = {r["w"]: r["count"] for r in counts.collect()}
     return sorted(vocabulary, key=lambda w: (seen.get(w, 0), w))
 
@@ -93,9 +96,16 @@ def prefixes(templates: list[tuple[str, list[str]]], order: list[str], least: in
     return rows
 
 
-def blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
-    """``(_id, _key, _line, _at, b)``: the words of each block of each text, with its line and its first word there from 1."""
+def any_of(phrases: Iterable[Iterable[str]]) -> str:
+    """A pattern that a text with one of the phrases of words has, in letters of any case."""
+    return rf"(?i)(?:^|{OTHER})(?:{'|'.join(f'{OTHER}+'.join(re.escape(w) for w in p) for p in phrases)})(?:{OTHER}|\z)"
+
+
+def blocks(docs: DataFrame, held: str, size: int = BLOCK) -> DataFrame:
+    """``(_id, _key, _line, _at, b)``: the words of each block of the lines that have the pattern, with its line and its first word there from 1."""
+    docs = docs.where(F.col("text").rlike(held))
     lines = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key"), F.posexplode(F.split("text", "\n")).alias("_line", "line"))
+    lines = lines.where(F.col("line").rlike(held))
     lines = lines.select("_id", "_key", "_line", words(F.col("line")).alias("w")).where("size(w) > 0")
     half = size // 2
     starts = f"CASE WHEN size(w) <= {size} THEN array(1) ELSE sequence(1, size(w) - {half}, {half}) END"
@@ -110,7 +120,7 @@ def met(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, lea
     rows = prefixes(known, order, least)
     table_of = docs.sparkSession.createDataFrame(rows, "w string, i int, label string, need int, t array<string>")
     table_of = F.broadcast(table_of) if len(rows) <= BROADCAST_ROWS else table_of
-    probe = blocks(docs, size)
+    probe = blocks(docs, any_of({(r[0],) for r in rows}), size)
     probe = probe.select(*BLOCK_KEY, "b", F.explode(F.array_distinct("b")).alias("w")).join(table_of, "w")
     vocabulary = F.array(*(F.lit(w) for w in order))
     probe = probe.withColumn("v", F.array_intersect(vocabulary, "b")).where("size(v) >= need")
@@ -136,11 +146,9 @@ def placed(w: str, phrase: str) -> str:
 
 def phrased(docs: DataFrame, phrases: Mapping[str, str] = PHRASES) -> DataFrame:
     """``(doc_id, text_key, n_words, at, base)``: places and labels of the fixed phrases in each text."""
-    text = ascii_lower(F.coalesce("text", F.lit("")))
-    other = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
-    hint = "|".join(f"{other}+".join(p.split()) for p in phrases)
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"),
-                       F.when(text.rlike(hint), F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).alias("w"))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.regexp_count(text, F.lit(RAW)).cast("long").alias("n_words"),
+                       F.when(text.rlike(any_of(p.split() for p in phrases)), words(text)).alias("w"))
     places = {label: F.when(F.col("w").isNotNull(), F.expr(placed("w", p))) for p, label in phrases.items()}
     rows = rows.select("doc_id", "text_key", "n_words", F.array(*(
         F.struct(F.lit(label).alias("label"), F.coalesce(at, F.array().cast("array<int>")).alias("at")) for label, at in places.items())).alias("p"))

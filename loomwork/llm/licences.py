@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from loomwork.llm.common import BROADCAST_ROWS, ascii_lower, light, passing, table, written
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words before A-Z are lower-cased, and one character between them.
-RAW, OTHER = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+#: The same words before A-Z are lower-cased, the frequent letters first as Java tries the ranges in turn; and one character between them.
+RAW, OTHER = r"[a-z\x{80}-\x{10FFFF}A-Z0-9]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 #: Percent of a template's words that a block must hold, and words of a block.
 LEAST, BLOCK = 75, 96
 BLOCK_KEY = ("_id", "_key", "_line", "_at")

@@ -97,7 +97,8 @@ class Quota:
         self.s["leases"][str(lease)] = {"d": name, "basis": basis, "until": at + LEASE_S}
         return True, lease, 0.0, ""
 
-    def settle(self, lease: int, at: float, outcome: str, tin: int, tout: int, retry_after: float | None, latency: float | None) -> tuple:
+    def settle(self, lease: int, at: float, outcome: str, tin: int, tout: int, retry_after: float | None, latency: float | None,
+               scope: str = "deployment") -> tuple:
         held = self.s["leases"].pop(str(lease), None)
         if held is None:
             return False, lease, 0.0, "no_lease"
@@ -119,17 +120,18 @@ class Quota:
             for s in (every, own):
                 s["scale"] = min(1.0, s["scale"] + 0.05)
         elif outcome in RATE_LIMITED:
-            own["scale"] = max(0.3, own["scale"] * 0.85)
+            hit = every if scope == "group" else own
+            hit["scale"] = max(0.3, hit["scale"] * 0.85)
             if outcome == "rate_limited_minute":
-                own["limited"], wait = 0, 30.0 if retry_after is None else retry_after
+                hit["limited"], wait = 0, 30.0 if retry_after is None else retry_after
             elif outcome == "rate_limited_day":
                 wait = local_day(at, self.zone)[1] + 30.0
             else:
-                own["limited"] += 1
-                wait = max(min(600.0, 30.0 * 2 ** (own["limited"] - 1)), retry_after or 0.0)
-            own["cool"] = max(own["cool"], at + wait)
+                hit["limited"] += 1
+                wait = max(min(600.0, 30.0 * 2 ** (hit["limited"] - 1)), retry_after or 0.0)
+            hit["cool"] = max(hit["cool"], at + wait)
             for kind in ("rpm", "tpm"):
-                own[kind] = None if own[kind] is None else 0.0
+                hit[kind] = None if hit[kind] is None else 0.0
         elif outcome in ("server_error", "timeout", "network_error"):
             own["failures"] += 1
             own["success"] *= 0.9

@@ -37,7 +37,7 @@ def fuzzy_quotes(spark, d):
 
 
 def unverified_numbers(spark, d):
-    i = T.table(spark, d, "lineitem").where("l_linenumber <= 3")
+    i = T.table(spark, d, "lineitem")
     said = F.concat(F.lit("1. Of "), F.format_number("l_partkey", 0), F.lit(" parts, "), F.col("l_quantity").cast("int"), F.lit(" left; see U-0012."))
     known = F.concat(F.lit("Parts: "), F.col("l_partkey"), F.when(F.col("l_linenumber") == 2,
         F.concat(F.lit(" and "), F.col("l_quantity").cast("int"))).otherwise(""), F.lit(", twelve boxes."))
@@ -54,7 +54,7 @@ def pasted_keys(spark, d):
 
 
 def text_forms(spark, d):
-    t = F.substring("text", 1, 300)
+    t = F.col("text")
     head = F.concat(F.lit("<p>"), F.regexp_replace(t, r"[^A-Za-z0-9 ]", ""), F.lit("</p><!-- x -->"))
     return T.table(spark, d, "documents").select(
         "doc_id", text.slugify(F.regexp_replace(t, r"[^A-Za-z0-9 ]", ""), 40).alias("slug"), text.without_angles(head).alias("angles"),
@@ -67,8 +67,7 @@ def review_order(spark, d):
     p = T.table(spark, d, "part")
     m = p.groupBy(F.col("p_type").alias("source_term")).agg((F.count_distinct("p_brand") > 20).alias("conflict"),
         (F.count("*") % 7 / 10).alias("avg_confidence"), (F.count("*") % 5).alias("docs_count"))
-    rows = glossary.review_order(m).limit(50)
-    return rows.select("source_term", "conflict", "docs_count")
+    return glossary.review_order(m).select("source_term", "conflict", "docs_count")
 
 
 def glossary_release(spark, d):
@@ -173,8 +172,8 @@ def probe_scores(spark, d):
 
 
 def quota_replay(spark, d):
-    """A group of ten calls a minute whose calls ask for room; every other answer is settled a second later."""
-    e = T.table(spark, d, "events").where("event_type = 'click'").select((F.col("user_id") % 10).cast("string").alias("group"), "event_id",
+    """Ten groups with calls of one deployment that only ask for room; five a day are allowed. ``plans.limits`` has the other limits."""
+    e = T.table(spark, d, "events").select((F.col("user_id") % 10).cast("string").alias("group"), "event_id",
         F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("at"))
     none, null = F.lit(0).cast("long"), F.lit(None)
     rows = e.select("group", F.col("event_id").alias("seq"), "at", F.lit("reserve").alias("kind"), F.lit("x").alias("deployment"),
@@ -281,7 +280,7 @@ def settings_overlay(spark, d):
 
 def number_order(spark, d):
     i = T.table(spark, d, "lineitem").select(F.col("l_partkey").cast("string").alias("number")).distinct()
-    return numbers.in_number_order(i).limit(300)
+    return numbers.in_number_order(i)
 
 
 
@@ -309,7 +308,7 @@ _CALLS = """least(20, greatest(4, round_even(CAST(budget AS DOUBLE) / 500, 0)))"
 QUERIES = {
     "fuzzy_quotes": (fuzzy_quotes, """SELECT CAST(n_nationkey * 100 + k AS BIGINT) AS pid, CASE (k + n_nationkey) % 4 WHEN 0 THEN 'fuzzy' WHEN 3 THEN 'exact' ELSE 'missing' END AS status FROM nation, range(40) t(k)"""),
     "unverified_numbers": (unverified_numbers, """
-WITH i AS (SELECT * FROM lineitem WHERE l_linenumber <= 3),
+WITH i AS (SELECT * FROM lineitem),
 s AS (SELECT l_orderkey, CAST(l_partkey AS VARCHAR) AS number FROM i UNION SELECT l_orderkey, CAST(CAST(l_quantity AS INT) AS VARCHAR) FROM i),
 k AS (SELECT l_orderkey, CAST(l_partkey AS VARCHAR) AS number FROM i UNION SELECT l_orderkey, CAST(CAST(l_quantity AS INT) AS VARCHAR) FROM i WHERE l_linenumber = 2 UNION SELECT l_orderkey, '12' FROM i)
 SELECT * FROM s EXCEPT SELECT * FROM k"""),
@@ -317,12 +316,12 @@ SELECT * FROM s EXCEPT SELECT * FROM k"""),
 SELECT c_custkey, pos, label, right(key, 4) AS shown FROM (SELECT c_custkey, 0 AS pos, 'team' || c_nationkey AS label, md5(c_name) AS key FROM customer
 UNION ALL SELECT c_custkey, 1, NULL, md5(c_mktsegment) FROM customer UNION ALL SELECT c_custkey, 2, 'API_KEY', md5(CAST(c_custkey AS VARCHAR)) FROM customer)"""),
     "text_forms": (text_forms, """
-WITH t AS (SELECT doc_id, regexp_replace(substr(text, 1, 300), '[^A-Za-z0-9 ]', '', 'g') AS t FROM documents)
+WITH t AS (SELECT doc_id, regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g') AS t FROM documents)
 SELECT doc_id, regexp_replace(substr(trim(regexp_replace(lower(t), '[^a-z0-9]+', '-', 'g'), '-'), 1, 40), '-+$', '') AS slug, '‹p›' || t || '‹/p›‹!-- x --›' AS angles,
   trim(regexp_replace(t, ' +', ' ', 'g'), ' ') AS bare, CASE doc_id % 3 WHEN 0 THEN 'image,heading' WHEN 1 THEN 'link' ELSE '' END AS problems FROM t"""),
     "review_order": (review_order, """
 WITH m AS (SELECT p_type AS source_term, count(DISTINCT p_brand) > 20 AS conflict, (count(*) % 7) / 10 AS c, count(*) % 5 AS docs_count FROM part GROUP BY 1)
-SELECT source_term, conflict, docs_count FROM m ORDER BY conflict DESC, c, docs_count DESC, lower(source_term) LIMIT 50"""),
+SELECT source_term, conflict, docs_count FROM m ORDER BY conflict DESC, c, docs_count DESC, lower(source_term)"""),
     "glossary_release": (glossary_release, r"""
 WITH p AS (SELECT p_brand AS glossary, p_type AS s, min(p_name) AS t, min(p_size) AS n FROM part GROUP BY 1, 2),
 e AS (SELECT glossary, lower(s) AS o, '{"source_term":"' || s || '","target_term":"' || t || '","keep_original":' || CASE WHEN n % 2 = 0 THEN 'true' ELSE 'false' END || '}' AS j FROM p WHERE n % 3 > 0)
@@ -368,7 +367,7 @@ n AS (SELECT f.*, coalesce(last, 0) + row_number() OVER (PARTITION BY f.provider
 SELECT pos, provider || '-' || n AS group_id FROM k JOIN n USING (provider, decl, unit)"""),
     "probe_scores": (probe_scores, """SELECT user_id % 20 AS deployment, event_type AS kind, round(avg(CASE WHEN value < 80 THEN 1 ELSE 0 END), 9) AS score, round(median(round(value, 3)), 6) AS p50 FROM events GROUP BY 1, 2"""),
     "quota_replay": (quota_replay, """
-WITH e AS (SELECT CAST(user_id % 10 AS VARCHAR) AS "group", event_id AS seq, CAST(ts AS DATE) AS day FROM events WHERE event_type = 'click'),
+WITH e AS (SELECT CAST(user_id % 10 AS VARCHAR) AS "group", event_id AS seq, CAST(ts AS DATE) AS day FROM events),
 n AS (SELECT *, max(day) OVER (PARTITION BY "group" ORDER BY seq) = day AND row_number() OVER (PARTITION BY "group", day ORDER BY seq) <= 5 AS ok FROM e)
 SELECT "group", seq, ok, CASE WHEN ok THEN count(*) FILTER (ok) OVER (PARTITION BY "group" ORDER BY seq) END AS lease FROM n"""),
     "style_lint": (style_lint, """
@@ -404,7 +403,7 @@ SELECT (SELECT count(*) FROM f) AS inserted, (SELECT count(*) FROM n) - (SELECT
     "settings_overlay": (settings_overlay, """
 WITH c AS (SELECT n_name, 'own' AS v FROM nation WHERE n_nationkey > 5 AND n_nationkey % 3 = 2), p AS (SELECT n_name, CAST(n_regionkey AS VARCHAR) AS v FROM nation WHERE n_nationkey < 20)
 SELECT coalesce(c.n_name, p.n_name) AS name, coalesce(c.v, p.v) AS value FROM p FULL JOIN c ON c.n_name = p.n_name"""),
-    "number_order": (number_order, "SELECT number FROM (SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS number FROM lineitem) ORDER BY length(number), number LIMIT 300"),
+    "number_order": (number_order, "SELECT number FROM (SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS number FROM lineitem) ORDER BY length(number), number"),
 }
 
 #: SQL of queries that are defined elsewhere.

@@ -38,6 +38,21 @@ def carried(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
     return run.select(*rows.columns, name)
 
 
+def previous(rows: DataFrame, keys: Sequence[str], at: str, order: Sequence[str], column: str, name: str, width: float = SLICE) -> DataFrame:
+    """The rows with a column of the key's row before, which may lie in an earlier slice; no task holds a key."""
+    rows = sliced(rows, at, width)
+    last = rows.groupBy(*keys, "_slice").agg(F.max_by(F.struct(column), F.struct(at, *order)).alias("_last"))
+    before = F.last("_last", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
+    last = last.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_slice").alias("_s"), before.alias("_before"))
+    same = rows["_slice"].eqNullSafe(last["_s"])
+    for i, k in enumerate(keys):
+        same &= rows[k].eqNullSafe(last[f"_k{i}"])
+    own = F.lag(F.struct(column)).over(Window.partitionBy(*keys, "_slice").orderBy(at, *order))
+    both = rows.withColumn("_own", own).join(last, same)
+    found = F.coalesce("_own", "_before")[column]
+    return both.select(*(c for c in rows.columns if c != "_slice"), found.alias(name))
+
+
 # Token buckets ------------------------------------------------------------------------------------------------------
 
 #: A step of a bucket is x -> max(low, min(high, x + plus)); steps are closed under composition.

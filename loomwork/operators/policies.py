@@ -111,6 +111,25 @@ def unit_lines(units: DataFrame) -> DataFrame:
     return units.select("unit", F.concat_ws(" | ", *cells).alias("line"))
 
 
+def stage_stats(units: DataFrame) -> DataFrame:
+    """``(doc_id, by, importance, state, reason, n)``: units of each document by importance, by state, by both, and by reason of omission.
+
+    One pass counts all groupings; of units without a reason the last one has none.
+    """
+    sets = [["doc_id", "importance"], ["doc_id", "state"], ["doc_id", "importance", "state"], ["doc_id", "reason"]]
+    cols = ["doc_id", "importance", "state", "reason"]
+    rows = units.groupingSets([[F.col(c) for c in s] for s in sets], *cols).agg(F.count("*").alias("n"), F.grouping_id().alias("_g"))
+    by = F.when(F.col("_g") == 0b0011, "importance").when(F.col("_g") == 0b0101, "state").when(F.col("_g") == 0b0001, "importance,state").otherwise("reason")
+    return rows.select("doc_id", by.alias("by"), "importance", "state", "reason", "n").where("by <> 'reason' OR reason IS NOT NULL")
+
+
+def source_shares(paragraphs: DataFrame) -> DataFrame:
+    """``(doc_id, label, paragraphs, words, share)``: how much of a document's words each label of paragraphs has."""
+    rows = paragraphs.groupBy("doc_id", "label").agg(F.count("*").alias("paragraphs"), F.sum("words").cast("long").alias("words"))
+    whole = F.sum("words").over(Window.partitionBy("doc_id"))
+    return rows.withColumn("share", F.when(whole > 0, F.col("words") / whole).otherwise(F.lit(0.0)))
+
+
 def inserted_once(existing: DataFrame, new: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Rows to append, those whose key is not there, and how many of the new ones that is: ``(inserted, skipped)``."""
     fresh = new.dropDuplicates([key]).join(existing.select(key), key, "left_anti")

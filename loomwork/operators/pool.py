@@ -60,6 +60,33 @@ def ordered(found: DataFrame, score: str = "weight") -> DataFrame:
     return found.withColumn("place", F.row_number().over(order))
 
 
+def draw(*keys: Column, seed: str) -> Column:
+    """A number in (0, 1) from 52 bits of a hash of the seed and the keys."""
+    bits = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *(k.cast("string") for k in keys))), 1, 13), 16, 10).cast("long")
+    return (bits + 0.5) / F.lit(2.0**52)
+
+
+def shuffled(found: DataFrame, score: str = "score", seed: str = "pool-1") -> DataFrame:
+    """Candidates with ``place`` in a weighted random order: each next one with the chance of its share of the scores left.
+
+    The order is that of -ln(u) / score with a hash of seed, request and deployment for u, so reruns agree and no request is
+    walked one candidate after another. A request's candidates are at most the catalogue.
+    """
+    key = -F.log(draw(F.col("request"), F.col("deployment"), seed=seed)) / F.greatest(F.col(score), F.lit(1e-9))
+    order = Window.partitionBy("request").orderBy(key, "deployment")
+    return found.withColumn("place", F.row_number().over(order))
+
+
+def two_choices(found: DataFrame, score: str = "score", seed: str = "pool-1") -> DataFrame:
+    """Candidates with ``place`` by score, where the best two change places with the chance of the second one's share of both."""
+    best = ordered(found, score)
+    pair = Window.partitionBy("request")
+    first, second = (F.greatest(F.max(F.when(F.col("place") == i, F.col(score))).over(pair), F.lit(1e-9)) for i in (1, 2))
+    three = F.count("*").over(pair) > 2  # two candidates keep their order
+    swap = three & (draw(F.col("request"), seed=seed) * (first + second) > first)
+    return best.withColumn("place", F.when(swap & (F.col("place") <= 2), 3 - F.col("place")).otherwise(F.col("place")))
+
+
 def daily_capacity(limits: DataFrame) -> DataFrame:
     """``(deployment, calls, tokens)`` a day at most by limits ``rpm, tpm, rpd, tpd`` of the deployment (d) and its group (g)."""
     calls = [F.floor(F.col(f"{s}_rpd") * F.col("day_margin")) for s in "dg"]

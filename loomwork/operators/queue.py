@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.operators.limits import previous
+
 SCAN = 500
 # Share of each stage in a job's progress.
 SYNTHESIS_WEIGHTS = {"extract": 5, "profile": 2, "segment": 1, "glossary": 6, "map": 30, "consolidate": 8, "write": 25, "verify": 15, "repair": 5,
@@ -65,6 +67,28 @@ def progress(stages: DataFrame, weights: dict[str, int] | None = None) -> DataFr
     return stages.groupBy("job_id").agg(F.round(F.sum(part), 2).alias("pct"))
 
 
+#: The states that a job may go to from each; null is before its first.
+MOVES = {None: ("queued",), "queued": ("running", "failed", "canceled"), "running": ("awaiting_glossary", "succeeded", "failed", "canceled"),
+         "awaiting_glossary": ("running", "failed", "canceled"), "succeeded": ("expired",), "failed": ("expired",), "canceled": ("expired",), "expired": ()}
+
+
+def job_moves(log: DataFrame, width: float = 86_400) -> DataFrame:
+    """States ``(job_id, seq, at, status)`` with the one before, ``was``, and ``legal``: whether a job may go from there to here."""
+    rows = previous(log, ["job_id"], "at", ["seq"], "status", "was", width)
+    legal = F.lit(False)
+    for was, then in MOVES.items():
+        legal |= F.col("was").eqNullSafe(F.lit(was)) & F.col("status").isin(*then) if then else F.lit(False)
+    return rows.withColumn("legal", F.coalesce(legal, F.lit(False)))
+
+
+def next_stages(stages: DataFrame) -> DataFrame:
+    """``(job_id, stage)`` to begin next: the first pending stage of a job, in the order of ``n``, whose stages before have all
+    ``succeeded`` or been ``skipped``."""
+    done = F.col("status").isin("succeeded", "skipped")
+    first = stages.groupBy("job_id").agg(F.min(F.when(~done, F.struct("n", "stage", "status"))).alias("_open"))
+    return first.where("_open.status = 'pending'").select("job_id", F.col("_open.stage").alias("stage"))
+
+
 def ready_to_advance(stages: DataFrame) -> DataFrame:
     """Jobs and stages all of whose tasks are done."""
     return stages.groupBy("job_id", "stage").agg(F.bool_and(F.col("done") >= F.col("total")).alias("ready")).where("ready").drop("ready")

@@ -33,6 +33,53 @@ def admitted(spark: SparkSession, path: str, most: int = MAX_BYTES) -> DataFrame
     return rows.select("path", "length", kind.alias("kind"), problem.alias("problem"))
 
 
+#: Bytes from the end of a file in which its directory or trailer is looked for, and how much larger than packed a file may be.
+TAIL, RATIO = 1 << 20, 100
+ENTRY, END = "504B0102", "504B0506"
+
+
+def _little(hexes: Column, at: int | Column, size: int) -> Column:
+    """The little-endian number of so many bytes at a place of a hex text, counted from 0."""
+    at = F.lit(at) if isinstance(at, int) else at
+    digits = F.concat(*(F.substring(hexes, 2 * (at + i) + 1, F.lit(2)) for i in reversed(range(size))))
+    return F.conv(digits, 16, 10).cast("long")
+
+
+def inspected(spark: SparkSession, path: str, most: int = MAX_BYTES, ratio: int = RATIO) -> DataFrame:
+    """``(path, length, kind, entries, unpacked, problem)`` of files without unpacking any.
+
+    A ZIP archive is judged by its directory, which the last bytes hold: an entry that is encrypted, or sizes that add up to more
+    than ``ratio`` times the file or ``most`` bytes, as in a bomb. A PDF is judged by the names in its trailer. An archive
+    whose directory does not lie in the last ``TAIL`` bytes is ``odd_archive``. Contents are not in the result.
+    """
+    rows = spark.read.format("binaryFile").load(path)
+    rows = rows.select("path", "length", F.hex(F.substring("content", 1, 8)).alias("head"), F.expr(f"right(hex(content), {2 * TAIL})").alias("tail"))
+    kind = (F.when(F.col("head").startswith("25504446"), "pdf").when(F.col("head").startswith("504B0304") | F.col("head").startswith(END), "zip")
+            .when(F.col("head").startswith("D0CF11E0"), "ole").otherwise("text"))
+    rows = rows.withColumns({"kind": kind, "_size": (F.length("tail") / 2).cast("long")})
+    # The end record is the last one; the directory lies right before it.
+    end = (F.length("tail") - F.instr(F.reverse("tail"), END[::-1]) - len(END) + 1) / 2
+    rows = rows.withColumn("_end", F.when((F.col("kind") == "zip") & F.contains("tail", F.lit(END)), end.cast("int")))
+    listed = F.when(F.col("_end").isNotNull(), _little(F.col("tail"), F.col("_end") + 10, 2))
+    size = F.when(F.col("_end").isNotNull(), _little(F.col("tail"), F.col("_end") + 12, 4))
+    rows = rows.withColumns({"_listed": listed, "_start": F.col("_end") - size})
+    inside = F.coalesce(F.col("_start") >= 0, F.lit(False))
+    directory = F.when(inside, F.substring("tail", (2 * F.col("_start") + 1).cast("int"), (2 * (F.col("_end") - F.col("_start"))).cast("int")))
+    rows = rows.withColumn("_dir", directory)
+    step = ("named_struct('at', a.at + 46 + {n} + {x} + {c}, 'n', a.n + 1, 'sum', a.sum + {u}, 'locked', a.locked OR {f} % 2 = 1)")
+    little = lambda at, size: "conv(concat(" + ", ".join(f"substring(_dir, cast(2 * (a.at + {at + i}) + 1 AS int), 2)" for i in reversed(range(size))) + "), 16, 10)"
+    number = {"n": little(28, 2), "x": little(30, 2), "c": little(32, 2), "u": little(24, 4), "f": little(8, 2)}
+    step = step.format(**{k: f"cast({v} AS bigint)" for k, v in number.items()})
+    fold = F.expr(f"aggregate(sequence(1, cast(_listed AS int)), named_struct('at', 0L, 'n', 0, 'sum', 0L, 'locked', false), "
+                  f"(a, i) -> CASE WHEN substring(_dir, cast(2 * a.at + 1 AS int), 8) = '{ENTRY}' THEN {step} ELSE a END)")
+    rows = rows.withColumn("_zip", F.when(F.col("_dir").isNotNull() & (F.col("_listed") > 0), fold))
+    trailer = F.when(F.col("kind") == "pdf", F.contains("tail", F.hex(F.lit("/Encrypt"))))
+    problem = (F.when(F.col("length") > most, "too_big").when(trailer, "encrypted")
+               .when((F.col("kind") == "zip") & (F.col("_dir").isNull() | (F.coalesce("_zip.n", F.lit(0)) != F.col("_listed"))), "odd_archive")
+               .when(F.col("_zip.locked"), "encrypted").when((F.col("_zip.sum") > F.col("length") * ratio) | (F.col("_zip.sum") > most), "bomb"))
+    return rows.select("path", "length", "kind", F.col("_zip.n").alias("entries"), F.col("_zip.sum").alias("unpacked"), problem.alias("problem"))
+
+
 def cues(text: Column) -> Column:
     """Structs (start, end, text) of SRT or VTT subtitles, times in seconds."""
     stamp = r"(?:(\d+):)?(\d{2}):(\d{2})[.,](\d{3})"

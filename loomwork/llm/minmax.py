@@ -12,7 +12,8 @@ Steps, none of which emits all pairs of a group:
 2. Sets most of whose minima no other set has are put aside: they can have no near copy. In each bucket of the rest
    every set is paired with the bucket's least set only. Pairs whose signatures agree enough are held against the full
    sets, and the links found form the first components.
-3. Buckets that still hold several components have links to lose. An overlap of two components has only shingles that
+3. Buckets that still hold several components have links to lose. Their sets are first held against another member of
+   the component that has most of a bucket: what joins it need not be paired with each of its members. An overlap of two components has only shingles that
    two components hold, so sets with too few of these drop out, which is exact. Of the others, pairs with a rare shingle
    in common meet by their rarest ones, as many as an overlap cannot do without one of. Pairs without one can be links
    only if common shingles alone make up enough of both; what then remains meets in its buckets, members of different
@@ -53,6 +54,8 @@ RARE = 8
 SALT = 256
 #: A set has company if at least so many of its PERMS minima are others' too: 5.8 standard deviations below 0.75.
 SHARED = int(0.44 * PERMS)
+#: Rounds in which torn sets are held against other members of large components before all that is left is proved.
+TURNS = 1
 #: Word hashes kept by a worker.
 CACHE = 200_000
 
@@ -222,6 +225,15 @@ def torn(sets: DataFrame, of: DataFrame) -> DataFrame:
     return written(marked.select("id", "c", "n").join(ids, "id", "left_semi"), "dedup-torn")
 
 
+def second_leaders(ids: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
+    """Pairs ``(a, b)`` of each torn set ``(id, c)`` with one member of the component that has most of its bucket, another in each turn."""
+    b = sets.select("id", "bands").join(ids.select("id", "c"), "id").select("id", "c", F.posexplode("bands").alias("band", "key"))
+    parts = b.groupBy("band", "key", "c").agg(F.count("*").alias("m"), F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("lead"))
+    most = parts.groupBy("band", "key").agg(F.max(F.struct("m", "c", "lead")).alias("most"), F.count("*").alias("k")).where("k > 1")
+    most = small(written(most.select("band", "key", F.col("most.c").alias("cl"), F.col("most.lead").alias("b")), "dedup-second"))
+    return written(b.join(most, ["band", "key"]).where("c <> cl").select(F.col("id").alias("a"), "b").distinct(), "dedup-second-stars")
+
+
 def crossing(ids: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs ``(a, b)`` of different components among the sets ``(id, c, n)``: all that share a bucket and can be links."""
     hashes = texts_of(ids.select("id"), sets, docs).mapInPandas(_hashes, "id long, h array<long>").join(ids, "id")
@@ -273,6 +285,15 @@ def classes(docs: DataFrame) -> DataFrame:
     links = verified(stars, near, docs)
     of = components(links)
     ids = torn(near, of)
+    for turn in range(TURNS):
+        if ids.isEmpty():
+            break
+        more = verified(second_leaders(ids, near, turn), near, docs)
+        if more.isEmpty():
+            break
+        links = links.union(more)
+        of = components(links)
+        ids = torn(near, of)
     if not ids.isEmpty():
         of = components(links.union(verified(crossing(ids, near, docs), near, docs)))
     of = written(sets.select("k1", "k2", "rep", "id").join(of, "id", "left").withColumn("c", F.coalesce("component", "id")), "dedup-classes")

@@ -160,6 +160,15 @@ def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield rows.loc[ok, ["a", "b"]]
 
 
+def _overlapping(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in batches:
+        ok = []
+        for s, t in zip(rows["h_a"], rows["h_b"], strict=True):
+            both = len(np.intersect1d(s, t, assume_unique=True))
+            ok.append(100 * both >= PERCENT * (len(s) + len(t) - both))
+        yield rows.loc[ok, ["a", "b"]]
+
+
 def texts_of(ids: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     """``(id, text)``: one text of each of the sets ``id``."""
     wanted = sets.select("id", F.col("rep.doc_id").alias("_doc"), F.col("rep.text_key").alias("_key")).join(ids, "id", "left_semi")
@@ -234,10 +243,10 @@ def second_leaders(ids: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
     return written(b.join(most, ["band", "key"]).where("c <> cl").select(F.col("id").alias("a"), "b").distinct(), "dedup-second-stars")
 
 
-def crossing(ids: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` of different components among the sets ``(id, c, n)``: all that share a bucket and can be links."""
+def crossing(ids: DataFrame, sets: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``(a, b)`` of different components among the sets ``(id, c, n)``: all that share a bucket and can be links; and ``(id, h)``, the sets' shingles."""
     hashes = texts_of(ids.select("id"), sets, docs).mapInPandas(_hashes, "id long, h array<long>").join(ids, "id")
-    rows = written(hashes, "dedup-shingles")
+    rows = whole = written(hashes, "dedup-shingles")
     # Of a link of x at least 75 % of x is overlap, and all overlap is of shingles that two components hold. The second
     # round counts only what the sets that are left hold.
     for k in range(2):
@@ -267,7 +276,13 @@ def crossing(ids: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     once = f"band = array_min(filter(sequence(0, {BANDS - 1}), i -> bands[i] = bb[i]))"
     x = x.withColumn("salt", F.expr("pmod(xxhash64(id), salts)"))
     by_bucket = x.join(y, ["band", "key", "salt"]).where(f"id > b AND c <> cb AND {may} AND {once}").select(F.col("id").alias("a"), "b")
-    return by_shingle.union(by_bucket).distinct()
+    return by_shingle.union(by_bucket).distinct(), whole.select("id", "h")
+
+
+def proved(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` that are links by their full sets ``(id, h)``."""
+    a, b = (whole.select(F.col("id").alias(c), F.col("h").alias(f"h_{c}")) for c in "ab")
+    return written(pairs.join(a, "a").join(b, "b").select("a", "b", "h_a", "h_b").mapInPandas(_overlapping, "a long, b long"), "dedup-links")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -295,7 +310,7 @@ def classes(docs: DataFrame) -> DataFrame:
         of = components(links)
         ids = torn(near, of)
     if not ids.isEmpty():
-        of = components(links.union(verified(crossing(ids, near, docs), near, docs)))
+        of = components(links.union(proved(*crossing(ids, near, docs))))
     of = written(sets.select("k1", "k2", "rep", "id").join(of, "id", "left").withColumn("c", F.coalesce("component", "id")), "dedup-classes")
     least = small(written(of.groupBy("c").agg(F.min("rep").alias("least")), "dedup-least"))
     of = of.join(least, "c").select(F.col("k1").alias("_1"), F.col("k2").alias("_2"), "least")

@@ -76,7 +76,7 @@ def test_crossing_finds_each_link_between_components(spark, docs_of, monkeypatch
     docs = docs_of(texts)
     rows = minmax.profiles(docs).where("n_shingles > 0")
     sets = rows.selectExpr("doc_id AS id", "n_shingles", "bands", "named_struct('doc_id', doc_id, 'text_key', text_key) AS rep").cache()
-    found = minmax.crossing(sets.selectExpr("id", "id AS c", "n_shingles AS n"), sets, docs).collect()
+    found = minmax.crossing(sets.selectExpr("id", "id AS c", "n_shingles AS n"), sets, docs)[0].collect()
     found = {tuple(sorted((r.a, r.b))) for r in found}
     words = brute(dict(enumerate(texts)))[0]
     links = {(a, b) for a in words for b in words if a < b and words[a] != words[b] and 100 * len(words[a] & words[b]) >= 75 * len(words[a] | words[b])}

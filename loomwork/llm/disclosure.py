@@ -63,16 +63,31 @@ VALID = {
 }
 
 
+#: Matches that one fold takes; a text with more is folded block by block, as a list is copied when it grows.
+FOLD = 256
+
+
+def folded(items: str, begin: str, kind: str, step: str, size: int = FOLD) -> str:
+    """SQL of a fold over a list: the state's ``at`` and ``out``, to which the step appends, from block to block in linear time.
+
+    ``step`` tells the next state from the state ``a`` and an item ``z``; the result has ``at`` and ``out`` as one list.
+    """
+    none = f"cast(array() AS array<{kind}>)"
+    within = f"aggregate(c, named_struct('at', o.at, 'out', {none}), (a, z) -> {step})"
+    blocks = f"transform(CASE WHEN size({items}) > 0 THEN sequence(0, (size({items}) - 1) div {size}) ELSE cast(array() AS array<int>) END, k -> slice({items}, k * {size} + 1, {size}))"
+    once = f"element_at(transform(array({within}), r -> named_struct('at', r.at, 'out', array_append(o.out, r.out))), 1)"
+    whole = f"aggregate({blocks}, named_struct('at', {begin}, 'out', cast(array() AS array<array<{kind}>>)), (o, c) -> {once})"
+    return f"element_at(transform(array({whole}), w -> named_struct('at', w.at, 'out', flatten(w.out))), 1)"
+
+
 def placed(text: str, pattern: str, valid: str) -> Column:
     """Spans of the pattern's matches that are valid (``x`` is the match), in order; code points, end exclusive."""
     quoted = "r'" + pattern + "'"
-    # The fold carries the place; only valid matches are kept in it.
-    return F.expr(
-        f"aggregate(zip_with(regexp_extract_all({text}, {quoted}, 0), split({text}, {quoted}, -1), (m, s) -> named_struct('m', m, 's', s)), "
-        f"named_struct('at', 0, 'out', cast(array() AS {_SPANS})), "
-        f"(a, z) -> named_struct('at', a.at + length(z.s) + coalesce(length(z.m), 0), 'out', "
-        f"CASE WHEN z.m IS NOT NULL AND {_on(valid)} THEN array_append(a.out, named_struct("
-        f"'start', a.at + length(z.s), 'end', a.at + length(z.s) + length(z.m), 'value', z.m)) ELSE a.out END), a -> a.out)")
+    pieces = f"zip_with(regexp_extract_all({text}, {quoted}, 0), split({text}, {quoted}, -1), (m, s) -> named_struct('m', m, 's', s))"
+    step = (f"named_struct('at', a.at + length(z.s) + coalesce(length(z.m), 0), 'out', CASE WHEN z.m IS NOT NULL AND {_on(valid)} THEN array_append(a.out, "
+            f"named_struct('start', a.at + length(z.s), 'end', a.at + length(z.s) + length(z.m), 'value', z.m)) ELSE a.out END)")
+    fold = folded("ps", "0", "struct<start:int,end:int,value:string>", step)
+    return F.expr(f"element_at(transform(array({pieces}), ps -> {fold}.out), 1)")
 
 
 def _on(valid: str) -> str:
@@ -107,13 +122,25 @@ def mentions(rows: DataFrame) -> DataFrame:
 def outside() -> Column:
     """The distinct terms of the text, lower-cased, that overlap no span."""
     spans = "array_sort(concat(" + ", ".join(f"transform({k}, x -> named_struct('s', x.start, 'e', x.end))" for k in PROTECTED) + "))"
-    text = "translate(text, chr(0), ' ')"
-    pieces = (f"aggregate({spans}, named_struct('at', 0, 'out', cast(array() AS array<string>)), (a, x) -> CASE WHEN x.e <= a.at THEN a ELSE "
-              f"named_struct('at', x.e, 'out', CASE WHEN x.s < a.at THEN a.out ELSE array_append(a.out, substring({text}, a.at + 1, x.s - a.at)) END) END, "
-              f"a -> concat(array_join(a.out, chr(0)), CASE WHEN a.at > 0 THEN chr(0) ELSE '' END, substring({text}, a.at + 1)))")
+    pieces = cut("translate(text, chr(0), ' ')", spans, "chr(0)")
     return F.expr(f"array_distinct(transform(regexp_extract_all({pieces}, r'{OUTSIDE}', 0), t -> lower(t)))")
 
 
+def cut(text: str, spans: str, by: str) -> str:
+    """SQL of the text with each of the sorted spans ``(s, e, ..)``, or what overlapping ones cover, put by ``by`` of the span ``z``.
+
+    Characters of a text are found from its start, so one with many spans is taken apart into them first.
+    """
+    step = ("CASE WHEN z.e <= a.at THEN a ELSE named_struct('at', z.e, 'out', concat(a.out, array({part}, CASE WHEN z.s >= a.at THEN " + by + " ELSE '' END))) END")
+    few = "substring(tx, a.at + 1, greatest(0, z.s - a.at))"
+    many = "CASE WHEN z.s > a.at THEN array_join(slice(ch, a.at + 1, z.s - a.at), '') ELSE '' END"
+    end = {"few": "substring(tx, w.at + 1)", "many": "CASE WHEN w.at < size(ch) THEN array_join(slice(ch, w.at + 1, size(ch) - w.at), '') ELSE '' END"}
+    whole = {k: f"element_at(transform(array({folded('sp', '0', 'string', step.format(part=part))}), w -> concat(array_join(w.out, ''), {end[k]})), 1)"
+             for k, part in (("few", few), ("many", many))}
+    apart = f"element_at(transform(array(split(tx, '')), ch -> {whole['many']}), 1)"
+    return f"element_at(transform(array({spans}), sp -> element_at(transform(array({text}), tx -> CASE WHEN size(sp) <= {FOLD} THEN {whole['few']} ELSE {apart} END), 1)), 1)"
+
+
 def company(rows: DataFrame, support: int = SUPPORT) -> DataFrame:
     """``(text_key, times, entities, terms)`` of the distinct texts with entities of enough support; entities with their ``df_e``."""
     times = rows.where("text IS NOT NULL").groupBy("text_key").agg(F.count("*").alias("times"))
@@ -190,11 +217,10 @@ def sanitised(docs: DataFrame) -> DataFrame:
     with passing(docs.sparkSession):
         spans = spans_of(docs).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.expr(f"array_sort(concat({', '.join(parts)}))").alias("_cuts"))
         spans = written(spans.where(F.size("_cuts") > 0).dropDuplicates(["_id", "_key"]), "pii-cuts", keep=True)
-    both = docs.join(spans, docs["doc_id"].eqNullSafe(spans["_id"]) & (F.xxhash64(docs["text"]) == spans["_key"]), "left")
-    text = ("aggregate(_cuts, named_struct('at', 0, 'out', cast(array() AS array<string>)), (a, x) -> CASE WHEN x.e <= a.at THEN a ELSE "
-            "named_struct('at', x.e, 'out', concat(a.out, array(substring(text, a.at + 1, greatest(0, x.s - a.at)), CASE WHEN x.s >= a.at THEN x.by ELSE '' END))) END, "
-            "a -> concat(array_join(a.out, ''), substring(text, a.at + 1)))")
-    return both.select(*(docs[c] if c != "text" else F.when(F.col("_cuts").isNotNull(), F.expr(text.replace("(text,", "(`text`,"))).otherwise(docs["text"]).alias("text") for c in docs.columns))
+    packed = docs.select("doc_id", F.xxhash64("text").alias("_key_of"), "text", F.struct(*docs.columns).alias("row"))
+    both = packed.join(spans, packed["doc_id"].eqNullSafe(spans["_id"]) & (packed["_key_of"] == spans["_key"]), "left")
+    text = F.when(F.col("_cuts").isNotNull(), F.expr(cut("text", "_cuts", "z.by"))).otherwise(F.col("text"))
+    return both.select(F.col("row").withField("text", text).alias("row")).select("row.*")
 
 
 def op6_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,8 +10,9 @@ content, the rest not. The weights are fitted on a sample of about ``SAMPLE`` su
 the share that is wanted, so no task gathers pages. How much a mark itself tells is learnt too, by how often the runs
 that the other weights find agree with it; it adds to the weight of a word inside and takes from one outside, within
 ``MARK``, and a tag inside counts ``IN_MARK`` of its weight. Several articles count as marks if they hold half of the
-page's words at least, so cards and comments beside a body of another kind don't. Where marks leave a page in several regions,
-each run of at least ``PART`` of the best one's score is taken, in page order.
+page's words at least, so cards and comments beside a body of another kind don't. Where a page falls into several regions
+they are taken in page order: with marks every run that scores above nothing, however short, and without marks each that has
+``PART`` of the best one's score at least, as what nothing marks and is short is as likely a caption or a notice.
 
 Elements that are never content are told by tag, role, or the names in their class and id. A name counts if it is a
 whole class, or the first or last part of a compound one (not of one that says with, has or no, and not on a text
@@ -320,7 +321,7 @@ def best_run(scores: list[float]) -> tuple[int, int]:
 OTHER_LINK, OTHER_WORD, OTHER_TAG = -0.5, 1.0, -0.5
 #: What an element without content parts a run by, per token; in marked content not at all.
 ASIDE = -0.1
-#: The most that a mark tells, the share of a tag's weight inside, and the least share of the best run's score.
+#: The most that a mark tells, the share of a tag's weight inside, and the least share of the best run's score where nothing is marked.
 MARK, IN_MARK, PART = 3.5, 0.05, 0.1
 
 
@@ -336,8 +337,8 @@ def score(token: Token, weight: dict[str, float], marks: bool) -> float:
     return found + (weight.get("m+", MARK) if token.marked else weight.get("m-", -MARK))
 
 
-def best_runs(scores: list[float]) -> list[tuple[int, int]]:
-    """The best run, the best of what is left and so on, of at least ``PART`` of the best one's score, in order.
+def best_runs(scores: list[float], part: float = 0.0) -> list[tuple[int, int]]:
+    """The best run, the best of what is left and so on, of at least a part of the best one's score, in order.
 
     All of them are found in one scan: a new score joins the nearest run before it that began lower, as long as the sum
     over both is greater than that run's, and the search skips what lies between by the links of earlier searches.
@@ -357,7 +358,7 @@ def best_runs(scores: list[float]) -> list[tuple[int, int]]:
                 j = before
             runs.append((start, i + 1, low, high, j))
         total += s
-    least = PART * max((high - low for _, _, low, high, _ in runs), default=0.0)
+    least = part * max((high - low for _, _, low, high, _ in runs), default=0.0)
     return [(start, end) for start, end, low, high, _ in runs if high - low >= least]
 
 
@@ -367,7 +368,7 @@ def extract(page: str | None, weight: dict[str, float]) -> str:
     found, marks = tokens(page)
     scores = [score(t, weight, marks) for t in found]
     out: list[str] = []
-    for start, end in best_runs(scores) if marks else [best_run(scores)]:
+    for start, end in best_runs(scores, 0.0 if marks else PART):
         for i in range(start, end):
             t = found[i]
             # Words between marked regions come with a run that spans them only if they speak for themselves.

@@ -8,8 +8,8 @@ Only the table of sources is joined to the documents. It is broadcast when a cou
 otherwise; the sums are combined before the shuffle, so a source with a third of all rows costs no more than another.
 
 Cases: a null or empty text has size 0 and adds nothing; a null source is a source of its own, the last; repeated
-rows are drawn alike; an empty table gives an empty result; further columns stay, and columns of a clashing name
-are replaced by the operator's own.
+rows are drawn alike; an empty table gives an empty result; ``mix`` gives back every column as it came, whatever its name,
+and the reports replace columns of a clashing name by the operator's own.
 """
 
 from __future__ import annotations
@@ -74,9 +74,9 @@ def measured(docs: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """Every document as many times as the mix takes it, with the columns it came with."""
-    columns = docs.columns
-    mixed = with_copies(measured(docs), weights, cap, seed).where("copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(columns)
+    packed = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("row"))
+    mixed = with_copies(measured(packed), weights, cap, seed).where("copies > 0")
+    return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

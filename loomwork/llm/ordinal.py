@@ -236,11 +236,10 @@ def graded_documents(docs: DataFrame, labels: DataFrame, keep: list[str], tail:
 
 def select_good(docs: DataFrame, labels: DataFrame, tail: float = TAIL) -> DataFrame:
     """The documents that the classifier keeps, with the columns they came with."""
-    own = {"score": "_score", "expected_grade": "_expected_grade", "p_good": "_p_good", "kept": "_kept"}
-    back = {v: k for k, v in own.items()}
-    docs_in = docs.withColumnsRenamed(own)
-    rows = graded_documents(docs_in, labels, docs_in.columns, tail).where("kept").select(docs_in.columns)
-    return rows.withColumnsRenamed(back).select(docs.columns)
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    inner = docs.select("doc_id", "text", *(docs[c].alias(n) for c, n in names.items()))
+    rows = graded_documents(inner, labels, list(names.values()), tail).where("kept")
+    return rows.select(*(F.col(n).alias(c) for c, n in names.items()))
 
 
 def op2_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,8 @@ rows of a source of n lie below a fraction follows from n alone, so only rows of
 together. Buckets and slices hold about ``ROWS`` rows each at any size.
 
 Cases: a null source is a source of its own; a null text has no bytes; repeated rows are neighbours in their source
-and get slots of their own; an empty table gives an empty result; further columns stay, and ``shard`` and ``slot``
-replace columns of that name. The law is ``rows``: counts are at most one apart, so equal texts are not kept together.
+and get slots of their own; rows of one id, null too, are dealt by their texts; an empty table gives an empty result; further
+columns stay, whatever their names, but ``shard`` and ``slot`` replace columns of that name. The law is ``rows``: counts are at most one apart, so equal texts are not kept together.
 """
 
 from __future__ import annotations
@@ -28,39 +28,37 @@ ROWS, BITS = 20_000, 20
 def interleaved(rows: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """The rows with ``shard`` and ``slot``; the position in all is the shard's first position plus the slot."""
     rows = rows.drop("shard", "slot")
-    hashed = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 1)
+    tie = F.col("text_crc32") if "text_crc32" in rows.columns else F.crc32(F.col("text").cast("binary"))
+    # All that follows goes by names of its own; the row comes back whole.
+    rows = rows.select(F.struct(*rows.columns).alias("row"), F.col("source").alias("source"), F.col("doc_id").alias("id"), tie.alias("tie"))
     total = rows.count()
     parts = max(1, min(2**BITS, -(-total // ROWS)))
-    rows = rows.withColumn("_h", hashed)
-    rows = rows.withColumn("_b", F.shiftright(F.shiftright("_h", 63 - BITS) * F.lit(parts), BITS).cast("int"))
+    rows = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id", "tie"), 1))
+    rows = rows.withColumn("b", F.shiftright(F.shiftright("h", 63 - BITS) * F.lit(parts), BITS).cast("int"))
 
-    by_source = Window.partitionBy("_source")
-    below = by_source.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy(F.col("source").alias("_source"), F.col("_b").alias("_bucket")).agg(F.count("*").alias("_in"))
-    before = F.coalesce(F.sum("_in").over(below), F.lit(0))
-    counts = counts.select("_source", "_bucket", before.alias("_before"), F.sum("_in").over(by_source).alias("_n"))
+    by_source = Window.partitionBy("s")
+    below = by_source.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(F.col("source").alias("s"), F.col("b").alias("bucket")).agg(F.count("*").alias("inside"))
+    before = F.coalesce(F.sum("inside").over(below), F.lit(0))
+    counts = counts.select("s", "bucket", before.alias("before"), F.sum("inside").over(by_source).alias("n"))
     counts = written(counts, "shard-counts")
-    tie = F.col("text_crc32") if "text_crc32" in rows.columns else F.crc32(F.col("text").cast("binary"))
-    within = Window.partitionBy("source", "_b").orderBy("_h", "doc_id", tie)
-    ranked = rows.join(small(counts), rows["source"].eqNullSafe(counts["_source"]) & (rows["_b"] == counts["_bucket"]))
-    ranked = ranked.withColumn("_r", F.col("_before") + F.row_number().over(within) - 1)
-    ranked = ranked.withColumns({
-        "_slice": F.expr(f"((2 * _r + 1) * {parts}L) div (2 * _n)"),
-        "_f": (F.col("_r") + 0.5) / F.col("_n"),
-    })
+    within = Window.partitionBy("source", "b").orderBy("h", "id", "tie")
+    ranked = rows.join(small(counts), rows["source"].eqNullSafe(counts["s"]) & (rows["b"] == counts["bucket"]))
+    ranked = ranked.withColumn("r", F.col("before") + F.row_number().over(within) - 1)
+    ranked = ranked.withColumns({"slice": F.expr(f"((2 * r + 1) * {parts}L) div (2 * n)"), "f": (F.col("r") + 0.5) / F.col("n")})
 
     # Of a source of n rows, those with (2 r + 1) * parts < 2 n k lie below slice k.
-    sources = counts.select("_source", "_n").distinct()
-    starts = sources.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>")))
-    starts = starts.groupBy("_k").agg(F.sum(F.expr(f"greatest(0L, (2 * _n * _k + {parts}L - 1) div (2 * {parts}L))")).alias("_start"))
+    sources = counts.select("s", "n").distinct()
+    starts = sources.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>")))
+    starts = starts.groupBy("k").agg(F.sum(F.expr(f"greatest(0L, (2 * n * k + {parts}L - 1) div (2 * {parts}L))")).alias("start"))
     starts = small(starts)
-    sliced = ranked.join(starts, ranked["_slice"] == starts["_k"])
-    order = Window.partitionBy("_slice").orderBy("_f", F.col("source").asc_nulls_last(), "_h", "doc_id")
-    placed = sliced.withColumn("_at", F.col("_start") + F.row_number().over(order) - 1)
+    sliced = ranked.join(starts, ranked["slice"] == starts["k"])
+    order = Window.partitionBy("slice").orderBy("f", F.col("source").asc_nulls_last(), "h", "id", "tie")
+    placed = sliced.withColumn("at", F.col("start") + F.row_number().over(order) - 1)
     total = max(total, 1)
-    placed = placed.withColumn("shard", F.expr(f"int((_at * {shards}L) div {total}L)"))
-    slot = F.expr(f"_at - (shard * {total}L + {shards - 1}L) div {shards}L")
-    return placed.withColumn("slot", slot).select(*rows.drop("_h", "_b").columns, "shard", "slot")
+    placed = placed.withColumn("shard", F.expr(f"int((at * {shards}L) div {total}L)"))
+    slot = F.expr(f"at - (shard * {total}L + {shards - 1}L) div {shards}L")
+    return placed.select("row.*", "shard", slot.alias("slot"))
 
 
 def op9_shard_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,3 +110,15 @@ def test_company_is_whole_terms_outside_the_spans(spark, docs_of):
     docs = docs_of(texts)
     got = sorted(tuple(sorted(r.terms)) for r in disclosure.company(disclosure.found(docs)).collect())
     assert got == [tuple(sorted([f"{'abc'[i]}lpha", "gamma", "delta", "re\u0301sume\u0301", "漢字"])) for i in range(3)]
+
+
+def test_a_text_of_many_addresses_is_linear(spark, docs_of):
+    import time
+
+    n = 32_000
+    text = "\n".join(f"user{i}@host{i % 97}.example.org wrotê" for i in range(n))
+    began = time.perf_counter()
+    row = disclosure.report(docs_of([text])).first()
+    assert row["n_email"] == n and time.perf_counter() - began < 30
+    clean = disclosure.sanitised(docs_of([text])).first()["text"]
+    assert clean.count("[EMAIL]") == n and "@" not in clean and clean.count("wrotê") == n

@@ -54,8 +54,19 @@ def brute_runs(scores):
     return [*brute_runs(scores[:i]), total, *brute_runs(scores[j:])]
 
 
-def test_all_runs_against_all_pairs(monkeypatch):
-    monkeypatch.setattr(H, "PART", 0.0)
+@pytest.mark.parametrize("n", [1, 5, 20, 39, 45])
+def test_no_marked_article_is_too_short(n):
+    links = "<ul>" + "".join(f"<li><a href=x>link{i}</a></li>" for i in range(60)) + "</ul>"
+    first, second = " ".join(f"long{i}" for i in range(400)), " ".join(f"short{i}" for i in range(n))
+    assert H.extract(f"<article><p>{first}</p></article>{links}<article><p>{second}</p></article>", WEIGHTS | {"w:a": -2.0}) == f"{first} {second}"
+
+
+def test_an_unmarked_page_keeps_both_halves():
+    links = "<ul>" + "".join(f"<li><a href=x>link{i}</a></li>" for i in range(60)) + "</ul>"
+    assert H.extract(f"<div><p>{LONG}</p>{links}<p>{SHORT}</p></div>", WEIGHTS | {"w:a": -2.0}) == LONG + " " + SHORT
+
+
+def test_all_runs_against_all_pairs():
     draw = random.Random(5)
     for _ in range(300):
         # Powers of distinct sizes: no two stretches have the same sum.

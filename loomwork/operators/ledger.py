@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.operators.limits import carried
 from loomwork.operators.scale import folded
 
 
@@ -90,9 +91,9 @@ def cost_usd() -> Column:
 
 
 def daily_spend(costs: DataFrame, cap: float) -> DataFrame:
-    """Costs ``(day, at, cost_id, cost)`` with the day's running ``spent`` and whether the cap has ``paused`` it."""
-    order = Window.partitionBy("day").orderBy("at", "cost_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = costs.withColumn("spent", F.sum("cost").over(order))
+    """Costs ``(day, at, cost_id, cost)`` with the day's running ``spent`` and whether the cap has ``paused`` it; a day is summed by minutes."""
+    rows = costs.withColumn("_slice", F.date_trunc("minute", F.col("at").cast("timestamp")))
+    rows = carried(rows, ["day"], ["at", "cost_id"], F.col("cost"), "spent").drop("_slice")
     return rows.withColumn("paused", F.col("spent") >= cap)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions.text import cell
+from loomwork.operators.limits import carried
 from loomwork.operators.scale import dense_numbers
 
 # What a refund gives back of a charge, by event.
@@ -19,9 +20,12 @@ def glossary_gate(candidates: DataFrame, words: Column, least: float = 0.7, shor
 
 
 def admitted_jobs(jobs: DataFrame, capacity: DataFrame) -> DataFrame:
-    """Jobs ``(job_id, profile, at, calls)`` with ``admitted``: the day's calls of the profile so far fit its capacity ``(profile, calls_left)``."""
-    order = Window.partitionBy("profile").orderBy("at", "job_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = jobs.withColumn("needed", F.sum("calls").over(order)).join(capacity, "profile", "left")
+    """Jobs ``(job_id, profile, at, calls)`` with ``admitted``: the day's calls of the profile so far fit its capacity ``(profile, calls_left)``.
+
+    A profile's running sum goes by hours, so a profile with most jobs is spread over them.
+    """
+    rows = jobs.withColumn("_slice", F.date_trunc("hour", F.col("at").cast("timestamp")))
+    rows = carried(rows, ["profile"], ["at", "job_id"], F.col("calls"), "needed").drop("_slice").join(capacity, "profile", "left")
     return rows.withColumn("admitted", F.col("needed") <= F.coalesce("calls_left", F.lit(0)))
 
 

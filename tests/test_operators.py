@@ -207,3 +207,12 @@ def test_citation_numbers_leave_no_task_with_all_units(spark):
     by_task = [sum(r.task == t for r in got) for t in {r.task for r in got}]
     assert max(by_task) < 0.6 * len(got)
     assert reports.citation_numbers(cites.limit(0)).count() == 0
+
+
+def test_dense_numbers_by_many_ranges(spark, monkeypatch):
+    from loomwork.operators import scale
+
+    monkeypatch.setattr(scale, "RANGE", 2)
+    rows = spark.range(1000).selectExpr("(id * 7919) % 1009 AS k", "id AS v")
+    got = [(r.k, r.n) for r in scale.dense_numbers(rows, ["k", "v"], "n").collect()]
+    assert sorted(got) == [(k, i) for i, k in enumerate(sorted(k for k, _ in got), 1)]

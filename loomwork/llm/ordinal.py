@@ -22,13 +22,13 @@ score alike; an empty table gives an empty result; further columns stay, and the
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.llm.common import passing, table, written
@@ -225,6 +225,21 @@ def scored(docs: DataFrame, model: OrdinalModel, keep: list[str]) -> DataFrame:
     return rows.mapInPandas(run, f"{schema}, score double, expected_grade double, p_good double")
 
 
+def tail_chance(model: OrdinalModel) -> Callable[[Column], Column]:
+    """P(good) of a text as a function of its column; only texts go to Python, the other columns of a row stay where they are."""
+    places = np.nonzero(model.weights)[0].astype(np.int32)
+    values, cuts = model.weights[places], model.cuts
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = OrdinalModel(cuts=cuts)
+        own.weights[places] = values
+        for texts in batches:
+            yield pd.Series(own.tail(np.array([own.weights[features(t)].sum() for t in texts], float)))
+
+    return run
+
+
 def graded_documents(docs: DataFrame, labels: DataFrame, keep: list[str], tail: float = TAIL) -> DataFrame:
     with passing(docs.sparkSession):
         model = fit(docs, graded(labels))
@@ -236,10 +251,9 @@ def graded_documents(docs: DataFrame, labels: DataFrame, keep: list[str], tail:
 
 def select_good(docs: DataFrame, labels: DataFrame, tail: float = TAIL) -> DataFrame:
     """The documents that the classifier keeps, with the columns they came with."""
-    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    inner = docs.select("doc_id", "text", *(docs[c].alias(n) for c, n in names.items()))
-    rows = graded_documents(inner, labels, list(names.values()), tail).where("kept")
-    return rows.select(*(F.col(n).alias(c) for c, n in names.items()))
+    with passing(docs.sparkSession):
+        model = fit(docs, graded(labels))
+    return docs if model is None else docs.where(tail_chance(model)(docs["text"]) >= tail)
 
 
 def op2_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

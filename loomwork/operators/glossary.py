@@ -147,3 +147,12 @@ def release(entries: DataFrame) -> DataFrame:
         lambda x: x["json"]).alias("entries"))
     return rows.select("glossary", F.size("entries").alias("entry_count"), "entries",
         F.sha2(F.array_join("entries", "\n").cast("binary"), 256).alias("content_sha256"))
+
+
+def next_release(entries: DataFrame, releases: DataFrame) -> DataFrame:
+    """``release`` with the ``version`` after the greatest of the glossary's ``(glossary, version, content_sha256)``, and whether
+    anything ``changed`` since that one."""
+    last = releases.groupBy("glossary").agg(F.max(F.struct("version", "content_sha256")).alias("_last"))
+    rows = release(entries).join(last, "glossary", "left")
+    changed = ~F.col("content_sha256").eqNullSafe(F.col("_last.content_sha256"))
+    return rows.withColumns({"version": F.coalesce("_last.version", F.lit(0)) + 1, "changed": changed}).drop("_last")

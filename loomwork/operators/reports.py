@@ -56,6 +56,17 @@ def plan_problems(plan: DataFrame, units: DataFrame) -> DataFrame:
     return core.unionByName(unknown).unionByName(twice)
 
 
+def section_problems(sections: DataFrame, budgets: DataFrame, fewest: int = 4, most: int = 20, slack: float = 0.15) -> DataFrame:
+    """``(plan, problem)`` of sections ``(plan, pos, kind, budget)``: too few or many, a first one that is no summary, places that
+    repeat, and budgets of words that add up to more or less than the plan's ``(plan, words)`` by the slack. A plan without sections has too few."""
+    of = sections.groupBy("plan").agg(
+        F.count("*").alias("n"), F.count_distinct("pos").alias("places"), F.min_by("kind", "pos").alias("first"), F.sum("budget").alias("sum"))
+    rows = budgets.join(of, "plan", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "sum": F.coalesce("sum", F.lit(0))})
+    found = [F.when(F.col("n") < fewest, "few_sections"), F.when(F.col("n") > most, "many_sections"), F.when(~F.col("first").eqNullSafe(F.lit("summary")), "no_summary_first"),
+             F.when(F.col("places") < F.col("n"), "repeated_place"), F.when(F.abs(F.col("sum") - F.col("words")) > F.col("words") * slack, "budget")]
+    return rows.select("plan", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("problem"))
+
+
 def grades(checks: DataFrame) -> DataFrame:
     """``(report, coverage, faithfulness, unresolved, grade)`` of ``(report, covered, faithful, resolved)`` rows of booleans."""
     rows = checks.groupBy("report").agg(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomwork.operators import declarations, policies, pool, queue, schemas
+from loomwork.operators import declarations, glossary, policies, pool, queue, reports, schemas
 from loomwork.plans import tables as T
 from loomwork.plans.tables import PARAS
 from loomwork.sources import shared
@@ -184,6 +184,28 @@ def source_shares(spark, d):
     return policies.source_shares(rows).select("doc_id", "label", "paragraphs", "words", F.round("share", 6).alias("share"))
 
 
+def section_plans(spark, d):
+    """Orders as plans, their lines as sections."""
+    i, o = T.table(spark, d, "lineitem"), T.table(spark, d, "orders")
+    k = F.col("l_orderkey")
+    place = F.when((k % 9 == 0) & (F.col("l_linenumber") == 3), 2).otherwise(F.col("l_linenumber"))
+    kind = F.when((F.col("l_linenumber") == 1) & (k % 5 > 0), "summary").otherwise("body")
+    sections = i.select(k.alias("plan"), place.alias("pos"), kind.alias("kind"), F.col("l_quantity").cast("long").alias("budget"))
+    words = o.select(F.col("o_orderkey").alias("plan"), (F.col("o_orderkey") % 200 + 20).alias("words"))
+    return reports.section_problems(sections, words, 2, 6)
+
+
+def glossary_versions(spark, d):
+    """Parts as entries; glossaries that were released before get the next version."""
+    p = T.table(spark, d, "part").groupBy(F.col("p_brand").alias("glossary"), F.col("p_type").alias("source_term")).agg(F.min("p_name").alias("target_term"), F.min("p_size").alias("n"))
+    entries = p.withColumns({"keep_original": F.col("n") % 2 == 0, "status": F.when(F.col("n") % 3 == 0, "suggested").otherwise("confirmed")})
+    now = glossary.release(entries).select("glossary", "content_sha256")
+    odd = F.length("glossary") + F.ascii(F.right("glossary", F.lit(1)))
+    past = now.where(odd % 3 > 0).select("glossary", (odd % 4 + 1).cast("int").alias("version"), F.when(odd % 2 == 0, F.col("content_sha256")).otherwise("other").alias("content_sha256"))
+    older = past.select("glossary", F.lit(0).alias("version"), F.lit("old").alias("content_sha256"))
+    return glossary.next_release(entries, past.unionByName(older)).select("glossary", "version", "changed", "entry_count")
+
+
 def _candidates(spark, d):
     i = T.table(spark, d, "lineitem")
     rows = i.groupBy(F.col("l_orderkey").alias("request"), (F.col("l_suppkey") % 20).alias("deployment")).agg(F.min("l_linenumber").alias("n"))
@@ -270,6 +292,17 @@ UNION ALL SELECT doc_id, 'reason', NULL, NULL, reason, count(*) FROM u WHERE rea
 u AS (SELECT doc_id, ['core', 'example', 'qa', 'anecdote', 'aside', 'admin'][idx % 6 + 1] AS label, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words FROM paras),
 s AS (SELECT doc_id, label, count(*) AS paragraphs, CAST(sum(words) AS BIGINT) AS words FROM u GROUP BY 1, 2)
 SELECT *, round(CASE WHEN sum(words) OVER (PARTITION BY doc_id) > 0 THEN words / CAST(sum(words) OVER (PARTITION BY doc_id) AS DOUBLE) ELSE 0 END, 6) AS share FROM s"""),
+    "section_plans": (section_plans, """
+WITH s AS (SELECT l_orderkey AS plan, CASE WHEN l_orderkey % 9 = 0 AND l_linenumber = 3 THEN 2 ELSE l_linenumber END AS pos, l_linenumber = 1 AND l_orderkey % 5 > 0 AS summary,
+  CAST(l_quantity AS BIGINT) AS budget FROM lineitem),
+a AS (SELECT o_orderkey AS plan, o_orderkey % 200 + 20 AS words, coalesce(n, 0) AS n, places, coalesce(first, false) AS first, coalesce(b, 0) AS b FROM orders LEFT JOIN (
+  SELECT plan, count(*) AS n, count(DISTINCT pos) AS places, arg_min(summary, pos) AS first, sum(budget) AS b FROM s GROUP BY plan) x ON x.plan = o_orderkey)
+SELECT plan, 'few_sections' AS problem FROM a WHERE n < 2 UNION ALL SELECT plan, 'many_sections' FROM a WHERE n > 6 UNION ALL SELECT plan, 'no_summary_first' FROM a WHERE NOT first
+UNION ALL SELECT plan, 'repeated_place' FROM a WHERE places < n UNION ALL SELECT plan, 'budget' FROM a WHERE abs(b - words) > words * 0.15::DOUBLE"""),
+    "glossary_versions": (glossary_versions, """
+WITH p AS (SELECT p_brand AS glossary, p_type AS s, min(p_size) AS n FROM part GROUP BY 1, 2),
+g AS (SELECT glossary, CAST(count(*) AS INT) AS entry_count, length(glossary) + ascii(right(glossary, 1)) AS odd FROM p WHERE n % 3 > 0 GROUP BY 1)
+SELECT glossary, CAST(CASE WHEN odd % 3 > 0 THEN odd % 4 + 2 ELSE 1 END AS INT) AS version, NOT (odd % 3 > 0 AND odd % 2 = 0) AS changed, entry_count FROM g"""),
     "weighted_order": (weighted_order, f"""WITH {_CANDIDATES},
 k AS (SELECT *, -ln({_DRAW.format(key="'pool-1:' || request || ':' || deployment")}) / score AS key FROM c)
 SELECT request, deployment, CAST(row_number() OVER (PARTITION BY request ORDER BY key, deployment) AS INT) AS place FROM k"""),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The stages that a rule may apply to, control characters, and phrases that try to steer a prompt.
@@ -45,3 +45,54 @@ def approval_problems(cores: DataFrame, items: DataFrame, decisions: DataFrame,
     for more in parts[1:]:
         rows = rows.unionByName(more)
     return rows.groupBy("core", "problem").agg(F.count("*").alias("n"))
+
+
+#: The severities of rules, the least important last, and the settings of each part of a style.
+SEVERITIES = ("must", "should", "may")
+POLICY, FORMATTING = ("first_use", "unknown_terms", "proper_names"), ("quotes", "lists", "numbers")
+
+
+def compiled(cores: DataFrame, rules: DataFrame, exemplars: DataFrame, stage: str, neutral: str = "No style is set.") -> DataFrame:
+    """``(core, text)``: each style as a text for a stage that fits its ``cap``.
+
+    ``cores``: ``core, cap, register, voice_notes``, the settings of ``POLICY`` with ``policy_notes`` and of ``FORMATTING`` with
+    ``formatting_notes``. ``rules``: ``core, id, severity, text, applies_to``. ``exemplars``: ``core, pos, source, target, note,
+    applies_to, id``. What does not fit is rendered without the may rules, then without the should rules, with two examples, with
+    none, and at last, whether it fits or not, without notes. Must rules and settings always stay. A style without anything
+    says ``neutral``. A core's rules and examples are one row: it is a text for a prompt, whose size people bound.
+    """
+    here = F.coalesce(F.size("applies_to"), F.lit(0)) <= 0
+    here |= F.array_contains("applies_to", stage)
+    shown = lambda c: F.trim(F.translate(c, "<>", "‹›"))
+    line = F.struct("severity", "id", F.concat(F.lit("- ["), F.col("id"), F.lit("] "), shown(F.col("text"))).alias("line"))
+    held = rules.where(here).groupBy("core").agg(F.array_sort(F.collect_list(line)).alias("rules"))
+    pair = F.concat(F.lit("["), F.col("id"), F.lit("] "), shown(F.col("source")), F.lit(" => "), shown(F.col("target")))
+    noted = F.concat(pair, F.when(F.col("note") != "", F.concat(F.lit(" ("), shown(F.col("note")), F.lit(")"))).otherwise(""))
+    pairs = exemplars.where(here).groupBy("core").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce(noted, pair).alias("noted"), pair.alias("plain")))).alias("pairs"))
+    rows = cores.join(held, "core", "left").join(pairs, "core", "left")
+
+    def joined(parts: list[Column], by: str) -> Column:
+        return F.array_join(F.filter(F.array(*parts), lambda x: x.isNotNull() & (x != "")), by)
+
+    def settings(title: str, names: tuple[str, ...], notes: str | None) -> Column:
+        known = joined([F.when(F.col(n) != "unspecified", F.concat(F.lit(f"{n}="), F.col(n))) for n in names if n], "; ")
+        after = F.when(F.col(notes) != "", F.concat(F.lit(" "), shown(F.col(notes)))).otherwise("") if notes else F.lit("")
+        return F.when(known != "", F.concat(F.lit(f"{title}: "), known, F.lit("."), F.coalesce(after, F.lit(""))))
+
+    def of_severity(severity: str) -> Column:
+        return F.transform(F.filter("rules", lambda r: r["severity"] == severity), lambda r: r["line"])
+
+    def rendered(severities: tuple[str, ...], examples: int | None, notes: bool) -> Column:
+        parts = [joined([F.when(F.col("register") != "unspecified", F.concat(F.lit("Register: "), F.col("register"), F.lit("."))), *([shown(F.col("voice_notes"))] if notes else [])], " "),
+                 settings("Terminology policy", POLICY, "policy_notes" if notes else None), settings("Formatting", FORMATTING, "formatting_notes" if notes else None)]
+        for severity in severities:
+            own = of_severity(severity)
+            parts.append(F.when(F.size(own) > 0, F.concat(F.lit(f"Rules ({severity.upper()}):\n"), F.array_join(own, "\n"))))
+        if examples != 0:
+            own = F.transform("pairs" if examples is None else F.slice("pairs", 1, examples), lambda e: e["noted" if notes else "plain"])
+            parts.append(F.when(F.size(own) > 0, F.concat(F.lit("Examples (source => target):\n"), F.array_join(own, "\n"))))
+        text = joined(parts, "\n")
+        return F.when(text == "", neutral).otherwise(text)
+
+    steps = [rendered(SEVERITIES, None, True), rendered(SEVERITIES[:2], None, True), rendered(SEVERITIES[:1], None, True), rendered(SEVERITIES[:1], 2, True), rendered(SEVERITIES[:1], 0, True)]
+    return rows.select("core", F.coalesce(*(F.when(F.length(t) <= F.col("cap"), t) for t in steps), rendered(SEVERITIES[:1], 0, False)).alias("text"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomwork.operators import declarations, glossary, policies, pool, queue, reports, schemas
+from loomwork.operators import declarations, glossary, policies, pool, queue, reports, schemas, styles
 from loomwork.plans import tables as T
 from loomwork.plans.tables import PARAS
 from loomwork.sources import shared
@@ -206,6 +206,24 @@ def glossary_versions(spark, d):
     return glossary.next_release(entries, past.unionByName(older)).select("glossary", "version", "changed", "entry_count")
 
 
+def styles_compiled(spark, d):
+    """Customers as styles of different room, orders as their rules, and lines as examples."""
+    c, o, i = T.table(spark, d, "customer"), T.table(spark, d, "orders"), T.table(spark, d, "lineitem")
+    k = F.col("c_custkey")
+    setting = lambda n: F.when(k % n == 0, "unspecified").otherwise("same")
+    cores = c.select(k.alias("core"), (k % 9 * 150 + 100).alias("cap"), setting(2).alias("register"), F.when(k % 3 == 0, "Speak <plainly>").alias("voice_notes"), setting(3).alias("first_use"),
+                     setting(5).alias("unknown_terms"), F.lit("unspecified").alias("proper_names"), F.when(k % 4 == 0, "as it is").alias("policy_notes"), setting(1).alias("quotes"), setting(7).alias("lists"),
+                     setting(7).alias("numbers"), F.lit("").alias("formatting_notes"))
+    severity = F.element_at(F.array(*map(F.lit, styles.SEVERITIES)), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    to = F.when(F.col("o_orderkey") % 7 == 0, F.array(F.lit("map"))).when(F.col("o_orderkey") % 7 == 1, F.array(F.lit("write"), F.lit("map")))
+    rules = o.select(F.col("o_custkey").alias("core"), F.format_string("R%08d", "o_orderkey").alias("id"), severity.alias("severity"), F.concat(F.lit("<"), "o_orderpriority", F.lit(">")).alias("text"), to.alias("applies_to"))
+    n = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    pairs = i.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("core"), n.alias("pos")).agg(
+        F.min("l_returnflag").alias("source"), F.min("l_linestatus").alias("target"))
+    pairs = pairs.withColumns({"id": F.concat(F.lit("E"), "pos"), "note": F.when(F.col("pos") % 3 == 0, "so"), "applies_to": F.array().cast("array<string>")})
+    return styles.compiled(cores, rules, pairs, "write").select("core", F.length("text").alias("n"), F.md5("text").alias("md5"))
+
+
 def _candidates(spark, d):
     i = T.table(spark, d, "lineitem")
     rows = i.groupBy(F.col("l_orderkey").alias("request"), (F.col("l_suppkey") % 20).alias("deployment")).agg(F.min("l_linenumber").alias("n"))
@@ -245,6 +263,19 @@ derived AS (SELECT declaration, group_id, new,
   CASE WHEN trial THEN 'dev' WHEN multi THEN 'dev,A' ELSE 'dev,A,B,C' END AS gates,
   CASE WHEN (multi OR trial) AND NOT acked THEN 'risk_not_accepted ' || concat_ws(',', CASE WHEN multi THEN 'multi_account_risk' END, CASE WHEN trial THEN 'trial_only' END) END AS problem FROM g3)"""
 
+
+
+def _style(severities: str, examples: int | None, notes: bool) -> str:
+    pairs = f"Examples (source => target):' || chr(10) || array_to_string({'pairs' if examples is None else f'pairs[1:{examples}]'}, chr(10))"
+    parts = ["nullif(concat_ws(' ', CASE WHEN register THEN 'Register: same.' END" + (", voice" if notes else "") + "), '')",
+             "CASE WHEN first_use OR unknown THEN 'Terminology policy: ' || concat_ws('; ', CASE WHEN first_use THEN 'first_use=same' END, CASE WHEN unknown THEN 'unknown_terms=same' END) || '.'"
+             + (" || coalesce(' ' || policy, '')" if notes else "") + " END",
+             "CASE WHEN lists THEN 'Formatting: lists=same; numbers=same.' END"]
+    parts += [f"'Rules ({s}):' || chr(10) || rules_{s}" for s in severities.split()]
+    parts += [f"CASE WHEN len(pairs) > 0 THEN '{pairs} END"] if examples != 0 else []
+    return f"coalesce(nullif(concat_ws(chr(10), {', '.join(parts)}), ''), 'No style is set.')"
+
+
 _DRAW = "(CAST('0x' || substr(md5({key}), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0"
 _CANDIDATES = 'c AS (SELECT l_orderkey AS request, l_suppkey % 20 AS deployment, min(l_linenumber) * 0.25 AS score FROM lineitem GROUP BY 1, 2)'
 
@@ -303,6 +334,19 @@ UNION ALL SELECT plan, 'repeated_place' FROM a WHERE places < n UNION ALL SELECT
 WITH p AS (SELECT p_brand AS glossary, p_type AS s, min(p_size) AS n FROM part GROUP BY 1, 2),
 g AS (SELECT glossary, CAST(count(*) AS INT) AS entry_count, length(glossary) + ascii(right(glossary, 1)) AS odd FROM p WHERE n % 3 > 0 GROUP BY 1)
 SELECT glossary, CAST(CASE WHEN odd % 3 > 0 THEN odd % 4 + 2 ELSE 1 END AS INT) AS version, NOT (odd % 3 > 0 AND odd % 2 = 0) AS changed, entry_count FROM g"""),
+    "styles_compiled": (styles_compiled, f"""
+WITH c AS (SELECT c_custkey AS core, c_custkey % 9 * 150 + 100 AS cap, c_custkey % 2 > 0 AS register, CASE WHEN c_custkey % 3 = 0 THEN 'Speak ‹plainly›' END AS voice, c_custkey % 3 > 0 AS first_use,
+  c_custkey % 5 > 0 AS unknown, CASE WHEN c_custkey % 4 = 0 THEN 'as it is' END AS policy, c_custkey % 7 > 0 AS lists FROM customer),
+r AS (SELECT o_custkey AS core, o_orderkey % 3 AS s, o_orderkey AS k, printf('- [R%08d] ‹%s›', o_orderkey, o_orderpriority) AS l FROM orders WHERE o_orderkey % 7 > 0),
+ra AS (SELECT core, string_agg(l, chr(10) ORDER BY k) FILTER (s = 0) AS rules_MUST, string_agg(l, chr(10) ORDER BY k) FILTER (s = 1) AS rules_SHOULD,
+  string_agg(l, chr(10) ORDER BY k) FILTER (s = 2) AS rules_MAY FROM r GROUP BY core),
+n AS (SELECT o_custkey AS core, l_orderkey * 10 + l_linenumber AS k, min(l_returnflag) AS f, min(l_linestatus) AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
+e AS (SELECT core, list('[E' || k || '] ' || f || ' => ' || t || CASE WHEN k % 3 = 0 THEN ' (so)' ELSE '' END ORDER BY k) AS pairs FROM n GROUP BY 1),
+x AS (SELECT c.*, rules_MUST, rules_SHOULD, rules_MAY, coalesce(pairs, []) AS pairs FROM c LEFT JOIN ra ON ra.core = c.core LEFT JOIN e ON e.core = c.core),
+v AS (SELECT core, cap, {_style('MUST SHOULD MAY', None, True)} AS a, {_style('MUST SHOULD', None, True)} AS b, {_style('MUST', None, True)} AS d, {_style('MUST', 2, True)} AS f,
+  {_style('MUST', 0, True)} AS g, {_style('MUST', 0, False)} AS h FROM x),
+t AS (SELECT core, CASE WHEN length(a) <= cap THEN a WHEN length(b) <= cap THEN b WHEN length(d) <= cap THEN d WHEN length(f) <= cap THEN f WHEN length(g) <= cap THEN g ELSE h END AS t FROM v)
+SELECT core, CAST(length(t) AS INT) AS n, md5(t) AS md5 FROM t"""),
     "weighted_order": (weighted_order, f"""WITH {_CANDIDATES},
 k AS (SELECT *, -ln({_DRAW.format(key="'pool-1:' || request || ':' || deployment")}) / score AS key FROM c)
 SELECT request, deployment, CAST(row_number() OVER (PARTITION BY request ORDER BY key, deployment) AS INT) AS place FROM k"""),

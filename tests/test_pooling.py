@@ -6,7 +6,7 @@ import zipfile
 from collections import Counter
 
 import pytest
-from loomwork.operators import declarations, policies, pool, queue, schemas
+from loomwork.operators import declarations, policies, pool, queue, reports, schemas, styles
 from loomwork.plans import pooling
 from loomwork.sources import shared
 from loomwork.sources import text as sources
@@ -158,3 +158,27 @@ def test_archives_are_judged_by_their_directory(spark, tmp_path):
     assert got["good"] == ("zip", 2, 85, None) and got["bomb"] == ("zip", 1, 3_000_000, "bomb") and got["locked"][3] == "encrypted"
     assert got["cut"][3] == "odd_archive" and got["empty"][0] == "zip" and got["empty"][3] is None
     assert got["pdf"] == ("pdf", None, None, None) and got["sealed"][3] == "encrypted" and got["text"] == ("text", None, None, None)
+
+
+def test_styles_shrink_until_they_fit(spark):
+    text = lambda cap: styles.compiled(
+        spark.createDataFrame([(1, cap, "plain", "Be <brief>", "same", "unspecified", "unspecified", "noted", "unspecified", "unspecified", "unspecified", None)],
+                              "core int, cap int, register string, voice_notes string, first_use string, unknown_terms string, proper_names string, policy_notes string, quotes string, lists string, numbers string, formatting_notes string"),
+        spark.createDataFrame([(1, "R2", "must", "b", None), (1, "R1", "must", " a ", []), (1, "R3", "should", "c", ["write"]), (1, "R4", "may", "d", None), (1, "R5", "must", "x", ["map"])],
+                              "core int, id string, severity string, text string, applies_to array<string>"),
+        spark.createDataFrame([(1, i, f"E{i}", "s", "t", "n" if i == 1 else None, None) for i in range(3)], "core int, pos int, id string, source string, target string, note string, applies_to array<string>"),
+        "write").first()["text"]
+    head = "Register: plain. Be ‹brief›\nTerminology policy: first_use=same. noted\nRules (MUST):\n- [R1] a\n- [R2] b"
+    pairs = "\nExamples (source => target):\n[E0] s => t\n[E1] s => t (n)"
+    whole = head + "\nRules (SHOULD):\n- [R3] c\nRules (MAY):\n- [R4] d" + pairs + "\n[E2] s => t"
+    texts = [whole, whole.replace("\nRules (MAY):\n- [R4] d", ""), head + pairs + "\n[E2] s => t", head + pairs, head]
+    for t in texts:
+        assert text(len(t)) == t
+    assert text(5) == "Register: plain.\nTerminology policy: first_use=same.\nRules (MUST):\n- [R1] a\n- [R2] b"
+
+
+def test_sections_of_plans(spark):
+    sections = spark.createDataFrame([("a", 1, "summary", 50), ("a", 2, "body", 50), ("b", 2, "summary", 10), ("b", 2, "body", 10), ("b", 1, "body", 10)], "plan string, pos int, kind string, budget int")
+    plans = spark.createDataFrame([("a", 110), ("b", 100), ("c", 0)], "plan string, words int")
+    got = {(r.plan, r.problem) for r in reports.section_problems(sections, plans, 2, 2).collect()}
+    assert got == {("b", "many_sections"), ("b", "no_summary_first"), ("b", "repeated_place"), ("b", "budget"), ("c", "few_sections"), ("c", "no_summary_first")}

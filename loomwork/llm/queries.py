@@ -34,6 +34,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_minmax_dedup": minmax.ORACLE,
         "op7_decontaminate": decontaminate.ORACLE,
         "op8_mix_sources": mixing.ORACLE,
+        "op9_shard_interleave": sharding.ORACLE,
         "op11_licence_scan": licences.ORACLE,
         "op12_conversation_repair": dialogue.ORACLE,
         "op13_centroid_clusters": centroids.ORACLE,

@@ -68,3 +68,58 @@ def op9_shard_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     placed = interleaved(written(docs, "shard-rows"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _crc_table() -> list[int]:
+    """What CRC-32 adds for each last byte, by its reversed polynomial."""
+    out = []
+    for a in range(256):
+        for _ in range(8):
+            a = a >> 1 ^ (0xEDB88320 if a & 1 else 0)
+        out.append(a)
+    return out
+
+
+# The five primes of the 64-bit xxHash, and the seed that Spark's function begins with.
+PRIMES = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
+SPARK_SEED = 42
+
+
+def _hashed(step: int, before: str, value: str, width: int) -> str:
+    """CTEs that mix one value of 4 or 8 bytes into a hash ``before`` as column ``h{step}``; numbers are unsigned, products are cut to 64 bits."""
+    p1, p2, p3, p4, p5 = (f"CAST('{p}' AS UHUGEINT)" for p in PRIMES)
+    cut = lambda x: f"(({x}) % CAST('{2**64}' AS UHUGEINT))"
+    turned = lambda x, by: f"({cut(f'{x} * {2**by}::UHUGEINT')} | ({x} // {2**(64 - by)}::UHUGEINT))"
+    fold = lambda x, by: f"xor({x}, {x} // {2**by}::UHUGEINT)"
+    if width == 8:
+        chain = [cut(f"v * {p2}"), cut(f"{turned('x', 31)} * {p1}"), f"xor({cut(f'{before} + {p5} + 8')}, x)", cut(f"{turned('x', 27)} * {p1} + {p4}")]
+    else:
+        chain = [cut(f"v * {p1}"), f"xor({cut(f'{before} + {p5} + 4')}, x)", cut(f"{turned('x', 23)} * {p2} + {p3}")]
+    chain += [cut(f"{fold('x', 33)} * {p2}"), cut(f"{fold('x', 29)} * {p3}"), fold("x", 32)]
+    signed = f"CASE WHEN {value} < 0 THEN CAST(CAST({value} AS HUGEINT) + CAST('{2**64}' AS HUGEINT) AS UHUGEINT) ELSE CAST({value} AS UHUGEINT) END"
+    rows = f"(SELECT *, {signed} AS v, 0 AS x FROM s{step - 1})"
+    for x in chain[:-1]:
+        rows = f"(SELECT * EXCLUDE (x), {x} AS x FROM {rows})"
+    return f"s{step} AS (SELECT * EXCLUDE (v, x), CASE WHEN {value} IS NULL THEN {before} ELSE {chain[-1]} END AS h{step} FROM {rows})"
+
+
+#: A row's place follows from its rank alone, so one window over all rows says what the buckets and slices give.
+ORACLE = f"""
+WITH t AS (SELECT doc_id, source, encode(coalesce(text, '')) AS raw FROM documents),
+s0 AS (
+  SELECT doc_id, source, CAST(octet_length(raw) + 1 AS BIGINT) AS size, CAST({SEED} AS BIGINT) AS seed, CAST('{SPARK_SEED}' AS UHUGEINT) AS h0,
+         xor(list_reduce(list_transform(regexp_extract_all(hex(raw), '..'), lambda x: CAST('0x' || x AS BIGINT)),
+             lambda a, x: xor(a >> 8, {_crc_table()}[CAST(xor(a & 255, x) AS INT) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS text_crc32
+  FROM t),
+{_hashed(1, 'h0', 'seed', 4)},
+{_hashed(2, 'h1', 'doc_id', 8)},
+{_hashed(3, 'h2', 'text_crc32', 8)},
+r AS (
+  SELECT *, h3 // 2 AS h, count(*) OVER (PARTITION BY source) AS n, count(*) OVER () AS total,
+         row_number() OVER (PARTITION BY source ORDER BY h3 // 2, doc_id NULLS FIRST, text_crc32) - 1 AS r
+  FROM s3),
+p AS (
+  SELECT *, row_number() OVER (ORDER BY (r + CAST(0.5 AS DOUBLE)) / n, source NULLS LAST, h, doc_id NULLS FIRST, text_crc32) - 1 AS place FROM r),
+q AS (SELECT *, place * {SHARDS} // total AS s FROM p)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(s AS INT) AS shard, place - (s * total + {SHARDS - 1}) // {SHARDS} AS slot, CAST(NULL AS INT) AS grown_shard FROM q
+"""

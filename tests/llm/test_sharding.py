@@ -1,5 +1,6 @@
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 from loomwork.llm import sharding
 
@@ -38,3 +39,16 @@ def test_odd_rows(spark, docs_of):
     out = sharding.interleaved(docs)
     assert out.count() == 12 and out.columns == [*docs.drop("shard").columns, "shard", "slot"]
     assert sharding.interleaved(docs_of([])).count() == 0
+
+
+@pytest.mark.parametrize("bucket", [20_000, 40])
+def test_sql(spark, docs_of, monkeypatch, tmp_path, bucket):
+    monkeypatch.setattr(sharding, "ROWS", bucket)
+    texts = ["", None, "a", "é 漢字", "x" * 5000]
+    rows = [(None if i % 97 == 5 else i % 500, texts[i % 5] if i % 7 else f"t{i}", "en", None if i % 11 == 0 else "ßz"[i % 2] if i % 3 else "hot") for i in range(700)]
+    docs_of(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sharding.op9_shard_interleave(spark, str(tmp_path))
+    cols = sorted(got.columns)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(str, map(tuple, got.select(cols).collect()))) == sorted(map(str, con.sql(sharding.ORACLE).select(*cols).fetchall()))

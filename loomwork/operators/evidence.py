@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import difflib
+from collections import Counter
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,27 +13,61 @@ from pyspark.sql.types import DoubleType
 from loomwork.functions.text import norm_for_match, norm_loose
 
 FUZZY_MIN_LEN, FUZZY_SCORE = 25, 95.0
+#: Letters in the blocks by which near stretches are found.
+BLOCK = 5
 GOOD, BAD = ("exact", "loose", "fuzzy"), ("missing", "unknown_pid")
 
 
-@F.pandas_udf(DoubleType())
-def partial_ratio(short: pd.Series, long: pd.Series) -> pd.Series:
-    """The best similarity, 0 to 100, of the shorter text to a stretch of its length in the longer one."""
+def near_windows(a: str, b: str, share: float) -> Iterable[tuple[int, int]]:
+    """Stretches (start, end) of ``b`` that may be as similar to ``a`` as the share: as long as ``a``, or cut off by an end of ``b``.
 
-    def best(a: str | None, b: str | None) -> float | None:
-        if a is None or b is None:
-            return None
-        a, b = sorted((a, b), key=len)
-        matcher = difflib.SequenceMatcher(autojunk=True)
-        matcher.set_seq2(a)
-        top = 0.0
-        for i in range(max(1, len(b) - len(a) + 1)):
-            matcher.set_seq1(b[i : i + len(a)])
-            if matcher.real_quick_ratio() > top and matcher.quick_ratio() > top:
-                top = max(top, matcher.ratio())
-        return 100 * top
+    At most ``(1 - share) * 2 * len(a)`` letters of both are then unmatched. Each touches one block of ``a``, and a block
+    that none touches stands in ``b``, moved by no more than their number: a stretch needs that many blocks near their
+    places. Where differences could touch all blocks, all stretches are tried.
+    """
+    n, odd = len(a), int(2 * (1 - share) * len(a) + 1e-9)
+    starts, last = range(0, n - BLOCK + 1, BLOCK), len(b) - n + odd
+    if len(starts) > odd:
+        votes: Counter[int] = Counter()
+        for i in starts:
+            near: set[int] = set()
+            p = b.find(a[i : i + BLOCK])
+            while p >= 0:
+                near.update(range(max(0, p - i - odd), min(last, p - i + odd) + 1))
+                p = b.find(a[i : i + BLOCK], p + 1)
+            votes.update(near)
+        found = [w for w, k in votes.items() if k >= len(starts) - odd]
+    else:
+        found = range(max(0, last) + 1)
+    for w in found:
+        yield w, w + n
+        if w == 0:
+            yield from ((0, end) for end in range(max(0, n - odd), n))
+
+
+def best_ratio(a: str, b: str, least: float) -> float:
+    """The best similarity, 0 to 100, of the shorter text to a stretch of the longer one; 0 if it is below ``least``.
+
+    Similarity is twice the longest common subsequence over the letters of both. It is taken bit by bit: a bit of ``row``
+    is cleared where the subsequence grows.
+    """
+    a, b = sorted((a, b), key=len)
+    n, full, masks, top = len(a), (1 << len(a)) - 1, {}, 0.0
+    for i, c in enumerate(a):
+        masks[c] = masks.get(c, 0) | 1 << i
+    for begin, end in near_windows(a, b, least / 100):
+        row, stretch = full, b[begin:end]
+        for c in stretch:
+            met = row & masks.get(c, 0)
+            row = (row + met | row - met) & full
+        top = max(top, 200 * (n - row.bit_count()) / max(1, n + len(stretch)))
+    return top if top >= least else 0.0
 
-    return pd.Series([best(a, b) for a, b in zip(short, long, strict=True)])
+
+@F.pandas_udf(DoubleType())
+def partial_ratio(short: pd.Series, long: pd.Series) -> pd.Series:
+    """``best_ratio`` from ``FUZZY_SCORE`` on; null where a text is."""
+    return pd.Series([None if a is None or b is None else best_ratio(a, b, FUZZY_SCORE) for a, b in zip(short, long, strict=True)], dtype="float64")
 
 
 def quote_status(quote: Column, paragraph: Column, loose: Column) -> Column:
@@ -47,8 +82,8 @@ def verified(evidence: DataFrame, paras: DataFrame, keys: list[str], fuzzy: bool
 
     A paragraph that evidence names is normalised once and meets its quotes by an equi-join. With ``fuzzy`` (for scans
     with reading errors) missing quotes that are long enough and have no digits that the paragraph lacks are compared in
-    Python; only those rows go there that share a block of five characters with the paragraph, which a quote of enough
-    similarity must: fewer than one block in two is touched by its differences.
+    Python; only those rows go there that share a block of characters with the paragraph, which a quote of enough
+    similarity must: fewer than one block in two is touched by its differences. A missing quote scores 0.
     """
     named = paras.join(evidence.select(*keys).distinct(), keys, "left_semi")
     named = named.select(*keys, norm_for_match(F.col("text")).alias("_n"), norm_loose(F.col("text")).alias("_l"))
@@ -60,8 +95,8 @@ def verified(evidence: DataFrame, paras: DataFrame, keys: list[str], fuzzy: bool
     rows = rows.withColumn("_q", norm_loose(F.col("quote")))
     worth = (F.col("status") == "missing") & (F.length("_q") >= FUZZY_MIN_LEN)
     worth &= F.size(F.array_except(digits(F.col("quote")), digits(F.col("_n")))) == 0
-    blocks = F.sequence(F.lit(1), F.length("_q") - 4, F.lit(5))
-    worth &= F.exists(blocks, lambda i: F.col("_l").contains(F.substr(F.col("_q"), i, F.lit(5))))
+    blocks = F.sequence(F.lit(1), F.length("_q") - BLOCK + 1, F.lit(BLOCK))
+    worth &= F.exists(blocks, lambda i: F.col("_l").contains(F.substr(F.col("_q"), i, F.lit(BLOCK))))
     rows = rows.withColumn("_worth", F.coalesce(worth, F.lit(False)))
     near = rows.where("_worth").withColumn("score", partial_ratio(F.col("_q"), F.col("_l")))
     near = near.withColumn("status", F.when(F.col("score") >= FUZZY_SCORE, "fuzzy").otherwise("missing"))

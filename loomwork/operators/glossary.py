@@ -20,19 +20,22 @@ def merged_candidates(candidates: DataFrame, alternatives: int = 5) -> DataFrame
     ``conflict`` tells that targets differ. The first document gives a term's spelling and type.
     """
     rows = candidates.withColumns({"key": term_key(F.col("source_term")), "target_term": F.trim("target_term")})
-    # By document first, then by target, then by term: each row is shuffled once, and what is left of it is small.
+    # By document first, then by target, then by term. A document counts for a target once and for a term where its first target is.
     first = F.struct("doc", "source_term", "term_type")
-    by_target = rows.groupBy("key", "target_term", "doc").agg(
+    by_doc = rows.groupBy("key", "target_term", "doc").agg(
         F.min(first).alias("first"), F.sum("occurrences").alias("occurrences"), F.sum("confidence").alias("confidence"),
         F.count("confidence").alias("n"),
         F.count_if("keep_original").alias("keep"), F.count_if(~F.col("keep_original")).alias("translate"),
-        F.array_distinct(F.flatten(F.collect_set("alternatives"))).alias("proposed")).groupBy("key", "target_term").agg(
-        F.min("first").alias("first"), F.collect_set("doc").alias("docs"),
-        *(F.sum(c).alias(c) for c in ("occurrences", "confidence", "n", "keep", "translate")),
+        F.array_distinct(F.flatten(F.collect_set("alternatives"))).alias("proposed"))
+    rank = F.row_number().over(Window.partitionBy("key", "doc").orderBy("target_term"))
+    by_doc = by_doc.withColumn("new", F.when(F.col("doc").isNotNull() & (rank == 1), 1).otherwise(0))
+    by_target = by_doc.groupBy("key", "target_term").agg(
+        F.min("first").alias("first"), F.count("doc").alias("docs"),
+        *(F.sum(c).alias(c) for c in ("new", "occurrences", "confidence", "n", "keep", "translate")),
         F.array_distinct(F.flatten(F.collect_set("proposed"))).alias("proposed"))
-    variant = F.struct((-F.size("docs")).alias("order"), "target_term", F.size("docs").cast("long").alias("docs"))
+    variant = F.struct((-F.col("docs")).alias("order"), "target_term", "docs")
     both = by_target.groupBy("key").agg(
-        F.min("first").alias("_first"), F.size(F.array_distinct(F.flatten(F.collect_set("docs")))).cast("long").alias("docs_count"),
+        F.min("first").alias("_first"), F.sum("new").alias("docs_count"),
         F.sum("occurrences").alias("occurrences"), F.bround(F.sum("confidence") / F.sum("n"), 3).alias("avg_confidence"),
         F.sum("keep").alias("keep_votes"),
         F.sum("translate").alias("translate_votes"), F.array_distinct(F.flatten(F.collect_set("proposed"))).alias("proposed"),

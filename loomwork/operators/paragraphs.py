@@ -27,13 +27,16 @@ def segments(paras: DataFrame, key: str = "doc_id", target: int = 8000, most: in
     which no window frame expresses, so an array of a document's paragraph sizes is folded.
     """
     sizes = paras.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("idx", token_estimate(F.col("text")).alias("t")))).alias("ps"))
-    kind = "array<struct<a:int,b:int,t:bigint>>"
-    alone = f"x.t > {most}"
-    full = f"size(acc) > 0 AND element_at(acc, -1).t + x.t <= {target} OR size(acc) > 0 AND element_at(acc, -1).t < {least}"
-    grow = "concat(slice(acc, 1, size(acc) - 1), array(named_struct('a', element_at(acc, -1).a, 'b', x.idx, 't', element_at(acc, -1).t + x.t)))"
-    new = "concat(acc, array(named_struct('a', x.idx, 'b', x.idx, 't', x.t)))"
-    after_big = f"size(acc) > 0 AND element_at(acc, -1).t > {most} AND element_at(acc, -1).a = element_at(acc, -1).b"
-    fold = f"aggregate(ps, cast(array() AS {kind}), (acc, x) -> CASE WHEN size(acc) = 0 OR {alone} OR ({after_big}) THEN {new} WHEN {full} THEN {grow} ELSE {new} END)"
+    # The open segment is held apart, so the list of closed ones is copied once a segment and not once a paragraph.
+    one = "struct<a:int,b:int,t:bigint>"
+    alone = f"x.t > {most} OR acc.open.t > {most} AND acc.open.a = acc.open.b"
+    grows = f"acc.open.t + x.t <= {target} OR acc.open.t < {least}"
+    new = "named_struct('a', x.idx, 'b', x.idx, 't', x.t)"
+    grow = "named_struct('done', acc.done, 'open', named_struct('a', acc.open.a, 'b', x.idx, 't', acc.open.t + x.t))"
+    close = f"named_struct('done', array_append(acc.done, acc.open), 'open', {new})"
+    begin = f"named_struct('done', cast(array() AS array<{one}>), 'open', cast(null AS {one}))"
+    step = (f"CASE WHEN acc.open IS NULL THEN named_struct('done', acc.done, 'open', {new}) WHEN NOT ({alone}) AND ({grows}) THEN {grow} ELSE {close} END")
+    fold = f"aggregate(ps, {begin}, (acc, x) -> {step}, acc -> array_append(acc.done, acc.open))"
     merged = (f"CASE WHEN size(s) > 1 AND element_at(s, -1).t < {least} THEN concat(slice(s, 1, size(s) - 2), array(named_struct("
               "'a', element_at(s, -2).a, 'b', element_at(s, -1).b, 't', element_at(s, -2).t + element_at(s, -1).t))) ELSE s END")
     rows = sizes.select(key, F.expr(fold).alias("s")).select(key, F.posexplode(F.expr(merged)).alias("pos", "x"))

@@ -19,21 +19,20 @@ from loomwork.operators import (
 )
 from loomwork.plans import tables as T
 from loomwork.plans.tables import PARAS, WORDS
+from loomwork.plans.texts import _loose, _norm
 from loomwork.streaming import quota
 
 
 
 
 def fuzzy_quotes(spark, d):
-    """Quotes of ten words with one letter misread, with most letters misread, or with another number."""
-    n = T.table(spark, d, "nation").crossJoin(F.broadcast(spark.range(40).withColumnRenamed("id", "k")))
-    name = F.lower(F.regexp_replace("n_name", "[^A-Z]", ""))
-    para = F.concat(name, F.lit(" is where the ship of the year "), F.col("k") + 1000, F.lit(" came in with tea and cloth"))
-    case = (F.col("k") + F.col("n_nationkey")) % 4
-    quote = (F.when(case == 0, F.replace(para, F.lit("ship"), F.lit("shlp"))).when(case == 1, F.translate(para, "aeiouhst", "xyzwvqjk"))
-             .when(case == 2, F.replace(para, F.lit("year 1"), F.lit("year 9"))).otherwise(F.upper(para)))
-    rows = n.select((F.col("n_nationkey") * 100 + F.col("k")).alias("pid"), para.alias("text"), quote.alias("quote"))
-    return evidence.verified(rows.select("pid", "quote"), rows.select("pid", "text"), ["pid"], fuzzy=True).select("pid", "status")
+    """A quote of each paragraph: one letter misread, most letters misread, with another number, or in capitals."""
+    p = T.paras(spark, d)
+    part, case = F.substring("text", 3, 60), (F.col("doc_id") + F.col("idx")) % 4
+    misread = F.when(F.length(part) > 12, F.concat(F.substring(part, 1, 11), F.lit("ж"), F.substring(part, 13, 60))).otherwise(part)
+    quote = (F.when(case == 0, misread).when(case == 1, F.translate(part, "aeiounrst", "жицулкенг"))
+             .when(case == 2, F.concat(part, F.lit(" 987654321"))).otherwise(F.upper(part)))
+    return evidence.verified(p.select("doc_id", "pid", quote.alias("quote")), p, ["doc_id", "pid"], fuzzy=True).select("doc_id", "pid", "status")
 
 
 def unverified_numbers(spark, d):
@@ -306,7 +305,16 @@ _CALLS = """least(20, greatest(4, round_even(CAST(budget AS DOUBLE) / 500, 0)))"
 
 
 QUERIES = {
-    "fuzzy_quotes": (fuzzy_quotes, """SELECT CAST(n_nationkey * 100 + k AS BIGINT) AS pid, CASE (k + n_nationkey) % 4 WHEN 0 THEN 'fuzzy' WHEN 3 THEN 'exact' ELSE 'missing' END AS status FROM nation, range(40) t(k)"""),
+    # A letter that the texts do not have is unmatched at any place, so the misread ones tell the similarity.
+    "fuzzy_quotes": (fuzzy_quotes, f"""WITH {PARAS},
+q AS (SELECT doc_id, pid, text, substr(text, 3, 60) AS part, (doc_id + idx) % 4 AS k FROM paras),
+w AS (SELECT *, CASE k WHEN 0 THEN CASE WHEN length(part) > 12 THEN substr(part, 1, 11) || 'ж' || substr(part, 13) ELSE part END WHEN 1 THEN translate(part, 'aeiounrst', 'жицулкенг')
+  WHEN 2 THEN part || ' 987654321' ELSE upper(part) END AS quote FROM q),
+n AS (SELECT *, {_norm('quote')} AS nq, {_loose('quote')} AS lq, {_norm('text')} AS np, {_loose('text')} AS lp,
+  length(part) - length(translate(part, 'aeiounrst', '')) AS changed FROM w)
+SELECT doc_id, pid, CASE WHEN nq = '' THEN 'missing' WHEN contains(np, nq) THEN 'exact' WHEN lq <> '' AND contains(lp, lq) THEN 'loose'
+  WHEN length(lq) >= 25 AND list_has_all(regexp_extract_all(np, '[0-9]+'), regexp_extract_all(quote, '[0-9]+')) AND (k = 0 OR k = 1 AND changed <= 0.05 * length(lq)) THEN 'fuzzy'
+  ELSE 'missing' END AS status FROM n"""),
     "unverified_numbers": (unverified_numbers, """
 WITH i AS (SELECT * FROM lineitem),
 s AS (SELECT l_orderkey, CAST(l_partkey AS VARCHAR) AS number FROM i UNION SELECT l_orderkey, CAST(CAST(l_quantity AS INT) AS VARCHAR) FROM i),

@@ -87,3 +87,35 @@ def test_split_keys(spark):
 ])
 def test_secrets(spark, given, want):
     assert one(spark, secrets.classify_secret(F.col("a"), r"sk-[\w]+|x+|.*(?:key|abab|aaaa).*"), given) == want
+
+
+def test_near_stretches_miss_none():
+    import random
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = [0, *accumulated(x, b, row)]
+        return row[-1]
+
+    def accumulated(x, b, row):
+        left = 0
+        for j, y in enumerate(b):
+            left = row[j] + 1 if x == y else max(left, row[j + 1])
+            yield left
+
+    dice = random.Random(7)
+    for case in range(400):
+        b = "".join(dice.choice("abcdefgh "[: 3 + case % 7]) for _ in range(dice.randrange(30, 90)))
+        at, n = dice.randrange(len(b) // 3), dice.randrange(8, 60)
+        a = list(b[at : at + n])
+        for _ in range(dice.randrange(4)):
+            i = dice.randrange(len(a))
+            a[i : i + dice.randrange(2)] = dice.choice(["", "z", "a"])
+        a = "".join(a) + "zz" * (case % 3 == 0)
+        short, long = sorted((a, b), key=len)
+        k = len(short)
+        stretches = {long[max(0, i) : i + k] for i in range(1 - k, len(long))}
+        want = max(200 * common(short, s) / (k + len(s)) for s in stretches)
+        for least in (90.0, 95.0):
+            assert evidence.best_ratio(a, b, least) == pytest.approx(want if want >= least else 0)

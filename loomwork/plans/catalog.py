@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.plans import accounts, jobs, limits, pooling, reviews, texts
+from loomwork.plans import accounts, files, jobs, limits, pooling, reviews, texts
 
 FLAGSHIP = "quote_verification"
-ALL = accounts.QUERIES | texts.QUERIES | jobs.QUERIES | reviews.QUERIES | limits.QUERIES | pooling.QUERIES
+ALL = accounts.QUERIES | texts.QUERIES | jobs.QUERIES | reviews.QUERIES | limits.QUERIES | pooling.QUERIES | files.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -98,9 +98,11 @@ def verified(evidence: DataFrame, paras: DataFrame, keys: list[str], fuzzy: bool
     blocks = F.sequence(F.lit(1), F.length("_q") - BLOCK + 1, F.lit(BLOCK))
     worth &= F.exists(blocks, lambda i: F.col("_l").contains(F.substr(F.col("_q"), i, F.lit(BLOCK))))
     rows = rows.withColumn("_worth", F.coalesce(worth, F.lit(False)))
-    near = rows.where("_worth").withColumn("score", partial_ratio(F.col("_q"), F.col("_l")))
-    near = near.withColumn("status", F.when(F.col("score") >= FUZZY_SCORE, "fuzzy").otherwise("missing"))
-    return rows.where("NOT _worth").withColumn("score", sure).unionByName(near).drop("_n", "_l", "_q", "_worth")
+    # One pass: texts of the other rows go to Python as nulls.
+    sent = lambda c: F.when(F.col("_worth"), F.col(c))
+    rows = rows.withColumn("score", F.greatest(sure, F.coalesce(partial_ratio(sent("_q"), sent("_l")), F.lit(0.0))))
+    status = F.when(F.col("_worth") & (F.col("score") >= FUZZY_SCORE), "fuzzy").otherwise(F.col("status"))
+    return rows.withColumn("status", status).drop("_n", "_l", "_q", "_worth")
 
 
 def unit_verified(results: DataFrame, *keys: str) -> DataFrame:

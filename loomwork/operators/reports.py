@@ -140,8 +140,13 @@ def overlaid(child: DataFrame, parent: DataFrame) -> DataFrame:
 
 
 def style_block(rules: DataFrame, cap: int) -> DataFrame:
-    """``(core, text)`` of rules ``(core, rule, severity, text)``: all, or without may, or without should, the first that fits."""
-    order = F.struct(F.array_position(F.array(F.lit("must"), F.lit("should"), F.lit("may")), F.col("severity")).alias("s"), "rule")
+    """``(core, text)`` of rules ``(core, rule, severity, text)``: all, or without may, or without should, the first that fits.
+
+    Rules of a severity go by their names up to a number at the end, then by that number, however many digits it has.
+    """
+    number = F.ltrim(F.regexp_extract("rule", r"(\d+)$", 1), F.lit("0"))
+    order = F.struct(F.array_position(F.array(F.lit("must"), F.lit("should"), F.lit("may")), F.col("severity")).alias("s"),
+        F.regexp_replace("rule", r"\d+$", "").alias("name"), F.length(number).alias("digits"), number.alias("number"), "rule")
     line = F.concat(F.lit("- ["), F.col("rule"), F.lit("] "), F.trim(F.translate("text", "<>", "‹›")))
     rows = rules.groupBy("core").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), line.alias("l")))).alias("ls"))
     text = lambda top: F.array_join(F.transform(F.filter("ls", lambda x: x["o"]["s"] <= top), lambda x: x["l"]), "\n")

@@ -169,6 +169,13 @@ def test_checks(spark):
     assert {tuple(r) for r in checks.frozen(old, new, "id").collect()} == {(1, "content_changed"), (2, "bad_status"), (3, "deleted")}
 
 
+def test_rules_of_a_style_go_by_their_numbers(spark):
+    rules = spark.createDataFrame([("c", f"R{n:05d}", "must", "x") for n in (100_000, 99_999, 7, 1_000_000)] + [("c", "R00008", "may", "x"), ("c", "A9", "must", "x"), ("c", "A", "must", "x")],
+        "core string, rule string, severity string, text string")
+    lines = reports.style_block(rules, 1000).first().text.split("\n")
+    assert [x[3:-3] for x in lines] == ["A", "A9", "R00007", "R99999", "R100000", "R1000000", "R00008"]
+
+
 def test_reports(spark):
     rules = spark.createDataFrame([("c", "r2", "may", "m" * 50), ("c", "r1", "must", "keep <x>"), ("c", "r3", "should", "s" * 50)],
         "core string, rule string, severity string, text string")

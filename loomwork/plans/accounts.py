@@ -40,7 +40,8 @@ def refund_credits(spark, d):
     rows = e.select((F.col("user_id")).alias("job_id"), F.when(F.col("event_type") == "purchase", "job_charge").when(F.col("event_type") == "click",
         "job_refund").otherwise("grant").alias("reason"),
                     F.when(F.col("event_type") == "purchase", -F.floor("value")).otherwise(F.floor(F.col("value") / 10)).cast("long").alias("delta"))
-    ask = e.groupBy(F.col("user_id").alias("job_id")).agg(F.floor(F.sum("value") / 8).cast("long").alias("amount"))
+    # A sum of doubles depends on the order of its rows, and the floor of one that should be whole with it.
+    ask = e.groupBy(F.col("user_id").alias("job_id")).agg(F.floor(F.sum(F.col("value").cast("decimal(20,6)")) / 8).cast("long").alias("amount"))
     return L.refunds(ask, rows).select("job_id", "amount", F.col("refund").cast("long").alias("refund"))
 
 

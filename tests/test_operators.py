@@ -4,6 +4,7 @@ import math
 import pytest
 from loomwork.functions import clock, estimates, http
 from loomwork.operators import checks, glossary, ledger, paragraphs, pool, queue, reports
+from loomwork.plans import accounts
 from pyspark.sql import functions as F
 
 
@@ -169,6 +170,14 @@ def test_checks(spark):
     assert {tuple(r) for r in checks.frozen(old, new, "id").collect()} == {(1, "content_changed"), (2, "bad_status"), (3, "deleted")}
 
 
+def test_refund_requests_do_not_hang_on_the_order_of_events(spark, tmp_path):
+    # Eight hundredths a hundred times are 8; added as doubles in this order they are 7.99...
+    rows = [(i, 1, "purchase", 0.08) for i in range(100)] + [(100 + i, 2, "view", 0.1) for i in range(80)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    found = {r.job_id: (r.amount, r.refund) for r in accounts.refund_credits(spark, str(tmp_path)).collect()}
+    assert found == {1: (1, 0), 2: (1, 0)}
+
+
 def test_rules_of_a_style_go_by_their_numbers(spark):
     rules = spark.createDataFrame([("c", f"R{n:05d}", "must", "x") for n in (100_000, 99_999, 7, 1_000_000)] + [("c", "R00008", "may", "x"), ("c", "A9", "must", "x"), ("c", "A", "must", "x")],
         "core string, rule string, severity string, text string")

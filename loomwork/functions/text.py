@@ -69,6 +69,11 @@ def norm_loose(text: Column) -> Column:
     return F.regexp_replace(fold(composed(text)), r"[^\p{L}\p{N}]+", "")
 
 
+def letters(text: Column) -> Column:
+    """Lower-case letters and digits only, each character by itself."""
+    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "")
+
+
 def slugify(text: Column, limit: int = 60) -> Column:
     dashed = F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-")
     return F.regexp_replace(F.substring(F.regexp_replace(dashed, "^-+|-+$", ""), 1, limit), "-+$", "")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from loomwork.functions.text import norm_for_match, norm_loose
+from loomwork.functions.text import letters, norm_for_match, norm_loose
 
 FUZZY_MIN_LEN, FUZZY_SCORE = 25, 95.0
 #: Letters in the blocks by which near stretches are found.
@@ -83,26 +83,34 @@ def verified(evidence: DataFrame, paras: DataFrame, keys: list[str], fuzzy: bool
     A paragraph that evidence names is normalised once and meets its quotes by an equi-join. With ``fuzzy`` (for scans
     with reading errors) missing quotes that are long enough and have no digits that the paragraph lacks are compared in
     Python; only those rows go there that share a block of characters with the paragraph, which a quote of enough
-    similarity must: fewer than one block in two is touched by its differences. A missing quote scores 0.
+    similarity must: fewer than one block in two is touched by its differences. Where folding makes more or fewer letters
+    of a text (ß is ss), its plain letters are compared too, so that one misread counts once; the better score holds. A
+    missing quote scores 0.
     """
     named = paras.join(evidence.select(*keys).distinct(), keys, "left_semi")
-    named = named.select(*keys, norm_for_match(F.col("text")).alias("_n"), norm_loose(F.col("text")).alias("_l"))
+    named = named.select(*keys, norm_for_match(F.col("text")).alias("_n"), norm_loose(F.col("text")).alias("_l"), *([F.col("text").alias("_t")] if fuzzy else []))
+    if fuzzy:
+        named = named.withColumn("_t", F.nullif(letters(F.col("_t")), F.col("_l")))
     rows = evidence.join(named, keys, "left").withColumn("status", quote_status(F.col("quote"), F.col("_n"), F.col("_l")))
     sure = F.when(F.col("status").isin("exact", "loose"), 100.0).otherwise(0.0)
     if not fuzzy:
         return rows.withColumn("score", sure).drop("_n", "_l")
     digits = lambda c: F.regexp_extract_all(c, F.lit(r"(\d+)"), F.lit(1))
-    rows = rows.withColumn("_q", norm_loose(F.col("quote")))
+    rows = rows.withColumns({"_q": norm_loose(F.col("quote")), "_p": letters(F.col("quote")), "_t": F.coalesce("_t", "_l")})
     worth = (F.col("status") == "missing") & (F.length("_q") >= FUZZY_MIN_LEN)
     worth &= F.size(F.array_except(digits(F.col("quote")), digits(F.col("_n")))) == 0
-    blocks = F.sequence(F.lit(1), F.length("_q") - BLOCK + 1, F.lit(BLOCK))
-    worth &= F.exists(blocks, lambda i: F.col("_l").contains(F.substr(F.col("_q"), i, F.lit(BLOCK))))
-    rows = rows.withColumn("_worth", F.coalesce(worth, F.lit(False)))
+
+    def near(q: str, t: str) -> Column:
+        blocks = F.sequence(F.lit(1), F.greatest(F.length(q) - BLOCK + 1, F.lit(1)), F.lit(BLOCK))
+        return F.exists(blocks, lambda i: F.col(t).contains(F.substr(q, i, F.lit(BLOCK))))
+
+    other = (F.col("_p") != F.col("_q")) | (F.col("_t") != F.col("_l"))
+    rows = rows.withColumns({"_worth": F.coalesce(worth & near("_q", "_l"), F.lit(False)), "_plain": F.coalesce(worth & other & near("_p", "_t"), F.lit(False))})
     # One pass: texts of the other rows go to Python as nulls.
-    sent = lambda c: F.when(F.col("_worth"), F.col(c))
-    rows = rows.withColumn("score", F.greatest(sure, F.coalesce(partial_ratio(sent("_q"), sent("_l")), F.lit(0.0))))
-    status = F.when(F.col("_worth") & (F.col("score") >= FUZZY_SCORE), "fuzzy").otherwise(F.col("status"))
-    return rows.withColumn("status", status).drop("_n", "_l", "_q", "_worth")
+    ratio = lambda on, q, t: F.coalesce(partial_ratio(F.when(F.col(on), F.col(q)), F.when(F.col(on), F.col(t))), F.lit(0.0))
+    rows = rows.withColumn("score", F.greatest(sure, ratio("_worth", "_q", "_l"), ratio("_plain", "_p", "_t")))
+    status = F.when((F.col("_worth") | F.col("_plain")) & (F.col("score") >= FUZZY_SCORE), "fuzzy").otherwise(F.col("status"))
+    return rows.withColumn("status", status).drop("_n", "_l", "_t", "_q", "_p", "_worth", "_plain")
 
 
 def unit_verified(results: DataFrame, *keys: str) -> DataFrame:

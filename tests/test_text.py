@@ -60,6 +60,17 @@ def test_quotes(spark, quote, para, fuzzy, want):
     assert evidence.verified(e, p, ["pid"], fuzzy).first().status == want
 
 
+@pytest.mark.parametrize(("quote", "para", "want"), [
+    ("pfzuä erж die und enbest bersch eintzü", "en pfzuä erß die und enbest bersch eintzü und zui", "fuzzy"),
+    ("pfzuä eжж die und enbest bersch eintzü", "en pfzuä erß die und enbest bersch eintzü und zui", "missing"),
+    ("pfzuä ERSS die und enbest berжch eintzü", "en pfzuä erß die und enbest bersch eintzü und zui", "fuzzy"),
+])
+def test_a_misread_letter_counts_once_if_folding_makes_two_of_it(spark, quote, para, want):
+    e = spark.createDataFrame([("P1", quote)], "pid string, quote string")
+    p = spark.createDataFrame([("P1", para)], "pid string, text string")
+    assert evidence.verified(e, p, ["pid"], True).first().status == want
+
+
 @pytest.mark.parametrize(("given", "want"), [
     ('Sure: {"a": [1, "}"]} tail', '{"a":[1,"}"]}'), ("<think>{x}</think>[1, 2]", "[1,2]"), ('```json\n{"k": "é"}\n```', '{"k":"é"}'),
     ('{"a": 1', None), ("none", None), (None, None),

@@ -46,6 +46,14 @@ def test_composition_and_diacritics(spark):
     assert one(spark, text.slugify(F.col("a")), "  My Key -- #1 ") == "my-key-1"
 
 
+def test_unverified_numbers_take_one_exchange_and_a_null_key_is_a_key(spark):
+    reports = spark.createDataFrame([(None, "3 of 40"), (1, "1.234.5 of 1,000, 0 and 007"), (2, None)], "k int, text string")
+    sources = spark.createDataFrame([(None, "three"), (1, "1.000 and 7"), (2, "5")], "k int, text string")
+    found = numbers.unverified_numbers(reports, sources, "k")
+    assert {tuple(r) for r in found.collect()} == {(None, "40"), (1, "0")}
+    assert found._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
+
+
 @pytest.mark.parametrize(("quote", "para", "fuzzy", "want"), [
     ("The plan begins", "the PLAN  begins in 2027", False, "exact"), ("plan: begins", "The plan begins", False, "loose"),
     ("nothing", "The plan begins", False, "missing"),

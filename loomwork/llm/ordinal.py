@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import passing, table, written
+from loomwork.llm.common import light_batches, passing, table, written
 
 DIM, GRADES = 1 << 18, 3
 SAMPLE, SHARDS, ROUNDS, EPOCHS = 24_000, 4, 3, 3
@@ -250,10 +250,15 @@ def graded_documents(docs: DataFrame, labels: DataFrame, keep: list[str], tail:
 
 
 def select_good(docs: DataFrame, labels: DataFrame, tail: float = TAIL) -> DataFrame:
-    """The documents that the classifier keeps, with the columns they came with."""
-    with passing(docs.sparkSession):
+    """The documents that the classifier keeps, with the columns they came with.
+
+    They are written here, as the bound of Arrow batches is the session's when a stage is planned: whole texts in batches of
+    Spark's own size took memory that the later stages of a pipeline miss.
+    """
+    spark = docs.sparkSession
+    with passing(spark), light_batches(spark):
         model = fit(docs, graded(labels))
-    return docs if model is None else docs.where(tail_chance(model)(docs["text"]) >= tail)
+        return docs if model is None else written(docs.where(tail_chance(model)(docs["text"]) >= tail), "ordinal-good", keep=True)
 
 
 def op2_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,3 +108,15 @@ def test_odd_rows(spark, docs_of):
 def test_clashing_ratings_count_as_the_worst(spark):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, 1, 0), (2, 1, 1), (3, 1, 0)], "doc_id long, quality int, toxic int")
     assert {r.doc_id: r.grade for r in ordinal.graded(labels).collect()} == {1: 1, 2: 0, 3: 2}
+
+
+def test_good_documents_are_chosen_in_light_batches(spark, monkeypatch):
+    """The batches' bound holds while the texts go through Python, not only while the stage is set up."""
+    docs = spark.createDataFrame([(i, f"words of text {i % 7} " * 9) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    key, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    real, before = ordinal.written, spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    monkeypatch.setattr(ordinal, "written", lambda df, name, **more: (seen.append((name, int(spark.conf.get(key)))), real(df, name, **more))[1])
+    rows = ordinal.select_good(docs, labels)
+    assert ("ordinal-good", 4 << 20) in seen and spark.conf.get(key) == before
+    assert set(rows.columns) == {"doc_id", "text"} and rows.count() <= 60

@@ -171,7 +171,7 @@ def test_checks(spark):
 
 
 def test_refund_requests_do_not_hang_on_the_order_of_events(spark, tmp_path):
-    # Eight hundredths a hundred times are 8; added as doubles in this order they are 7.99...
+    # Eighty tenths are 8; added as doubles in this order they are 7.99...
     rows = [(i, 1, "purchase", 0.08) for i in range(100)] + [(100 + i, 2, "view", 0.1) for i in range(80)]
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     found = {r.job_id: (r.amount, r.refund) for r in accounts.refund_credits(spark, str(tmp_path)).collect()}
